@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,6 +90,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def single(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id bigint, text): rows with an id, one an id (the smallest text)."""
+    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        docs = written(docs.groupBy("doc_id").agg(F.min("text").alias("text")), "single")
+    return docs
+
+
 @atexit.register
 def drop_scratch() -> None:
     """Deletes the scratch tables of this process; those of a session that has ended stay to its cluster's cleaner."""
@@ -152,18 +160,20 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     )
 
 
-def sparse_links(lists: DataFrame, check: Callable[[DataFrame], DataFrame], long_list: int, eligible: DataFrame | None = None) -> DataFrame:
+def sparse_links(lists: DataFrame, check: Callable[[DataFrame], DataFrame], long_list: int, eligible: DataFrame | None = None, hopeful: Column | None = None) -> DataFrame:
     """Links among the members of inverted lists, enough of them that components are those of all links.
 
     lists: (value, id), no row twice; ids that can be linked share a value. check: (a, b) to those pairs that are linked.
     A list of at most long_list members gives all its pairs. A longer one gives the pairs with its smallest member, so a
     group of n copies costs n checks; once those links have joined most of the list, only members of different
-    components are compared. eligible (id): the ids that need this last step; all, if not given.
+    components are compared. eligible (id): the ids that need this last step; all, if not given. hopeful: a condition on
+    two rows x and y of lists, without which a pair is no candidate; lists may carry columns for it.
     """
     sizes = lists.groupBy("value").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1")
+    more = F.lit(True) if hopeful is None else hopeful
     lists = written(lists.join(sizes, "value"), "lists")
-    short = lists.where(F.col("size") <= long_list).select("value", "id")
-    pairs = short.alias("x").join(short.alias("y"), "value").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    short = lists.where(F.col("size") <= long_list)
+    pairs = short.alias("x").join(short.alias("y"), "value").where((F.col("x.id") < F.col("y.id")) & more).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     stars = lists.where((F.col("size") > long_list) & (F.col("head") < F.col("id"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
     links = written(check(pairs.unionByName(stars).distinct()), "links")
     long = lists.where(F.col("size") > long_list).select("value", "id")

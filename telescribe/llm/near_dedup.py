@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telescribe.llm.common import SPACED_WORD, components, lower_ascii, map_rows, shingle_hashes, sparse_links, written
+from telescribe.llm.common import SPACED_WORD, components, lower_ascii, map_rows, shingle_hashes, single, sparse_links, written
 
 @dataclass(frozen=True)
 class Params:
@@ -99,11 +99,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
     columns are not read.
     """
     p = params
-    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    docs = single(df, id_col, text_col)
     seen = written(sketches(docs, p, "doc_id", "text"), "sketches")
-    if seen.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = written(docs.groupBy("doc_id").agg(F.min("text").alias("text")), "single")
-        seen = written(sketches(docs, p, "doc_id", "text"), "sketches")
     reps = seen.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = written(seen.join(reps, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), "member")
     sketch = written(seen.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "sketch"), "reps")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telescribe.llm import bpe, decontaminate, near_dedup
+from telescribe.llm import bpe, decontaminate, line_dedup, near_dedup
 from telescribe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.later_lines(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("removed", "first_docs")})
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
@@ -41,6 +46,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup, op9_benchmark_decontamination, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup, op8_line_dedup, op9_benchmark_decontamination, op10_bpe)}
 
 SQL: dict[str, str] = {}
