@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,42 +37,106 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(lower_ascii(text)) if text else []
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all when it holds too many."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Scatters 64-bit values one to one."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
-        return h
 
+def letters(pattern: re.Pattern) -> np.ndarray:
+    """Which bytes of UTF-8 texts belong to words of the pattern, one that tells ASCII characters only apart."""
+    return np.array([i >= 128 or bool(pattern.match(chr(i).lower())) for i in range(256)])
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
 
+WORD_BYTES, SPACED_BYTES = letters(WORD), letters(SPACED_WORD)
+FACTOR = 0x9E3779B97F4A7C15
+CODE = mixed(np.arange(1, 257, dtype=np.uint64))
+CODE[65:91] = CODE[97:123]
 
-def hashes_of(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(word_hashes().__getitem__, words), dtype=np.uint64, count=len(words))
 
+@lru_cache(maxsize=2)
+def powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, factor, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Scatters 64-bit values one to one."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
+
+class Words:
+    """The words of a batch of texts, found and hashed for all texts at once.
+
+    hashes: 64 bits a word, A-Z read as a-z. text: the number of its text. start: its first byte in data. first: for each
+    text and one past the last, the number of its first word.
+    """
+
+    def __init__(self, texts: pa.Array, word_bytes: np.ndarray):
+        texts = texts.cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        whole = texts.buffers()[2]
+        self.data = np.frombuffer(whole, dtype=np.uint8)[offsets[0] : offsets[-1]] if whole is not None else np.empty(0, np.uint8)
+        self.offsets = offsets - offsets[0]
+        inside = np.zeros(len(self.data) + 1, dtype=bool)
+        inside[:-1] = word_bytes[self.data]
+        breaks = self.offsets[:-1]
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1]
+        begin[breaks] = inside[breaks]
+        end = ~inside
+        end[breaks] = True
+        end[1:] &= inside[:-1]
+        end[0] = False
+        self.start, self.end = np.flatnonzero(begin), np.flatnonzero(end)
+        size = 1 << max(16, int(len(self.data)).bit_length())
+        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
+        np.cumsum(CODE[self.data] * powers(FACTOR, size)[: len(self.data)], out=sums[1:])
+        self.hashes = mixed((sums[self.end] - sums[self.start]) * powers(pow(FACTOR, -1, 1 << 64), size)[self.start])
+        self.first = np.searchsorted(self.start, self.offsets)
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
+
+    def shingles(self, size: int) -> list[np.ndarray]:
+        """For each text the sorted distinct hashes of its word shingles; fewer words than size are one, no words none."""
+        h, out = self.hashes, []
+        whole = np.full(max(0, len(h) - size + 1), size, dtype=np.uint64)
+        for i in range(size):
+            whole = mixed(whole * np.uint64(FACTOR) + h[i : len(h) - size + 1 + i]) if len(whole) else whole
+        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist()):
+            if b - a >= size:
+                out.append(np.unique(whole[a : b - size + 1]))
+            else:
+                few = np.full(min(1, b - a), b - a, dtype=np.uint64)
+                for i in range(a, b):
+                    few = mixed(few * np.uint64(FACTOR) + h[i])
+                out.append(few)
+        return out
+
+
+def shingle_hashes(text: str | None, size: int, word_bytes: np.ndarray = SPACED_BYTES) -> np.ndarray:
+    return Words(pa.array([text], pa.string()), word_bytes).shingles(size)[0]
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, text_col: int, most_bytes: int = 1 << 20) -> DataFrame:
+    """Applies fn to slices of Arrow batches that hold most_bytes of text, or one row; fn gives arrays by name."""
+    out = T._parse_datatype_string(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out)
+        for batch in batches:
+            ends = np.cumsum(np.maximum(1, np.nan_to_num(pa.compute.binary_length(batch.column(text_col)).to_numpy(zero_copy_only=False).astype(float))))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, side="right")))
+                found = fn(batch.slice(at, to - at))
+                yield pa.RecordBatch.from_arrays([pa.array(found[f.name], type=f.type) if isinstance(found[f.name], (list, np.ndarray)) else found[f.name].cast(f.type) for f in arrow], names=arrow.names)
+                at = to
+
+    return df.mapInArrow(run, out)
 
 
-def shingle_hashes(words: list[str], size: int) -> np.ndarray:
-    """Sorted distinct hashes of word shingles; fewer words than size are one shingle, no words none."""
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = hashes_of(words)
-    n = min(size, len(h))
-    out = np.full(len(h) - n + 1, n, dtype=np.uint64)
-    for i in range(n):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-    return np.unique(out)
+def lists_array(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """An Arrow list of sizes[i] values for each i."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -17,19 +17,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telescribe.llm.common import WORD, components, hashes_of, lower_ascii, map_rows, mixed, single, sparse_links, written
+from telescribe.llm.common import WORD_BYTES, Words, components, lists_array, map_batches, map_rows, mixed, single, sparse_links, written
 
 #: Buckets in which tokens are counted; lists with more lines count as long; lines a document can number.
 BUCKETS, LONG_LIST, LINE_BITS = 1 << 16, 40, 24
+SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
-def line_tokens(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes of all words of a text, the line number of each, and the number of lines (cut at line feeds)."""
-    if text is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), 0
-    lines = [WORD.findall(line) for line in lower_ascii(text).split("\n")]
-    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    return hashes_of([w for line in lines for w in line]), np.repeat(np.arange(len(lines)), sizes), len(lines)
+def line_words(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of texts, the line of each (numbered over all texts), and the first line of each text and past the last."""
+    words = Words(texts, WORD_BYTES)
+    feeds = np.flatnonzero(words.data == 10)
+    first = np.arange(len(texts) + 1) + np.searchsorted(feeds, words.offsets)
+    return words, np.searchsorted(feeds, words.start) + words.text, first
+
+
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def bucket_counts(df: DataFrame, text_col: str) -> np.ndarray:
@@ -38,8 +42,8 @@ def bucket_counts(df: DataFrame, text_col: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts += np.bincount((line_tokens(text)[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if text else 0
+            for at in range(0, batch.num_rows, 256):
+                counts += np.bincount(bucket_of(Words(batch.column(0).slice(at, 256), WORD_BYTES).hashes), minlength=BUCKETS)
         full = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], names=["bucket", "n"])
 
@@ -50,16 +54,20 @@ def bucket_counts(df: DataFrame, text_col: str) -> np.ndarray:
     return counts
 
 
-def ordered_sets(tokens: np.ndarray, lines: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens of each line, rare ones first: (tokens, line of each, start of each line that has any)."""
-    order = np.lexsort((tokens, counts[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)], lines))
-    tokens, lines = tokens[order], lines[order]
+def ordered_sets(tokens: np.ndarray, lines: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of each line, rare ones first, and the start of each line that has any.
+
+    The order is the rank of a token's bucket, then 28 more bits of its hash; rarer still would be equal only by chance.
+    """
+    key = (lines.astype(np.uint64) << np.uint64(44)) | (rank[bucket_of(tokens)] << np.uint64(28)) | (tokens >> np.uint64(36))
+    order = np.argsort(key)
+    key, tokens = key[order], tokens[order]
     new = np.ones(len(tokens), dtype=bool)
-    new[1:] = (tokens[1:] != tokens[:-1]) | (lines[1:] != lines[:-1])
-    tokens, lines = tokens[new], lines[new]
+    new[1:] = key[1:] != key[:-1]
+    key, tokens = key[new] >> np.uint64(44), tokens[new]
     first = np.ones(len(tokens), dtype=bool)
-    first[1:] = lines[1:] != lines[:-1]
-    return tokens, lines, np.flatnonzero(first)
+    first[1:] = key[1:] != key[:-1]
+    return tokens, np.flatnonzero(first)
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -76,26 +84,29 @@ def signature(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.bitwise_or.reduceat(np.where(low, bit, zero), starts), np.bitwise_or.reduceat(np.where(low, zero, bit), starts)
 
 
-def lines_table(docs: DataFrame, percent: int) -> tuple[DataFrame, object]:
-    """(at, n, one, two, low, high, prefix) of every line with tokens, and the broadcast token order."""
-    order = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, "text"))
+def lines_table(docs: DataFrame, percent: int) -> DataFrame:
+    """(at, n, one, two, low, high, prefix) of every line with tokens."""
+    counts = bucket_counts(docs, "text")
+    rank = np.empty(BUCKETS, dtype=np.uint64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
+    order = docs.sparkSession.sparkContext.broadcast(rank)
 
-    def rows(cols):
-        for key, text in zip(*cols):
-            tokens, lines, starts = ordered_sets(*line_tokens(text)[:2], order.value)
-            if not len(starts):
-                continue
-            n = np.diff(np.append(starts, len(tokens)))
-            one, two = np.add.reduceat(mixed(tokens), starts), np.add.reduceat(mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)), starts)
-            low, high = signature(tokens, starts)
-            short = tokens.astype(np.uint32).view(np.int32)
-            prefix = [short[s : s + k].tolist() for s, k in zip(starts.tolist(), prefix_size(n, percent).tolist())]
-            yield (lines[starts] + (key << LINE_BITS)).tolist(), n.tolist(), *(x.view(np.int64).tolist() for x in (one, two, low, high)), prefix
+    def rows(batch):
+        words, lines, first = line_words(batch.column(1))
+        tokens, starts = ordered_sets(words.hashes, lines, order.value)
+        there = np.unique(lines)
+        text = np.searchsorted(first, there, side="right") - 1
+        at = (batch.column(0).to_numpy()[text] << LINE_BITS) + there - first[text]
+        n = np.diff(np.append(starts, len(tokens)))
+        k = prefix_size(n, percent)
+        empty = np.empty(0, np.uint64)
+        one, two = (np.add.reduceat(mixed(tokens ^ np.uint64(x)), starts) if len(starts) else empty for x in SEEDS)
+        low, high = signature(tokens, starts) if len(starts) else (empty, empty)
+        ahead = np.arange(len(tokens)) - np.repeat(starts, n) < np.repeat(k, n)
+        short = tokens[ahead].astype(np.uint32).view(np.int32)
+        return {"at": at, "n": n, "prefix": lists_array(short, k)} | {c: x.view(np.int64) for c, x in (("one", one), ("two", two), ("low", low), ("high", high))}
 
-    names = ("at", "n", "one", "two", "low", "high", "prefix")
-    per_doc = map_rows(docs, rows, ", ".join(f"{c} array<{'array<int>' if c == 'prefix' else 'bigint'}>" for c in names), chunk=64)
-    flat = per_doc.select(F.explode(F.arrays_zip(*names)).alias("x")).select(*[F.col(f"x.{c}").alias(c) for c in names])
-    return written(flat, "lines"), order
+    return written(map_batches(docs.select("doc_id", "text"), rows, "at bigint, n int, one bigint, two bigint, low bigint, high bigint, prefix array<int>", 1), "lines")
 
 
 def line_classes(docs: DataFrame, percent: int = 80, long_list: int = LONG_LIST) -> DataFrame:
@@ -103,7 +114,7 @@ def line_classes(docs: DataFrame, percent: int = 80, long_list: int = LONG_LIST)
 
     docs: (doc_id bigint, text), neither null, ids unique and below 2**39. at = doc_id * 2**24 + line orders all lines.
     """
-    seen, order = lines_table(docs, percent)
+    seen = lines_table(docs, percent)
     reps = written(seen.groupBy("one", "two", "n").agg(F.min("at").alias("id")), "reps")
     unique = written(seen.join(reps.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("at").alias("id"), "n", "low", "high", "prefix"), "unique")
     marks = unique.select("id", "n", "low", "high")
@@ -122,8 +133,9 @@ def line_classes(docs: DataFrame, percent: int = 80, long_list: int = LONG_LIST)
         def sets(cols):
             for key, text, wanted in zip(*cols):
                 lines = text.split("\n")
-                for k in wanted:
-                    yield (key << LINE_BITS) + k, np.unique(line_tokens(lines[k])[0]).tobytes()
+                found = Words(pa.array([lines[k] for k in wanted]), WORD_BYTES)
+                for i, k in enumerate(wanted):
+                    yield (key << LINE_BITS) + k, np.unique(found.hashes[found.first[i] : found.first[i + 1]]).tobytes()
 
         full = written(map_rows(docs.join(need, "doc_id").select("doc_id", "text", "lines"), sets, "at bigint, s binary"), "sets")
         both = hopes.join(full.select(F.col("at").alias("a"), F.col("s").alias("s_a")), "a").join(full.select(F.col("at").alias("b"), F.col("s").alias("s_b")), "b")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telescribe.llm.common import SPACED_WORD, components, lower_ascii, map_rows, shingle_hashes, single, sparse_links, written
+from telescribe.llm.common import SPACED_BYTES, Words, components, lists_array, map_batches, map_rows, single, sparse_links, written
 
 @dataclass(frozen=True)
 class Params:
@@ -36,19 +36,20 @@ class Params:
     floor: float = 0.42
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    return shingle_hashes(SPACED_WORD.findall(lower_ascii(text)) if text else [], size)
-
-
 def sketches(df: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, digest, sketch): set size, digest of the set (null for an empty one), its k smallest hashes."""
 
-    def rows(cols):
-        for key, text in zip(*cols):
-            s = shingle_set(text, p.shingle)
-            yield key, len(s), blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, s[: p.k].view(np.int64).tolist()
+    def rows(batch):
+        sets = Words(batch.column(1), SPACED_BYTES).shingles(p.shingle)
+        small = [s[: p.k] for s in sets]
+        return {
+            "doc_id": batch.column(0),
+            "n": [len(s) for s in sets],
+            "digest": [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+            "sketch": lists_array(np.concatenate(small).view(np.int64), np.array([len(s) for s in small])),
+        }
 
-    return map_rows(df.select(id_col, text_col), rows, "doc_id bigint, n bigint, digest binary, sketch array<bigint>")
+    return map_batches(df.select(id_col, text_col), rows, "doc_id bigint, n bigint, digest binary, sketch array<bigint>", 1)
 
 
 def hopeful(pairs: DataFrame, sketch: DataFrame, p: Params) -> DataFrame:
@@ -74,11 +75,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     own = texts.join(needed, "doc_id", "left_semi")
 
-    def full(cols):
-        for key, text in zip(*cols):
-            yield key, shingle_set(text, p.shingle).tobytes()
+    def full(batch):
+        return {"doc_id": batch.column(0), "s": [s.tobytes() for s in Words(batch.column(1), SPACED_BYTES).shingles(p.shingle)]}
 
-    sets = written(map_rows(own.select("doc_id", "text"), full, "doc_id bigint, s binary"), "sets")
+    sets = written(map_batches(own.select("doc_id", "text"), full, "doc_id bigint, s binary", 1), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b")), "b")
 
     def rows(cols):
