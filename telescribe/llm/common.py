@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,30 +224,72 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     )
 
 
-def sparse_links(lists: DataFrame, check: Callable[[DataFrame], DataFrame], long_list: int, eligible: DataFrame | None = None, hopeful: Column | None = None) -> DataFrame:
-    """Links among the members of inverted lists, enough of them that components are those of all links.
+def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * common >= percent * (len(s) + len(t) - common)
 
-    lists: (value, id), no row twice; ids that can be linked share a value. check: (a, b) to those pairs that are linked.
-    A list of at most long_list members gives all its pairs. A longer one gives the pairs with its smallest member, so a
-    group of n copies costs n checks; once those links have joined most of the list, only members of different
-    components are compared. eligible (id): the ids that need this last step; all, if not given. hopeful: a condition on
-    two rows x and y of lists, without which a pair is no candidate; lists may carry columns for it.
+
+def confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar. sets_of: (id) to (id, s), s the sorted 64-bit hashes as bytes."""
+    sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
+
+    def rows(cols):
+        for a, b, s, t in zip(*cols):
+            if similar(np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64), percent):
+                yield a, b
+
+    return map_rows(both.select("a", "b", "s_a", "s_b"), rows, "a bigint, b bigint", chunk=64)
+
+
+def dense_links(lists: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tile: int = 400) -> DataFrame:
+    """Links between components that only long inverted lists can show, found without a row for each pair.
+
+    lists: (value, id, n), n the set's size. Ids that lists tie together form a group; each group is cut into blocks of
+    about tile ids of close sizes, and blocks whose sizes allow a link meet in a task that compares full sets and gives
+    links between different components of links only. Work grows with a group's size squared, rows only with the number
+    of blocks each id meets.
     """
-    sizes = lists.groupBy("value").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1")
-    more = F.lit(True) if hopeful is None else hopeful
-    lists = written(lists.join(sizes, "value"), "lists")
-    short = lists.where(F.col("size") <= long_list)
-    pairs = short.alias("x").join(short.alias("y"), "value").where((F.col("x.id") < F.col("y.id")) & more).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    stars = lists.where((F.col("size") > long_list) & (F.col("head") < F.col("id"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
-    links = written(check(pairs.unionByName(stars).distinct()), "links")
-    long = lists.where(F.col("size") > long_list).select("value", "id")
-    long = long if eligible is None else long.join(eligible, "id", "left_semi")
-    if not long.limit(1).count():
-        return links
     comp = components(links)
-    apart = long.join(comp, long.id == comp.node, "left").select("value", "id", F.coalesce("component", "id").alias("component"))
-    split = apart.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    apart = written(apart.join(split.select("value"), "value"), "apart")
-    across = apart.alias("x").join(apart.alias("y"), "value").where("x.component < y.component")
-    across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    return written(links.unionByName(check(across)), "links")
+    rows = lists.join(comp, lists.id == comp.node, "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
+    split = rows.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("head")).where("low < high")
+    rows = written(rows.join(split.select("value", "head"), "value"), "apart")
+    group = components(rows.select(F.col("id").alias("a"), F.col("head").alias("b")))
+    step = np.log(100 / percent) / 2
+    members = rows.select("id", "n", F.col("component").alias("of")).distinct()
+    members = members.join(group.select("node", F.col("component").alias("g")), F.col("id") == F.col("node")).select("id", "of", "g", F.floor(F.log("n") / float(step)).alias("size"))
+    sizes = members.groupBy("g", "size").agg(F.ceil(F.count("*") / tile).alias("parts"))
+    members = members.join(sizes, ["g", "size"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    members = written(members.join(sets_of(members.select("id").distinct()), "id"), "members")
+    # sizes a factor of percent apart lie at most two steps apart
+    reach = sizes.select("g", F.col("size").alias("size2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part2"))
+    near = (F.col("size2") - F.col("size")).between(-2, 2)
+    met = members.join(reach, "g").where(near)
+    first = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("part") <= F.col("part2")))
+    key = F.when(first, F.array("g", "size", "part", "size2", "part2")).otherwise(F.array("g", "size2", "part2", "size", "part"))
+    met = met.select(key.alias("key"), first.alias("left"), "id", "of", "s")
+
+    def compare(table: pa.Table) -> pa.Table:
+        left = np.array(table["left"].to_pylist())
+        ids, of = np.array(table["id"].to_pylist()), np.array(table["of"].to_pylist())
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table["s"].to_pylist()]
+        key = table["key"][0].as_py()
+        inner = key[1:3] == key[3:5]
+        one, two = np.flatnonzero(left), np.flatnonzero(left if inner else ~left)
+        out = []
+        if len(one) and len(two):
+            words, place = np.unique(np.concatenate([sets[i] for i in two]), return_inverse=True)
+            n = np.array([len(sets[i]) for i in two])
+            starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+            mark = np.zeros(len(words), dtype=np.int64)
+            for i in one:
+                at = np.searchsorted(words, sets[i])
+                at = at[words[np.minimum(at, len(words) - 1)] == sets[i]]
+                mark[at] = 1
+                common = np.add.reduceat(mark[place], starts)
+                mark[at] = 0
+                for j in two[(100 * common >= percent * (len(sets[i]) + n - common)) & (of[two] != of[i])]:
+                    out.append((ids[i], ids[j]))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return met.groupBy("key").applyInArrow(compare, "a bigint, b bigint")

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telescribe.llm.common import WORD_BYTES, Words, components, lists_array, map_batches, map_rows, mixed, single, sparse_links, written
+from telescribe.llm.common import WORD_BYTES, Words, components, confirmed, dense_links, lists_array, map_batches, map_rows, mixed, single, written
 
 #: Buckets in which tokens are counted; lists with more lines count as long; lines a document can number.
-BUCKETS, LONG_LIST, LINE_BITS = 1 << 16, 40, 24
+BUCKETS, LONG_LIST, LINE_BITS = 1 << 16, 2000, 24
+#: Words of a bucket from which its tokens are dealt out, and the parts they go to.
+OFTEN, PARTS = 1_000_000, 31
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
@@ -85,11 +87,15 @@ def signature(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def lines_table(docs: DataFrame, percent: int) -> DataFrame:
-    """(at, n, one, two, low, high, prefix) of every line with tokens."""
+    """(at, n, one, two, low, high, often, prefix) of every line with tokens; often: place of the first token the corpus holds often."""
     counts = bucket_counts(docs, "text")
     rank = np.empty(BUCKETS, dtype=np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
     order = docs.sparkSession.sparkContext.broadcast(rank)
+    often_from = int(np.sum(counts < OFTEN))
+
+    def rank_of(tokens):
+        return order.value[bucket_of(tokens)]
 
     def rows(batch):
         words, lines, first = line_words(batch.column(1))
@@ -104,9 +110,83 @@ def lines_table(docs: DataFrame, percent: int) -> DataFrame:
         low, high = signature(tokens, starts) if len(starts) else (empty, empty)
         ahead = np.arange(len(tokens)) - np.repeat(starts, n) < np.repeat(k, n)
         short = tokens[ahead].astype(np.uint32).view(np.int32)
-        return {"at": at, "n": n, "prefix": lists_array(short, k)} | {c: x.view(np.int64) for c, x in (("one", one), ("two", two), ("low", low), ("high", high))}
+        seldom = rank_of(tokens[ahead]) < often_from
+        often = np.add.reduceat(seldom.astype(np.int32), np.concatenate(([0], np.cumsum(k)[:-1]))) if len(k) else k.astype(np.int32)
+        return {"at": at, "n": n, "often": often, "prefix": lists_array(short, k)} | {c: x.view(np.int64) for c, x in (("one", one), ("two", two), ("low", low), ("high", high))}
+
+    return written(map_batches(docs.select("doc_id", "text"), rows, "at bigint, n int, one bigint, two bigint, low bigint, high bigint, often int, prefix array<int>", 1), "lines")
+
 
-    return written(map_batches(docs.select("doc_id", "text"), rows, "at bigint, n int, one bigint, two bigint, low bigint, high bigint, prefix array<int>", 1), "lines")
+def candidates(unique: DataFrame, percent: int, long_list: int) -> DataFrame:
+    """(kind, a, b, n) from the inverted lists of prefix tokens, in one shuffle.
+
+    kind 0: a and b are a pair that the length, positional and bitmap filters let pass. A list whose passing pairs
+    outnumber its lines (copies of one line, or more lines than a task holds at once) gives pairs with its first line
+    only, and a row of kind 1 for each member: a the token, b the line, n its size. Tokens that the corpus holds very
+    often are dealt out over many tasks, each part a list of its own, and always give rows of kind 1.
+    """
+    names = ["value", "part", "id", "n", "place", "low", "high"]
+    lists = unique.select("id", "n", "low", "high", "often", F.posexplode("prefix").alias("place", "value"))
+    part = F.when(F.col("place") >= F.col("often"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int") + 1).otherwise(F.lit(0))
+    lists = lists.withColumn("part", part).select(*names).repartition("value", "part").sortWithinPartitions("value", "part", "n", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            now = [c.to_numpy() for c in batch.columns]
+            if held:
+                now = [np.concatenate((x, y)) for x, y in zip(held, now)]
+            key = now[0].astype(np.int64) * (PARTS + 1) + now[1]
+            last = len(key) - int(np.argmax(key[::-1] != key[-1])) if len(key) and (key != key[-1]).any() else 0
+            # a list that has grown too long is let go in pieces, each a long list of its own
+            last = len(key) if len(key) - last > long_list else last
+            held = [x[last:] for x in now]
+            if last:
+                yield from emit([x[:last] for x in now])
+        if held and len(held[0]):
+            yield from emit(held)
+
+    def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        value, part, ids, n, place, low, high = cols
+        key = value.astype(np.int64) * (PARTS + 1) + part
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(begin, len(key)))
+        group = np.repeat(np.arange(len(begin)), size)
+        end = np.repeat(begin + size, size)
+        big = size > long_list
+        low, high = low.view(np.uint64), high.view(np.uint64)
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        found: list[np.ndarray] = []
+        at = np.flatnonzero(~np.repeat(big, size))
+        step = 0
+        while len(at):
+            step += 1
+            at = at[at + step < end[at]]
+            to = at + step
+            fits = n[at] * 100 >= n[to] * percent
+            at, to = at[fits], to[fits]
+            total = n[at] + n[to]
+            good = np.minimum(n[at] - place[at], n[to] - place[to]) * (100 + percent) >= total * percent
+            x, y = at[good], to[good]
+            differ = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y])
+            good = differ * (100 + percent) <= total[good] * (100 - percent)
+            found.append(np.stack((x[good], y[good])))
+        x, y = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        many = np.bincount(group[x], minlength=len(begin)) > 4 * size
+        dense = big | many
+        x, y = x[~dense[group[x]]], y[~dense[group[x]]]
+        star = np.flatnonzero(np.repeat(dense, size))
+        head = begin[group[star]]
+        other = star != head
+        x, y = np.concatenate((x, head[other])), np.concatenate((y, star[other]))
+        listed = np.flatnonzero(np.repeat(dense | (part[begin] > 0), size))
+        a = np.concatenate((np.minimum(ids[x], ids[y]), value[listed].astype(np.int64)))
+        b = np.concatenate((np.maximum(ids[x], ids[y]), ids[listed]))
+        kind = np.concatenate((np.zeros(len(x), np.int32), np.ones(len(listed), np.int32)))
+        sizes = np.concatenate((n[x], n[listed])).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(sizes)], names=["kind", "a", "b", "n"])
+
+    return lists.mapInArrow(run, "kind int, a bigint, b bigint, n int")
 
 
 def line_classes(docs: DataFrame, percent: int = 80, long_list: int = LONG_LIST) -> DataFrame:
@@ -116,44 +196,26 @@ def line_classes(docs: DataFrame, percent: int = 80, long_list: int = LONG_LIST)
     """
     seen = lines_table(docs, percent)
     reps = written(seen.groupBy("one", "two", "n").agg(F.min("at").alias("id")), "reps")
-    unique = written(seen.join(reps.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("at").alias("id"), "n", "low", "high", "prefix"), "unique")
-    marks = unique.select("id", "n", "low", "high")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        one = marks.select(*[F.col(c).alias(f"{c}_a") for c in marks.columns])
-        two = marks.select(*[F.col(c).alias(f"{c}_b") for c in marks.columns])
-        both = pairs.join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
-        # similar sets of n_a and n_b tokens differ in at most (n_a + n_b) * (100 - percent) / (100 + percent) of them
-        differ = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
-        both = both.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)))
-        hopes = written(both.select("a", "b"), "hopes")
-        need = hopes.select(F.explode(F.array("a", "b")).alias("at")).distinct()
-        need = need.groupBy(F.shiftright("at", LINE_BITS).alias("doc_id")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << LINE_BITS) - 1))).alias("lines"))
+    unique = written(seen.join(reps.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("at").alias("id"), "n", "low", "high", "often", "prefix"), "unique")
+    found = written(candidates(unique, percent, long_list), "candidates")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        need = ids.groupBy(F.shiftright("id", LINE_BITS).alias("doc_id")).agg(F.collect_list(F.col("id").bitwiseAND(F.lit((1 << LINE_BITS) - 1))).alias("lines"))
 
         def sets(cols):
             for key, text, wanted in zip(*cols):
                 lines = text.split("\n")
-                found = Words(pa.array([lines[k] for k in wanted]), WORD_BYTES)
+                words = Words(pa.array([lines[k] for k in wanted]), WORD_BYTES)
                 for i, k in enumerate(wanted):
-                    yield (key << LINE_BITS) + k, np.unique(found.hashes[found.first[i] : found.first[i + 1]]).tobytes()
-
-        full = written(map_rows(docs.join(need, "doc_id").select("doc_id", "text", "lines"), sets, "at bigint, s binary"), "sets")
-        both = hopes.join(full.select(F.col("at").alias("a"), F.col("s").alias("s_a")), "a").join(full.select(F.col("at").alias("b"), F.col("s").alias("s_b")), "b")
-
-        def compare(cols):
-            for a, b, s, t in zip(*cols):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * common >= percent * (len(s) + len(t) - common):
-                    yield a, b
+                    yield (key << LINE_BITS) + k, np.unique(words.hashes[words.first[i] : words.first[i + 1]]).tobytes()
 
-        return map_rows(both.select("a", "b", "s_a", "s_b"), compare, "a bigint, b bigint")
+        return map_rows(docs.join(need, "doc_id").select("doc_id", "text", "lines"), sets, "id bigint, s binary")
 
-    # a token at places i and j of sets of n and m leaves room for min(n - i, m - j) common ones at most
-    n, m, i, j = (F.col(c) for c in ("x.n", "y.n", "x.place", "y.place"))
-    room = (F.least(n - i, m - j) * (100 + percent) >= (n + m) * percent) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-    lists = unique.select("id", "n", F.posexplode(F.array_distinct("prefix")).alias("place", "value"))
-    comp = components(sparse_links(lists, check, long_list, hopeful=room))
+    links = written(confirmed(found.where("kind = 0").select("a", "b").distinct(), sets_of, percent), "links")
+    dense = found.where("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("id"), "n")
+    if dense.limit(1).count():
+        links = written(links.unionByName(dense_links(dense, links, sets_of, percent)), "links")
+    comp = components(links)
     first = reps.join(comp, reps.id == comp.node, "left").select("one", "two", "n", F.coalesce("component", "id").alias("first"))
     later = seen.select("at", "one", "two", "n").join(first, ["one", "two", "n"]).where("at <> first")
     number = lambda c: F.col(c).bitwiseAND(F.lit((1 << LINE_BITS) - 1))

@@ -5,8 +5,8 @@
 3. The retained values of the representatives form inverted lists. Short lists give all their pairs; long ones (frequent
    shingles, large groups) give only pairs with the list's first member, so a group of n copies costs n pairs, not n^2.
 4. Pairs whose union sketch cannot reach the threshold go; the rest are confirmed on the full sets.
-5. Texts made up almost wholly of frequent shingles could match inside long lists only. Once the confirmed links have
-   joined most of such a group, the members that are still apart are compared across components.
+5. Texts made up mostly of frequent shingles could match inside long lists only. Once the confirmed links have joined
+   most of such a group, blocks of its full sets are compared, and only links between different components come out.
 6. Components of the confirmed links give the classes.
 """
 
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telescribe.llm.common import SPACED_BYTES, Words, components, lists_array, map_batches, map_rows, single, sparse_links, written
+from telescribe.llm.common import SPACED_BYTES, Words, components, confirmed, dense_links, lists_array, map_batches, map_rows, single, written
 
 @dataclass(frozen=True)
 class Params:
@@ -29,11 +29,11 @@ class Params:
 
     shingle: int = 2
     percent: int = 80
-    k: int = 32
+    k: int = 64
     long_list: int = 40
     first: int = 12
-    frequent: float = 0.5
-    floor: float = 0.42
+    frequent: float = 0.65
+    floor: float = 0.55
 
 
 def sketches(df: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
@@ -70,27 +70,6 @@ def hopeful(pairs: DataFrame, sketch: DataFrame, p: Params) -> DataFrame:
     return map_rows(both.select("a", "b", "s_a", "s_b"), rows, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold. texts: (doc_id, text), one row an id."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = texts.join(needed, "doc_id", "left_semi")
-
-    def full(batch):
-        return {"doc_id": batch.column(0), "s": [s.tobytes() for s in Words(batch.column(1), SPACED_BYTES).shingles(p.shingle)]}
-
-    sets = written(map_batches(own.select("doc_id", "text"), full, "doc_id bigint, s binary", 1), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s_b")), "b")
-
-    def rows(cols):
-        for a, b, s, t in zip(*cols):
-            s, t = np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64)
-            common = len(np.intersect1d(s, t, assume_unique=True))
-            if 100 * common >= p.percent * (len(s) + len(t) - common):
-                yield a, b
-
-    return map_rows(both.select("a", "b", "s_a", "s_b"), rows, "a bigint, b bigint", chunk=64)
-
-
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest id reachable by links), kept (it is that one).
 
@@ -111,14 +90,29 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
         F.sort_array(F.collect_list(F.when(F.col("size") <= p.long_list, F.col("value")))).alias("short"),
         F.collect_list(F.when(F.col("size") > p.long_list, F.col("value"))).alias("long"),
     )
-    per_doc = per_doc.join(sketch.select("doc_id", F.size("sketch").alias("k")), "doc_id")
+    per_doc = per_doc.join(sketch.select("doc_id", "n", F.size("sketch").alias("k")), "doc_id")
     few = F.size("long") * 4 <= F.col("k")
     per_doc = written(
-        per_doc.select(F.col("doc_id").alias("id"), F.when(few, F.slice("short", 1, p.first)).otherwise(F.col("short")).alias("short"), "long", (F.size("long") >= p.frequent * F.col("k")).alias("frequent")),
+        per_doc.select(F.col("doc_id").alias("id"), F.when(few, F.slice("short", 1, p.first)).otherwise(F.col("short")).alias("short"), "n", "long", (F.size("long") >= p.frequent * F.col("k")).alias("frequent")),
         "values",
     )
-    lists = per_doc.select("id", F.explode(F.concat("short", F.when(F.col("frequent"), F.col("long")).otherwise(F.array().cast("array<bigint>")))).alias("value"))
-    links = sparse_links(lists, lambda pairs: confirmed(written(hopeful(pairs, sketch, p), "hopes"), docs, p), p.long_list)
+    short = per_doc.select("id", F.explode("short").alias("value"))
+    pairs = short.alias("x").join(short.alias("y"), "value").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    long = written(per_doc.where("frequent").select("id", "n", F.explode("long").alias("value")), "long")
+    heads = long.groupBy("value").agg(F.min("id").alias("a"))
+    stars = long.join(heads, "value").where("a < id").select("a", F.col("id").alias("b"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        def full(batch):
+            return {"id": batch.column(0), "s": [s.tobytes() for s in Words(batch.column(1), SPACED_BYTES).shingles(p.shingle)]}
+
+        own = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        return map_batches(own.select("doc_id", "text"), full, "id bigint, s binary", 1)
+
+    hopes = written(hopeful(pairs.unionByName(stars).distinct(), sketch, p), "hopes")
+    links = written(confirmed(hopes, sets_of, p.percent), "links")
+    if long.limit(1).count():
+        links = written(links.unionByName(dense_links(long, links, sets_of, p.percent)), "links")
     best = components(links).select(F.col("node").alias("rep"), "component")
     out = member.join(best, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
