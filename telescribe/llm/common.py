@@ -246,8 +246,8 @@ def dense_links(lists: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame
     """Links between components that only long inverted lists can show, found without a row for each pair.
 
     lists: (value, id, n), n the set's size. Ids that lists tie together form a group; each group is cut into blocks of
-    about tile ids of close sizes, and blocks whose sizes allow a link meet in a task that compares full sets and gives
-    links between different components of links only. Work grows with a group's size squared, rows only with the number
+    about tile ids of close sizes, and blocks whose sizes allow a link meet in a task that compares full sets and gives a
+    link only where it joins components. Work grows with a group's size squared, rows only with the number
     of blocks each id meets.
     """
     comp = components(links)
@@ -275,6 +275,13 @@ def dense_links(lists: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table["s"].to_pylist()]
         key = table["key"][0].as_py()
         inner = key[1:3] == key[3:5]
+        top = {x: x for x in of.tolist()}
+
+        def root(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
         one, two = np.flatnonzero(left), np.flatnonzero(left if inner else ~left)
         out = []
         if len(one) and len(two):
@@ -289,7 +296,10 @@ def dense_links(lists: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame
                 common = np.add.reduceat(mark[place], starts)
                 mark[at] = 0
                 for j in two[(100 * common >= percent * (len(sets[i]) + n - common)) & (of[two] != of[i])]:
-                    out.append((ids[i], ids[j]))
+                    a, b = root(int(of[i])), root(int(of[j]))
+                    if a != b:
+                        top[max(a, b)] = min(a, b)
+                        out.append((ids[i], ids[j]))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return met.groupBy("key").applyInArrow(compare, "a bigint, b bigint")
