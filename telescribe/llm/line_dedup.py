@@ -125,10 +125,12 @@ def candidates(unique: DataFrame, percent: int, long_list: int) -> DataFrame:
     only, and a row of kind 1 for each member: a the token, b the line, n its size. Tokens that the corpus holds very
     often are dealt out over many tasks, each part a list of its own, and always give rows of kind 1.
     """
-    names = ["value", "part", "id", "n", "place", "low", "high"]
+    names = ["list", "id", "n", "place", "low", "high"]
     lists = unique.select("id", "n", "low", "high", "often", F.posexplode("prefix").alias("place", "value"))
     part = F.when(F.col("place") >= F.col("often"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int") + 1).otherwise(F.lit(0))
-    lists = lists.withColumn("part", part).select(*names).repartition("value", "part").sortWithinPartitions("value", "part", "n", "id")
+    # one number holds the token, its part and the size, so that rows sort by it alone
+    key = F.shiftleft(F.col("value").cast("bigint"), 25) + F.shiftleft(part.cast("bigint"), 20) + F.least("n", F.lit((1 << 20) - 1))
+    lists = lists.withColumn("list", key).select(*names).repartition(F.shiftright("list", 20)).sortWithinPartitions("list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -136,7 +138,7 @@ def candidates(unique: DataFrame, percent: int, long_list: int) -> DataFrame:
             now = [c.to_numpy() for c in batch.columns]
             if held:
                 now = [np.concatenate((x, y)) for x, y in zip(held, now)]
-            key = now[0].astype(np.int64) * (PARTS + 1) + now[1]
+            key = now[0] >> 20
             last = len(key) - int(np.argmax(key[::-1] != key[-1])) if len(key) and (key != key[-1]).any() else 0
             # a list that has grown too long is let go in pieces, each a long list of its own
             last = len(key) if len(key) - last > long_list else last
@@ -147,8 +149,8 @@ def candidates(unique: DataFrame, percent: int, long_list: int) -> DataFrame:
             yield from emit(held)
 
     def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        value, part, ids, n, place, low, high = cols
-        key = value.astype(np.int64) * (PARTS + 1) + part
+        key, ids, n, place, low, high = cols
+        key, value, part = key >> 20, key >> 25, (key >> 20) & 31
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(begin, len(key)))
         group = np.repeat(np.arange(len(begin)), size)
@@ -180,7 +182,7 @@ def candidates(unique: DataFrame, percent: int, long_list: int) -> DataFrame:
         other = star != head
         x, y = np.concatenate((x, head[other])), np.concatenate((y, star[other]))
         listed = np.flatnonzero(np.repeat(dense | (part[begin] > 0), size))
-        a = np.concatenate((np.minimum(ids[x], ids[y]), value[listed].astype(np.int64)))
+        a = np.concatenate((np.minimum(ids[x], ids[y]), value[listed]))
         b = np.concatenate((np.maximum(ids[x], ids[y]), ids[listed]))
         kind = np.concatenate((np.zeros(len(x), np.int32), np.ones(len(listed), np.int32)))
         sizes = np.concatenate((n[x], n[listed])).astype(np.int32)
@@ -237,7 +239,7 @@ def later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     lists = line_classes(docs.where("text is not null"), percent).groupBy("doc_id").agg(
         F.array_sort(F.collect_list("line")).alias("removed"), F.min("first_doc").alias("first_doc"), F.array_sort(F.collect_set("first_doc")).alias("first_docs")
     )
-    sizes = docs.select("doc_id", F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("bigint").alias("n_lines"))
+    sizes = docs.select("doc_id", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint").alias("n_lines"))
     none = F.array().cast("array<bigint>")
     return sizes.join(lists, "doc_id", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("removed", none).alias("removed"),
