@@ -1,6 +1,351 @@
-"""Every named query of the engine with the SQL that gives the same rows."""
+"""Every named query of the engine with the SQL that gives the same rows.
+
+Thresholds are scaled to the stand-in tables: windows of 6 hours, reaches and gaps of 600 seconds.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from telescribe.functions import text
+from telescribe.operators import logs as L
+from telescribe.operators import relational as R
+from telescribe.operators import telemetry as T
+from telescribe.plans import rules
+from telescribe.plans.adapters import EVENTS_SQL, LOGS_SQL, START_US, events, logs
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+WINDOW_US, REACH_US = 6 * 3_600_000_000, 600_000_000
+
+
+def query(sql: str):
+    """Registers a function of (spark, sf_dir) and its SQL under the function's name."""
+
+    def put(fn):
+        QUERIES[fn.__name__] = fn
+        SQL[fn.__name__] = sql
+        return fn
+
+    return put
+
+
+def case(rules_, default: str | None, what=lambda p, x: f"'{x}'") -> str:
+    arms = " ".join(f"WHEN regexp_matches(raw_message, '(?i){p}') THEN {what(p, x)}" for p, x in rules_)
+    return f"CASE {arms} ELSE {'NULL' if default is None else repr(default)} END"
+
+
+CLASS_SQL = case([(p, e) for p, e, *_ in rules.PATTERNS], "UNMATCHED")
+VALUE_SQL = case([(p, g) for p, _, _, _, g in rules.PATTERNS], None, lambda p, g: f"regexp_extract(raw_message, '(?i){p}', {g})")
+NOISE_SQL, SIGNAL_SQL = (f"regexp_matches(raw_message, '(?i){'|'.join(f'(?:{p})' for p in ps)}')" for ps in (rules.NOISE, rules.SIGNAL))
+ROUTE_SQL = f"CASE WHEN level >= 8 THEN 'keep' WHEN {NOISE_SQL} THEN 'noise' WHEN {case(rules.DEDUP, None)} IS NOT NULL THEN 'dedup' WHEN {SIGNAL_SQL} THEN 'signal' ELSE 'passthrough' END"
+CLASSED = f"{LOGS_SQL}, cl AS (SELECT *, {CLASS_SQL} AS log_event, {VALUE_SQL} AS matched FROM lg)"
+STATE_SQL = "CASE log_event " + " ".join(f"WHEN '{e}' THEN '{k}.{f}'" for _, e, k, f, _ in rules.PATTERNS if k) + " END"
+CHANGES = f"""{CLASSED}, st AS (SELECT seq, ts_us, {STATE_SQL} AS state, matched AS new_value FROM cl),
+ch AS (SELECT * FROM (SELECT *, coalesce(lag(new_value) OVER (PARTITION BY state ORDER BY ts_us, seq), '<unknown>') AS old_value
+ FROM st WHERE state IS NOT NULL AND new_value <> '') WHERE old_value <> new_value)"""
+MOMENTS = "count(value) AS n, round(avg(value) + 1e-9, 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS std, min(value) AS low, max(value) AS high"
+WINDOWS = f"""{EVENTS_SQL}, bg AS (SELECT bag, min(ts_us) AS t0, max(ts_us) AS t1 FROM ev GROUP BY bag),
+ix AS (SELECT ev.*, greatest(ceil((ts_us - t0) / {WINDOW_US}) - 1, 0)::BIGINT AS w FROM ev JOIN bg USING (bag)),
+fu AS (SELECT bag, topic, w, {MOMENTS} FROM ix GROUP BY ALL),
+ea AS (SELECT bag, topic, unnest(range(0, greatest(ceil((t1 - t0) / {WINDOW_US}) - 1, 0)::BIGINT + 1)) AS w FROM (SELECT DISTINCT bag, topic FROM ev) JOIN bg USING (bag)),
+ws AS (SELECT bag, topic, w, coalesce(n, 0) AS n, mean, std, low, high FROM ea LEFT JOIN fu USING (bag, topic, w))"""
+# stand-in anomalies: values far out, by topic
+SEVERITY = "CASE WHEN value > 95 THEN 'CRITICAL' WHEN value > 80 THEN 'WARNING' ELSE 'INFO' END"
+CATEGORY = "CASE topic WHEN '/click' THEN 'STALL_DETECTED' WHEN '/purchase' THEN 'LIDAR_DEGRADATION' WHEN '/view' THEN 'FREQUENCY_DROPOUT' ELSE 'IMU_FROZEN' END"
+ANOMALIES = f"an AS (SELECT seq, ts_us, bag, topic, value, user_id, {CATEGORY} AS category, {SEVERITY} AS severity FROM ev WHERE value > 60)"
+PRINTS = f"""{LOGS_SQL}, fp AS (SELECT (ts_us - (SELECT min(ts_us) FROM lg)) // {WINDOW_US} AS w, node,
+ regexp_replace(regexp_replace(regexp_replace(raw_message, '{text.UUID}', '#', 'g'), '{text.HEX}', '#', 'g'), '{text.NUMBER}', '#', 'g') AS template, count(*) AS n FROM lg GROUP BY ALL)"""
+
+
+def anomalies(spark, sf_dir):
+    return events(spark, sf_dir).where("value > 60").select("seq", "ts_us", "bag", "topic", "value", "user_id", F.expr(CATEGORY).alias("category"), F.expr(SEVERITY).alias("severity"))
+
+
+def prints(spark, sf_dir):
+    rows = logs(spark, sf_dir)
+    start = rows.agg(F.min("ts_us").alias("start_us"))
+    return L.fingerprints(rows.join(F.broadcast(start)), WINDOW_US, F.col("start_us"))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT bag, topic, count(*) AS n, round((max(max(ts_us)) OVER (PARTITION BY bag) - min(min(ts_us)) OVER (PARTITION BY bag)) / 1e6, 2) AS duration_s, round(count(*) / ((max(max(ts_us)) OVER (PARTITION BY bag) - min(min(ts_us)) OVER (PARTITION BY bag)) / 1e6), 4) AS hz FROM ev GROUP BY bag, topic")
+def bag_metadata(spark, sf_dir):
+    return T.bag_metadata(events(spark, sf_dir))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT bag, topic, {MOMENTS} FROM ev GROUP BY ALL")
+def topic_stats(spark, sf_dir):
+    return T.topic_stats(events(spark, sf_dir))
+
+
+@query(f"WITH {WINDOWS} SELECT * FROM ws")
+def windowed_stats(spark, sf_dir):
+    return T.windowed_stats(events(spark, sf_dir), WINDOW_US)
+
+
+@query(f"""WITH {EVENTS_SQL}, e AS (SELECT bag, topic, ts_us, min(ts_us) OVER (PARTITION BY bag, topic) AS t0, max(ts_us) OVER (PARTITION BY bag, topic) AS t1 FROM ev),
+b AS (SELECT *, greatest(1, ceil((t1 - t0) / 3600000000))::BIGINT AS bins FROM e), c AS (SELECT bag, topic, bins, round(count(*) / 3600.0, 6) AS hz, least((ts_us - t0) // 3600000000, bins - 1) AS bin FROM b GROUP BY bag, topic, bins, bin)
+SELECT bag, topic, bins, count(*) AS full_bins, round(sum(hz) / bins, 6) AS mean_hz, round(sqrt(greatest(sum(hz * hz) / bins - (sum(hz) / bins) ** 2, 0)), 5) AS std_hz, max(hz) AS max_hz FROM c GROUP BY bag, topic, bins""")
+def topic_frequency(spark, sf_dir):
+    return T.topic_frequency(events(spark, sf_dir), 3_600_000_000)
+
+
+USER_DAYS = f"{EVENTS_SQL}, ud AS (SELECT user_id, topic, bag, {MOMENTS} FROM ev GROUP BY ALL)"
+
+
+def user_days(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("user_id", "topic", "bag").agg(*R.moments(F.col("value")))
+
+
+@query(f"""WITH {USER_DAYS}, p AS (SELECT *, lag(std) OVER w AS p_std, lag(mean) OVER w AS p_mean FROM ud WINDOW w AS (PARTITION BY user_id, topic ORDER BY bag)),
+k AS (SELECT user_id, topic, bag, CASE WHEN p_std > 0.001 AND std < 1e-6 THEN 'FREEZE_ONSET' WHEN p_std < 1e-6 AND std > 0.001 AND p_mean <> 0 THEN 'SENSOR_RESUME' END AS category FROM p) SELECT * FROM k WHERE category IS NOT NULL""")
+def freeze_transitions(spark, sf_dir):
+    return T.freeze_transitions(user_days(spark, sf_dir), ["user_id", "topic"], "bag")
+
+
+FLAGS = f"{EVENTS_SQL}, fl AS (SELECT bag * 4 + (ts_us - {START_US}) % 86400000000 // {WINDOW_US} AS w, topic, avg(CASE WHEN value < 50 THEN 0.0 ELSE 1.0 END) AS mean FROM ev WHERE topic = '/signup' GROUP BY ALL)"
+
+
+@query(f"""WITH {FLAGS}, p AS (SELECT *, lag(mean) OVER (PARTITION BY topic ORDER BY w) AS p_mean FROM fl),
+k AS (SELECT topic, w, CASE WHEN p_mean >= 0.5 AND mean < 0.5 THEN 'HW_FAULT_ONSET' WHEN p_mean < 0.5 AND mean >= 0.5 THEN 'HW_FAULT_RECOVERED' END AS category FROM p) SELECT * FROM k WHERE category IS NOT NULL""")
+def hw_transitions(spark, sf_dir):
+    w = F.floor((F.col("ts_us") - START_US) / WINDOW_US).cast("bigint")
+    flags = events(spark, sf_dir).where("topic = '/signup'").groupBy(w.alias("w"), "topic").agg(F.avg(F.when(F.col("value") < 50, 0.0).otherwise(1.0)).alias("mean"))
+    return T.fault_transitions(flags, ["topic"], "w")
+
+
+@query(f"""WITH {WINDOWS}, p AS (SELECT bag, topic, w, coalesce(mean, 0) AS m, lag(coalesce(mean, 0)) OVER (PARTITION BY bag, topic ORDER BY w) AS before FROM ws)
+SELECT bag, topic, w, before, m AS after FROM p WHERE before > 20 AND m < 0.8 * before""")
+def lidar_degradation(spark, sf_dir):
+    return T.degradation(windowed_stats(spark, sf_dir), ["bag", "topic"], "w", 20, 0.8)
+
+
+@query(f"""WITH {USER_DAYS} SELECT c.user_id, c.bag, c.mean FROM (SELECT * FROM ud WHERE topic = '/click') c LEFT JOIN (SELECT * FROM ud WHERE topic = '/view') o USING (user_id, bag)
+WHERE c.mean > 0.05 AND coalesce(o.std, 0) < 1e-6""")
+def stall_detect(spark, sf_dir):
+    d = user_days(spark, sf_dir)
+    return T.stalls(d.where("topic = '/click'"), d.where("topic = '/view'"), ["user_id", "bag"])
+
+
+MID = START_US + 15 * 86_400_000_000
+
+
+@query(f"WITH {EVENTS_SQL} SELECT seq, ts_us, topic, value, abs(ts_us - {MID}) AS distance_us FROM ev ORDER BY distance_us, seq LIMIT 5")
+def sample_nearest(spark, sf_dir):
+    return T.nearest_samples(events(spark, sf_dir), MID, 5)
+
+
+@query(f"WITH {EVENTS_SQL} SELECT seq, ts_us, topic, value FROM ev ORDER BY ts_us, seq LIMIT 20")
+def sample_first(spark, sf_dir):
+    return events(spark, sf_dir).orderBy("ts_us", "seq").limit(20).select("seq", "ts_us", "topic", "value")
+
+
+@query(f"WITH {EVENTS_SQL} SELECT seq, ts_us, topic, value FROM ev WHERE ts_us BETWEEN {MID} AND {MID + 86_400_000_000}")
+def time_slice(spark, sf_dir):
+    return events(spark, sf_dir).where(F.col("ts_us").between(MID, MID + 86_400_000_000)).select("seq", "ts_us", "topic", "value")
+
+
+@query(f"WITH {USER_DAYS} SELECT user_id, topic, bag, CASE WHEN mean = 0 THEN 'ZERO_FIELD' ELSE 'FROZEN_SENSOR' END AS category FROM ud WHERE std < 1e-6 AND n >= 1")
+def frozen_fields(spark, sf_dir):
+    kind = F.when(F.col("mean") == 0, "ZERO_FIELD").otherwise("FROZEN_SENSOR")
+    return user_days(spark, sf_dir).where("std < 1e-6 and n >= 1").select("user_id", "topic", "bag", kind.alias("category"))
+
+
+@query(f"WITH {CLASSED} SELECT seq, raw_message, log_event, matched FROM cl")
+def log_classify(spark, sf_dir):
+    return L.classified(logs(spark, sf_dir)).select("seq", "raw_message", "log_event", "matched")
+
+
+@query(f"WITH {CLASSED} SELECT seq, ts_us, node, level, CASE level {' '.join(f'WHEN {n} THEN {name!r}' for n, name in rules.LEVELS.items())} END AS level_name, log_event FROM cl WHERE level >= 4")
+def log_extract(spark, sf_dir):
+    name = F.lit(None).cast("string")
+    for n, label in rules.LEVELS.items():
+        name = F.when(F.col("level") == n, label).otherwise(name)
+    return L.classified(logs(spark, sf_dir).where("level >= 4")).select("seq", "ts_us", "node", "level", name.alias("level_name"), "log_event")
+
+
+@query(f"""WITH {CLASSED}, g AS (SELECT log_event, node, level, count(*) AS n, grouping(log_event, node, level) AS gid FROM cl GROUP BY GROUPING SETS ((log_event), (node), (level)))
+SELECT CASE gid WHEN 3 THEN 'type' WHEN 5 THEN 'node' ELSE 'level' END AS what, coalesce(log_event, node, level::VARCHAR) AS name, n FROM g""")
+def event_summary(spark, sf_dir):
+    rows = L.classified(logs(spark, sf_dir)).select("log_event", "node", F.col("level").cast("string").alias("level"))
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("what"), F.col(c).alias("name")) for w, c in (("type", "log_event"), ("node", "node"), ("level", "level"))]))
+    return rows.select(each.alias("x")).groupBy("x.what", "x.name").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LOGS_SQL} SELECT seq, raw_message, {ROUTE_SQL} AS route FROM lg")
+def denoise_route(spark, sf_dir):
+    return L.routed(logs(spark, sf_dir)).select("seq", "raw_message", "route")
+
+
+@query(f"WITH {LOGS_SQL}, r AS (SELECT *, {ROUTE_SQL} AS route, {case(rules.DEDUP, None)} AS dedup_key FROM lg) SELECT dedup_key, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us, arg_min(seq, ts_us) AS first_seq FROM r WHERE route = 'dedup' GROUP BY dedup_key")
+def denoise_dedup(spark, sf_dir):
+    return L.deduplicated(logs(spark, sf_dir))
+
+
+@query(f"WITH {LOGS_SQL} SELECT {ROUTE_SQL} AS route, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS pct FROM lg GROUP BY 1")
+def denoise_stats(spark, sf_dir):
+    counts = L.routed(logs(spark, sf_dir)).groupBy("route").agg(F.count("*").alias("n"))
+    return counts.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 1))
+
+
+@query(f"""WITH {LOGS_SQL}, a AS (SELECT seq, raw_message, regexp_replace(regexp_replace(raw_message, '{text.UUID}', '#', 'g'), '{text.HEX}', '#', 'g') AS m FROM lg)
+SELECT seq, regexp_replace(m, '{text.NUMBER}', '#', 'g') AS template, len(regexp_extract_all(m, '{text.NUMBER}')) AS n_values, coalesce(list_sum([x::DOUBLE for x in regexp_extract_all(m, '{text.NUMBER}')]), 0) AS total FROM a""")
+def templatize(spark, sf_dir):
+    m = F.col("raw_message")
+    v = text.template_values(m)
+    return logs(spark, sf_dir).select("seq", text.template(m).alias("template"), F.size(v).cast("bigint").alias("n_values"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query(f"WITH {CHANGES} SELECT seq, ts_us, state, old_value, new_value FROM ch")
+def state_transitions(spark, sf_dir):
+    return L.state_changes(logs(spark, sf_dir)).select("seq", "ts_us", "state", "old_value", "new_value")
+
+
+@query(f"""WITH {CHANGES}, pr AS (SELECT seq, ts_us, 'motion_state.still_flag' AS state FROM ev WHERE topic = '/error')
+SELECT pr.seq, pr.ts_us, ch.new_value AS value FROM pr ASOF LEFT JOIN ch ON pr.state = ch.state AND pr.ts_us >= ch.ts_us""")
+def state_asof(spark, sf_dir):
+    probes = events(spark, sf_dir).where("topic = '/error'").select("seq", "ts_us", F.lit("motion_state.still_flag").alias("state"))
+    out = R.asof(probes, L.state_changes(logs(spark, sf_dir)), "state", "new_value")
+    return out.select("seq", "ts_us", F.col("new_value_asof").alias("value"))
+
+
+@query(f"WITH {CHANGES} SELECT state, new_value AS value, ts_us AS start_us, lead(ts_us) OVER (PARTITION BY state ORDER BY ts_us, seq) AS end_us FROM ch")
+def active_periods(spark, sf_dir):
+    return L.state_periods(L.state_changes(logs(spark, sf_dir)))
+
+
+@query(f"WITH {CHANGES}, p AS (SELECT state, new_value AS value, ts_us, lead(ts_us) OVER (PARTITION BY state ORDER BY ts_us, seq) AS e FROM ch) SELECT state, value, count(*) AS n, coalesce(sum(e - ts_us), 0)::BIGINT AS total_us FROM p GROUP BY state, value")
+def state_summary(spark, sf_dir):
+    return L.state_summary(L.state_changes(logs(spark, sf_dir)))
+
+
+@query(f"""WITH {EVENTS_SQL}, {ANOMALIES}, s AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY category ORDER BY ts_us, seq) > {REACH_US} THEN 1 ELSE 0 END AS new FROM an),
+t AS (SELECT *, sum(new) OVER (PARTITION BY category ORDER BY ts_us, seq)::BIGINT AS session FROM s) SELECT category, session, count(*) AS n, min(ts_us) AS start_us, max(ts_us) AS end_us FROM t GROUP BY category, session""")
+def incident_bins(spark, sf_dir):
+    return L.incident_bins(anomalies(spark, sf_dir), REACH_US)
+
+
+@query(f"""WITH {EVENTS_SQL}, b AS (SELECT bag, min(ts_us) AS start_us, max(ts_us) AS end_us FROM ev GROUP BY bag),
+n AS (SELECT *, CASE WHEN start_us - lag(end_us) OVER (ORDER BY start_us, bag) > 300000000 THEN 1 ELSE 0 END AS new FROM b),
+m AS (SELECT *, sum(new) OVER (ORDER BY start_us, bag)::BIGINT AS mission FROM n) SELECT mission, count(*) AS bags, min(start_us) AS start_us, max(end_us) AS end_us FROM m GROUP BY mission""")
+def missions(spark, sf_dir):
+    return L.missions(events(spark, sf_dir).groupBy("bag").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us")), 300_000_000)
+
+
+@query(f"""WITH {CLASSED}, {ANOMALIES} SELECT l.seq AS log_seq, a.seq AS anomaly_seq, a.ts_us - l.ts_us AS delta_us FROM cl l JOIN an a ON abs(a.ts_us - l.ts_us) <= {REACH_US} WHERE l.level >= 4 AND a.severity = 'CRITICAL'""")
+def log_anomaly_corr(spark, sf_dir):
+    left = logs(spark, sf_dir).where("level >= 4").select(F.col("seq").alias("log_seq"), F.col("ts_us").alias("log_us"))
+    right = anomalies(spark, sf_dir).where("severity = 'CRITICAL'").select(F.col("seq").alias("anomaly_seq"), F.col("ts_us").alias("anomaly_us"))
+    return R.near(left, right, REACH_US, "log_us", "anomaly_us").select("log_seq", "anomaly_seq", (F.col("anomaly_us") - F.col("log_us")).alias("delta_us"))
+
+
+CAUSE_ROWS = ", ".join(f"('{e}', '{c}')" for e, cs in rules.CAUSES.items() for c in cs)
+
+
+@query(f"""WITH {CLASSED}, {ANOMALIES}, ca(log_event, category) AS (VALUES {CAUSE_ROWS}), j AS (SELECT a.seq AS anomaly_seq, a.category, l.seq AS log_seq, l.log_event, a.ts_us - l.ts_us AS delta_us,
+row_number() OVER (PARTITION BY a.seq ORDER BY l.ts_us, l.seq) AS r FROM an a JOIN ca ON a.category = ca.category JOIN cl l ON l.log_event = ca.log_event AND abs(a.ts_us - l.ts_us) <= {REACH_US})
+SELECT anomaly_seq, category, log_seq, log_event, delta_us FROM j WHERE r = 1""")
+def causal_assign(spark, sf_dir):
+    return L.caused(L.classified(logs(spark, sf_dir)), anomalies(spark, sf_dir), REACH_US, rules.CAUSES)
+
+
+@query(f"""WITH {EVENTS_SQL}, {ANOMALIES} SELECT bag, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning,
+CASE WHEN count(*) FILTER (severity = 'CRITICAL') > 0 THEN 'UNHEALTHY' WHEN count(*) FILTER (severity = 'WARNING') > 2 THEN 'DEGRADED' WHEN count(*) FILTER (severity = 'WARNING') > 0 THEN 'MARGINAL' ELSE 'HEALTHY' END AS health FROM an GROUP BY bag""")
+def bag_health(spark, sf_dir):
+    return L.health(anomalies(spark, sf_dir))
+
+
+@query(f"""WITH {EVENTS_SQL}, {ANOMALIES}, h AS (SELECT DISTINCT category || '/' || user_id AS category, bag FROM an), i AS (SELECT *, bag - row_number() OVER (PARTITION BY category ORDER BY bag) AS island FROM h),
+r AS (SELECT category, min(bag) AS first_bag, count(*) AS bags FROM i GROUP BY category, island HAVING count(*) >= 3) SELECT category, first_bag, bags FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY bags DESC, first_bag) AS n FROM r) WHERE n = 1""")
+def persistent_incidents(spark, sf_dir):
+    return L.longest_runs(anomalies(spark, sf_dir).select(F.concat_ws("/", "category", "user_id").alias("category"), "bag"))
+
+
+@query(f"WITH {USER_DAYS}, f AS (SELECT DISTINCT user_id, topic, bag FROM ud WHERE std < 1e-6) SELECT b.user_id, b.topic, b.bag FROM f a JOIN f b ON a.user_id = b.user_id AND a.topic = b.topic AND b.bag = a.bag + 1")
+def cross_bag_persist(spark, sf_dir):
+    f = user_days(spark, sf_dir).where("std < 1e-6").select("user_id", "topic", "bag")
+    return f.join(f.select("user_id", "topic", (F.col("bag") + 1).alias("bag")), ["user_id", "topic", "bag"], "left_semi")
+
+
+@query(f"WITH {LOGS_SQL}, {ANOMALIES} SELECT 'anomaly' AS kind, seq, ts_us, category AS what FROM an UNION ALL SELECT 'log', seq, ts_us, raw_message FROM lg WHERE level >= 4")
+def timeline_union(spark, sf_dir):
+    a = anomalies(spark, sf_dir).select(F.lit("anomaly").alias("kind"), "seq", "ts_us", F.col("category").alias("what"))
+    return a.unionByName(logs(spark, sf_dir).where("level >= 4").select(F.lit("log").alias("kind"), "seq", "ts_us", F.col("raw_message").alias("what")))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT topic, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.9), 4) AS p90 FROM ev GROUP BY topic")
+def percentile(spark, sf_dir):
+    p = lambda q: F.round(F.percentile("value", q), 4)
+    return events(spark, sf_dir).groupBy("topic").agg(p(0.5).alias("p50"), p(0.9).alias("p90"))
+
+
+@query(f"""WITH {LOGS_SQL}, g AS (SELECT node, ts_us - lag(ts_us) OVER (PARTITION BY node ORDER BY ts_us, seq) AS gap FROM lg), p AS (SELECT node, count(*) AS n, round(median(gap / 1000.0) FILTER (gap > 0), 3) AS median_ms, stddev_pop(gap / 1000.0) FILTER (gap > 0) / avg(gap / 1000.0) FILTER (gap > 0) AS cv FROM g GROUP BY node)
+SELECT node, n, median_ms, round(cv, 4) AS cv, CASE WHEN n < 20 THEN 'event_driven' WHEN cv < 0.3 THEN 'periodic' WHEN cv < 1.0 THEN 'semi_periodic' ELSE 'event_driven' END AS kind FROM p""")
+def node_profiles(spark, sf_dir):
+    return L.node_profiles(logs(spark, sf_dir))
+
+
+@query(f"WITH {PRINTS} SELECT * FROM fp")
+def fingerprint(spark, sf_dir):
+    return prints(spark, sf_dir)
+
+
+@query(f"""WITH {PRINTS}, o AS (SELECT w + 1 AS w, node, template, n AS m FROM fp), b AS (SELECT w, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM fp FULL JOIN o USING (w, node, template))
+SELECT w, round(1 - sum(CASE WHEN n > 0 AND m > 0 THEN 1 ELSE 0 END) / count(*), 6) AS distance, round(sum((n - m) * (n - m) / (n + m)), 4) AS divergence FROM b WHERE w > 0 AND w <= (SELECT max(w) FROM fp) GROUP BY w""")
+def window_deviation(spark, sf_dir):
+    return L.window_deviation(prints(spark, sf_dir))
+
+
+@query(f"WITH {PRINTS}, t AS (SELECT node, template, sum(n)::BIGINT AS n FROM fp GROUP BY ALL) SELECT node, template, n FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, template) AS r FROM t) WHERE r <= 3")
+def topk_templates(spark, sf_dir):
+    t = logs(spark, sf_dir).groupBy("node", text.template(F.col("raw_message")).alias("template")).agg(F.count("*").alias("n"))
+    return t.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "template"))).where("r <= 3").drop("r")
+
+
+ACTIVE = f"{EVENTS_SQL}, {ANOMALIES}, ac AS (SELECT DISTINCT (ts_us - {START_US}) // 3600000000 AS w, category || '/' || user_id % 5 AS type FROM an WHERE severity = 'CRITICAL')"
+SEEN = "se AS (SELECT DISTINCT w, type FROM (SELECT unnest([w - 1, w, w + 1]) AS w, type FROM ac) WHERE w IN (SELECT w FROM ac)), co AS (SELECT a.type AS type_a, b.type AS type_b, count(*) AS n FROM se a JOIN se b ON a.w = b.w AND a.type < b.type GROUP BY ALL)"
+
+
+def active(spark, sf_dir):
+    w = F.floor((F.col("ts_us") - START_US) / 3_600_000_000).cast("bigint")
+    return anomalies(spark, sf_dir).where("severity = 'CRITICAL'").select(w.alias("w"), F.concat_ws("/", "category", F.col("user_id") % 5).alias("type"))
+
+
+@query(f"WITH {ACTIVE}, {SEEN} SELECT * FROM co")
+def cooccurrence(spark, sf_dir):
+    return L.cooccurrence(active(spark, sf_dir))
+
+
+@query(f"""WITH {ACTIVE}, {SEEN}, sz AS (SELECT type, count(*) AS s FROM ac GROUP BY type), j AS (SELECT type_a, type_b, n, a.s + b.s - n AS u FROM co JOIN sz a ON a.type = type_a JOIN sz b ON b.type = type_b)
+SELECT type_a, type_b, round(n / u, 6) AS jaccard FROM j WHERE u > 0 AND round(n / u, 6) >= 0.1""")
+def similarity_edges(spark, sf_dir):
+    return L.similarity_edges(active(spark, sf_dir), 0.1)
+
+
+@query(f"WITH {EVENTS_SQL} SELECT seq, strftime(make_timestamp(ts_us + 28800000000), '%Y-%m-%d %H:%M:%S.') || lpad(((ts_us // 1000) % 1000)::VARCHAR, 3, '0') AS local_time FROM ev")
+def time_format(spark, sf_dir):
+    return events(spark, sf_dir).select("seq", text.local_time(F.col("ts_us")).alias("local_time"))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT seq, round((ts_us % 86400000000) // 1000, 3)::DOUBLE AS ms FROM ev")
+def clock_to_ms(spark, sf_dir):
+    local = F.timestamp_micros("ts_us")
+    return events(spark, sf_dir).select("seq", text.clock_ms(F.date_format(local, "hh:mm:ss.SSS"), F.date_format(local, "a")).alias("ms"))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT seq, k::DOUBLE AS value FROM ev WHERE k IS NOT NULL")
+def kv_coerce(spark, sf_dir):
+    kv = F.explode(F.from_json("props", "map<string,string>"))
+    value = lambda c: F.when(F.lower(c) == "true", 1.0).when(F.lower(c) == "false", 0.0).otherwise(c.try_cast("double"))
+    rows = events(spark, sf_dir).select("seq", kv.alias("key", "text"))
+    return rows.select("seq", value(F.col("text")).alias("value")).where("value is not null")
+
+
+@query("SELECT vec_id, list_min(embedding)::DOUBLE AS low, list_max(embedding)::DOUBLE AS high, len(embedding)::BIGINT AS n_total, len(list_filter(embedding, lambda x: x > 0))::BIGINT AS n_valid FROM embeddings")
+def array_reduce(spark, sf_dir):
+    e = F.filter("embedding", lambda x: ~F.isnan(x))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", F.array_min(e).cast("double").alias("low"), F.array_max(e).cast("double").alias("high"), F.size("embedding").cast("bigint").alias("n_total"), F.size(F.filter(e, lambda x: x > 0)).cast("bigint").alias("n_valid")
+    )
+
