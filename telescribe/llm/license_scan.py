@@ -19,8 +19,7 @@ TEMPLATES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
     ("released under the mit license", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
-    ("licensed under the gnu general public license version 3", "gpl-3"),
-    ("licensed under the gnu general public license version 2", "gpl-2"),
+    ("licensed under the gnu general public license", "gpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under a creative commons attribution license", "cc-by"),
