@@ -25,7 +25,7 @@ from telescribe.llm.common import SPACED_BYTES, Words, components, confirmed, de
 class Params:
     """k: hashes retained. long_list: members from which a list counts as long. first: short-list values used of a
     sketch with few long lists. frequent: share of long-list values from which a text takes part in step 5.
-    floor: estimated similarity below which a pair goes; it is five standard errors below the threshold."""
+    floor: estimated similarity below which a pair goes; it is four standard errors below the threshold."""
 
     shingle: int = 2
     percent: int = 80
@@ -33,23 +33,28 @@ class Params:
     long_list: int = 40
     first: int = 12
     frequent: float = 0.65
-    floor: float = 0.55
+    floor: float = 0.6
 
 
 def sketches(df: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, digest, sketch): set size, digest of the set (null for an empty one), its k smallest hashes."""
+    """(doc_id, n, digest, sketch, bits0..3): set size, digest of the set (null for an empty one), its k smallest hashes,
+    and 256 bits with one set by each of these."""
 
     def rows(batch):
         sets = Words(batch.column(1), SPACED_BYTES).shingles(p.shingle)
         small = [s[: p.k] for s in sets]
-        return {
+        sizes = np.array([len(s) for s in small])
+        flat = np.concatenate(small)
+        bits = np.zeros((len(sets), 4), dtype=np.uint64)
+        np.bitwise_or.at(bits, (np.repeat(np.arange(len(sets)), sizes), ((flat >> np.uint64(6)) & np.uint64(3)).astype(np.int64)), np.uint64(1) << (flat & np.uint64(63)))
+        return {f"bits{i}": np.ascontiguousarray(bits[:, i]).view(np.int64) for i in range(4)} | {
             "doc_id": batch.column(0),
             "n": [len(s) for s in sets],
             "digest": [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-            "sketch": lists_array(np.concatenate(small).view(np.int64), np.array([len(s) for s in small])),
+            "sketch": lists_array(flat.view(np.int64), sizes),
         }
 
-    return map_batches(df.select(id_col, text_col), rows, "doc_id bigint, n bigint, digest binary, sketch array<bigint>", 1)
+    return map_batches(df.select(id_col, text_col), rows, "doc_id bigint, n bigint, digest binary, sketch array<bigint>, bits0 bigint, bits1 bigint, bits2 bigint, bits3 bigint", 1)
 
 
 def hopeful(pairs: DataFrame, sketch: DataFrame, p: Params) -> DataFrame:
@@ -82,7 +87,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
     seen = written(sketches(docs, p, "doc_id", "text"), "sketches")
     reps = seen.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = written(seen.join(reps, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), "member")
-    sketch = written(seen.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "sketch"), "reps")
+    sketch = written(seen.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").drop("digest"), "reps")
+    bits = [f"bits{i}" for i in range(4)]
 
     held = sketch.select("doc_id", F.explode("sketch").alias("value"))
     sizes = held.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
@@ -90,14 +96,18 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
         F.sort_array(F.collect_list(F.when(F.col("size") <= p.long_list, F.col("value")))).alias("short"),
         F.collect_list(F.when(F.col("size") > p.long_list, F.col("value"))).alias("long"),
     )
-    per_doc = per_doc.join(sketch.select("doc_id", "n", F.size("sketch").alias("k")), "doc_id")
+    per_doc = per_doc.join(sketch.select("doc_id", "n", F.size("sketch").alias("k"), *bits), "doc_id")
     few = F.size("long") * 4 <= F.col("k")
     per_doc = written(
-        per_doc.select(F.col("doc_id").alias("id"), F.when(few, F.slice("short", 1, p.first)).otherwise(F.col("short")).alias("short"), "n", "long", (F.size("long") >= p.frequent * F.col("k")).alias("frequent")),
+        per_doc.select(F.col("doc_id").alias("id"), F.when(few, F.slice("short", 1, p.first)).otherwise(F.col("short")).alias("short"), "n", "k", *bits, "long", (F.size("long") >= p.frequent * F.col("k")).alias("frequent")),
         "values",
     )
-    short = per_doc.select("id", F.explode("short").alias("value"))
-    pairs = short.alias("x").join(short.alias("y"), "value").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    short = per_doc.select("id", "n", "k", *bits, F.explode("short").alias("value"))
+    # sketches that share enough values for the floor differ in few bits
+    differ = sum(F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bits)
+    close = differ <= F.col("x.k") + F.col("y.k") - 2 * p.floor * F.greatest("x.k", "y.k")
+    sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * p.percent
+    pairs = short.alias("x").join(short.alias("y"), "value").where((F.col("x.id") < F.col("y.id")) & sized & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     long = written(per_doc.where("frequent").select("id", "n", F.explode("long").alias("value")), "long")
     heads = long.groupBy("value").agg(F.min("id").alias("a"))
     stars = long.join(heads, "value").where("a < id").select("a", F.col("id").alias("b"))
