@@ -223,6 +223,20 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     )
 
 
+#: Most ids that are sent to every executor, 8 bytes each.
+MOST_SENT = 500_000
+
+
+def sent(ids: DataFrame) -> DataFrame:
+    """ids (with an array column "lines", or one id a row), marked for broadcast if it holds at most MOST_SENT numbers.
+
+    Then the texts it is joined with stay where they lie; a larger one is joined by a shuffle.
+    """
+    size = F.size("lines") + 1 if "lines" in ids.columns else F.lit(1)
+    total = ids.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(ids) if total <= MOST_SENT else ids
+
+
 def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     common = len(np.intersect1d(s, t, assume_unique=True))
     return 100 * common >= percent * (len(s) + len(t) - common)
@@ -250,7 +264,7 @@ def dense_links(lists: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame
     of blocks each id meets.
     """
     comp = components(links)
-    rows = lists.join(comp, lists.id == comp.node, "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
+    rows = written(lists.join(comp, lists.id == comp.node, "left").select("value", "id", "n", F.coalesce("component", "id").alias("component")), "lists")
     split = rows.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("head")).where("low < high")
     rows = written(rows.join(split.select("value", "head"), "value"), "apart")
     group = components(rows.select(F.col("id").alias("a"), F.col("head").alias("b")))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telescribe.llm.common import SPACED_BYTES, Words, components, confirmed, dense_links, lists_array, map_batches, map_rows, single, written
+from telescribe.llm.common import SPACED_BYTES, Words, components, confirmed, dense_links, lists_array, map_batches, map_rows, sent, single, written
 
 @dataclass(frozen=True)
 class Params:
@@ -97,9 +97,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
         F.collect_list(F.when(F.col("size") > p.long_list, F.col("value"))).alias("long"),
     )
     per_doc = per_doc.join(sketch.select("doc_id", "n", F.size("sketch").alias("k"), *bits), "doc_id")
+    # similar texts share one of the first values of all; if it is in no short list, the long ones need hold no others
+    used = F.array_intersect("long", F.slice(F.sort_array(F.concat("short", "long")), 1, p.first))
     few = F.size("long") * 4 <= F.col("k")
     per_doc = written(
-        per_doc.select(F.col("doc_id").alias("id"), F.when(few, F.slice("short", 1, p.first)).otherwise(F.col("short")).alias("short"), "n", "k", *bits, "long", (F.size("long") >= p.frequent * F.col("k")).alias("frequent")),
+        per_doc.select(F.col("doc_id").alias("id"), F.when(few, F.slice("short", 1, p.first)).otherwise(F.col("short")).alias("short"), "n", "k", *bits, used.alias("long"), (F.size("long") >= p.frequent * F.col("k")).alias("frequent")),
         "values",
     )
     short = per_doc.select("id", "n", "k", *bits, F.explode("short").alias("value"))
@@ -116,7 +118,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
         def full(batch):
             return {"id": batch.column(0), "s": [s.tobytes() for s in Words(batch.column(1), SPACED_BYTES).shingles(p.shingle)]}
 
-        own = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        own = docs.join(sent(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
         return map_batches(own.select("doc_id", "text"), full, "id bigint, s binary", 1)
 
     hopes = written(hopeful(pairs.unionByName(stars).distinct(), sketch, p), "hopes")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telescribe.llm.common import CODE, WORD_BYTES, Words, components, confirmed, dense_links, lists_array, map_batches, map_rows, mixed, single, written
+from telescribe.llm.common import CODE, WORD_BYTES, Words, components, confirmed, dense_links, lists_array, map_batches, map_rows, mixed, sent, single, written
 
 #: Words of a shingle, similarity in percent, words from which a line is a passage, bands and rows of a band; paragraphs
 #: from which a band's list counts as long; bits of the line number.
@@ -84,7 +84,7 @@ def passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
                 for k, s in zip(wanted, Words(pa.array([lines[k] for k in wanted]), WORD_BYTES).shingles(SHINGLE)):
                     yield (key << LINE_BITS) + k, s.tobytes()
 
-        return map_rows(docs.join(need, "doc_id").select("doc_id", "text", "lines"), sets, "id bigint, s binary")
+        return map_rows(docs.join(sent(need), "doc_id").select("doc_id", "text", "lines"), sets, "id bigint, s binary")
 
     links = written(confirmed(hopes, sets_of, PERCENT), "links")
     long = lists.where(F.col("size") > LONG_LIST).select("value", "id", "n")
