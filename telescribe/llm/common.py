@@ -151,7 +151,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _scratch[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables at once. What was made from them must be written by then, so that no lost task reads them again."""
+    for df in tables:
+        delete(df._scratch_path, _scratch.pop(df._scratch_path))
+
+
+def delete(path: str, spark: SparkSession) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def single(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -169,8 +182,7 @@ def drop_scratch() -> None:
         _scratch.pop(path)
         if spark._jsc is None or spark._jsc.sc().isStopped():
             continue
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        delete(path, spark)
 
 
 def map_rows(df: DataFrame, fn: Callable[[list[list]], Iterator[tuple]], schema: str | T.StructType, chunk: int = 256) -> DataFrame:
@@ -243,7 +255,7 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 
 def confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. sets_of: (id) to (id, s), s the sorted 64-bit hashes as bytes."""
+    """The pairs (a, b) whose full sets are similar, written. sets_of: (id) to (id, s), s the sorted 64-bit hashes as bytes."""
     sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
 
@@ -252,7 +264,9 @@ def confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
             if similar(np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64), percent):
                 yield a, b
 
-    return map_rows(both.select("a", "b", "s_a", "s_b"), rows, "a bigint, b bigint", chunk=64)
+    links = written(map_rows(both.select("a", "b", "s_a", "s_b"), rows, "a bigint, b bigint", chunk=64), "links")
+    discard(sets)
+    return links
 
 
 def dense_links(lists: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tile: int = 400) -> DataFrame:

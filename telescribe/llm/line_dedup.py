@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telescribe.llm.common import WORD_BYTES, Words, components, confirmed, dense_links, lists_array, map_batches, map_rows, mixed, sent, single, written
+from telescribe.llm.common import WORD_BYTES, Words, components, confirmed, dense_links, discard, lists_array, map_batches, map_rows, mixed, sent, single, written
 
 #: Buckets in which tokens are counted; lists with more lines count as long; lines a document can number.
 BUCKETS, LONG_LIST, LINE_BITS = 1 << 16, 2000, 24
@@ -213,7 +213,8 @@ def line_classes(docs: DataFrame, percent: int = 80, long_list: int = LONG_LIST)
 
         return map_rows(docs.join(sent(need), "doc_id").select("doc_id", "text", "lines"), sets, "id bigint, s binary")
 
-    links = written(confirmed(found.where("kind = 0").select("a", "b").distinct(), sets_of, percent), "links")
+    discard(unique)
+    links = confirmed(found.where("kind = 0").select("a", "b").distinct(), sets_of, percent)
     dense = found.where("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("id"), "n")
     if dense.limit(1).count():
         links = written(links.unionByName(dense_links(dense, links, sets_of, percent)), "links")

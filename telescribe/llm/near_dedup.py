@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telescribe.llm.common import SPACED_BYTES, Words, components, confirmed, dense_links, lists_array, map_batches, map_rows, sent, single, written
+from telescribe.llm.common import SPACED_BYTES, Words, components, confirmed, dense_links, discard, lists_array, map_batches, map_rows, sent, single, written
 
 @dataclass(frozen=True)
 class Params:
@@ -88,6 +88,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
     reps = seen.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = written(seen.join(reps, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), "member")
     sketch = written(seen.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").drop("digest"), "reps")
+    discard(seen)
     bits = [f"bits{i}" for i in range(4)]
 
     held = sketch.select("doc_id", F.explode("sketch").alias("value"))
@@ -122,7 +123,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
         return map_batches(own.select("doc_id", "text"), full, "id bigint, s binary", 1)
 
     hopes = written(hopeful(pairs.unionByName(stars).distinct(), sketch, p), "hopes")
-    links = written(confirmed(hopes, sets_of, p.percent), "links")
+    discard(per_doc, sketch)
+    links = confirmed(hopes, sets_of, p.percent)
+    discard(hopes)
     if long.limit(1).count():
         links = written(links.unionByName(dense_links(long, links, sets_of, p.percent)), "links")
     best = components(links).select(F.col("node").alias("rep"), "component")

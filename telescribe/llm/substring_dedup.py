@@ -86,7 +86,7 @@ def passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
         return map_rows(docs.join(sent(need), "doc_id").select("doc_id", "text", "lines"), sets, "id bigint, s binary")
 
-    links = written(confirmed(hopes, sets_of, PERCENT), "links")
+    links = confirmed(hopes, sets_of, PERCENT)
     long = lists.where(F.col("size") > LONG_LIST).select("value", "id", "n")
     if long.limit(1).count():
         links = written(links.unionByName(dense_links(long, links, sets_of, PERCENT)), "links")
