@@ -130,3 +130,40 @@ def health(anomalies: DataFrame) -> DataFrame:
     c, w = F.count_if(F.col("severity") == "CRITICAL"), F.count_if(F.col("severity") == "WARNING")
     out = anomalies.groupBy("bag").agg(c.alias("critical"), w.alias("warning"))
     return out.withColumn("health", F.when(F.col("critical") > 0, "UNHEALTHY").when(F.col("warning") > 2, "DEGRADED").when(F.col("warning") > 0, "MARGINAL").otherwise("HEALTHY"))
+
+
+def nearest_windows(probes: DataFrame, windows: DataFrame, width_us: int) -> DataFrame:
+    """To each probe (seq, ts_us) the window of each topic whose middle lies nearest, the earliest of equals.
+
+    Middles two widths away or further do not count. windows: (topic, start_us, end_us, ..). Times are doubled, so that
+    middles are whole numbers.
+    """
+    p = probes.select("seq", (2 * F.col("ts_us")).alias("twice"))
+    met = near(p, windows.withColumn("middle", F.col("start_us") + F.col("end_us")), 4 * width_us, "twice", "middle")
+    met = met.withColumn("far", F.abs(F.col("twice") - F.col("middle"))).where(F.col("far") < 4 * width_us)
+    first = F.row_number().over(Window.partitionBy("seq", "topic").orderBy("far", "start_us"))
+    return met.withColumn("_r", first).where("_r = 1").withColumn("distance_us", F.col("far") / 2).drop("_r", "far", "twice", "middle")
+
+
+def boundary_suppressed(anomalies: DataFrame, bags: DataFrame, margin_us: int, categories: list[str]) -> DataFrame:
+    """Adds suppressed: of one of the categories, and within the margin of an inner end of a recording, of the first start
+    (after it) or of the last end (before it). A single recording suppresses nothing, nor do anomalies without a time.
+    """
+    w = Window.orderBy("start_us", "bag")  # recordings are few: one row each
+    placed = bags.withColumns({"rank": F.row_number().over(w), "final": F.lead("bag").over(w).isNull()}).where("rank > 1 or not final")
+    ends = placed.select(F.col("end_us").alias("centre"), F.lit(margin_us).alias("before"), F.when(F.col("final"), 0).otherwise(margin_us).alias("after"))
+    start = placed.where("rank = 1").select(F.col("start_us").alias("centre"), F.lit(0).alias("before"), F.lit(margin_us).alias("after"))
+    hit = near(anomalies.where(F.col("category").isin(categories)).select("seq", "ts_us"), ends.unionByName(start), margin_us, "ts_us", "centre")
+    hit = hit.where((F.col("ts_us") >= F.col("centre") - F.col("before")) & (F.col("ts_us") <= F.col("centre") + F.col("after"))).select("seq").distinct()
+    return anomalies.join(hit.withColumn("suppressed", F.lit(True)), "seq", "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
+
+
+def abnormal_events(status: DataFrame, logs: DataFrame) -> DataFrame:
+    """Diagnostic status of a level over 0 and log rows of level 4 or more: seq, ts_us, origin, level."""
+    pick = lambda df, origin: df.select("seq", "ts_us", F.lit(origin).alias("origin"), F.col("level").cast("bigint").alias("level"))
+    return pick(status.where("level > 0"), "status").unionByName(pick(logs.where("level >= 4"), "log"))
+
+
+def transition_chains(changes: DataFrame, least: int = 2) -> DataFrame:
+    """Changes at one time are a chain: its time, how many they are, and their names in order. changes: (at, name)."""
+    return changes.groupBy("at").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names")).where(F.col("n") >= least)

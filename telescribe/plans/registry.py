@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from telescribe.functions import text
 from telescribe.operators import logs as L
 from telescribe.operators import relational as R
+from telescribe.operators import sequences as S
 from telescribe.operators import telemetry as T
 from telescribe.plans import rules
 from telescribe.plans.adapters import EVENTS_SQL, LOGS_SQL, START_US, events, logs
+from telescribe.sources import text_log
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -349,3 +351,81 @@ def array_reduce(spark, sf_dir):
         "vec_id", F.array_min(e).cast("double").alias("low"), F.array_max(e).cast("double").alias("high"), F.size("embedding").cast("bigint").alias("n_total"), F.size(F.filter(e, lambda x: x > 0)).cast("bigint").alias("n_valid")
     )
 
+
+def bag_bounds(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("bag").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
+
+
+@query(f"""WITH {WINDOWS}, wi AS (SELECT topic, t0 + w * {WINDOW_US} AS start_us, least(t0 + (w + 1) * {WINDOW_US}, t1) AS end_us, mean FROM ws JOIN bg USING (bag)),
+pr AS (SELECT seq, ts_us FROM ev WHERE topic = '/error'), m AS (SELECT seq, topic, start_us, end_us, mean, abs(2 * ts_us - start_us - end_us) AS far FROM pr JOIN wi ON abs(2 * ts_us - start_us - end_us) < {4 * WINDOW_US})
+SELECT seq, topic, start_us, end_us, mean, far / 2 AS distance_us FROM (SELECT *, row_number() OVER (PARTITION BY seq, topic ORDER BY far, start_us) AS r FROM m) WHERE r = 1""")
+def nearest_window(spark, sf_dir):
+    w = windowed_stats(spark, sf_dir).join(bag_bounds(spark, sf_dir), "bag").withColumn("start_us", F.col("start_us") + F.col("w") * WINDOW_US)
+    w = w.select("topic", "start_us", F.least(F.col("start_us") + WINDOW_US, "end_us").alias("end_us"), "mean")
+    return L.nearest_windows(events(spark, sf_dir).where("topic = '/error'"), w, WINDOW_US)
+
+
+@query(f"""WITH {EVENTS_SQL}, {ANOMALIES}, bb AS (SELECT bag, min(ts_us) AS s, max(ts_us) AS e FROM ev GROUP BY bag),
+sp AS (SELECT e - {REACH_US} AS lo, e + CASE WHEN e = (SELECT max(e) FROM bb) THEN 0 ELSE {REACH_US} END AS hi FROM bb UNION ALL SELECT min(s), min(s) + {REACH_US} FROM bb)
+SELECT seq, bag, category, category = 'FREQUENCY_DROPOUT' AND (SELECT count(*) FROM bb) > 1 AND EXISTS (SELECT 1 FROM sp WHERE ts_us BETWEEN lo AND hi) AS suppressed FROM an""")
+def boundary_suppress(spark, sf_dir):
+    return L.boundary_suppressed(anomalies(spark, sf_dir), bag_bounds(spark, sf_dir), REACH_US, ["FREQUENCY_DROPOUT"]).select("seq", "bag", "category", "suppressed")
+
+
+@query(f"WITH {LOGS_SQL} SELECT seq, ts_us, 'status' AS origin, k % 3 AS level FROM lg WHERE topic = '/view' AND k % 3 > 0 UNION ALL SELECT seq, ts_us, 'log', level::BIGINT FROM lg WHERE level >= 4")
+def abnormal_events(spark, sf_dir):
+    rows = logs(spark, sf_dir)
+    return L.abnormal_events(rows.where("topic = '/view'").withColumn("level", F.col("k") % 3), rows)
+
+
+SERIES = f"{EVENTS_SQL}, sr AS (SELECT topic, (ts_us - {START_US}) // {WINDOW_US} AS w, round(abs(avg(value) - 50) / 50 + 1e-9, 4) AS x FROM ev GROUP BY ALL)"
+CHANGED = f"""{SERIES}, sm AS (SELECT topic, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std FROM sr GROUP BY topic HAVING count(*) >= 3),
+nu AS (SELECT topic, w, x, mean, mean + CASE WHEN std > 0 THEN std ELSE 1.0 END AS lim, row_number() OVER (PARTITION BY topic ORDER BY w) AS r FROM sr JOIN sm USING (topic)),
+rec AS (SELECT topic, 0::BIGINT AS r, 0::BIGINT AS w, 0.0::DOUBLE AS total, FALSE AS fire FROM sm
+ UNION ALL SELECT topic, r, w, CASE WHEN v > lim THEN 0.0 ELSE v END, v > lim FROM (SELECT nu.topic, nu.r, nu.w, lim, greatest(0.0, total + x - mean) AS v FROM rec JOIN nu ON nu.topic = rec.topic AND nu.r = rec.r + 1))"""
+
+
+def series(spark, sf_dir):
+    w = F.floor((F.col("ts_us") - START_US) / WINDOW_US).cast("bigint")
+    return events(spark, sf_dir).groupBy("topic", w.alias("w")).agg(F.round(F.abs(F.avg("value") - 50) / 50 + R.TIE, 4).alias("x"))
+
+
+@query(f"WITH RECURSIVE {CHANGED} SELECT topic, w FROM rec WHERE fire")
+def cusum(spark, sf_dir):
+    return S.change_points(series(spark, sf_dir), ["topic"], "w", "x", sigmas=1.0)
+
+
+@query(f"""WITH RECURSIVE {CHANGED}, ru AS (SELECT topic, w, coalesce(sum(fire::INT) OVER (PARTITION BY topic ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM rec WHERE r > 0),
+rl AS (SELECT topic, run, min(w) AS a, max(w) AS b, count(*) AS n FROM ru GROUP BY ALL), rg AS (SELECT *, (sum((run = 0 OR n >= 3)::INT) OVER (PARTITION BY topic ORDER BY run) - 1)::BIGINT AS regime FROM rl)
+SELECT topic, regime, min(a) AS first_w, max(b) AS last_w, sum(n)::BIGINT AS windows FROM rg GROUP BY topic, regime""")
+def regimes(spark, sf_dir):
+    return S.regimes(series(spark, sf_dir), cusum(spark, sf_dir), ["topic"], "w")
+
+
+@query(f"WITH RECURSIVE {CHANGED} SELECT w, count(*) AS n, string_agg(topic, ',' ORDER BY topic) AS names FROM rec WHERE fire GROUP BY w HAVING count(*) >= 2")
+def transition_chains(spark, sf_dir):
+    return L.transition_chains(cusum(spark, sf_dir).select(F.col("w").alias("at"), F.col("topic").alias("name"))).withColumnRenamed("at", "w")
+
+
+def text_lines(spark, sf_dir):
+    """The log view as text lines, half of them with a 12-hour clock, every seventh broken."""
+    at = F.timestamp_micros("ts_us")
+    clock = F.when(F.col("seq") % 2 == 0, F.concat(F.date_format(at, "h:mm:ss.SSS a"), F.lit(" CST"))).otherwise(F.date_format(at, "H:mm:ss.SSS"))
+    level = F.when(F.col("level") == 8, "ERROR").when(F.col("level") == 4, " warn").otherwise(" INFO")
+    head = F.when(F.col("seq") % 7 == 0, "(").otherwise("[")
+    line = F.concat(head, level, F.lit("]["), clock, F.lit("]["), F.col("node"), F.lit("]: "), "raw_message")
+    return logs(spark, sf_dir).select("seq", "user_id", line.alias("line"))
+
+
+LINES_SQL = f"{LOGS_SQL}, tl AS (SELECT seq, user_id, CASE level WHEN 8 THEN 'ERROR' WHEN 4 THEN 'WARN' ELSE 'INFO' END AS level, (ts_us % 86400000000 // 1000)::DOUBLE AS clock_ms, node, raw_message FROM lg WHERE seq % 7 <> 0 AND raw_message IS NOT NULL)"
+
+
+@query(f"WITH {LINES_SQL} SELECT seq, level, clock_ms, node, raw_message FROM tl WHERE level <> 'INFO'")
+def log_parse(spark, sf_dir):
+    return text_log.parsed(text_lines(spark, sf_dir), "WARN").drop("user_id")
+
+
+@query(f"""WITH {LINES_SQL}, d AS (SELECT *, coalesce((lag(clock_ms) OVER (PARTITION BY user_id ORDER BY seq) - clock_ms > 3600000)::INT, 0) AS behind FROM tl)
+SELECT seq, user_id, clock_ms + sum(behind) OVER (PARTITION BY user_id ORDER BY seq) * 86400000 AS timestamp_ms FROM d""")
+def midnight_rollover(spark, sf_dir):
+    return text_log.rolled_over(text_log.parsed(text_lines(spark, sf_dir)), "user_id", "seq").select("seq", "user_id", "timestamp_ms")
