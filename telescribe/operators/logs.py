@@ -167,3 +167,24 @@ def abnormal_events(status: DataFrame, logs: DataFrame) -> DataFrame:
 def transition_chains(changes: DataFrame, least: int = 2) -> DataFrame:
     """Changes at one time are a chain: its time, how many they are, and their names in order. changes: (at, name)."""
     return changes.groupBy("at").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names")).where(F.col("n") >= least)
+
+
+def rule_verdicts(logs: DataFrame, windows: DataFrame, width_us: int, topics: dict[str, str]) -> DataFrame:
+    """(seq, rule, verdict): each claim of a log text held against the nearest window of its signal's topic.
+
+    windows: (topic, start_us, end_us, n, mean, std). topics: the topic of each signal.
+    """
+    claims = [F.when(F.col("raw_message").rlike(f"(?i){p}"), F.struct(F.lit(rule).alias("rule"), F.lit(topics[signal]).alias("topic"), F.lit(expect).alias("expect"))) for p, rule, signal, expect in rules.CHECKS]
+    claimed = logs.select("seq", "ts_us", F.explode(F.array_compact(F.array(*claims))).alias("x")).select("seq", "ts_us", "x.*")
+    seen = nearest_windows(claimed.select("seq", "ts_us").distinct(), windows, width_us).select("seq", "topic", "n", "mean", "std")
+    return claimed.join(seen, ["seq", "topic"], "left").select("seq", "rule", F.expr(rules.VERDICT).alias("verdict"))
+
+
+def packet_verdicts(logs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One verdict and its confidence for each log row: a contradiction decides, then whether all or some are confirmed."""
+    confirmed = F.col("verdict") == "CONFIRMED"
+    each = verdicts.groupBy("seq").agg(F.bool_or(F.col("verdict") == "CONTRADICTED").alias("against"), F.bool_and(confirmed).alias("every"), F.bool_or(confirmed).alias("some"))
+    out = logs.select("seq").join(each, "seq", "left")
+    verdict = F.when(F.col("against").isNull(), "UNCHECKED").when(F.col("against"), "CONTRADICTED").when(F.col("some"), "CONFIRMED").otherwise("NO_SENSOR_DATA")
+    sure = F.when(F.col("against"), 0.9).when(F.col("every"), 0.8).when(F.col("some"), 0.6).otherwise(0.0)
+    return out.select("seq", verdict.alias("verdict"), sure.alias("confidence"))

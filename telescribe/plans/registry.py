@@ -356,13 +356,17 @@ def bag_bounds(spark, sf_dir):
     return events(spark, sf_dir).groupBy("bag").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
 
 
+def spans(spark, sf_dir):
+    """The windowed statistics with the times of their windows."""
+    w = windowed_stats(spark, sf_dir).join(bag_bounds(spark, sf_dir), "bag").withColumn("start_us", F.col("start_us") + F.col("w") * WINDOW_US)
+    return w.select("topic", "start_us", F.least(F.col("start_us") + WINDOW_US, "end_us").alias("end_us"), "n", "mean", "std")
+
+
 @query(f"""WITH {WINDOWS}, wi AS (SELECT topic, t0 + w * {WINDOW_US} AS start_us, least(t0 + (w + 1) * {WINDOW_US}, t1) AS end_us, mean FROM ws JOIN bg USING (bag)),
 pr AS (SELECT seq, ts_us FROM ev WHERE topic = '/error'), m AS (SELECT seq, topic, start_us, end_us, mean, abs(2 * ts_us - start_us - end_us) AS far FROM pr JOIN wi ON abs(2 * ts_us - start_us - end_us) < {4 * WINDOW_US})
 SELECT seq, topic, start_us, end_us, mean, far / 2 AS distance_us FROM (SELECT *, row_number() OVER (PARTITION BY seq, topic ORDER BY far, start_us) AS r FROM m) WHERE r = 1""")
 def nearest_window(spark, sf_dir):
-    w = windowed_stats(spark, sf_dir).join(bag_bounds(spark, sf_dir), "bag").withColumn("start_us", F.col("start_us") + F.col("w") * WINDOW_US)
-    w = w.select("topic", "start_us", F.least(F.col("start_us") + WINDOW_US, "end_us").alias("end_us"), "mean")
-    return L.nearest_windows(events(spark, sf_dir).where("topic = '/error'"), w, WINDOW_US)
+    return L.nearest_windows(events(spark, sf_dir).where("topic = '/error'"), spans(spark, sf_dir).drop("n", "std"), WINDOW_US)
 
 
 @query(f"""WITH {EVENTS_SQL}, {ANOMALIES}, bb AS (SELECT bag, min(ts_us) AS s, max(ts_us) AS e FROM ev GROUP BY bag),
@@ -429,3 +433,31 @@ def log_parse(spark, sf_dir):
 SELECT seq, user_id, clock_ms + sum(behind) OVER (PARTITION BY user_id ORDER BY seq) * 86400000 AS timestamp_ms FROM d""")
 def midnight_rollover(spark, sf_dir):
     return text_log.rolled_over(text_log.parsed(text_lines(spark, sf_dir)), "user_id", "seq").select("seq", "user_id", "timestamp_ms")
+
+
+#: Stand-ins for the topics of the signals that log texts make claims of.
+SIGNALS = {"twist": "/view", "pose": "/purchase", "imu": "/error", "command": "/click"}
+CLAIMS = " UNION ALL ".join(f"SELECT seq, ts_us, '{rule}' AS rule, '{SIGNALS[s]}' AS topic, '{expect}' AS expect FROM lg WHERE regexp_matches(raw_message, '(?i){p}')" for p, rule, s, expect in rules.CHECKS)
+VERDICTS = f"""{WINDOWS}, {LOGS_SQL.removeprefix(EVENTS_SQL + ", ")}, cm AS ({CLAIMS}),
+wi AS (SELECT topic, t0 + w * {WINDOW_US} AS start_us, least(t0 + (w + 1) * {WINDOW_US}, t1) AS end_us, n, mean, std FROM ws JOIN bg USING (bag)),
+sn AS (SELECT * FROM (SELECT seq, rule, n, mean, std, row_number() OVER (PARTITION BY seq, rule ORDER BY abs(2 * ts_us - start_us - end_us), start_us) AS r
+ FROM cm JOIN wi ON wi.topic = cm.topic AND abs(2 * ts_us - start_us - end_us) < {4 * WINDOW_US}) WHERE r = 1),
+rv AS (SELECT seq, rule, {rules.VERDICT} AS verdict FROM cm LEFT JOIN sn USING (seq, rule)),
+pv AS (SELECT seq, CASE WHEN count(verdict) = 0 THEN 'UNCHECKED' WHEN bool_or(verdict = 'CONTRADICTED') THEN 'CONTRADICTED' WHEN bool_or(verdict = 'CONFIRMED') THEN 'CONFIRMED' ELSE 'NO_SENSOR_DATA' END AS verdict,
+ CASE WHEN count(verdict) = 0 THEN 0.0 WHEN bool_or(verdict = 'CONTRADICTED') THEN 0.9 WHEN bool_and(verdict = 'CONFIRMED') THEN 0.8 WHEN bool_or(verdict = 'CONFIRMED') THEN 0.6 ELSE 0.0 END::DOUBLE AS confidence
+ FROM lg LEFT JOIN rv USING (seq) GROUP BY seq)"""
+
+
+@query(f"WITH {VERDICTS} SELECT * FROM rv")
+def rule_verdicts(spark, sf_dir):
+    return L.rule_verdicts(logs(spark, sf_dir), spans(spark, sf_dir), WINDOW_US, SIGNALS)
+
+
+@query(f"WITH {VERDICTS} SELECT * FROM pv")
+def packet_verdict(spark, sf_dir):
+    return L.packet_verdicts(logs(spark, sf_dir), rule_verdicts(spark, sf_dir))
+
+
+@query(f"WITH {VERDICTS} SELECT verdict, count(*) AS n FROM pv GROUP BY verdict")
+def verdict_counts(spark, sf_dir):
+    return packet_verdict(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"))
