@@ -269,6 +269,15 @@ def confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
     return links
 
 
+def bit_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of 64-bit words a set, one bit set by each hash; bits that differ are at most the hashes that differ."""
+    n = np.array([len(s) for s in sets])
+    bits = 64 * int(np.clip(n.max() // 8 + 1, 2, 64))
+    out = np.zeros(len(sets) * bits, dtype=bool)
+    out[np.repeat(np.arange(len(sets)) * bits, n) + (mixed(np.concatenate(sets)) % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(out.reshape(len(sets), bits), axis=1).view(np.uint64)
+
+
 def dense_links(lists: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tile: int = 400) -> DataFrame:
     """Links between components that only long inverted lists can show, found without a row for each pair.
 
@@ -311,12 +320,19 @@ def dense_links(lists: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame
 
         one, two = np.flatnonzero(left), np.flatnonzero(left if inner else ~left)
         out = []
-        if len(one) and len(two):
+        if len(one) and len(two) and (of != of[0]).any():
             words, place = np.unique(np.concatenate([sets[i] for i in two]), return_inverse=True)
             n = np.array([len(sets[i]) for i in two])
             starts = np.concatenate(([0], np.cumsum(n)[:-1]))
             mark = np.zeros(len(words), dtype=np.int64)
-            for i in one:
+            bits = bit_sets(sets)
+            differ = np.zeros((len(one), len(two)), dtype=np.int32)
+            for x in bits.T:
+                differ += np.bitwise_count(x[one][:, None] ^ x[two][None])
+            total = np.array([len(sets[i]) for i in one])[:, None] + n[None]
+            # sets that are similar enough differ in few hashes, so in few bits
+            hope = (differ * (100 + percent) <= total * (100 - percent)) & (of[one][:, None] != of[two][None])
+            for i in one[hope.any(axis=1)]:
                 at = np.searchsorted(words, sets[i])
                 at = at[words[np.minimum(at, len(words) - 1)] == sets[i]]
                 mark[at] = 1
