@@ -254,15 +254,36 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(s) + len(t) - common)
 
 
+#: Hashes of two sets up to which pairs are compared many at once.
+FEW_HASHES = 1024
+
+
+def similar_pairs(s: list[bytes], t: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs of sets (sorted 64-bit hashes as bytes) are similar."""
+    total = np.array([len(x) + len(y) for x, y in zip(s, t)], dtype=np.int64) >> 3
+    good = np.zeros(len(s), dtype=bool)
+    few = np.flatnonzero(total <= FEW_HASHES)
+    both = [s[i] for i in few] + [t[i] for i in few]
+    pair = np.repeat(np.tile(np.arange(len(few)), 2), np.array([len(x) >> 3 for x in both], dtype=np.int64))
+    ranks = np.unique(np.frombuffer(b"".join(both), dtype=np.uint64), return_inverse=True)[1]
+    # a set holds a hash once, so one that comes twice in a pair is common to it
+    key = np.sort(ranks * max(1, len(few)) + pair)
+    common = np.bincount(key[1:][key[1:] == key[:-1]] % max(1, len(few)), minlength=len(few))
+    good[few] = 100 * common >= percent * (total[few] - common)
+    for i in np.flatnonzero(total > FEW_HASHES):
+        good[i] = similar(np.frombuffer(s[i], dtype=np.uint64), np.frombuffer(t[i], dtype=np.uint64), percent)
+    return good
+
+
 def confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar, written. sets_of: (id) to (id, s), s the sorted 64-bit hashes as bytes."""
     sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
 
     def rows(cols):
-        for a, b, s, t in zip(*cols):
-            if similar(np.frombuffer(s, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64), percent):
-                yield a, b
+        a, b, s, t = cols
+        for i in np.flatnonzero(similar_pairs(s, t, percent)):
+            yield a[i], b[i]
 
     links = written(map_rows(both.select("a", "b", "s_a", "s_b"), rows, "a bigint, b bigint", chunk=64), "links")
     discard(sets)
