@@ -240,7 +240,7 @@ def later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     lists = line_classes(docs.where("text is not null"), percent).groupBy("doc_id").agg(
         F.array_sort(F.collect_list("line")).alias("removed"), F.min("first_doc").alias("first_doc"), F.array_sort(F.collect_set("first_doc")).alias("first_docs")
     )
-    sizes = docs.select("doc_id", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint").alias("n_lines"))
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint").alias("n_lines"))
     none = F.array().cast("array<bigint>")
     return sizes.join(lists, "doc_id", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("removed", none).alias("removed"),
