@@ -5,7 +5,7 @@ A series has one value a window, so it is small beside the rows it was made from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,63 @@ def regimes(series: DataFrame, changes: DataFrame, keys: list[str], by: str, lea
     v = Window.partitionBy(*keys).orderBy("_run")
     kept = runs.withColumn("_own", ((F.col("_run") == 0) | (F.col("windows") >= least)).cast("bigint")).withColumn("regime", F.sum("_own").over(v) - 1)
     return kept.groupBy(*keys, "regime").agg(F.min("first_w").alias("first_w"), F.max("last_w").alias("last_w"), F.sum("windows").alias("windows"))
+
+
+def regime_baseline(prints: DataFrame, windows: DataFrame) -> DataFrame:
+    """What a regime's windows usually hold: (regime, node, template, expected).
+
+    prints: (w, node, template, n); windows: (regime, w), every window of the regime. A template counts if three fifths of
+    the windows hold it; expected is the median of its counts, rounded down, over the windows from its first on.
+    Windows without it are counted, not made into rows.
+    """
+    every = Window.partitionBy("regime")
+    placed = windows.withColumns({"_at": F.row_number().over(every.orderBy("w")), "_size": F.count("*").over(every)})
+    held = prints.join(placed, "w").groupBy("regime", "node", "template").agg(F.sort_array(F.collect_list("n")).alias("_n"), F.min("_at").alias("_first"), F.max("_size").alias("_size"))
+    held = held.where(F.size("_n") * 5 >= F.col("_size") * 3).withColumn("_span", (F.col("_size") - F.col("_first") + 1).cast("int"))
+    zeros = F.col("_span") - F.size("_n")
+    middle = lambda at: F.when(at > zeros, F.element_at("_n", F.greatest(at - zeros, F.lit(1)))).otherwise(0)
+    low, high = F.expr("(_span + 1) div 2").cast("int"), F.expr("_span div 2 + 1").cast("int")
+    return held.select("regime", "node", "template", F.floor((middle(low) + middle(high)) / 2).cast("bigint").alias("expected"))
+
+
+def structural_anomalies(prints: DataFrame, windows: DataFrame, baseline: DataFrame, importance: Column, percent: float = 0.9, fresh: float = 2.0, rate: float = 2.0) -> DataFrame:
+    """Departures of the regimes' most unusual windows from their baseline: (regime, w, node, template, kind, expected, observed, score).
+
+    missing_template weighs importance times the expected count, new_template importance times the observed count times
+    fresh, rate_anomaly (a ratio beyond rate either way) importance times the ratio's absolute log2. A window's departures
+    are reported if their sum is above 0 and above that percentile of its regime's windows. Regimes without a baseline
+    report none. importance: a column over node.
+    """
+    known = windows.join(baseline.select("regime").distinct(), "regime", "left_semi")
+    due = known.join(baseline, "regime")
+    seen = prints.join(known, "w").withColumnRenamed("n", "observed")
+    both = due.join(seen, ["regime", "w", "node", "template"], "full")
+    ratio = F.col("observed") / F.col("expected")
+    kind = (
+        F.when(F.col("observed").isNull(), "missing_template")
+        .when(F.col("expected").isNull(), "new_template")
+        .when((F.col("expected") > 0) & ((ratio > rate) | (ratio < 1 / rate)), "rate_anomaly")
+    )
+    weight = F.when(F.col("kind") == "missing_template", F.col("expected")).when(F.col("kind") == "new_template", F.col("observed") * fresh).otherwise(F.abs(F.log2(ratio)))
+    found = both.withColumn("kind", kind).where("kind is not null").withColumn("score", F.round(importance * weight, 6))
+    totals = known.join(found.groupBy("regime", "w").agg(F.sum("score").alias("_sum")), ["regime", "w"], "left").select("regime", "w", F.round(F.coalesce("_sum", F.lit(0.0)), 6).alias("_sum"))
+    limits = totals.groupBy("regime").agg(F.round(F.percentile("_sum", F.lit(percent)), 6).alias("_limit"))
+    flagged = totals.join(limits, "regime").where("_sum > _limit and _sum > 0").select("regime", "w")
+    zero = F.lit(0).cast("bigint")
+    return found.join(flagged, ["regime", "w"]).select("regime", "w", "node", "template", "kind", F.coalesce("expected", zero).alias("expected"), F.coalesce("observed", zero).alias("observed"), "score")
+
+
+def regime_transitions(prints: DataFrame, windows: DataFrame, importance: Column, edge: int = 2, fresh: float = 2.0) -> DataFrame:
+    """Templates of the first windows of a regime that the last ones of the regime before lack, and the reverse.
+
+    Columns: regime (the new one), w (its first window), node, template, kind, score. Regimes are numbered without gaps.
+    """
+    one = Window.partitionBy("regime")
+    placed = windows.withColumns({"_at": F.row_number().over(one.orderBy("w")), "_back": F.row_number().over(one.orderBy(F.desc("w")))})
+    begins = placed.where("_at = 1").select("regime", F.col("w").alias("_begin")).join(placed.select((F.col("regime") + 1).alias("regime")).distinct(), "regime", "left_semi")
+    edges = placed.where(F.col("_at") <= edge).select("regime", "w", F.lit(1).alias("_new"))
+    edges = edges.unionByName(placed.where(F.col("_back") <= edge).select((F.col("regime") + 1).alias("regime"), "w", F.lit(0).alias("_new")))
+    held = prints.join(edges, "w").join(begins, "regime").groupBy("regime", "_begin", "node", "template").agg(F.min("_new").alias("_low"), F.max("_new").alias("_high"))
+    came = F.col("_low") == 1
+    kind = F.when(came, "regime_transition_appeared").otherwise("regime_transition_disappeared")
+    return held.where("_low = _high").select("regime", F.col("_begin").alias("w"), "node", "template", kind.alias("kind"), (importance * F.when(came, fresh).otherwise(1.0)).alias("score"))

@@ -411,6 +411,51 @@ def transition_chains(spark, sf_dir):
     return L.transition_chains(cusum(spark, sf_dir).select(F.col("w").alias("at"), F.col("topic").alias("name"))).withColumnRenamed("at", "w")
 
 
+# days of three nodes, in regimes of six days: enough rows a window for a baseline
+DAYS = f"""{PRINTS}, dp AS (SELECT w // 4 AS w, '/n' || (substr(node, 7)::INT % 3) AS node, template, sum(n)::BIGINT AS n FROM fp WHERE template IS NOT NULL GROUP BY ALL),
+dw AS (SELECT DISTINCT w // 6 AS regime, w FROM dp)"""
+BASELINE = f"""{DAYS}, dn AS (SELECT regime, count(*) AS size FROM dw GROUP BY regime),
+dk AS (SELECT regime, node, template, min(w) AS f, count(*) AS c FROM dp JOIN dw USING (w) GROUP BY ALL),
+bl AS (SELECT dk.regime, dk.node, dk.template, floor(median(coalesce(n, 0)))::BIGINT AS expected FROM dk JOIN dn ON dn.regime = dk.regime AND c * 5 >= size * 3
+ JOIN dw ON dw.regime = dk.regime AND dw.w >= f LEFT JOIN dp ON dp.w = dw.w AND dp.node = dk.node AND dp.template = dk.template GROUP BY ALL)"""
+
+
+def daily(spark, sf_dir):
+    """(prints, windows) of days, three nodes and regimes of six days."""
+    node = F.concat(F.lit("/n"), F.substring("node", 7, 9).cast("int") % 3)
+    rows = prints(spark, sf_dir).where("template is not null").groupBy(F.floor(F.col("w") / 4).alias("w"), node.alias("node"), "template").agg(F.sum("n").alias("n"))
+    return rows, rows.select(F.floor(F.col("w") / 6).alias("regime"), "w").distinct()
+
+
+def stand_in_importance():
+    return F.substring("node", 3, 9).cast("int") + 2
+
+
+@query(f"WITH {BASELINE} SELECT * FROM bl")
+def regime_baseline(spark, sf_dir):
+    return S.regime_baseline(*daily(spark, sf_dir))
+
+
+@query(f"""WITH {BASELINE}, kn AS (SELECT * FROM dw WHERE regime IN (SELECT regime FROM bl)),
+du AS (SELECT regime, w, node, template, expected FROM kn JOIN bl USING (regime)), sn AS (SELECT regime, w, node, template, n AS observed FROM dp JOIN kn USING (w)),
+de AS (SELECT *, CASE WHEN observed IS NULL THEN 'missing_template' WHEN expected IS NULL THEN 'new_template' WHEN expected > 0 AND (observed > 2 * expected OR observed * 2 < expected) THEN 'rate_anomaly' END AS kind
+ FROM du FULL JOIN sn USING (regime, w, node, template)),
+sc AS (SELECT *, round((substr(node, 3)::INT + 2) * CASE kind WHEN 'missing_template' THEN expected::DOUBLE WHEN 'new_template' THEN observed * 2::DOUBLE ELSE abs(log2(observed / expected)) END, 6) AS score FROM de WHERE kind IS NOT NULL),
+tt AS (SELECT regime, w, round(coalesce(sum(score), 0), 6) AS s FROM kn LEFT JOIN sc USING (regime, w) GROUP BY ALL), li AS (SELECT regime, round(quantile_cont(s, 0.9), 6) AS lim FROM tt GROUP BY regime)
+SELECT regime, w, node, template, kind, coalesce(expected, 0) AS expected, coalesce(observed, 0) AS observed, score FROM sc JOIN tt USING (regime, w) JOIN li USING (regime) WHERE s > lim AND s > 0""")
+def structural_anomalies(spark, sf_dir):
+    rows, windows = daily(spark, sf_dir)
+    return S.structural_anomalies(rows, windows, S.regime_baseline(rows, windows), stand_in_importance())
+
+
+@query(f"""WITH {DAYS}, ed AS (SELECT regime, w, 1 AS new FROM dw d WHERE (SELECT count(*) FROM dw x WHERE x.regime = d.regime AND x.w < d.w) < 2
+ UNION ALL SELECT regime + 1, w, 0 FROM dw d WHERE (SELECT count(*) FROM dw x WHERE x.regime = d.regime AND x.w > d.w) < 2),
+bg AS (SELECT regime, min(w) AS w FROM dw WHERE regime - 1 IN (SELECT regime FROM dw) GROUP BY regime), hd AS (SELECT regime, node, template, min(new) AS lo, max(new) AS hi FROM ed JOIN dp USING (w) GROUP BY ALL)
+SELECT regime, bg.w AS w, node, template, CASE lo WHEN 1 THEN 'regime_transition_appeared' ELSE 'regime_transition_disappeared' END AS kind, ((substr(node, 3)::INT + 2) * (1 + lo))::DOUBLE AS score FROM hd JOIN bg USING (regime) WHERE lo = hi""")
+def regime_transitions(spark, sf_dir):
+    return S.regime_transitions(*daily(spark, sf_dir), stand_in_importance())
+
+
 def text_lines(spark, sf_dir):
     """The log view as text lines, half of them with a 12-hour clock, every seventh broken."""
     at = F.timestamp_micros("ts_us")
