@@ -134,28 +134,30 @@ def candidates(unique: DataFrame, percent: int, long_list: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        cut = None
         for batch in batches:
             now = [c.to_numpy() for c in batch.columns]
             if held:
                 now = [np.concatenate((x, y)) for x, y in zip(held, now)]
             key = now[0] >> 20
             last = len(key) - int(np.argmax(key[::-1] != key[-1])) if len(key) and (key != key[-1]).any() else 0
-            # a list that has grown too long is let go in pieces, each a long list of its own
+            # a list that has grown too long is let go in pieces; those after the first are long however few their lines
             last = len(key) if len(key) - last > long_list else last
             held = [x[last:] for x in now]
             if last:
-                yield from emit([x[:last] for x in now])
+                yield from emit([x[:last] for x in now], cut)
+                cut = key[-1] if last == len(key) else cut
         if held and len(held[0]):
-            yield from emit(held)
+            yield from emit(held, cut)
 
-    def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def emit(cols: list[np.ndarray], cut: int | None) -> Iterator[pa.RecordBatch]:
         key, ids, n, place, low, high = cols
         key, value, part = key >> 20, key >> 25, (key >> 20) & 31
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(begin, len(key)))
         group = np.repeat(np.arange(len(begin)), size)
         end = np.repeat(begin + size, size)
-        big = size > long_list
+        big = (size > long_list) | (np.zeros(len(begin), dtype=bool) if cut is None else key[begin] == cut)
         low, high = low.view(np.uint64), high.view(np.uint64)
         n, place = n.astype(np.int64), place.astype(np.int64)
         found: list[np.ndarray] = []

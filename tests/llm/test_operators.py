@@ -84,6 +84,23 @@ def test_line_dedup(spark, small):
     assert cut.columns == df.columns and cut.count() == df.count()
 
 
+def test_line_dedup_cut_list(spark):
+    """Lists longer than long_list that Arrow batches cut, so that similar lines lie in different pieces."""
+    rng = np.random.default_rng(3)
+    shared = [" ".join(f"w{i}" for i in rng.choice(24, 9, replace=False)) for _ in range(150)]
+    # the second of a pair has two rare words of its own, so it meets the first in the list of one word only
+    df = odd(spark, shared + [f"{s} x{i} y{i}" for i, s in enumerate(shared)])
+    want = classes({r.doc_id: frozenset(words(r.text)) for r in df.collect()})
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(most)
+    spark.conf.set(most, "30")
+    try:
+        got = {r.doc_id: r.first_doc for r in line_dedup.line_classes(df.select("doc_id", "text"), long_list=20).collect()}
+    finally:
+        spark.conf.set(most, before)
+    assert got == {k: first for k, first in want.items() if k != first}
+
+
 def test_substring_dedup(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     df = odd(spark, [*ODD, f"own words\n{passage}", f"{passage}\nother", passage.replace("p30", "q")])
