@@ -1,8 +1,12 @@
-"""Substring deduplication: passages that repeat across documents, found as near-equal paragraphs.
+"""Substring deduplication: passages that repeat across documents, found as near-equal paragraphs and as equal runs of words.
 
 A paragraph (line) of enough words gives MinHash bands over its word shingles; bands are tuned so that paragraphs at the
 threshold collide with a chance above 0.9999. Colliding paragraphs are confirmed by exact Jaccard of the shingle sets,
 components of the links are the passages, and every paragraph of one but the first is removed.
+
+Runs of RUN words or more that stand in an earlier document too are found wherever they begin, lines or not: of every RUN
+words the smallest hash of RUN / 2 words is an anchor, equal runs have equal anchors, and around anchors that several
+documents hold all windows of RUN words are compared.
 """
 
 from __future__ import annotations
@@ -14,12 +18,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telescribe.llm.common import CODE, WORD_BYTES, Words, components, confirmed, dense_links, lists_array, map_batches, map_rows, mixed, sent, single, written
+from telescribe.llm.common import CODE, FACTOR, WORD_BYTES, Words, components, confirmed, dense_links, discard, lists_array, map_batches, map_rows, mixed, sent, single, written
 
 #: Words of a shingle, similarity in percent, words from which a line is a passage, bands and rows of a band; paragraphs
 #: from which a band's list counts as long; bits of the line number.
 SHINGLE, PERCENT, LEAST_WORDS, BANDS, ROWS, LONG_LIST, LINE_BITS = 5, 80, 20, 20, 4, 40, 24
 
+#: Words of the shortest run found inside lines; anchors are hashes of half as many.
+RUN = 50
+
+
+def ahead(x: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate((x[n:], np.zeros(min(n, len(x)), x.dtype)))
+
+
+def behind(x: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate((np.zeros(min(n, len(x)), x.dtype), x[: max(0, len(x) - n)]))
+
+
+def spread(x: np.ndarray, n: int, pick: np.ufunc, shift) -> np.ndarray:
+    """pick (minimum or maximum) of each value and the n - 1 next to it on one side."""
+    size = 1
+    while 2 * size <= n:
+        x, size = pick(x, shift(x, size)), 2 * size
+    return pick(x, shift(x, n - size))
+
+
+def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of RUN / 2 and of RUN words from each word on, and whether RUN words of the text are left there."""
+    half, have = np.zeros(len(words.hashes), np.uint64), 0
+    part, size, left = words.hashes, 1, RUN // 2
+    while left:
+        if left & 1:
+            half, have = mixed(half * np.uint64(FACTOR) + ahead(part, have)), have + size
+        part, size, left = mixed(part * np.uint64(FACTOR) + ahead(part, size)), 2 * size, left >> 1
+    number = words.text + 1
+    return half, mixed(half * np.uint64(FACTOR) + ahead(half, RUN // 2)), ahead(number, RUN - 1) == number
+
+
+def runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, ranges, sources): words [from, to, ...] that runs of RUN words shared with earlier documents cover, and the first documents of these.
+
+    Every such run is found; windows of RUN words whose 64-bit hashes are equal count as equal.
+    """
+    reach = RUN - RUN // 2 + 1
+
+    def anchors(batch):
+        words = Words(batch.column(1), WORD_BYTES)
+        half, _, there = windows(words)
+        low = np.where(there, spread(half, reach, np.minimum, ahead), np.uint64(0))
+        top = spread(low, reach, np.maximum, behind)
+        at = np.flatnonzero((top == half) & (top > 0))
+        text = words.text[at]
+        return {"value": half[at].view(np.int64), "doc_id": batch.column(0).to_numpy()[text], "place": (at - words.first[text]).astype(np.int32)}
+
+    def around(batch):
+        words = Words(batch.column(1), WORD_BYTES)
+        _, whole, there = windows(words)
+        text = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+        at = np.unique((batch.column(2).flatten().to_numpy() + words.first[text])[:, None] - np.arange(reach))
+        at = at[at >= 0]
+        at = at[there[at]]
+        text = words.text[at]
+        return {"value": whole[at].view(np.int64), "doc_id": batch.column(0).to_numpy()[text], "place": (at - words.first[text]).astype(np.int32)}
+
+    def joined(cols):
+        for key, places, sources in zip(*cols):
+            p = np.array(places)
+            cut = p[1:] > p[:-1] + RUN
+            yield key, np.stack((p[np.append(True, cut)], p[np.append(cut, True)] + RUN), axis=1).reshape(-1).tolist(), sources
+
+    def shared(table):
+        return table.groupBy("value").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("value", "first")
+
+    schema = "value bigint, doc_id bigint, place int"
+    seen = written(map_batches(docs.select("doc_id", "text"), anchors, schema, 1), "anchors")
+    need = written(seen.join(shared(seen).select("value"), "value").groupBy("doc_id").agg(F.collect_list("place").alias("lines")), "need")
+    discard(seen)
+    spots = written(map_batches(docs.join(sent(need), "doc_id").select("doc_id", "text", "lines"), around, schema, 1), "windows")
+    hits = spots.join(shared(spots), "value").where("doc_id > first").groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"), F.array_sort(F.collect_set("first")).alias("sources"))
+    out = written(map_rows(hits, joined, "doc_id bigint, ranges array<bigint>, sources array<bigint>"), "runs")
+    discard(need, spots)
+    return out
+
 
 def paragraphs(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """(doc_id << LINE_BITS) + line, sorted shingle hashes and words of each line of at least so many words."""
@@ -99,15 +180,17 @@ def passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """One row a document: doc_id, class_id, n_links, n_removed, n_removed_words, removed, first_docs.
+    """One row a document: doc_id, class_id, n_links, n_removed, n_removed_words, removed, first_docs, removed_ranges.
 
     n_links counts the document's lines that belong to a repeated passage, removed lists those of them that are not the
-    passage's first, first_docs the documents where these stand first. class_id is the smallest doc_id that holds the
-    first line of one of its passages, itself included. Null and empty texts and lines of fewer words than least have no
-    passage; rows with a null id are left out; rows that repeat an id count as one, with the smallest text; an empty
+    passage's first, n_removed_words counts their words. removed_ranges holds the document's words [from, to, ...] that
+    stand in runs of RUN words or more of an earlier document, in removed lines or others. first_docs are the documents
+    where removed lines and ranges stand first. class_id is the smallest doc_id that holds the first of one of its
+    passages, itself included. Null and empty texts and lines of fewer words than least have no passage of lines; rows with a null id are left out; rows that repeat an id count as one, with the smallest text; an empty
     table gives an empty one. Ids are integers below 2**39; other columns are not read.
     """
     docs = single(df, id_col, text_col)
+    inside = runs(docs.where("text is not null"))
     later = (F.col("doc_id") != F.col("first_doc")) | (F.col("line") != F.col("first_line"))
     found = passages(docs.where("text is not null"), least).groupBy("doc_id").agg(
         F.min("first_doc").alias("first"),
@@ -117,12 +200,13 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
         F.array_sort(F.collect_set(F.when(later, F.col("first_doc")))).alias("first_docs"),
     )
     none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("bigint")
-    return docs.select("doc_id").join(found, "doc_id", "left").select(
+    return docs.select("doc_id").join(found, "doc_id", "left").join(inside, "doc_id", "left").select(
         "doc_id",
-        F.least("doc_id", F.coalesce("first", "doc_id")).alias("class_id"),
+        F.least("doc_id", "first", F.array_min("sources")).alias("class_id"),
         F.coalesce("n_links", zero).alias("n_links"),
         F.size(F.coalesce("removed", none)).cast("bigint").alias("n_removed"),
         F.coalesce("n_removed_words", zero).alias("n_removed_words"),
         F.coalesce("removed", none).alias("removed"),
-        F.coalesce("first_docs", none).alias("first_docs"),
+        F.array_sort(F.array_union(F.coalesce("first_docs", none), F.coalesce("sources", none))).alias("first_docs"),
+        F.coalesce("ranges", none).alias("removed_ranges"),
     )

@@ -110,6 +110,27 @@ def test_substring_dedup(spark):
     assert got[7] == (6, [0])
 
 
+def test_substring_dedup_runs(spark):
+    """Runs of 50 words and more inside lines that differ otherwise, against all windows of 50 words."""
+    rng = np.random.default_rng(5)
+    own = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    kept = [own(n) for n in (49, 50, 51, 93, 200)]
+    rows = [own(rng.integers(0, 300)) + kept[i % 5] + own(rng.integers(0, 300)) for i in range(25)]
+    rows += [kept[3][:70], ["x"] * 120, own(7) + ["x"] * 60, own(400)]
+    first, want = {}, {}
+    for i, w in enumerate(rows):
+        covered, sources = set(), set()
+        for at in range(len(w) - 49):
+            run = tuple(w[at : at + 50])
+            if first.setdefault(run, i) < i:
+                covered |= set(range(at, at + 50))
+                sources.add(first[run])
+        want[i] = (covered, min(sources, default=i))
+    got = {r.doc_id: r for r in substring_dedup.repeats(odd(spark, [" ".join(w) for w in rows])).collect()}
+    assert {i: {x for a, b in zip(r.removed_ranges[::2], r.removed_ranges[1::2]) for x in range(a, b)} for i, r in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(got[i].class_id <= c for i, (_, c) in want.items()) and got[28].class_id == 28 and got[5].removed_ranges == []
+
+
 def test_decontamination(spark):
     bench = spark.createDataFrame([(1, "b c d e f g h i j k l m"), (2, "one"), (None, "zz"), (3, None), (10, "B C D E F G H I J K")], "item_id long, text string")
     for size in (1 << 20, 8):
