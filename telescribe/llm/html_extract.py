@@ -1,4 +1,4 @@
-"""Main text of web pages by tree scoring: paragraphs pass points to their ancestors, the best container is kept."""
+"""Main text of web pages by tree scoring: paragraphs pass points to their ancestors; what is kept lies around the best container."""
 
 from __future__ import annotations
 
@@ -23,6 +23,7 @@ TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 RAW = frozenset(("script", "style", "textarea", "title"))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FENCE = frozenset("ul ol dl table article section div body".split())
 SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 
@@ -165,18 +166,21 @@ def main_text(html: str | None) -> str:
             best, most = node, score
     if best is None:
         return "\n\n".join(blocks(root))
-    keep = [best]
-    if best.up is not None and best.tag not in ("article", "main", "body", "html"):
-        keep = []
-        for k in best.up.kids:
-            if k is best:
-                keep.append(k)
-            elif isinstance(k, Node) and not k.gone and id(k) in size:
-                chars, links = size[id(k)]
-                wordy = k.tag == "p" and chars > 80 and links < 0.25 * chars
-                if chars and (k.score * (1 - links / chars) >= max(10, 0.2 * most) or wordy):
-                    keep.append(k)
-    return "\n\n".join(t for k in keep for t in blocks(k))
+    # the outermost article or main around the best container; without one the page, less blocks of links beside it
+    node, whole = best, None
+    while node is not None:
+        whole = node if node.tag in ("article", "main") else whole
+        node = node.up
+    if whole is not None:
+        return "\n\n".join(blocks(whole))
+    node = best
+    while node.up is not None:
+        for k in node.up.kids:
+            if isinstance(k, Node) and k is not node and k.tag not in HEADINGS:
+                chars, links = size.get(id(k), (0, 0))
+                k.gone = k.gone or links > 0.5 * chars
+        node = node.up
+    return "\n\n".join(blocks(root))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -180,6 +180,18 @@ def test_html_extraction():
     assert html_extract.main_text("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
 
 
+def test_html_extraction_keeps_headings_and_short_blocks():
+    """What lies beside the best container stays, whether in an article or not; blocks of links go."""
+    p = "<p>" + "a long sentence, with words, and commas, of a page, " * 6 + "</p>"
+    text = "a long sentence, with words, and commas, of a page, " * 6
+    for n in (2, 12):
+        long = [text.strip()] * n
+        page = f"<article><h1>T</h1><p>Lead.</p><div>{p * n}</div><ul><li>One</ul></article>"
+        assert html_extract.main_text(page) == "\n\n".join(["T", "Lead.", *long, "One"])
+        page = f"<body><h1><a href=x>T</a></h1>bare <b>text</b><div><h2>S</h2><section>{p * n}</section><section>Short.</section></div><div><a href=y>go</a></div></body>"
+        assert html_extract.main_text(page) == "\n\n".join(["T", "bare text", "S", *long, "Short."])
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))]
