@@ -48,7 +48,12 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def best(q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k largest scores of each q, ties to smaller ids."""
+    """The k largest scores of each q, one an id, ties to smaller ids."""
+    order = np.lexsort((-score, ids, q))
+    q, score, ids = q[order], score[order], ids[order]
+    new = np.ones(len(q), dtype=bool)
+    new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+    q, score, ids = q[new], score[new], ids[new]
     order = np.lexsort((ids, -score, q))
     q, score, ids = q[order], score[order], ids[order]
     first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.empty(0, np.int64)
@@ -71,6 +76,8 @@ class Block:
     def meet(self, ids: np.ndarray, y: np.ndarray) -> None:
         c, s, l1 = codes(y)
         new = [self.found]
+        order = np.argsort(ids, kind="stable")
+        once = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
         for at in range(0, len(self.ids), TILE_QUERIES):
             q = slice(at, at + TILE_QUERIES)
             weight = self.s[q, None] * s[None, :]
@@ -79,8 +86,10 @@ class Block:
             own = self.ids[q, None] == ids[None, :]
             low = np.where(own, -np.inf, product - error)
             floor = self.floor[q]
-            if len(ids) > self.k:
-                floor = np.maximum(floor, np.partition(low, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+            if len(once) > self.k:
+                # rows that repeat an id take one of the k places
+                low = low if len(once) == len(ids) else np.maximum.reduceat(low[:, order], once, axis=1)
+                floor = np.maximum(floor, np.partition(low, len(once) - self.k, axis=1)[:, len(once) - self.k])
             i, j = np.nonzero((product + error >= floor[:, None]) & ~own)
             new.append((i + at, exact(self.x[i + at], y[j]), ids[j]))
         self.found = best(*(np.concatenate(c) for c in zip(*new)), self.k)

@@ -192,6 +192,20 @@ def test_html_extraction_keeps_headings_and_short_blocks():
         assert html_extract.main_text(page) == "\n\n".join(["T", "bare text", "S", *long, "Short."])
 
 
+def test_nearest_vectors_repeated_rows(spark):
+    """Rows that repeat an id take one place, within a tile and over tiles."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8))
+    x[7] = 2 * x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[7]] * 30 + [(7, (0.5 * x[7]).tolist())] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    y = x.astype(np.float32).astype(float)
+    want = sorted((-float(y[0] @ y[c]), c) for c in range(1, 60))[:5]
+    got = ann.nearest(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [c for _, c in want]
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))]
