@@ -1,27 +1,28 @@
 """Nearest vectors by largest inner product: a block matrix join with int8 product tiles and exact recomputation.
 
-Queries come in blocks of a checked size; each block is broadcast and meets every candidate where it lies. Tiles of
-int8 codes bound every product from both sides, survivors are recomputed in double precision, and each task keeps the
-k best a query, so only these are shuffled and merged.
+Queries and candidates are dealt into blocks of a checked size, and every block of one meets every block of the other in
+a group of its own, so nothing is broadcast. Tiles of int8 codes bound every product from both sides, survivors are
+recomputed in double precision, and each group keeps the k best a query, so only these are shuffled and merged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of one broadcast query block, and the sides of a product tile.
-BLOCK_BYTES, TILE_QUERIES, TILE_ROWS = 32 << 20, 512, 4096
+from telescribe.llm.common import bounded
+
+#: Bytes of a block as it is sent, bytes from which a table is worth a block more, and the sides of a product tile.
+BLOCK_BYTES, WORTH_BYTES, TILE_QUERIES, TILE_ROWS = 8 << 20, 1 << 20, 512, 4096
 
 
-def valid(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def valid(batch: pa.RecordBatch | pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Ids and double vectors by dimension; rows that are null, zero, or hold null or non-finite components are left out."""
     found: dict[int, tuple[list, list]] = {}
-    for key, v in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)):
+    vectors = batch.column(1).combine_chunks() if isinstance(batch, pa.Table) else batch.column(1)
+    for key, v in zip(batch.column(0).to_pylist(), vectors.to_numpy(zero_copy_only=False)):
         if key is None or v is None or not len(v):
             continue
         v = np.asarray(v, dtype=np.float64)
@@ -62,16 +63,13 @@ def best(q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.
 
 
 class Block:
-    """A block of queries of one dimension and the best candidates that one task has met so far."""
+    """A block of queries of one dimension and the best candidates that it has met so far."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.x, self.k = ids, vectors, k
         self.c, self.s, self.l1 = codes(vectors)
-
-    def start(self) -> Block:
         self.floor = np.full(len(self.ids), -np.inf)
         self.found = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
-        return self
 
     def meet(self, ids: np.ndarray, y: np.ndarray) -> None:
         c, s, l1 = codes(y)
@@ -100,15 +98,6 @@ class Block:
         self.floor = np.where(full, worst, -np.inf)
 
 
-def query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    size = queries.agg(F.sum(F.size("v") * 8 + 8)).first()[0] or 0
-    n = -(-size // block_bytes) or 1
-    for b in range(n):
-        table = (queries if n == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b)).toArrow()
-        merged = table.combine_chunks().to_batches()
-        yield valid(merged[0]) if merged else {}
-
-
 def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query the k candidates of largest inner product, itself left out.
 
@@ -116,24 +105,30 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     without an id. Rows that repeat an id count as one candidate, the one that scores best. Ties go to the smaller id.
     Fewer than k candidates give fewer rows; an empty table gives none. Other columns are not read.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v"))
-    out = None
-    for found in query_blocks(df.where(is_query).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")), block_bytes):
-        shared = df.sparkSession.sparkContext.broadcast({d: Block(*x, k) for d, x in found.items()})
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            blocks = {d: b.start() for d, b in shared.value.items()}
-            for batch in batches:
-                for at in range(0, batch.num_rows, TILE_ROWS):
-                    for d, (ids, y) in valid(batch.slice(at, TILE_ROWS)).items():
-                        if d in blocks:
-                            blocks[d].meet(ids, y)
-            for b in blocks.values():
-                q, score, ids = b.found
-                yield pa.RecordBatch.from_arrays([pa.array(b.ids[q]), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-        part = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-        out = part if out is None else out.unionByName(part)
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("id is not null and v is not null")
+    # equal rows count once, so that no block fills up with them
+    rows = bounded(rows).groupBy("id", "v").agg(F.max("asks").alias("asks"))
+    size = F.size("v") * 4 + 8
+    every, asked = rows.agg(F.sum(size), F.sum(F.when(F.col("asks"), size))).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = max(-(-(every or 1) // block_bytes), min(cores, -(-(every or 1) // WORTH_BYTES)))
+    m = -(-(asked or 1) // block_bytes)
+    own, number = F.xxhash64("id", "v"), lambda to: F.explode(F.sequence(F.lit(0), F.lit(to - 1)))
+    queries = rows.where("asks").select(F.pmod(own, F.lit(m)).cast("int").alias("q"), number(n).alias("c"), "id", "v")
+    candidates = rows.select(number(m).alias("q"), F.pmod(own, F.lit(n)).cast("int").alias("c"), "id", "v")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        blocks = {d: Block(ids, x, k) for d, (ids, x) in valid(left.select(["id", "v"])).items()}
+        right = right.select(["id", "v"])
+        for at in range(0, right.num_rows if blocks else 0, TILE_ROWS):
+            for d, (ids, y) in valid(right.slice(at, TILE_ROWS)).items():
+                if d in blocks:
+                    blocks[d].meet(ids, y)
+        found = [(b.ids[b.found[0]], b.found[2], b.found[1]) for b in blocks.values()] or [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        q, ids, score = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(score, pa.float64())})
+
+    out = queries.groupBy("q", "c").cogroup(candidates.groupBy("q", "c")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
     once = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

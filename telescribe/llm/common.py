@@ -6,7 +6,6 @@ import atexit
 import re
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +54,19 @@ CODE = mixed(np.arange(1, 257, dtype=np.uint64))
 CODE[65:91] = CODE[97:123]
 
 
-@lru_cache(maxsize=2)
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(factor: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, factor, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """factor to the powers from 0 to n at least; up to some size they are kept."""
+    out = _powers.get(factor)
+    if out is None or len(out) <= n:
+        out = np.full(1 << max(18, n.bit_length()), factor, dtype=np.uint64)
+        out[0] = 1
+        out = np.cumprod(out, dtype=np.uint64)
+        if len(out) <= 1 << 21:
+            _powers[factor] = out
+    return out
 
 
 class Words:
@@ -86,9 +93,9 @@ class Words:
         end[1:] &= inside[:-1]
         end[0] = False
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(end)
-        size = 1 << max(16, int(len(self.data)).bit_length())
+        size = len(self.data)
         sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(CODE[self.data] * powers(FACTOR, size)[: len(self.data)], out=sums[1:])
+        np.cumsum(CODE[self.data] * powers(FACTOR, size)[:size], out=sums[1:])
         self.hashes = mixed((sums[self.end] - sums[self.start]) * powers(pow(FACTOR, -1, 1 << 64), size)[self.start])
         self.first = np.searchsorted(self.start, self.offsets)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
@@ -110,11 +117,61 @@ class Words:
         return out
 
 
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of size words from each word on, and whether its text has so many words left."""
+        whole, have = np.zeros(len(self.hashes), np.uint64), 0
+        part, width, left = self.hashes, 1, size
+        while left:
+            if left & 1:
+                whole, have = mixed(whole * np.uint64(FACTOR) + ahead(part, have)), have + width
+            part, width, left = mixed(part * np.uint64(FACTOR) + ahead(part, width)), 2 * width, left >> 1
+        return whole, ahead(self.text + 1, size - 1) == self.text + 1
+
+
+def ahead(x: np.ndarray, n: int) -> np.ndarray:
+    """x[n:], filled up with zeros."""
+    return np.concatenate((x[n:], np.zeros(min(n, len(x)), x.dtype)))
+
+
 def shingle_hashes(text: str | None, size: int, word_bytes: np.ndarray = SPACED_BYTES) -> np.ndarray:
     return Words(pa.array([text], pa.string()), word_bytes).shingles(size)[0]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, text_col: int, most_bytes: int = 1 << 20) -> DataFrame:
+#: Bytes of rows that Spark hands to Python at once, where the session sets no bound of its own (its default is rows only).
+BATCH_BYTES = "4m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands rows to Python in batches of bounded bytes, so that long texts don't add up."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, BATCH_BYTES)
+    return df
+
+
+def slices(batch: pa.RecordBatch, text_col: int, most_bytes: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold most_bytes of text, or one row."""
+    ends = np.cumsum(np.maximum(1, np.nan_to_num(pa.compute.binary_length(batch.column(text_col)).to_numpy(zero_copy_only=False).astype(float))))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def filtered(df: DataFrame, text_col: str, keep: Callable[[pa.Array], list[bool]]) -> DataFrame:
+    """The rows of df whose text keep() wants, all columns as they were. keep: texts to as many booleans."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(keep(part.column(at)), pa.bool_()))
+
+    return bounded(df).mapInArrow(run, df.schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, text_col: int, most_bytes: int = 1 << 18) -> DataFrame:
     """Applies fn to slices of Arrow batches that hold most_bytes of text, or one row; fn gives arrays by name."""
     out = T._parse_datatype_string(schema)
 
@@ -123,15 +180,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
 
         arrow = to_arrow_schema(out)
         for batch in batches:
-            ends = np.cumsum(np.maximum(1, np.nan_to_num(pa.compute.binary_length(batch.column(text_col)).to_numpy(zero_copy_only=False).astype(float))))
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, side="right")))
-                found = fn(batch.slice(at, to - at))
+            for part in slices(batch, text_col, most_bytes):
+                found = fn(part)
                 yield pa.RecordBatch.from_arrays([pa.array(found[f.name], type=f.type) if isinstance(found[f.name], (list, np.ndarray)) else found[f.name].cast(f.type) for f in arrow], names=arrow.names)
-                at = to
 
-    return df.mapInArrow(run, out)
+    return bounded(df).mapInArrow(run, out)
 
 
 def lists_array(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -140,16 +193,22 @@ def lists_array(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one below the warehouse where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, as in tests on one machine, one below the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+#: On a local file system Hadoop starts a process for each file it makes beside a checksum file; scratch tables do without.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df to the shared folder and reads it back, so lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**PLAIN).parquet(path)
     _scratch[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -168,13 +227,39 @@ def delete(path: str, spark: SparkSession) -> None:
 
 
 def single(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id bigint, text): rows with an id, one an id (the smallest text)."""
+    """(doc_id bigint, text): rows with an id, one an id (the smallest text). _repeated: whether ids had more rows than one."""
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    if repeated:
         docs = written(docs.groupBy("doc_id").agg(F.min("text").alias("text")), "single")
+    docs._repeated = repeated
     return docs
 
 
+#: Ids below this, and above its negative, leave room for a line number in 64 bits.
+ID_LIMIT = 1 << 39
+
+
+def with_small_ids(docs: DataFrame, fn: Callable[[DataFrame], DataFrame], columns: tuple[str, ...]) -> DataFrame:
+    """fn(docs); if ids (doc_id) reach ID_LIMIT, it gets them numbered in order, and its columns of numbers become ids again."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is None or -ID_LIMIT < low and high < ID_LIMIT:
+        return fn(docs)
+    at = written(docs.select("doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("at", F.monotonically_increasing_id()), "ids")
+    part, total, offsets = F.shiftright("at", 33).alias("part"), 0, []
+    for r in at.groupBy(part).count().orderBy("part").collect():  # one row a partition
+        offsets.append((r["part"], total))
+        total += r["count"]
+    offset = F.broadcast(docs.sparkSession.createDataFrame(offsets, "part bigint, offset bigint"))
+    number = F.col("offset") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    ids = written(at.withColumn("part", part).join(offset, "part").select("doc_id", number.alias("number")), "numbers")
+    out = fn(docs.join(ids, "doc_id").drop("doc_id").withColumnRenamed("number", "doc_id").select(docs.columns))
+    for c in columns:
+        back = ids.select(F.col("number").alias(c), F.col("doc_id").alias("_id"))
+        out = out.join(back, c).withColumn(c, F.col("_id")).drop("_id")
+    return out
+
+
 @atexit.register
 def drop_scratch() -> None:
     """Deletes the scratch tables of this process; those of a session that has ended stay to its cluster's cleaner."""
@@ -185,6 +270,56 @@ def drop_scratch() -> None:
         delete(path, spark)
 
 
+def grouped(df: DataFrame, keys: list[str], fn: Callable[[dict[str, list | np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+    """Applies fn to the rows of each group of integer keys: a dict of columns to tuples. Many small groups share a batch.
+
+    A group is held whole, so callers bound its size.
+    """
+    out, names = T._parse_datatype_string(schema), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(out)
+
+        def made(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+            cols = {c: table[c].to_numpy() if pa.types.is_integer(table[c].type) else table[c].to_pylist() for c in names}
+            rows = [row for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) for row in fn({c: x[a:b] for c, x in cols.items()})]
+            columns = list(zip(*rows)) if rows else [[] for _ in arrow]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], names=arrow.names)
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(names.index(c)).to_numpy() for c in keys], axis=1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            begins = held and (key[0] != last).any()
+            if begins or len(cuts):
+                end = 0 if begins else int(cuts[0])
+                if held:
+                    done = pa.Table.from_batches([*held, batch.slice(0, end)])
+                    yield made(done, np.array([0, done.num_rows]))
+                    held, first = [], end
+                else:
+                    first = 0
+                whole = cuts[cuts >= first]
+                if len(whole) and whole[-1] > first:
+                    at = np.unique(np.concatenate(([first], whole))) - first
+                    yield made(pa.Table.from_batches([batch.slice(first, int(whole[-1]) - first)]), at)
+                    first = int(whole[-1])
+                held = [batch.slice(first)]
+            else:
+                held.append(batch)
+            last = key[-1]
+        if held:
+            done = pa.Table.from_batches(held)
+            yield made(done, np.array([0, done.num_rows]))
+
+    return bounded(df).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, out)
+
+
 def map_rows(df: DataFrame, fn: Callable[[list[list]], Iterator[tuple]], schema: str | T.StructType, chunk: int = 256) -> DataFrame:
     """Applies fn, in Arrow batches, to lists of column values (one list a column, at most chunk rows a call).
 
@@ -204,20 +339,27 @@ def map_rows(df: DataFrame, fn: Callable[[list[list]], Iterator[tuple]], schema:
                 columns = list(zip(*rows)) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], names=names)
 
-    return df.mapInArrow(run, out)
+    return bounded(df).mapInArrow(run, out)
+
 
+#: Edges of a component round for each partition it is written in, and rounds that no graph needs.
+ROUND_EDGES, MOST_ROUNDS = 100_000, 200
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): every node with the smallest node it reaches.
 
     Alternates a step that points each node's larger neighbours at the smallest one with a step that does so for its
-    smaller neighbours, until all edges point at roots. Only one count comes to the driver; each round is a written table.
-    Null ends and loops are left out. An empty table gives an empty one. Columns: node, component.
+    smaller neighbours, until all edges point at roots; steps grow with the logarithm of the largest component. Only
+    counts come to the driver; each round is a written table, and the one before it is deleted. Null ends and loops are
+    left out. An empty table gives an empty one. Columns: node, component. discard() deletes what the result reads.
     """
     e = written(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
     )
-    for _ in range(rounds):
+    # rounds never hold more edges than the first table
+    parts = max(1, -(-e.count() // ROUND_EDGES))
+    for _ in range(MOST_ROUNDS):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -225,14 +367,19 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b")))
-        e = written(small.where("a <> b").distinct(), "small")
+        before, e = e, written(small.where("a <> b").distinct().coalesce(parts), "small")
+        discard(before)
         # done once every node has one edge, to a node that has none itself
         ends = e.select(F.col("a").alias("k"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(e.select(F.col("b").alias("k"), F.lit(0).alias("out"), F.lit(1).alias("in")))
         if not ends.groupBy("k").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or out + in > 1").limit(1).count():
             break
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+    else:
+        raise RuntimeError(f"components have not settled in {MOST_ROUNDS} rounds")
+    out = e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+    out._scratch_path = e._scratch_path
+    return out
 
 
 #: Most ids that are sent to every executor, 8 bytes each.
@@ -299,39 +446,50 @@ def bit_sets(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(out.reshape(len(sets), bits), axis=1).view(np.uint64)
 
 
-def dense_links(lists: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tile: int = 400) -> DataFrame:
+#: Members of a block of a long list, and hashes of their sets (8 bytes each).
+TILE, TILE_HASHES = 400, 1 << 18
+
+
+def dense_links(lists: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tile: int = TILE) -> DataFrame:
     """Links between components that only long inverted lists can show, found without a row for each pair.
 
-    lists: (value, id, n), n the set's size. Ids that lists tie together form a group; each group is cut into blocks of
-    about tile ids of close sizes, and blocks whose sizes allow a link meet in a task that compares full sets and gives a
-    link only where it joins components. Work grows with a group's size squared, rows only with the number
-    of blocks each id meets.
+    lists: (value, id, n), n the set's size. Lists whose members lie in one component need nothing more, and of lists
+    with the same members one is enough. In each of the others the members outside its largest component are cut into
+    blocks of about tile members, as are those inside, and each block of the former meets every block of the list in a
+    task that compares full sets and gives a link only where it joins components. Lists up to one block are one group.
+    So rows are the lists' members, and for longer lists as many times more as there are blocks outside.
     """
     comp = components(links)
-    rows = written(lists.join(comp, lists.id == comp.node, "left").select("value", "id", "n", F.coalesce("component", "id").alias("component")), "lists")
-    split = rows.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("head")).where("low < high")
-    rows = written(rows.join(split.select("value", "head"), "value"), "apart")
-    group = components(rows.select(F.col("id").alias("a"), F.col("head").alias("b")))
-    step = np.log(100 / percent) / 2
-    members = rows.select("id", "n", F.col("component").alias("of")).distinct()
-    members = members.join(group.select("node", F.col("component").alias("g")), F.col("id") == F.col("node")).select("id", "of", "g", F.floor(F.log("n") / float(step)).alias("size"))
-    sizes = members.groupBy("g", "size").agg(F.ceil(F.count("*") / tile).alias("parts"))
-    members = members.join(sizes, ["g", "size"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    members = written(members.join(sets_of(members.select("id").distinct()), "id"), "members")
-    # sizes a factor of percent apart lie at most two steps apart
-    reach = sizes.select("g", F.col("size").alias("size2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part2"))
-    near = (F.col("size2") - F.col("size")).between(-2, 2)
-    met = members.join(reach, "g").where(near)
-    first = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("part") <= F.col("part2")))
-    key = F.when(first, F.array("g", "size", "part", "size2", "part2")).otherwise(F.array("g", "size2", "part2", "size", "part"))
-    met = met.select(key.alias("key"), first.alias("left"), "id", "of", "s")
-
-    def compare(table: pa.Table) -> pa.Table:
-        left = np.array(table["left"].to_pylist())
-        ids, of = np.array(table["id"].to_pylist()), np.array(table["of"].to_pylist())
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table["s"].to_pylist()]
-        key = table["key"][0].as_py()
-        inner = key[1:3] == key[3:5]
+    listed = rows = written(lists.distinct().join(comp, lists.id == comp.node, "left").select("value", "id", "n", F.coalesce("component", "id").alias("of")), "lists")
+    mark = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"mark{i}") for i in range(2)]
+    whole = rows.groupBy("value").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("size"), F.sum("n").alias("hashes"), *mark).where("low < high")
+    once = written(whole.groupBy("size", "hashes", "mark0", "mark1").agg(F.min("value").alias("value")).select("value", "size", "hashes"), "apart")
+    if not once.limit(1).count():
+        discard(comp, listed, once)
+        return links.limit(0)
+    rows = rows.join(once, "value")
+    single = (F.col("size") <= tile) & (F.col("hashes") <= TILE_HASHES)
+    # long lists only: which members lie in the largest component, and the blocks of either kind
+    by = rows.where(~single).groupBy("value", "of").agg(F.count("*").alias("c"), F.sum("n").alias("h"))
+    most = by.groupBy("value").agg(F.max_by("of", F.struct("c", "of")).alias("main"), F.max(F.struct("c", "of", "h"))["h"].alias("h"), F.max("c").alias("c"), F.sum("c").alias("size"), F.sum("h").alias("hashes"))
+    parts = lambda n, h: F.greatest(F.ceil(n / tile), F.ceil(h / TILE_HASHES), F.lit(1)).cast("int")
+    most = written(most.select("value", "main", parts(F.col("size") - F.col("c"), F.col("hashes") - F.col("h")).alias("outer"), parts(F.col("c"), F.col("h")).alias("inner")), "blocks")
+    small = rows.where(single).select("value", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left"), "id", "of")
+    at = F.when(F.col("of") == F.col("main"), F.col("outer") + F.pmod(F.xxhash64("id"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("id"), F.col("outer"))).cast("int")
+    large = rows.where(~single).select("value", "id", "of").join(most, "value").withColumn("at", at)
+    as_left = F.when(F.col("at") < F.col("outer"), F.transform(F.sequence(F.col("at"), F.col("outer") + F.col("inner") - 1), lambda j: F.struct(F.col("at").alias("i"), j.alias("j"), F.lit(True).alias("left"))))
+    before = F.least(F.col("at"), F.col("outer")) - 1
+    as_right = F.when(before >= 0, F.transform(F.sequence(F.lit(0), before), lambda i: F.struct(i.alias("i"), F.col("at").alias("j"), F.lit(False).alias("left"))))
+    none = F.array().cast("array<struct<i:int,j:int,left:boolean>>")
+    large = large.select("value", "id", "of", F.explode(F.concat(F.coalesce(as_left, none), F.coalesce(as_right, none))).alias("x")).select("value", "x.i", "x.j", "x.left", "id", "of")
+    members = written(small.unionByName(large), "members")
+    sets = written(sets_of(members.select("id").distinct()), "sets")
+    met = members.join(sets, "id")
+
+    def compare(cols: dict) -> list[tuple]:
+        left, ids, of = np.array(cols["left"]), cols["id"], cols["of"]
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in cols["s"]]
+        inner = cols["i"][0] == cols["j"][0]
         top = {x: x for x in of.tolist()}
 
         def root(x: int) -> int:
@@ -363,7 +521,10 @@ def dense_links(lists: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame
                     a, b = root(int(of[i])), root(int(of[j]))
                     if a != b:
                         top[max(a, b)] = min(a, b)
-                        out.append((ids[i], ids[j]))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+                        out.append((int(ids[i]), int(ids[j])))
+        return out
 
-    return met.groupBy("key").applyInArrow(compare, "a bigint, b bigint")
+    met = met.select("value", "i", "j", "left", "id", "of", "s")
+    found = written(grouped(met, ["value", "i", "j"], compare, "a bigint, b bigint"), "dense")
+    discard(comp, listed, once, most, members, sets)
+    return found

@@ -1,7 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's word n-grams, scanned over every text.
 
-The set is built from slices of the benchmark whose size is checked before they are sent, so a benchmark of any size is
-scanned slice after slice over the same rows, without a shuffle.
+The set is sorted arrays of hashes, built from slices of the benchmark whose size is checked before they are sent. Hits are
+verified word by word. A benchmark of several slices is scanned slice after slice, each sent only for its own pass.
 """
 
 from __future__ import annotations
@@ -9,65 +9,80 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telescribe.llm.common import WORD, lower_ascii, map_rows, words_of
+from telescribe.llm.common import WORD, WORD_BYTES, Words, bounded, discard, filtered, lower_ascii, slices as text_slices, written
 
-#: Words in a window, and the most benchmark text (bytes) that one broadcast slice holds.
-WINDOW, SLICE_BYTES = 10, 16 << 20
+#: Words in a window, and the most benchmark text (bytes) that one broadcast slice holds; its arrays take a few times that.
+WINDOW, SLICE_BYTES = 10, 8 << 20
+#: Windows of the benchmark whose words are kept as one string once a hit has asked for them.
+KEPT_KEYS = 100_000
+#: A-Z to a-z, other bytes as they are.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class Windows:
-    """The windows of one slice: word numbers, and for each window length the items each window belongs to."""
+    """The windows of one slice by length: sorted hashes, the first word of each, and the item it belongs to."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.word: dict[str, int] = {}
-        self.by_size: dict[int, dict[bytes, list[str]]] = {}
-        for item, text in items:
-            ids = np.array([self.word.setdefault(w, len(self.word) + 1) for w in words_of(text)], dtype=np.int32)
-            n = min(window, len(ids))
-            found = self.by_size.setdefault(n, {}) if n else {}
-            for at in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(ids[at : at + n].tobytes(), []).append(item)
-
-    def scan(self, words: list[str]) -> tuple[list[int], list[str]]:
-        """The word ranges hit (start, end, start, end, ...; ends excluded, ranges apart) and the items that occur."""
-        ids = np.fromiter(map(lambda w, get=self.word.get: get(w, 0), words), dtype=np.int32, count=len(words))
-        known = np.concatenate(([0], np.cumsum(ids != 0)))
-        hit, items = np.zeros(len(ids) + 1, dtype=np.int64), set()
-        for n, found in self.by_size.items():
-            if n > len(ids):
-                continue
-            for at in np.flatnonzero(known[n:] - known[:-n] == n).tolist():
-                owners = found.get(ids[at : at + n].tobytes())
+        self.items = [item for item, _ in items]
+        words = Words(pa.array([text for _, text in items] or [""], pa.string()), WORD_BYTES)
+        self.data, self.start, self.end = words.data.tobytes().translate(LOWER), words.start, words.end
+        self.keys: dict[tuple[int, int], bytes] = {}
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        count = np.diff(words.first)
+        for n in np.unique(np.minimum(count, window)).tolist():
+            if n:
+                whole, inside = words.windows(n)
+                own = count >= window if n == window else count == n
+                at = np.flatnonzero(inside & own[words.text])
+                at = at[np.argsort(whole[at], kind="stable")]
+                self.by_size[n] = (whole[at], at, words.text[at])
+
+    def key(self, at: int, n: int) -> bytes:
+        out = self.keys.get((at, n))
+        if out is None:
+            if len(self.keys) >= KEPT_KEYS:
+                self.keys.clear()
+            out = self.keys[at, n] = b" ".join(self.data[a:b] for a, b in zip(self.start[at : at + n].tolist(), self.end[at : at + n].tolist()))
+        return out
+
+    def scan(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
+        """For each text its words, the word ranges hit (start, end, ...; ends excluded, ranges apart), and the items that occur."""
+        words = Words(texts, WORD_BYTES)
+        data = b""
+        hit, found = np.zeros(len(words.hashes) + 1, dtype=np.int64), {}
+        for n, (known, at, item) in self.by_size.items():
+            whole, inside = words.windows(n)
+            low = np.minimum(np.searchsorted(known, whole), len(known) - 1)
+            for p in np.flatnonzero(inside & (known[low] == whole)).tolist():
+                data = data or words.data.tobytes().translate(LOWER)
+                key = b" ".join(data[a:b] for a, b in zip(words.start[p : p + n].tolist(), words.end[p : p + n].tolist()))
+                owners, i = set(), int(low[p])
+                while i < len(known) and known[i] == whole[p]:
+                    if self.key(int(at[i]), n) == key:
+                        owners.add(self.items[item[i]])
+                    i += 1
                 if owners:
-                    items.update(owners)
-                    hit[at] += 1
-                    hit[at + n] -= 1
-        if not items:
-            return [], []
-        covered = np.concatenate(([0], (np.cumsum(hit[:-1]) > 0).astype(np.int8), [0]))
-        return np.flatnonzero(np.diff(covered)).tolist(), sorted(items)
-
-
-def merged(a: list[int], b: list[int]) -> list[int]:
-    """Union of two lists of ranges; ranges that touch become one."""
-    out: list[int] = []
-    for start, end in sorted(zip([*a[::2], *b[::2]], [*a[1::2], *b[1::2]])):
-        if out and start <= out[-1]:
-            out[-1] = max(out[-1], end)
-        else:
-            out += [start, end]
-    return out
+                    hit[p] += 1
+                    hit[p + n] -= 1
+                    found.setdefault(int(words.text[p]), set()).update(owners)
+        covered = np.cumsum(hit[:-1]) > 0
+        ranges, items = [[]] * len(texts), [[]] * len(texts)
+        for text, owners in found.items():
+            own = np.concatenate(([0], covered[words.first[text] : words.first[text + 1]].astype(np.int8), [0]))
+            ranges[text], items[text] = np.flatnonzero(np.diff(own)).tolist(), sorted(owners)
+        return np.diff(words.first), ranges, items
 
 
 def slices(benchmark: DataFrame, item_col: str, text_col: str, slice_bytes: int = SLICE_BYTES) -> Iterator[list[tuple[str, str]]]:
     """The benchmark's rows in slices of about slice_bytes; rows without an id or a text take no part."""
     rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")
-    )
+    ).distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // slice_bytes) or 1
     for k in range(n):
@@ -75,6 +90,23 @@ def slices(benchmark: DataFrame, item_col: str, text_col: str, slice_bytes: int
         yield [(r.item, r.text) for r in part.collect()]
 
 
+def _scanned(df: DataFrame, at: int, windows: Windows) -> DataFrame:
+    """df with n_words, hit_ranges and hit_items behind its columns; at: the number of the text's."""
+    shared = df.sparkSession.sparkContext.broadcast(windows)
+    added = T._parse_datatype_string("n_words bigint, hit_ranges array<bigint>, hit_items array<string>")
+    schema = T.StructType([*df.schema.fields, *added.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, at):
+                n, ranges, items = shared.value.scan(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(ranges, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=schema.fieldNames())
+
+    out = bounded(df).mapInArrow(run, schema)
+    out._shared = shared
+    return out
+
+
 def scan(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_col: str = "text", window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Adds to every row n_words, hit_ranges (of word numbers, flat, ends excluded) and hit_items (sorted strings).
 
@@ -82,22 +114,28 @@ def scan(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col:
     repeated item ids count as one item. Columns of df that are called like the added ones are replaced.
     """
     names = [c for c in df.columns if c not in ("n_words", "hit_ranges", "hit_items")]
-    at = names.index(text_col)
-    spark = df.sparkSession
-    out = df.select(*[F.col(f"`{c}`") for c in names], F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("hit_ranges"), F.array().cast("array<string>").alias("hit_items"))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
-    for items in slices(benchmark, item_col, bench_col, slice_bytes):
-        shared = spark.sparkContext.broadcast(Windows(items, window))
-
-        def rows(cols, shared=shared):
-            windows = shared.value
-            for row in zip(*cols):
-                words = words_of(row[at])
-                ranges, found = windows.scan(words)
-                yield *row[:-3], len(words), merged(row[-2], ranges), sorted({*row[-1], *found})
-
-        out = map_rows(out, rows, schema)
-    return out
+    df = df.select(*[F.col(f"`{c}`") for c in names])
+    parts = slices(benchmark, item_col, bench_col, slice_bytes)
+    first = next(parts)
+    second = next(parts, None)
+    if second is None:
+        return _scanned(df, names.index(text_col), Windows(first, window))
+    # several passes: only rows with hits are written by each, under numbers that one written table gives the rows
+    rows = written(df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("own")), "numbered")
+    hits, n_words = None, None
+    for items in (first, second, *parts):
+        out = _scanned(rows.select("row", F.col(f"own.`{text_col}`").alias("text")), 1, Windows(items, window))
+        n_words = n_words or written(out.select("row", "n_words"), "n_words")
+        now = written(out.where(F.size("hit_items") > 0).select("row", "hit_ranges", "hit_items"), "hits")
+        out._shared.destroy()
+        hits = now if hits is None else hits.unionByName(now)
+    span = lambda r: F.transform(F.sequence(F.lit(0), (F.size(r) / 2).cast("int") - 1), lambda i: F.struct(F.element_at(r, (2 * i + 1).cast("int")).alias("a"), F.element_at(r, (2 * i + 2).cast("int")).alias("b")))
+    every = hits.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list(span(F.col("hit_ranges"))))).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("i"))
+    # ranges in order of their starts: one that touches the last is taken into it
+    join = lambda out, x: F.when((F.size(out) > 0) & (x["a"] <= F.element_at(out, -1)), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.greatest(F.element_at(out, -1), x["b"])))).otherwise(F.concat(out, F.array(x["a"], x["b"])))
+    none = F.array().cast("array<bigint>")
+    every = every.select("row", F.aggregate("r", none, join).alias("r"), "i")
+    return rows.join(n_words, "row").join(every, "row", "left").select("own.*", "n_words", F.coalesce("r", none).alias("hit_ranges"), F.coalesce("i", F.array().cast("array<string>")).alias("hit_items"))
 
 
 def remove_spans(text: str, ranges: list[int]) -> str:
@@ -110,6 +148,19 @@ def remove_spans(text: str, ranges: list[int]) -> str:
     return "".join([*out, text[at:]])
 
 
-def clean_documents(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of df in which no window of the benchmark occurs; all columns as they were."""
-    return scan(df, benchmark, **options).where(F.size("hit_items") == 0).select(*[F.col(f"`{c}`") for c in df.columns])
+def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_col: str = "text", window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The rows of df in which no window of the benchmark occurs; all columns as they were, whatever their names."""
+    parts = slices(benchmark, item_col, bench_col, slice_bytes)
+    items = next(parts)
+    if (second := next(parts, None)) is None:
+        shared = df.sparkSession.sparkContext.broadcast(Windows(items, window))
+        return filtered(df, text_col, lambda texts: [not x for x in shared.value.scan(texts)[2]])
+    before = None
+    for items in (items, second, *parts):
+        shared = df.sparkSession.sparkContext.broadcast(Windows(items, window))
+        df = written(filtered(df, text_col, lambda texts, shared=shared: [not x for x in shared.value.scan(texts)[2]]), "clean")
+        shared.destroy()
+        if before is not None:
+            discard(before)
+        before = df
+    return df

@@ -15,85 +15,130 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 FURNITURE = frozenset("nav footer aside form script style noscript template iframe button select textarea svg canvas object dialog menu head title".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|replies|disqus|cookies?|consent|notice|banner|promo|popup|modal|share|sharing|social|related|recommended|subscribe|newsletter|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+#: Names of page furniture in class, id and role, and words that say no more than that something is a part.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies disqus cookie cookies consent notice notices banner promo popup modal share sharing social related recommended subscribe newsletter toolbar widget complementary contentinfo".split()
 )
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-RAW = frozenset(("script", "style", "textarea", "title"))
+PARTS = frozenset("area bar block box button buttons column container content form holder icon icons inner item items label left link links list main outer panel right row section slot top bottom unit wrap wrapper".split())
+#: A tag from its < on: quotes count only behind =, and an open one ends nothing. No part gives back what it has taken.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
+RAW = {t: re.compile(f"</{t}\\b[^>]*+>", re.I) for t in ("script", "style", "textarea", "title")}
+#: What a start tag ends if it is open: the outermost up to the next fence.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CLOSABLE = frozenset(("p", *CLOSES))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FENCE = frozenset("ul ol dl table article section div body".split())
-SPACE = re.compile(r"[ \t\n\r\f\v ]+")
+SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "score", "gone")
+    """An element. open: of a fence, the last of each closable tag below it, not below another fence."""
 
-    def __init__(self, tag: str, up: Node | None, gone: bool = False):
-        self.tag, self.up, self.kids, self.score, self.gone = tag, up, [], 0.0, gone
+    __slots__ = ("tag", "up", "kids", "score", "gone", "hint", "closed", "fence", "open", "number")
 
+    def __init__(self, tag: str, up: Node | None, gone: bool = False, hint: bool = False, number: int = 0):
+        self.tag, self.up, self.kids, self.score, self.gone, self.hint, self.closed, self.number = tag, up, [], 0.0, gone, hint, False, number
+        own = up is None or tag in FENCE
+        self.fence, self.open = (self if own else up.fence), ({} if own else None)
 
-def furniture(tag: str, attributes: str, up: Node) -> bool:
-    if tag in FURNITURE or tag == "header" and not inside(up, "article"):
-        return True
+
+def furniture(tag: str, attributes: str, within: bool, in_article: bool) -> tuple[bool, bool]:
+    """(certain, likely) that an element is page furniture. within: it lies in an article or main.
+
+    There a name must say nothing else: notice and notice-box are furniture, notice-period only likely, so that links decide.
+    """
+    if tag in FURNITURE or tag == "header" and not in_article:
+        return True, True
+    likely = False
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         value, name = value.strip("\"'"), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and NAMES.search(value):
-            return True
-    return False
-
-
-def inside(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.up
-    return False
+            return True, True
+        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+            for token in value.lower().split():
+                words = [w for w in re.split(r"[_-]+", token) if w]
+                if any(w in NAMES for w in words):
+                    if not within or all(w in NAMES or w in PARTS for w in words):
+                        return True, True
+                    likely = True
+    return False, likely
 
 
 def parse(html: str) -> Node:
-    """The element tree; strings among kids are text. End tags that close nothing are ignored, open ones end with their parent."""
+    """The element tree; strings among kids are text. End tags that close nothing are ignored, open ones end with their parent.
+
+    Each character and each element is passed a bounded number of times, however odd the page.
+    """
     root = top = Node("#root", None)
-    at = 0
-    while (m := TAG.search(html, at)) is not None:
-        if m.start() > at and not top.gone:
-            top.kids.append(html[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+    at, held, number, last = 0, {}, 0, html.rfind(">")
+
+    def close(node: Node) -> None:
+        """Ends node and all that is open in it."""
+        nonlocal top
+        while True:
+            top.closed = True
+            held[top.tag] -= 1
+            done, top = top is node, top.up
+            if done:
+                return
+
+    def text(start: int, end: int) -> None:
+        if end > start and not top.gone:
+            top.kids.append(html[start:end])
+
+    while (lt := html.find("<", at)) >= 0:
+        follow = html[lt + 1 : lt + 2]
+        if follow in "!?" and follow:
+            text(at, lt)
+            long = html.startswith("<!--", lt)
+            end = html.find("-->" if long else ">", lt + 4 if long else lt)
+            if end < 0:
+                return root
+            at = end + (3 if long else 1)
             continue
-        tag = tag.lower()
+        m = TAG.match(html, lt)
+        if m is None:
+            if last < lt:
+                break
+            if not (follow.isalpha() or follow == "/" and html[lt + 2 : lt + 3].isalpha()):
+                # no tag: the sign itself
+                text(at, lt + 1)
+                at = lt + 1
+                continue
+            # a tag that the page's end cuts off, and all behind it with it
+            text(at, lt)
+            return root
+        text(at, lt)
+        at, tag = m.end(), m[2].lower()
         if m[1]:
-            node = top
-            while node is not None and node.tag != tag:
-                node = node.up
-            top = node.up if node is not None and node.up is not None else top
+            if held.get(tag):
+                node = top
+                while node.tag != tag:
+                    node = node.up
+                close(node)
             continue
-        if tag in BLOCK or tag in CLOSES:
-            node = top
-            while node.tag != "p" and node.tag not in FENCE and node.up is not None:
-                node = node.up
-            top = node.up if node.tag == "p" and tag in BLOCK else top
+        if tag in BLOCK and (p := top.fence.open.get("p")) is not None and not p.closed:
+            close(p)
         if tag in CLOSES:
-            node = top
-            while node.tag not in CLOSES[tag] and node.tag not in FENCE and node.up is not None:
-                node = node.up
-            top = node.up if node.tag in CLOSES[tag] else top
-        node = Node(tag, top, top.gone or furniture(tag, m[3], top))
+            ends = [x for t in CLOSES[tag] if (x := top.fence.open.get(t)) is not None and not x.closed]
+            if ends:
+                close(min(ends, key=lambda x: x.number))
+        certain, likely = (True, False) if top.gone else furniture(tag, m[3], bool(held.get("article") or held.get("main")), bool(held.get("article")))
+        number += 1
+        node = Node(tag, top, certain, likely, number)
         if tag in RAW:
-            end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(html, at)
+            end = RAW[tag].search(html, at)
             at = end.end() if end else len(html)
             continue
         if not node.gone or tag not in VOID:
             top.kids.append(node)
         if tag not in VOID and not m[3].endswith("/"):
+            if tag in CLOSABLE:
+                top.fence.open[tag] = node
+            held[tag] = held.get(tag, 0) + 1
             top = node
-    if at < len(html) and not top.gone:
-        top.kids.append(html[at:])
+    text(at, len(html))
     return root
 
 
@@ -148,6 +193,8 @@ def main_text(html: str | None) -> str:
     root = parse(html)
     sized = measure(root)
     size = {id(n): (chars, links) for n, chars, links, _ in sized}
+    for node, chars, links, _ in sized:
+        node.gone = node.gone or node.hint and links > 0.5 * chars
     for node, chars, links, commas in sized:
         if not chars or node.tag not in ("p", "pre", "td", "blockquote", "li", "div", "section"):
             continue

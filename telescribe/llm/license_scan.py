@@ -1,6 +1,7 @@
 """License scans with DataFrame operations only: phrases word by word, and template containment as a set-similarity join.
 
-The templates' tokens are put in order of how many text blocks (lines) hold them. A block that holds enough of a template
+Text blocks are the lines, and every two lines that follow each other, as licenses are often wrapped. The templates'
+tokens are put in order of how many text blocks hold them. A block that holds enough of a template
 holds one of its rarest tokens, so an inverted list of these prefixes, with length and positional filters, finds every
 block to confirm.
 """
@@ -63,7 +64,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
     n_base counts all places of the phrases, first_word and last_word are their smallest and largest start. labels adds
-    those of templates of which one line (cut at line feeds) holds threshold of the tokens or more. score is the largest
+    those of templates of which a line (cut at line feeds), or a line and the next, neither without any of the templates'
+    words, hold threshold of the tokens or more. score is the largest
     share of a template's tokens among these, 1 where a phrase stands, else 0. Null and empty texts have no words;
     repeated rows are judged apart; null ids stay; other columns are not read.
     """
@@ -79,8 +81,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
         "doc_id",
         F.aggregate("_lines", F.lit(0).cast("bigint"), lambda n, line: n + F.size(line)).alias("n_words"),
         place.alias("_words"),
-        F.filter(hits, lambda h: F.size(h) > 0).alias("_hits"),
+        hits.alias("_lines"),
     )
+    some = lambda h: F.size(h) > 0
+    both = lambda a, b: F.when(some(a) & some(b), F.array_union(a, b)).otherwise(F.array().cast("array<string>"))
+    pairs = F.when(F.exists("_lines", some), F.zip_with(F.slice("_lines", 1, F.size("_lines") - 1), F.slice("_lines", 2, F.size("_lines")), both))
+    found = found.withColumn("_hits", F.filter(F.concat("_lines", F.coalesce(pairs, F.array().cast("array<array<string>>"))), some))
     at = [F.when(F.col("_words").isNotNull(), starts(F.col("_words"), p)).otherwise(F.array().cast("array<int>")).alias(f"_at{i}") for i, (p, _) in enumerate(phrases)]
     found = found.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "n_words", "_hits", *at)
     found = written(found, "license")

@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join over line tokens.
 
-1. One pass counts tokens over the whole corpus in a fixed number of hash buckets; the counts, whose size does not grow
-   with the data, give one global order of tokens, rare ones first.
+1. One pass counts tokens over the whole corpus in rows of hash buckets; the least of a token's counts, in a table whose
+   size does not grow with the data, gives one global order of tokens, rare ones first.
 2. A second pass turns every line into its distinct tokens in that order, a digest of the set, and the prefix that any
    line similar enough must share a token of.
 3. Lines of one digest are one class; the classes' prefixes form inverted lists, filtered by length and position.
@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telescribe.llm.common import WORD_BYTES, Words, components, confirmed, dense_links, discard, lists_array, map_batches, map_rows, mixed, sent, single, written
+from telescribe.llm.common import WORD_BYTES, Words, bounded, components, confirmed, dense_links, discard, lists_array, map_batches, map_rows, mixed, sent, single, slices, with_small_ids, written
 
-#: Buckets in which tokens are counted; lists with more lines count as long; lines a document can number.
-BUCKETS, LONG_LIST, LINE_BITS = 1 << 16, 2000, 24
+#: Rows of buckets in which tokens are counted, bits of a bucket's number, and parts that a table of counts is cut in.
+ROWS, BUCKET_BITS, SEGMENTS = 3, 17, 48
+#: Lists with more lines count as long; bits of a line's number.
+LONG_LIST, LINE_BITS = 2000, 24
 #: Words of a bucket from which its tokens are dealt out, and the parts they go to.
 OFTEN, PARTS = 1_000_000, 31
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
@@ -34,42 +36,64 @@ def line_words(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     return words, np.searchsorted(feeds, words.start) + words.text, first
 
 
-def bucket_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+def buckets_of(hashes: np.ndarray) -> list[np.ndarray]:
+    """The place of each hash in each row of buckets, in one table of all rows."""
+    return [((hashes >> np.uint64(BUCKET_BITS * r)) & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64) + (r << BUCKET_BITS) for r in range(ROWS)]
+
+
+def code_of(counts: np.ndarray) -> np.ndarray:
+    """Counts to 16 bits in the same order, one part in a hundred apart."""
+    return (counts.astype(np.float32).view(np.uint32) >> np.uint32(16)).astype(np.uint16)
 
 
 def bucket_counts(df: DataFrame, text_col: str) -> np.ndarray:
-    """How many words of the corpus fall in each bucket, summed from one small table a task."""
+    """How many words of the corpus fall in each bucket: a small table a task, cut in segments that are added up apart."""
+    size = ROWS << BUCKET_BITS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, dtype=np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                counts += np.bincount(bucket_of(Words(batch.column(0).slice(at, 256), WORD_BYTES).hashes), minlength=BUCKETS)
-        full = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], names=["bucket", "n"])
+            for part in slices(batch, 0):
+                counts += np.bincount(np.concatenate(buckets_of(Words(part.column(0), WORD_BYTES).hashes)), minlength=size)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, SEGMENTS)], pa.binary())], names=["segment", "counts"])
 
-    rows = df.select(text_col).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    for bucket, n in rows:
-        counts[bucket] = n
-    return counts
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for segment, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                now = np.frombuffer(counts, dtype=np.int64)
+                sums[segment] = sums[segment] + now if segment in sums else now
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["segment", "counts"])
+
+    schema = "segment int, counts binary"
+    rows = bounded(df).select(text_col).mapInArrow(count, schema).repartition("segment").mapInArrow(add, schema).collect()
+    counts = np.zeros((SEGMENTS, size // SEGMENTS), dtype=np.int64)
+    for r in rows:
+        counts[r.segment] = np.frombuffer(r.counts, dtype=np.int64)
+    return counts.reshape(-1)
 
 
-def ordered_sets(tokens: np.ndarray, lines: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens of each line, rare ones first, and the start of each line that has any.
+def ordered_sets(tokens: np.ndarray, lines: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of each line, those of small codes first, and the start of each line that has any.
 
-    The order is the rank of a token's bucket, then 28 more bits of its hash; rarer still would be equal only by chance.
+    Equal codes are ordered by the tokens' hashes. One number of line, code and part of the hash sorts most batches; where
+    it cannot tell two tokens or number all lines, whole hashes do.
     """
-    key = (lines.astype(np.uint64) << np.uint64(44)) | (rank[bucket_of(tokens)] << np.uint64(28)) | (tokens >> np.uint64(36))
-    order = np.argsort(key)
-    key, tokens = key[order], tokens[order]
-    new = np.ones(len(tokens), dtype=bool)
-    new[1:] = key[1:] != key[:-1]
-    key, tokens = key[new] >> np.uint64(44), tokens[new]
+    if not len(tokens):
+        return tokens, np.empty(0, np.int64)
+    order = np.empty(0, np.int64)
+    if lines[-1] < 1 << 20:
+        key = (lines.astype(np.uint64) << np.uint64(44)) | (code.astype(np.uint64) << np.uint64(28)) | (tokens >> np.uint64(36))
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+    if not len(order) or (tokens[order][1:] != tokens[order][:-1])[same].any():
+        order = np.lexsort((tokens, code, lines))
+    tokens, lines = tokens[order], lines[order]
     first = np.ones(len(tokens), dtype=bool)
-    first[1:] = key[1:] != key[:-1]
-    return tokens, np.flatnonzero(first)
+    first[1:] = lines[1:] != lines[:-1]
+    new = first.copy()
+    new[1:] |= tokens[1:] != tokens[:-1]
+    return tokens[new], np.flatnonzero(first[new])
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -88,20 +112,19 @@ def signature(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def lines_table(docs: DataFrame, percent: int) -> DataFrame:
     """(at, n, one, two, low, high, often, prefix) of every line with tokens; often: place of the first token the corpus holds often."""
-    counts = bucket_counts(docs, "text")
-    rank = np.empty(BUCKETS, dtype=np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
-    order = docs.sparkSession.sparkContext.broadcast(rank)
-    often_from = int(np.sum(counts < OFTEN))
+    codes = docs.sparkSession.sparkContext.broadcast(code_of(bucket_counts(docs, "text")))
+    often_from = code_of(np.array([OFTEN]))[0]
 
-    def rank_of(tokens):
-        return order.value[bucket_of(tokens)]
+    def code(tokens):
+        return np.minimum.reduce([codes.value[found] for found in buckets_of(tokens)])
 
     def rows(batch):
         words, lines, first = line_words(batch.column(1))
-        tokens, starts = ordered_sets(words.hashes, lines, order.value)
+        tokens, starts = ordered_sets(words.hashes, lines, code(words.hashes))
         there = np.unique(lines)
         text = np.searchsorted(first, there, side="right") - 1
+        if len(first) > 1 and np.diff(first).max() > 1 << LINE_BITS:
+            raise ValueError(f"a text of more than {1 << LINE_BITS} lines")
         at = (batch.column(0).to_numpy()[text] << LINE_BITS) + there - first[text]
         n = np.diff(np.append(starts, len(tokens)))
         k = prefix_size(n, percent)
@@ -110,7 +133,7 @@ def lines_table(docs: DataFrame, percent: int) -> DataFrame:
         low, high = signature(tokens, starts) if len(starts) else (empty, empty)
         ahead = np.arange(len(tokens)) - np.repeat(starts, n) < np.repeat(k, n)
         short = tokens[ahead].astype(np.uint32).view(np.int32)
-        seldom = rank_of(tokens[ahead]) < often_from
+        seldom = code(tokens[ahead]) < often_from
         often = np.add.reduceat(seldom.astype(np.int32), np.concatenate(([0], np.cumsum(k)[:-1]))) if len(k) else k.astype(np.int32)
         return {"at": at, "n": n, "often": often, "prefix": lists_array(short, k)} | {c: x.view(np.int64) for c, x in (("one", one), ("two", two), ("low", low), ("high", high))}
 
@@ -121,16 +144,17 @@ def candidates(unique: DataFrame, percent: int, long_list: int) -> DataFrame:
     """(kind, a, b, n) from the inverted lists of prefix tokens, in one shuffle.
 
     kind 0: a and b are a pair that the length, positional and bitmap filters let pass. A list whose passing pairs
-    outnumber its lines (copies of one line, or more lines than a task holds at once) gives pairs with its first line
-    only, and a row of kind 1 for each member: a the token, b the line, n its size. Tokens that the corpus holds very
-    often are dealt out over many tasks, each part a list of its own, and always give rows of kind 1.
+    outnumber its lines (copies of one line, or more lines than a task holds at once) gives pairs with one line only, the
+    one that passes with most others, and a row of kind 1 for each member: a the token, b the line, n its size. Tokens
+    that the corpus holds very often are dealt out over many tasks, each part a list of its own, and always give rows of
+    kind 1.
     """
     names = ["list", "id", "n", "place", "low", "high"]
     lists = unique.select("id", "n", "low", "high", "often", F.posexplode("prefix").alias("place", "value"))
     part = F.when(F.col("place") >= F.col("often"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int") + 1).otherwise(F.lit(0))
     # one number holds the token, its part and the size, so that rows sort by it alone
     key = F.shiftleft(F.col("value").cast("bigint"), 25) + F.shiftleft(part.cast("bigint"), 20) + F.least("n", F.lit((1 << 20) - 1))
-    lists = lists.withColumn("list", key).select(*names).repartition(F.shiftright("list", 20)).sortWithinPartitions("list")
+    lists = bounded(lists).withColumn("list", key).select(*names).repartition(F.shiftright("list", 20)).sortWithinPartitions("list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -160,29 +184,42 @@ def candidates(unique: DataFrame, percent: int, long_list: int) -> DataFrame:
         big = (size > long_list) | (np.zeros(len(begin), dtype=bool) if cut is None else key[begin] == cut)
         low, high = low.view(np.uint64), high.view(np.uint64)
         n, place = n.astype(np.int64), place.astype(np.int64)
-        found: list[np.ndarray] = []
+
+        def passing(at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs of rows, the first's size no larger, that may be similar."""
+            fits = n[at] * 100 >= n[to] * percent
+            at, to = at[fits], to[fits]
+            good = np.minimum(n[at] - place[at], n[to] - place[to]) * (100 + percent) >= (n[at] + n[to]) * percent
+            at, to = at[good], to[good]
+            differ = np.bitwise_count(low[at] ^ low[to]).astype(np.int64) + np.bitwise_count(high[at] ^ high[to])
+            good = differ * (100 + percent) <= (n[at] + n[to]) * (100 - percent)
+            return at[good], to[good]
+
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         at = np.flatnonzero(~np.repeat(big, size))
-        step = 0
+        step, pairs, degree = 0, np.zeros(len(begin), dtype=np.int64), np.zeros(len(key), dtype=np.int64)
         while len(at):
             step += 1
             at = at[at + step < end[at]]
-            to = at + step
-            fits = n[at] * 100 >= n[to] * percent
-            at, to = at[fits], to[fits]
-            total = n[at] + n[to]
-            good = np.minimum(n[at] - place[at], n[to] - place[to]) * (100 + percent) >= total * percent
-            x, y = at[good], to[good]
-            differ = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y])
-            good = differ * (100 + percent) <= total[good] * (100 - percent)
-            found.append(np.stack((x[good], y[good])))
-        x, y = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        many = np.bincount(group[x], minlength=len(begin)) > 4 * size
-        dense = big | many
-        x, y = x[~dense[group[x]]], y[~dense[group[x]]]
+            # rows of a list are in order of size (but for sizes that the key cannot tell), so that no later one fits either
+            at = at[(n[at] * 100 >= n[at + step] * percent) | (n[at + step] >= (1 << 20) - 1)]
+            x, y = passing(at, at + step)
+            found.append((x, y))
+            pairs += np.bincount(group[x], minlength=len(begin))
+            degree += np.bincount(x, minlength=len(key)) + np.bincount(y, minlength=len(key))
+            if not step % 8:
+                # enough to choose a head by
+                at = at[pairs[group[at]] <= 16 * size[group[at]]]
+        dense = big | (pairs > 4 * size)
+        x, y = (np.concatenate(z) for z in zip(*found))
+        wanted = ~dense[group[x]]
+        x, y = x[wanted], y[wanted]
+        best = np.flatnonzero(degree == np.maximum.reduceat(degree, begin)[group]) if len(key) else begin
+        head = best[np.unique(group[best], return_index=True)[1]]
         star = np.flatnonzero(np.repeat(dense, size))
-        head = begin[group[star]]
-        other = star != head
-        x, y = np.concatenate((x, head[other])), np.concatenate((y, star[other]))
+        star = star[star != head[group[star]]]
+        a, b = passing(np.minimum(star, head[group[star]]), np.maximum(star, head[group[star]]))
+        x, y = np.concatenate((x, a)), np.concatenate((y, b))
         listed = np.flatnonzero(np.repeat(dense | (part[begin] > 0), size))
         a = np.concatenate((np.minimum(ids[x], ids[y]), value[listed]))
         b = np.concatenate((np.maximum(ids[x], ids[y]), ids[listed]))
@@ -196,12 +233,18 @@ def candidates(unique: DataFrame, percent: int, long_list: int) -> DataFrame:
 def line_classes(docs: DataFrame, percent: int = 80, long_list: int = LONG_LIST) -> DataFrame:
     """Lines that a similar line comes before: (doc_id, line, first_doc, first_line), the first line of the component.
 
-    docs: (doc_id bigint, text), neither null, ids unique and below 2**39. at = doc_id * 2**24 + line orders all lines.
+    docs: (doc_id bigint, text), neither null, ids unique. Ids beyond 2**39 are numbered first, in their order.
     """
+    return with_small_ids(docs, lambda small: _line_classes(small, percent, long_list), ("doc_id", "first_doc"))
+
+
+def _line_classes(docs: DataFrame, percent: int, long_list: int) -> DataFrame:
+    # at = doc_id * 2**24 + line orders all lines
     seen = lines_table(docs, percent)
-    reps = written(seen.groupBy("one", "two", "n").agg(F.min("at").alias("id")), "reps")
+    reps = written(seen.groupBy("one", "two", "n").agg(F.min("at").alias("id"), F.count("*").alias("copies")), "reps")
     unique = written(seen.join(reps.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("at").alias("id"), "n", "low", "high", "often", "prefix"), "unique")
     found = written(candidates(unique, percent, long_list), "candidates")
+    discard(unique)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         need = ids.groupBy(F.shiftright("id", LINE_BITS).alias("doc_id")).agg(F.collect_list(F.col("id").bitwiseAND(F.lit((1 << LINE_BITS) - 1))).alias("lines"))
@@ -213,20 +256,26 @@ def line_classes(docs: DataFrame, percent: int = 80, long_list: int = LONG_LIST)
                 for i, k in enumerate(wanted):
                     yield (key << LINE_BITS) + k, np.unique(words.hashes[words.first[i] : words.first[i + 1]]).tobytes()
 
-        return map_rows(docs.join(sent(need), "doc_id").select("doc_id", "text", "lines"), sets, "id bigint, s binary")
+        return map_rows(docs.join(sent(need), "doc_id").select("doc_id", "text", "lines"), sets, "id bigint, s binary", chunk=64)
 
-    discard(unique)
-    links = confirmed(found.where("kind = 0").select("a", "b").distinct(), sets_of, percent)
+    hopes = written(found.where("kind = 0").select("a", "b").distinct(), "hopes")
+    links = confirmed(hopes, sets_of, percent)
+    discard(hopes)
     dense = found.where("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("id"), "n")
     if dense.limit(1).count():
-        links = written(links.unionByName(dense_links(dense, links, sets_of, percent)), "links")
+        links = links.unionByName(dense_links(dense, links, sets_of, percent))
     comp = components(links)
-    first = reps.join(comp, reps.id == comp.node, "left").select("one", "two", "n", F.coalesce("component", "id").alias("first"))
+    first = reps.join(comp, reps.id == comp.node, "left").select("one", "two", "n", "copies", "id", F.coalesce("component", "id").alias("first"))
+    # of most lines no other is like them
+    first = written(first.where("copies > 1 or first <> id").drop("copies", "id"), "first")
+    discard(found, reps, comp)
     later = seen.select("at", "one", "two", "n").join(first, ["one", "two", "n"]).where("at <> first")
     number = lambda c: F.col(c).bitwiseAND(F.lit((1 << LINE_BITS) - 1))
-    return later.select(
+    later = written(later.select(
         F.shiftright("at", LINE_BITS).alias("doc_id"), number("at").alias("line"), F.shiftright("first", LINE_BITS).alias("first_doc"), number("first").alias("first_line")
-    )
+    ), "later")
+    discard(seen, first)
+    return later
 
 
 def later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -236,7 +285,7 @@ def later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     hold a line of a smaller (doc_id, line). Lines without words are kept and linked with nothing. class_id is the
     smallest doc_id that holds the first line of one of the document's components, itself included. Null texts have no
     lines; rows with a null id are left out; rows that repeat an id count as one, with the smallest text; an empty table
-    gives an empty one. Other columns are not read.
+    gives an empty one. A text of more than 2**24 lines is an error. Other columns are not read.
     """
     docs = single(df, id_col, text_col)
     lists = line_classes(docs.where("text is not null"), percent).groupBy("doc_id").agg(
@@ -251,9 +300,31 @@ def later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """df with the removed lines cut from text_col; all rows and all columns stay. See later_lines()."""
-    gone = later_lines(df, id_col, text_col, percent).where("n_removed > 0").select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_gone"))
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_gone", i.cast("bigint"))), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
-    names = [F.col(f"`{c}`") if c != text_col else text.alias(c) for c in df.columns]
-    return df.join(gone, F.col(id_col).cast("bigint") == F.col("_gone_id"), "left").select(*names)
+    """df with the removed lines cut from text_col; all rows and all columns stay, whatever their names. See later_lines().
+
+    Rows with a null id or text stay as they are. Of rows that repeat an id those with the smallest text are cut, each of
+    them alike; the others stay as they are.
+    """
+    docs = single(df, id_col, text_col)
+    gone = line_classes(docs.where("text is not null"), percent).groupBy("doc_id").agg(F.collect_list("line").alias("gone"))
+    # the row's own columns are kept apart in one, so that none clashes
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"))
+    text, same = F.col(f"row.`{text_col}`"), F.lit(True)
+    if docs._repeated:
+        gone = gone.join(docs.select(F.col("doc_id"), F.col("text").alias("only")), "doc_id")
+        same = F.col("only") == text
+    cut = row.join(gone, F.col("id") == F.col("doc_id"), "left").select("row", F.when(text.isNotNull() & same, F.col("gone")).alias("cut"))
+    names, at = df.columns, df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.column(0).flatten()
+            texts = columns[at].to_pylist()
+            for i, lines in enumerate(batch.column(1).to_pylist()):
+                if lines:
+                    lines = set(lines)
+                    texts[i] = "\n".join(line for k, line in enumerate(texts[i].split("\n")) if k not in lines)
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return bounded(cut).mapInArrow(run, df.schema)

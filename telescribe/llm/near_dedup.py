@@ -25,7 +25,7 @@ from telescribe.llm.common import SPACED_BYTES, Words, components, confirmed, de
 class Params:
     """k: hashes retained. long_list: members from which a list counts as long. first: short-list values used of a
     sketch with few long lists. frequent: share of long-list values from which a text takes part in step 5.
-    floor: estimated similarity below which a pair goes; it is four standard errors below the threshold."""
+    floor: estimated similarity below which a pair goes; it is six standard errors below the threshold."""
 
     shingle: int = 2
     percent: int = 80
@@ -33,7 +33,7 @@ class Params:
     long_list: int = 40
     first: int = 12
     frequent: float = 0.65
-    floor: float = 0.6
+    floor: float = 0.5
 
 
 def sketches(df: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
@@ -127,7 +127,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
     links = confirmed(hopes, sets_of, p.percent)
     discard(hopes)
     if long.limit(1).count():
-        links = written(links.unionByName(dense_links(long, links, sets_of, p.percent)), "links")
+        links = links.unionByName(dense_links(long, links, sets_of, p.percent))
+    discard(long)
     best = components(links).select(F.col("node").alias("rep"), "component")
     out = member.join(best, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
+    """df without the documents that classes() does not keep; all columns stay, whatever their names, as do null ids."""
+    gone = classes(df, id_col, text_col, params).where("not kept").select(F.col("doc_id").alias("copy"))
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"))
+    return row.join(gone, F.col("id") == F.col("copy"), "left_anti").select("row.*")
