@@ -8,31 +8,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telescribe.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
-from telescribe.llm.common import scratch_root, table
+from telescribe.llm.common import PLAIN, delete, scratch_root, table
 from telescribe.llm.queries import tokenizer_path
 
+#: Near duplicates of the pipeline share four fifths of their shingles of five words.
+COPIES = near_dedup.Params(shingle=5)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; all others stay as they are."""
+    """Documents predicted toxic go, each row by its own text, null ids and repeated ids included; all others stay as they are."""
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    verdict = toxicity.score(docs, index).where("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(verdict, F.col("doc_id") == F.col("_toxic"), "left_anti")
+    return toxicity.clean(docs, index)
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a similar line comes before are cut; every document stays, with n_chars of what is left."""
+    """Lines that a similar line comes before are cut; every document stays, with n_chars of what is left.
+
+    Rows with a null id or text stay as they are, as do those of a repeated id that hold another text than its smallest.
+    """
     out = line_dedup.deduplicated(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document of the smallest id stays."""
-    gone = near_dedup.classes(docs).where("not kept").select(F.col("doc_id").alias("_copy"))
-    return docs.join(gone, F.col("doc_id") == F.col("_copy"), "left_anti")
+    """Of each class of near-duplicates the document of the smallest id stays; rows with a null id all stay.
+
+    All rows of a repeated id go or stay together, by its smallest text.
+    """
+    return near_dedup.one_of_each(docs, params=COPIES)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of the benchmark occurs go."""
+    """Documents in which a window of the benchmark occurs go, each row by its own text."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -54,10 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents, each written to the shared folder and read again; what a stage has read is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{scratch_root(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}-{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.options(**PLAIN).parquet(path)
+        if before is not None:
+            delete(before, spark)
+        docs, before = spark.read.parquet(path), path
     return docs
