@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# What a template replaces, in this order; only numbers are values.
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-HEX, NUMBER = r"0[xX][0-9a-fA-F]+", r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+HEX = r"\b0x[0-9a-fA-F]+\b"
+NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+# Templates that are different each time, and so say nothing of a window.
+UNSTABLE = (r"^[0-9a-fA-F\s]{20,}$", r"(?i)(GET|POST|PUT|DELETE)\s+/", r"""(?i)^\s*\{.*"(id|uuid|session)":""")
 
 
 def template(message: Column) -> Column:
@@ -25,9 +29,27 @@ def template_values(message: Column) -> Column:
 
 def first_match(message: Column, rules, default: str | None = None) -> Column:
     """The label of the first (regex, label) that the message holds, whatever its case."""
-    out = F.lit(default).cast("string")
-    for pattern, label in reversed(list(rules)):
-        out = F.when(message.rlike(f"(?i){pattern}"), label).otherwise(out)
+    return chosen([(message.rlike(f"(?i){pattern}"), F.lit(label)) for pattern, label in rules], F.lit(default).cast("string"))
+
+
+def chosen(arms: list[tuple[Column, Column]], default: Column | None = None) -> Column:
+    """The value of the first condition that holds, as one flat CASE."""
+    out = F.when(*arms[0])
+    for condition, value in arms[1:]:
+        out = out.when(condition, value)
+    return out if default is None else out.otherwise(default)
+
+
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once a row, however often they are read: the optimiser copies a plain column into
+    each filter and column that reads it, but none out of a generator."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def unstable(text: Column) -> Column:
+    out = text.rlike(UNSTABLE[0])
+    for pattern in UNSTABLE[1:]:
+        out = out | text.rlike(pattern)
     return out
 
 

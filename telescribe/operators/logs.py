@@ -2,28 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telescribe.functions.text import any_match, first_match, template
-from telescribe.operators.relational import near, sessions
+from telescribe.functions.text import any_match, chosen, first_match, settled, template, unstable
+from telescribe.operators.relational import near, neighbour, running_max, sessions
 from telescribe.plans import rules
 
 
 def classified(logs: DataFrame) -> DataFrame:
+    """Adds what the first pattern that a message holds says of it: log_event (UNMATCHED without one), pattern, matched
+    (the pattern's value), matched_text and groups."""
     m = F.col("raw_message")
-    value = F.lit(None).cast("string")
-    for pattern, _, _, _, group in reversed(rules.PATTERNS):
-        value = F.when(m.rlike(f"(?i){pattern}"), F.regexp_extract(m, f"(?i){pattern}", group)).otherwise(value)
-    return logs.withColumns({"log_event": first_match(m, [(p, e) for p, e, *_ in rules.PATTERNS], "UNMATCHED"), "matched": value})
+    regex = [f"(?i){p[0]}" for p in rules.PATTERNS]
+    hit = chosen([(m.rlike(r), F.struct(F.lit(i).alias("rule"), F.regexp_extract(m, r, p[4]).alias("value"))) for i, (r, p) in enumerate(zip(regex, rules.PATTERNS))])
+    rows = settled(logs, _hit=hit)
+    name = lambda labels: F.try_element_at(F.array(*map(F.lit, labels)), F.col("_hit.rule") + 1)
+    groups = [F.array(*[F.regexp_extract(m, r, g + 1) for g in range(rules.groups_of(r))]) for r in regex]
+    return rows.withColumns(
+        {
+            "log_event": F.coalesce(name([p[1] for p in rules.PATTERNS]), F.lit("UNMATCHED")),
+            "pattern": name(rules.PATTERN_NAMES),
+            "matched": F.col("_hit.value"),
+            "matched_text": chosen([(F.col("_hit.rule") == i, F.regexp_extract(m, r, 0)) for i, r in enumerate(regex)]),
+            "groups": chosen([(F.col("_hit.rule") == i, g) for i, g in enumerate(groups)]),
+        }
+    ).drop("_hit")
+
+
+def level_name(level: Column) -> Column:
+    """The name of a log level, or LVL and its number."""
+    return chosen([(level == n, F.lit(label)) for n, label in rules.LEVELS.items()], F.concat(F.lit("LVL"), level.cast("string")))
+
+
+def event_summary(logs: DataFrame, nodes: int = 10) -> DataFrame:
+    """(what, name, n, pct): log rows by type and level, and the nodes with most; pct of all rows."""
+    rows = logs.select("log_event", "node", level_name(F.col("level")).alias("level"))
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("what"), F.col(c).alias("name")) for w, c in (("type", "log_event"), ("node", "node"), ("level", "level"))]))
+    counts = rows.select(each.alias("x")).groupBy("x.what", "x.name").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("what")  # a row a name
+    ranked = counts.withColumns({"r": F.row_number().over(w.orderBy(F.desc("n"), "name")), "pct": F.round(100.0 * F.col("n") / F.sum("n").over(w), 1)})
+    return ranked.where((F.col("what") != "node") | (F.col("r") <= nodes)).drop("r")
 
 
 def routed(logs: DataFrame) -> DataFrame:
     """route: keep (errors), noise, dedup, signal or passthrough, in this order; dedup_key of the third."""
     m = F.col("raw_message")
-    key = first_match(m, rules.DEDUP)
-    route = F.when(F.col("level") >= 8, "keep").when(any_match(m, rules.NOISE), "noise").when(key.isNotNull(), "dedup").when(any_match(m, rules.SIGNAL), "signal").otherwise("passthrough")
-    return logs.withColumn("route", route).withColumn("dedup_key", F.when(F.col("route") == "dedup", key))
+    rows = settled(logs, _key=first_match(m, rules.DEDUP))
+    route = F.when(F.col("level") >= 8, "keep").when(any_match(m, rules.NOISE), "noise").when(F.col("_key").isNotNull(), "dedup").when(any_match(m, rules.SIGNAL), "signal").otherwise("passthrough")
+    rows = settled(rows, route=route)
+    return rows.withColumn("dedup_key", F.when(F.col("route") == "dedup", F.col("_key"))).drop("_key")
 
 
 def deduplicated(logs: DataFrame) -> DataFrame:
@@ -33,24 +63,49 @@ def deduplicated(logs: DataFrame) -> DataFrame:
     )
 
 
-def state_changes(logs: DataFrame) -> DataFrame:
-    """Rows at which a state (key.field) takes another value than before."""
-    keys = {e: f"{k}.{f}" for _, e, k, f, _ in reversed(rules.PATTERNS) if k}
-    state = F.lit(None).cast("string")
-    for event, name in keys.items():
-        state = F.when(F.col("log_event") == event, name).otherwise(state)
-    rows = classified(logs).select("seq", "ts_us", state.alias("state"), F.col("matched").alias("new_value")).where("state is not null and new_value <> ''")
-    old = F.lag("new_value").over(Window.partitionBy("state").orderBy("ts_us", "seq"))
-    return rows.withColumn("old_value", F.coalesce(old, F.lit("<unknown>"))).where("old_value <> new_value")
+def state_changes(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows at which a state (key.field) takes another value than before; keys: columns that keep states apart."""
+    named = {e: f"{k}.{f}" for _, e, k, f, _ in reversed(rules.PATTERNS) if k}
+    state = F.try_element_at(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]), F.col("log_event"))
+    rows = classified(logs).select(*keys, "seq", "ts_us", state.alias("state"), F.col("matched").alias("new_value")).where("state is not null and new_value <> ''")
+    seen = neighbour(rows, [*keys, "state"], "ts_us", "seq", {"old_value": "new_value"})
+    return seen.withColumn("old_value", F.coalesce("old_value", F.lit("<unknown>"))).where("old_value <> new_value")
+
+
+def transitions(changes: DataFrame, key: str | None = None, field: str | None = None) -> DataFrame:
+    """Changes of one state (key and field), of all fields of a key, of one field of any key, or of all."""
+    parts = F.split("state", r"\.", 2)
+    out = changes if key is None else changes.where(parts[0] == key)
+    return out if field is None else out.where(parts[1] == field)
+
+
+def state_active(probes: DataFrame, periods: DataFrame, state: str, value: str) -> DataFrame:
+    """Adds active: whether the state had the value at the probe's time. periods: state_periods(), starts included, ends not.
+
+    Probes and periods meet in the hours that both touch.
+    """
+    hour = 3_600_000_000
+    own = periods.where((F.col("state") == state) & (F.col("value") == value))
+    last = F.greatest(F.floor(F.coalesce(F.col("end_us") - 1, F.lit(None)) / hour), F.floor(F.col("start_us") / hour))
+    closed = own.where("end_us is not null").select("start_us", "end_us", F.explode(F.sequence(F.floor(F.col("start_us") / hour), last)).alias("_hour"))
+    hit = probes.select("seq", "ts_us", F.floor(F.col("ts_us") / hour).alias("_hour")).join(closed, "_hour").where("ts_us >= start_us and ts_us < end_us").select("seq").distinct()
+    # a state has at most one period without an end
+    open_from = own.where("end_us is null").agg(F.min("start_us").alias("_open"))
+    out = probes.join(hit.withColumn("_hit", F.lit(True)), "seq", "left").join(F.broadcast(open_from))
+    return out.withColumn("active", F.coalesce("_hit", F.lit(False)) | F.coalesce(F.col("ts_us") >= F.col("_open"), F.lit(False))).drop("_hit", "_open")
 
 
 def state_periods(changes: DataFrame) -> DataFrame:
-    end = F.lead("ts_us").over(Window.partitionBy("state").orderBy("ts_us", "seq"))
-    return changes.select("state", F.col("new_value").alias("value"), F.col("ts_us").alias("start_us"), end.alias("end_us"))
+    rows = neighbour(changes, ["state"], "ts_us", "seq", {"end_us": "ts_us"}, after=True)
+    return rows.select("state", F.col("new_value").alias("value"), F.col("ts_us").alias("start_us"), "end_us")
 
 
 def state_summary(changes: DataFrame) -> DataFrame:
-    return state_periods(changes).groupBy("state", "value").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("end_us") - F.col("start_us")), F.lit(0).cast("bigint")).alias("total_us"))
+    """(state, value, n, total_us, transitions, current): how often and how long each value held; the last, open time is left out."""
+    periods = state_periods(changes)
+    out = periods.groupBy("state", "value").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("end_us") - F.col("start_us")), F.lit(0).cast("bigint")).alias("total_us"))
+    whole = periods.groupBy("state").agg(F.count("*").alias("transitions"), F.max(F.when(F.col("end_us").isNull(), F.col("value"))).alias("current"))
+    return out.join(whole, "state")
 
 
 def incident_bins(anomalies: DataFrame, gap_us: int) -> DataFrame:
@@ -69,29 +124,53 @@ def caused(logs: DataFrame, anomalies: DataFrame, reach_us: int, causes) -> Data
     return met.withColumn("_r", first).where("_r = 1").select("anomaly_seq", "category", "log_seq", "log_event", (F.col("anomaly_us") - F.col("log_us")).alias("delta_us"))
 
 
-def node_profiles(logs: DataFrame) -> DataFrame:
-    """Messages, median interval, its variation, and the kind of publisher it makes a node."""
-    gap = F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy("node").orderBy("ts_us", "seq"))
-    g = F.when(F.col("gap") > 0, F.col("gap") / 1000.0)
-    p = logs.withColumn("gap", gap).groupBy("node").agg(F.count("*").alias("n"), F.round(F.median(g), 3).alias("median_ms"), (F.stddev_pop(g) / F.avg(g)).alias("cv"))
-    kind = F.when(F.col("n") < 20, "event_driven").when(F.col("cv") < 0.3, "periodic").when(F.col("cv") < 1.0, "semi_periodic").otherwise("event_driven")
-    return p.select("node", "n", "median_ms", F.round("cv", 4).alias("cv"), kind.alias("kind"))
+def node_profiles(logs: DataFrame, kinds: tuple[str, str, str] = ("periodic", "semi_periodic", "event_driven")) -> DataFrame:
+    """Messages, rate, median interval, its variation (infinite without an interval), and the kind of publisher it makes a node."""
+    rows = neighbour(logs, ["node"], "ts_us", "seq", {"_before": "ts_us"})
+    gap = F.col("ts_us") - F.col("_before")
+    g = F.when(gap > 0, gap / 1000.0)
+    p = rows.groupBy("node").agg(F.count("*").alias("n"), F.round(F.median(g), 3).alias("median_ms"), (F.stddev_pop(g) / F.avg(g)).alias("cv"), ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("s"))
+    kind = F.when(F.col("n") < 20, kinds[2]).when(F.col("cv") < 0.3, kinds[0]).when(F.col("cv") < 1.0, kinds[1]).otherwise(kinds[2])
+    rate = F.when(F.col("s") > 0, F.round(F.col("n") / F.col("s"), 4)).otherwise(0.0)
+    return p.select("node", "n", "median_ms", F.coalesce(F.round("cv", 4), F.lit(float("inf"))).alias("cv"), rate.alias("rate_hz"), kind.alias("kind"))
+
+
+def auto_window_ms(profiles: DataFrame, least: float = 1000.0) -> DataFrame:
+    """width_ms: the longest median interval of a periodic node, or least."""
+    return profiles.agg(F.greatest(F.coalesce(F.max(F.when((F.col("kind") == "periodic") & (F.col("median_ms") > 0), F.col("median_ms"))), F.lit(least)), F.lit(least)).alias("width_ms"))
+
 
+def fingerprints(logs: DataFrame, width_us: int, start: Column, end: Column | None = None, in_order: bool = False) -> DataFrame:
+    """Templates a node logs in windows that hold their left edge, but for those that are different each time.
 
-def fingerprints(logs: DataFrame, width_us: int, start: Column) -> DataFrame:
-    """Templates a node logs in windows that hold their left edge."""
+    end: the last record's time; windows begin before it, so a record at the edge where one would begin then is left out.
+    in_order: records stand in order of seq, and one that lies behind an earlier one counts in that one's window.
+    """
+    rows = settled(logs, template=template(F.col("raw_message"))).where(~F.coalesce(unstable(F.col("template")), F.lit(False)))
     w = F.floor((F.col("ts_us") - start) / width_us).cast("bigint")
-    return logs.groupBy(w.alias("w"), "node", template(F.col("raw_message")).alias("template")).agg(F.count("*").alias("n"))
+    rows = running_max(rows, [], "seq", w, "w") if in_order else rows.withColumn("w", w)
+    rows = rows if end is None else rows.where(F.col("w") < F.ceil((end - start) / width_us))
+    return rows.groupBy("w", "node", "template").agg(F.count("*").alias("n"))
+
+
+def normalised(prints: DataFrame, profiles: DataFrame, width_ms: float, regular: tuple[str, ...] = ("periodic", "semi_periodic")) -> DataFrame:
+    """Adds ratio: a count over the one that the node's interval and the template's share of it lead to expect; 1 for others."""
+    share = prints.groupBy("node", "template").agg(F.sum("n").alias("_of"))
+    own = share.join(profiles.select("node", F.col("n").alias("_every"), "median_ms", "kind"), "node")
+    due = own.where(F.col("kind").isin(*regular) & (F.col("median_ms") > 0)).select("node", "template", (width_ms / F.col("median_ms") * F.col("_of") / F.col("_every")).alias("_due"))
+    return prints.join(due, ["node", "template"], "left").withColumn("ratio", F.round(F.coalesce(F.col("n") / F.col("_due"), F.lit(1.0)), 6)).drop("_due")
 
 
-def window_deviation(prints: DataFrame) -> DataFrame:
-    """Jaccard distance and count divergence of each window to the one before."""
-    old = prints.select((F.col("w") + 1).alias("w"), "node", "template", F.col("n").alias("m"))
-    last = prints.agg(F.max("w").alias("last"))
-    both = prints.join(old, ["w", "node", "template"], "full").join(F.broadcast(last), F.col("w") <= F.col("last"))
+def window_deviation(prints: DataFrame, count: str = "n") -> DataFrame:
+    """Jaccard distance and count divergence of each window to the one before, from window 1 to the last; two empty ones differ by 1."""
+    own = prints.select("w", "node", "template", F.col(count).alias("n"))
+    old = own.select((F.col("w") + 1).alias("w"), "node", "template", F.col("n").alias("m"))
+    both = own.join(old, ["w", "node", "template"], "full")
     n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
     out = both.groupBy("w").agg(F.sum(((n > 0) & (m > 0)).cast("int")).alias("common"), F.count("*").alias("every"), F.sum((n - m) * (n - m) / (n + m)).alias("divergence"))
-    return out.where("w > 0").select("w", F.round(1 - F.col("common") / F.col("every"), 6).alias("distance"), F.round("divergence", 4).alias("divergence"))
+    every = prints.agg(F.max("w").alias("last")).where("last > 0").select(F.explode(F.sequence(F.lit(1).cast("bigint"), "last")).alias("w"))
+    distance = F.coalesce(F.round(1 - F.col("common") / F.col("every"), 6), F.lit(1.0))
+    return every.join(out, "w", "left").select("w", distance.alias("distance"), F.round(F.coalesce("divergence", F.lit(0.0)), 4).alias("divergence"))
 
 
 def cooccurrence(active: DataFrame) -> DataFrame:
@@ -102,12 +181,16 @@ def cooccurrence(active: DataFrame) -> DataFrame:
     return a.join(b, "w").where("type_a < type_b").groupBy("type_a", "type_b").agg(F.count("*").alias("n"))
 
 
-def similarity_edges(active: DataFrame, least: float = 0.5) -> DataFrame:
-    """Pairs of types whose windows overlap enough; pairs without a positive union are skipped."""
+def similarity_edges(active: DataFrame, least: float = 0.5, kin: float | None = None, group: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Pairs of types whose windows overlap enough; pairs without a positive union are skipped.
+
+    Pairs of one group (of a type's column, null for none) need only kin.
+    """
     sizes = active.distinct().groupBy("type").agg(F.count("*").alias("s"))
     pairs = cooccurrence(active).join(sizes.select(F.col("type").alias("type_a"), F.col("s").alias("s_a")), "type_a").join(sizes.select(F.col("type").alias("type_b"), F.col("s").alias("s_b")), "type_b")
     union = F.col("s_a") + F.col("s_b") - F.col("n")
-    return pairs.where(union > 0).select("type_a", "type_b", F.round(F.col("n") / union, 6).alias("jaccard")).where(F.col("jaccard") >= least)
+    limit = F.lit(least) if group is None else F.when(group(F.col("type_a")) == group(F.col("type_b")), F.lit(kin)).otherwise(F.lit(least))
+    return pairs.where(union > 0).select("type_a", "type_b", F.round(F.col("n") / union, 6).alias("jaccard")).where(F.col("jaccard") >= limit)
 
 
 def missions(bags: DataFrame, gap_us: int) -> DataFrame:
@@ -125,11 +208,24 @@ def longest_runs(hits: DataFrame, least: int = 3) -> DataFrame:
     return runs.withColumn("r", best).where("r = 1").select("category", "first_bag", "bags")
 
 
-def health(anomalies: DataFrame) -> DataFrame:
-    """Verdict of each recording by its anomalies' severities."""
+def verdict(critical: Column, warning: Column, many: int) -> Column:
+    return F.when(critical > 0, "UNHEALTHY").when(warning > many, "DEGRADED").when(warning > 0, "MARGINAL").otherwise("HEALTHY")
+
+
+def health(anomalies: DataFrame, bags: DataFrame, incidents: DataFrame | None = None, many: int = 2) -> DataFrame:
+    """Verdict of each recording by its anomalies' severities, or by those of its incidents that are not suppressed, if it has any.
+
+    bags: (bag), all of them; incidents: (bag, severity, suppressed).
+    """
     c, w = F.count_if(F.col("severity") == "CRITICAL"), F.count_if(F.col("severity") == "WARNING")
-    out = anomalies.groupBy("bag").agg(c.alias("critical"), w.alias("warning"))
-    return out.withColumn("health", F.when(F.col("critical") > 0, "UNHEALTHY").when(F.col("warning") > 2, "DEGRADED").when(F.col("warning") > 0, "MARGINAL").otherwise("HEALTHY"))
+    zero = F.lit(0).cast("bigint")
+    out = bags.select("bag").join(anomalies.groupBy("bag").agg(c.alias("critical"), w.alias("warning")), "bag", "left").withColumns({x: F.coalesce(x, zero) for x in ("critical", "warning")})
+    if incidents is None:
+        return out.withColumn("health", verdict(F.col("critical"), F.col("warning"), many))
+    active = ~F.col("suppressed")
+    own = incidents.groupBy("bag").agg(F.count_if(active & (F.col("severity") == "CRITICAL")).alias("_c"), F.count_if(active & (F.col("severity") == "WARNING")).alias("_w"))
+    out = out.join(own, "bag", "left")
+    return out.withColumn("health", verdict(F.coalesce("_c", "critical"), F.coalesce("_w", "warning"), many)).drop("_c", "_w")
 
 
 def nearest_windows(probes: DataFrame, windows: DataFrame, width_us: int) -> DataFrame:

@@ -10,16 +10,43 @@ from pyspark.sql import functions as F
 TIE = 1e-9
 
 
-def asof(probes: DataFrame, changes: DataFrame, key: str, value: str, on: str = "ts_us") -> DataFrame:
-    """Backward inclusive as-of join: to each probe the last non-null value of its key at or before its time.
+#: Width of the spans of time that a key's rows are dealt out by.
+SPAN_US = 3_600_000_000
 
-    One shuffle by key; a change at the probe's very time counts. changes: (key, on, seq, value).
+
+def neighbour(df: DataFrame, keys: list[str], on: str, seq: str, names: dict[str, str], after: bool = False, span: int = SPAN_US) -> DataFrame:
+    """Adds, by new name, columns of the row before (or after) a row of the same keys, in order of on and seq.
+
+    Rows are dealt out by keys and span, so that a key of any size is many tasks; what a span needs of others is one row
+    a span, the only ones that are put in order key by key.
+    """
+    by = [F.col(c).desc() if after else F.col(c).asc() for c in (on, seq)]
+    value = F.struct(*[F.col(c).alias(n) for n, c in names.items()])
+    rows = df.withColumn("_span", F.floor(F.col(on) / span))
+    edge = (F.min_by if after else F.max_by)(value, F.struct(on, seq)).alias("_edge")
+    turn = Window.partitionBy(*keys).orderBy(F.col("_span").desc() if after else F.col("_span").asc())
+    edges = rows.groupBy(*keys, "_span").agg(edge).withColumn("_edge", F.lag("_edge").over(turn))
+    near = F.coalesce(F.lag(value).over(Window.partitionBy(*keys, "_span").orderBy(*by)), "_edge")
+    out = rows.join(edges, [*keys, "_span"], "left").withColumn("_near", near)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_near.{n}").alias(n) for n in names])
+
+
+def asof(probes: DataFrame, changes: DataFrame, keys: list[str], value: str, on: str = "ts_us", span: int = SPAN_US) -> DataFrame:
+    """Backward inclusive as-of join: to each probe the last non-null value of its keys at or before its time.
+
+    A change at the probe's very time counts. changes: (keys, on, seq, value). Work is dealt out by keys and span; the last
+    value of each span, one row, is carried into those behind it.
     """
     name = f"{value}_asof"
-    c = changes.select(F.col(key), F.col(on), F.lit(0).alias("_kind"), F.col("seq"), F.col(value).alias(name))
-    p = probes.withColumn("_kind", F.lit(1))
-    w = Window.partitionBy(key).orderBy(on, "_kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return p.unionByName(c, allowMissingColumns=True).withColumn(name, F.last(name, True).over(w)).where("_kind = 1").drop("_kind")
+    c = changes.select(*keys, on, F.lit(0).alias("_kind"), "seq", F.col(value).alias(name))
+    rows = probes.withColumn("_kind", F.lit(1)).unionByName(c, allowMissingColumns=True).withColumn("_span", F.floor(F.col(on) / span))
+    # probes have no value of their own, so they leave a span's last one alone
+    ends = rows.groupBy(*keys, "_span").agg(F.max_by(F.when(F.col(name).isNotNull(), F.col(name)), F.when(F.col(name).isNotNull(), F.struct(on, "seq"))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_end", F.last("_end", True).over(before))
+    w = Window.partitionBy(*keys, "_span").orderBy(on, "_kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(ends, [*keys, "_span"], "left").withColumn(name, F.coalesce(F.last(name, True).over(w), "_end"))
+    return out.where("_kind = 1").select(*probes.columns, name)
 
 
 def near(left: DataFrame, right: DataFrame, reach: int, l_on: str, r_on: str, keys: list[str] = ()) -> DataFrame:
@@ -29,10 +56,26 @@ def near(left: DataFrame, right: DataFrame, reach: int, l_on: str, r_on: str, ke
     return a.join(b, [*keys, "_b"]).where(F.abs(F.col(l_on) - F.col(r_on)) <= reach).drop("_b")
 
 
-def sessions(df: DataFrame, keys: list[str], on: str, gap: int, seq: str = "seq", end: str | None = None) -> DataFrame:
-    """Adds session: a new one begins where a row lies more than gap after the (end of the) row before it."""
-    w = Window.partitionBy(*keys).orderBy(on, seq)
-    return df.withColumn("_new", (F.col(on) - F.lag(end or on).over(w) > gap).cast("int")).withColumn("session", F.sum(F.coalesce("_new", F.lit(0))).over(w)).drop("_new")
+def sessions(df: DataFrame, keys: list[str], on: str, gap: int, seq: str = "seq", end: str | None = None, span: int = SPAN_US) -> DataFrame:
+    """Adds session: a new one begins where a row lies more than gap after the (end of the) row before it.
+
+    Sessions are counted in spans, and the counts of the spans before are added.
+    """
+    rows = neighbour(df, keys, on, seq, {"_end": end or on}, span=span)
+    rows = rows.withColumns({"_new": F.coalesce((F.col(on) - F.col("_end") > gap).cast("int"), F.lit(0)), "_span": F.floor(F.col(on) / span)})
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "_span").agg(F.sum("_new").alias("_news")).withColumn("_before", F.coalesce(F.sum("_news").over(before), F.lit(0))).drop("_news")
+    own = F.sum("_new").over(Window.partitionBy(*keys, "_span").orderBy(on, seq))
+    return rows.join(counts, [*keys, "_span"]).withColumn("session", F.col("_before") + own).select(*[F.col(f"`{c}`") for c in df.columns], "session")
+
+
+def running_max(df: DataFrame, keys: list[str], seq: str, value: Column, name: str, block: int = 1 << 20) -> DataFrame:
+    """Adds the largest value so far in order of seq; blocks of seq are tasks of their own, and carry one number on."""
+    rows = df.withColumns({name: value, "_block": F.floor(F.col(seq) / block)})
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*keys, "_block").agg(F.max(name).alias("_top")).withColumn("_top", F.max("_top").over(before))
+    so_far = F.max(name).over(Window.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(tops, [*keys, "_block"]).withColumn(name, F.greatest(so_far, "_top")).drop("_block", "_top")
 
 
 def window_index(ts: Column, start: Column, width: int) -> Column:
@@ -43,4 +86,4 @@ def window_index(ts: Column, start: Column, width: int) -> Column:
 def moments(value: Column) -> list[Column]:
     """Count, mean, sample deviation (0 for one row), minimum and maximum; NaN and infinities are left out."""
     v = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
-    return [F.count(v).alias("n"), F.round(F.avg(v) + TIE, 4).alias("mean"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 4).alias("std"), F.min(v).alias("low"), F.max(v).alias("high")]
+    return [F.count(v).alias("n"), F.round(F.avg(v) + TIE, 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 6).alias("std"), F.min(v).alias("low"), F.max(v).alias("high")]

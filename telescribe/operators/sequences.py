@@ -27,20 +27,28 @@ def change_points(series: DataFrame, keys: list[str], by: str, value: str, sigma
     return own.select(*keys, F.explode(F.aggregate("points", start, step, lambda held: held["found"])).alias(by))
 
 
-def regimes(series: DataFrame, changes: DataFrame, keys: list[str], by: str, least: int = 3) -> DataFrame:
+def regimes(series: DataFrame, changes: DataFrame, keys: list[str], by: str, least: int = 3, begins: bool = False) -> DataFrame:
     """Runs of windows between change points; a run of fewer than least windows joins the run before it, but for the first.
 
-    A change point is the last window of its run. Columns: keys, regime (from 0), first_w, last_w, windows.
+    A change point is the last window of its run, or with begins the first, as where a window's value is its deviation
+    from the window before. Columns: keys, regime (from 0), first_w, last_w, windows.
     """
     w = Window.partitionBy(*keys).orderBy(by)
     marked = series.select(*keys, by).join(changes.withColumn("_change", F.lit(1)), [*keys, by], "left")
-    runs = marked.withColumn("_run", F.coalesce(F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    runs = marked.withColumn("_run", F.coalesce(F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0 if begins else -1)), F.lit(0)))
     runs = runs.groupBy(*keys, "_run").agg(F.min(by).alias("first_w"), F.max(by).alias("last_w"), F.count("*").alias("windows"))
     v = Window.partitionBy(*keys).orderBy("_run")
     kept = runs.withColumn("_own", ((F.col("_run") == 0) | (F.col("windows") >= least)).cast("bigint")).withColumn("regime", F.sum("_own").over(v) - 1)
     return kept.groupBy(*keys, "regime").agg(F.min("first_w").alias("first_w"), F.max("last_w").alias("last_w"), F.sum("windows").alias("windows"))
 
 
+def log_regimes(deviations: DataFrame, sigmas: float = 3.0, least: int = 3) -> DataFrame:
+    """(regime, first_w, last_w, windows) of log windows. deviations: window_deviation(), whose first window is number 1."""
+    series = deviations.select("w", F.round(F.col("distance") + F.col("divergence"), 4).alias("x"))
+    every = series.select("w").unionByName(series.groupBy().agg(F.min("w").alias("w")).where("w is not null").select((F.col("w") - 1).alias("w")))
+    return regimes(every, change_points(series, [], "w", "x", sigmas=sigmas), [], "w", least, begins=True)
+
+
 def regime_baseline(prints: DataFrame, windows: DataFrame) -> DataFrame:
     """What a regime's windows usually hold: (regime, node, template, expected).
 

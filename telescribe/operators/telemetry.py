@@ -9,11 +9,13 @@ from telescribe.operators.relational import moments, window_index
 
 
 def bag_metadata(tel: DataFrame) -> DataFrame:
-    """Messages and rate of each topic of a recording, the rate over the recording's length."""
+    """Messages and rate of each topic of a recording, the rate over the recording's length; its ends, messages and topics."""
     topics = tel.groupBy("bag", "topic").agg(F.count("*").alias("n"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
-    w = Window.partitionBy("bag")
-    seconds = (F.max("b").over(w) - F.min("a").over(w)) / 1e6
-    return topics.select("bag", "topic", "n", F.round(seconds, 2).alias("duration_s"), F.when(seconds > 0, F.round(F.col("n") / seconds, 4)).otherwise(0.0).alias("hz"))
+    w = Window.partitionBy("bag")  # a row a topic
+    own = topics.withColumns({"start_us": F.min("a").over(w), "end_us": F.max("b").over(w), "total": F.sum("n").over(w), "topics": F.count("*").over(w)})
+    seconds = (F.col("end_us") - F.col("start_us")) / 1e6
+    hz = F.when(seconds > 0, F.round(F.col("n") / seconds, 4)).otherwise(0.0)
+    return own.select("bag", "topic", "n", F.round(seconds, 2).alias("duration_s"), hz.alias("hz"), "start_us", "end_us", "total", "topics")
 
 
 def topic_stats(tel: DataFrame) -> DataFrame:
@@ -29,17 +31,38 @@ def windowed_stats(tel: DataFrame, width_us: int) -> DataFrame:
     return every.select("bag", "topic", "w").join(full, ["bag", "topic", "w"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
 
 
+def rate_bins(tel: DataFrame, width_us: int) -> DataFrame:
+    """(bag, topic, bins, bin, start_us, hz) of bins from each topic's first message on, but for the empty ones."""
+    ends = tel.groupBy("bag", "topic").agg(F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"))
+    bins = F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0")) / width_us)).cast("bigint")
+    binned = tel.join(ends.withColumn("bins", bins), ["bag", "topic"])
+    binned = binned.withColumn("bin", F.least(F.floor((F.col("ts_us") - F.col("t0")) / width_us), F.col("bins") - 1).cast("bigint"))
+    counts = binned.groupBy("bag", "topic", "bins", "bin").agg(F.min("t0").alias("t0"), F.round(F.count("*") / (width_us / 1e6), 6).alias("hz"))
+    return counts.select("bag", "topic", "bins", "bin", (F.col("t0") + F.col("bin") * width_us).alias("start_us"), "hz")
+
+
 def topic_frequency(tel: DataFrame, width_us: int) -> DataFrame:
     """Rate in bins from each topic's first message on, empty ones included, and its mean and population deviation."""
-    w = Window.partitionBy("bag", "topic")
-    ends = tel.withColumns({"t0": F.min("ts_us").over(w), "t1": F.max("ts_us").over(w)})
-    bins = F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0")) / width_us)).cast("bigint")
-    binned = ends.withColumn("bins", bins).withColumn("bin", F.least(F.floor((F.col("ts_us") - F.col("t0")) / width_us), F.col("bins") - 1).cast("bigint"))
-    counts = binned.groupBy("bag", "topic", "bins", "bin").agg(F.round(F.count("*") / (width_us / 1e6), 6).alias("hz"))
     total, squares = F.sum("hz"), F.sum(F.col("hz") * F.col("hz"))
-    out = counts.groupBy("bag", "topic", "bins").agg(total.alias("t"), squares.alias("s"), F.count("*").alias("full_bins"), F.max("hz").alias("max_hz"))
+    out = rate_bins(tel, width_us).groupBy("bag", "topic", "bins").agg(total.alias("t"), squares.alias("s"), F.count("*").alias("full_bins"), F.max("hz").alias("max_hz"), F.min("hz").alias("low"))
     mean = F.col("t") / F.col("bins")
-    return out.select("bag", "topic", "bins", "full_bins", F.round(mean, 6).alias("mean_hz"), F.round(F.sqrt(F.greatest(F.col("s") / F.col("bins") - mean * mean, F.lit(0.0))), 5).alias("std_hz"), "max_hz")
+    return out.select(
+        "bag", "topic", "bins", "full_bins", F.round(mean, 6).alias("mean_hz"), F.round(F.sqrt(F.greatest(F.col("s") / F.col("bins") - mean * mean, F.lit(0.0))), 5).alias("std_hz"), "max_hz",
+        F.when(F.col("full_bins") < F.col("bins"), 0.0).otherwise(F.col("low")).alias("min_hz"),
+    )
+
+
+def dropouts(tel: DataFrame, bags: DataFrame, width_us: int, share: float = 0.3, margin_us: int = 10_000_000) -> DataFrame:
+    """(bag, topic, start_us, hz, mean_hz): bins whose rate is below a share of the mean, but for those at the recording's end.
+
+    bags: (bag, end_us). Empty bins count; they are made from the topics' numbers of bins, not from messages.
+    """
+    full = rate_bins(tel, width_us)
+    first = full.groupBy("bag", "topic").agg(F.min(F.col("start_us") - F.col("bin") * width_us).alias("t0"))
+    every = topic_frequency(tel, width_us).where("mean_hz > 0").join(first, ["bag", "topic"]).select("bag", "topic", "t0", "mean_hz", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)).alias("bin"))
+    both = every.join(full.select("bag", "topic", "bin", "hz"), ["bag", "topic", "bin"], "left").withColumns({"hz": F.coalesce("hz", F.lit(0.0)), "start_us": F.col("t0") + F.col("bin") * width_us})
+    low = both.where(F.col("hz") < share * F.col("mean_hz")).join(bags.select("bag", "end_us"), "bag")
+    return low.where(F.col("start_us") < F.col("end_us") - margin_us).select("bag", "topic", "start_us", "hz", "mean_hz")
 
 
 def _previous(windows: DataFrame, keys: list[str], by: str, *names: str) -> DataFrame:

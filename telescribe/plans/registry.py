@@ -47,7 +47,7 @@ STATE_SQL = "CASE log_event " + " ".join(f"WHEN '{e}' THEN '{k}.{f}'" for _, e,
 CHANGES = f"""{CLASSED}, st AS (SELECT seq, ts_us, {STATE_SQL} AS state, matched AS new_value FROM cl),
 ch AS (SELECT * FROM (SELECT *, coalesce(lag(new_value) OVER (PARTITION BY state ORDER BY ts_us, seq), '<unknown>') AS old_value
  FROM st WHERE state IS NOT NULL AND new_value <> '') WHERE old_value <> new_value)"""
-MOMENTS = "count(value) AS n, round(avg(value) + 1e-9, 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS std, min(value) AS low, max(value) AS high"
+MOMENTS = "count(value) AS n, round(avg(value) + 1e-9, 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, min(value) AS low, max(value) AS high"
 WINDOWS = f"""{EVENTS_SQL}, bg AS (SELECT bag, min(ts_us) AS t0, max(ts_us) AS t1 FROM ev GROUP BY bag),
 ix AS (SELECT ev.*, greatest(ceil((ts_us - t0) / {WINDOW_US}) - 1, 0)::BIGINT AS w FROM ev JOIN bg USING (bag)),
 fu AS (SELECT bag, topic, w, {MOMENTS} FROM ix GROUP BY ALL),
@@ -57,8 +57,11 @@ ws AS (SELECT bag, topic, w, coalesce(n, 0) AS n, mean, std, low, high FROM ea L
 SEVERITY = "CASE WHEN value > 95 THEN 'CRITICAL' WHEN value > 80 THEN 'WARNING' ELSE 'INFO' END"
 CATEGORY = "CASE topic WHEN '/click' THEN 'STALL_DETECTED' WHEN '/purchase' THEN 'LIDAR_DEGRADATION' WHEN '/view' THEN 'FREQUENCY_DROPOUT' ELSE 'IMU_FROZEN' END"
 ANOMALIES = f"an AS (SELECT seq, ts_us, bag, topic, value, user_id, {CATEGORY} AS category, {SEVERITY} AS severity FROM ev WHERE value > 60)"
-PRINTS = f"""{LOGS_SQL}, fp AS (SELECT (ts_us - (SELECT min(ts_us) FROM lg)) // {WINDOW_US} AS w, node,
- regexp_replace(regexp_replace(regexp_replace(raw_message, '{text.UUID}', '#', 'g'), '{text.HEX}', '#', 'g'), '{text.NUMBER}', '#', 'g') AS template, count(*) AS n FROM lg GROUP BY ALL)"""
+UUID_SQL, HEX_SQL, NUMBER_SQL = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", r"\b0x[0-9a-fA-F]+\b", r"[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
+STRUCTURE = f"regexp_replace(regexp_replace(raw_message, '{UUID_SQL}', '#', 'gi'), '{HEX_SQL}', '#', 'g')"
+PRINTS = rf"""{LOGS_SQL}, tm AS (SELECT *, regexp_replace({STRUCTURE}, '{NUMBER_SQL}', '#', 'g') AS template, min(ts_us) OVER () AS t0, max(ts_us) OVER () AS t1 FROM lg),
+fp AS (SELECT (ts_us - t0) // {WINDOW_US} AS w, node, template, count(*) AS n FROM tm WHERE (ts_us - t0) // {WINDOW_US} < ceil((t1 - t0) / {WINDOW_US})
+ AND NOT coalesce(regexp_matches(template, '^[0-9a-fA-F\s]{{20,}}$') OR regexp_matches(template, '(?i)(get|post|put|delete)\s+/') OR regexp_matches(template, '(?i)^\s*\{{.*"(id|uuid|session)":'), FALSE) GROUP BY ALL)"""
 
 
 def anomalies(spark, sf_dir):
@@ -67,11 +70,11 @@ def anomalies(spark, sf_dir):
 
 def prints(spark, sf_dir):
     rows = logs(spark, sf_dir)
-    start = rows.agg(F.min("ts_us").alias("start_us"))
-    return L.fingerprints(rows.join(F.broadcast(start)), WINDOW_US, F.col("start_us"))
+    ends = rows.agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
+    return L.fingerprints(rows.join(F.broadcast(ends)), WINDOW_US, F.col("start_us"), F.col("end_us"))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT bag, topic, count(*) AS n, round((max(max(ts_us)) OVER (PARTITION BY bag) - min(min(ts_us)) OVER (PARTITION BY bag)) / 1e6, 2) AS duration_s, round(count(*) / ((max(max(ts_us)) OVER (PARTITION BY bag) - min(min(ts_us)) OVER (PARTITION BY bag)) / 1e6), 4) AS hz FROM ev GROUP BY bag, topic")
+@query(f"WITH {EVENTS_SQL} SELECT bag, topic, count(*) AS n, round((max(max(ts_us)) OVER (PARTITION BY bag) - min(min(ts_us)) OVER (PARTITION BY bag)) / 1e6, 2) AS duration_s, round(count(*) / ((max(max(ts_us)) OVER (PARTITION BY bag) - min(min(ts_us)) OVER (PARTITION BY bag)) / 1e6), 4) AS hz, min(min(ts_us)) OVER (PARTITION BY bag) AS start_us, max(max(ts_us)) OVER (PARTITION BY bag) AS end_us, (sum(count(*)) OVER (PARTITION BY bag))::BIGINT AS total, count(*) OVER (PARTITION BY bag) AS topics FROM ev GROUP BY bag, topic")
 def bag_metadata(spark, sf_dir):
     return T.bag_metadata(events(spark, sf_dir))
 
@@ -88,7 +91,7 @@ def windowed_stats(spark, sf_dir):
 
 @query(f"""WITH {EVENTS_SQL}, e AS (SELECT bag, topic, ts_us, min(ts_us) OVER (PARTITION BY bag, topic) AS t0, max(ts_us) OVER (PARTITION BY bag, topic) AS t1 FROM ev),
 b AS (SELECT *, greatest(1, ceil((t1 - t0) / 3600000000))::BIGINT AS bins FROM e), c AS (SELECT bag, topic, bins, round(count(*) / 3600.0, 6) AS hz, least((ts_us - t0) // 3600000000, bins - 1) AS bin FROM b GROUP BY bag, topic, bins, bin)
-SELECT bag, topic, bins, count(*) AS full_bins, round(sum(hz) / bins, 6) AS mean_hz, round(sqrt(greatest(sum(hz * hz) / bins - (sum(hz) / bins) ** 2, 0)), 5) AS std_hz, max(hz) AS max_hz FROM c GROUP BY bag, topic, bins""")
+SELECT bag, topic, bins, count(*) AS full_bins, round(sum(hz) / bins, 6) AS mean_hz, round(sqrt(greatest(sum(hz * hz) / bins - (sum(hz) / bins) ** 2, 0)), 5) AS std_hz, max(hz) AS max_hz, CASE WHEN count(*) < bins THEN 0.0 ELSE min(hz) END AS min_hz FROM c GROUP BY bag, topic, bins""")
 def topic_frequency(spark, sf_dir):
     return T.topic_frequency(events(spark, sf_dir), 3_600_000_000)
 
@@ -148,31 +151,26 @@ def time_slice(spark, sf_dir):
     return events(spark, sf_dir).where(F.col("ts_us").between(MID, MID + 86_400_000_000)).select("seq", "ts_us", "topic", "value")
 
 
-@query(f"WITH {USER_DAYS} SELECT user_id, topic, bag, CASE WHEN mean = 0 THEN 'ZERO_FIELD' ELSE 'FROZEN_SENSOR' END AS category FROM ud WHERE std < 1e-6 AND n >= 1")
-def frozen_fields(spark, sf_dir):
-    kind = F.when(F.col("mean") == 0, "ZERO_FIELD").otherwise("FROZEN_SENSOR")
-    return user_days(spark, sf_dir).where("std < 1e-6 and n >= 1").select("user_id", "topic", "bag", kind.alias("category"))
+NAME_SQL = case([(p, n) for (p, *_), n in zip(rules.PATTERNS, rules.PATTERN_NAMES)], None)
+WHOLE_SQL = case([(p, 0) for p, *_ in rules.PATTERNS], None, lambda p, g: f"regexp_extract(raw_message, '(?i){p}', 0)")
 
 
-@query(f"WITH {CLASSED} SELECT seq, raw_message, log_event, matched FROM cl")
+@query(f"WITH {CLASSED} SELECT seq, raw_message, log_event, matched, {NAME_SQL} AS pattern, {WHOLE_SQL} AS matched_text FROM cl")
 def log_classify(spark, sf_dir):
-    return L.classified(logs(spark, sf_dir)).select("seq", "raw_message", "log_event", "matched")
+    return L.classified(logs(spark, sf_dir)).select("seq", "raw_message", "log_event", "matched", "pattern", "matched_text")
 
 
 @query(f"WITH {CLASSED} SELECT seq, ts_us, node, level, CASE level {' '.join(f'WHEN {n} THEN {name!r}' for n, name in rules.LEVELS.items())} END AS level_name, log_event FROM cl WHERE level >= 4")
 def log_extract(spark, sf_dir):
-    name = F.lit(None).cast("string")
-    for n, label in rules.LEVELS.items():
-        name = F.when(F.col("level") == n, label).otherwise(name)
-    return L.classified(logs(spark, sf_dir).where("level >= 4")).select("seq", "ts_us", "node", "level", name.alias("level_name"), "log_event")
+    return L.classified(logs(spark, sf_dir).where("level >= 4")).select("seq", "ts_us", "node", "level", L.level_name(F.col("level")).alias("level_name"), "log_event")
 
 
-@query(f"""WITH {CLASSED}, g AS (SELECT log_event, node, level, count(*) AS n, grouping(log_event, node, level) AS gid FROM cl GROUP BY GROUPING SETS ((log_event), (node), (level)))
-SELECT CASE gid WHEN 3 THEN 'type' WHEN 5 THEN 'node' ELSE 'level' END AS what, coalesce(log_event, node, level::VARCHAR) AS name, n FROM g""")
+@query(f"""WITH {CLASSED}, na AS (SELECT log_event, node, CASE level {' '.join(f"WHEN {n} THEN {name!r}" for n, name in rules.LEVELS.items())} END AS level FROM cl),
+g AS (SELECT log_event, node, level, count(*) AS n, grouping(log_event, node, level) AS gid FROM na GROUP BY GROUPING SETS ((log_event), (node), (level))),
+r AS (SELECT CASE gid WHEN 3 THEN 'type' WHEN 5 THEN 'node' ELSE 'level' END AS what, coalesce(log_event, node, level) AS name, n FROM g)
+SELECT what, name, n, pct FROM (SELECT *, round(100.0 * n / sum(n) OVER (PARTITION BY what), 1) AS pct, row_number() OVER (PARTITION BY what ORDER BY n DESC, name) AS k FROM r) WHERE what <> 'node' OR k <= 10""")
 def event_summary(spark, sf_dir):
-    rows = L.classified(logs(spark, sf_dir)).select("log_event", "node", F.col("level").cast("string").alias("level"))
-    each = F.explode(F.array(*[F.struct(F.lit(w).alias("what"), F.col(c).alias("name")) for w, c in (("type", "log_event"), ("node", "node"), ("level", "level"))]))
-    return rows.select(each.alias("x")).groupBy("x.what", "x.name").agg(F.count("*").alias("n"))
+    return L.event_summary(L.classified(logs(spark, sf_dir)))
 
 
 @query(f"WITH {LOGS_SQL} SELECT seq, raw_message, {ROUTE_SQL} AS route FROM lg")
@@ -191,8 +189,8 @@ def denoise_stats(spark, sf_dir):
     return counts.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 1))
 
 
-@query(f"""WITH {LOGS_SQL}, a AS (SELECT seq, raw_message, regexp_replace(regexp_replace(raw_message, '{text.UUID}', '#', 'g'), '{text.HEX}', '#', 'g') AS m FROM lg)
-SELECT seq, regexp_replace(m, '{text.NUMBER}', '#', 'g') AS template, len(regexp_extract_all(m, '{text.NUMBER}')) AS n_values, coalesce(list_sum([x::DOUBLE for x in regexp_extract_all(m, '{text.NUMBER}')]), 0) AS total FROM a""")
+@query(f"""WITH {LOGS_SQL}, a AS (SELECT seq, {STRUCTURE} AS m FROM lg)
+SELECT seq, regexp_replace(m, '{NUMBER_SQL}', '#', 'g') AS template, len(regexp_extract_all(m, '{NUMBER_SQL}')) AS n_values, coalesce(list_sum([x::DOUBLE for x in regexp_extract_all(m, '{NUMBER_SQL}')]), 0) AS total FROM a""")
 def templatize(spark, sf_dir):
     m = F.col("raw_message")
     v = text.template_values(m)
@@ -208,7 +206,7 @@ def state_transitions(spark, sf_dir):
 SELECT pr.seq, pr.ts_us, ch.new_value AS value FROM pr ASOF LEFT JOIN ch ON pr.state = ch.state AND pr.ts_us >= ch.ts_us""")
 def state_asof(spark, sf_dir):
     probes = events(spark, sf_dir).where("topic = '/error'").select("seq", "ts_us", F.lit("motion_state.still_flag").alias("state"))
-    out = R.asof(probes, L.state_changes(logs(spark, sf_dir)), "state", "new_value")
+    out = R.asof(probes, L.state_changes(logs(spark, sf_dir)), ["state"], "new_value")
     return out.select("seq", "ts_us", F.col("new_value_asof").alias("value"))
 
 
@@ -217,7 +215,7 @@ def active_periods(spark, sf_dir):
     return L.state_periods(L.state_changes(logs(spark, sf_dir)))
 
 
-@query(f"WITH {CHANGES}, p AS (SELECT state, new_value AS value, ts_us, lead(ts_us) OVER (PARTITION BY state ORDER BY ts_us, seq) AS e FROM ch) SELECT state, value, count(*) AS n, coalesce(sum(e - ts_us), 0)::BIGINT AS total_us FROM p GROUP BY state, value")
+@query(f"WITH {CHANGES}, p AS (SELECT state, new_value AS value, ts_us, lead(ts_us) OVER (PARTITION BY state ORDER BY ts_us, seq) AS e FROM ch) SELECT state, value, count(*) AS n, coalesce(sum(e - ts_us), 0)::BIGINT AS total_us, (sum(count(*)) OVER (PARTITION BY state))::BIGINT AS transitions, max(max(CASE WHEN e IS NULL THEN value END)) OVER (PARTITION BY state) AS current FROM p GROUP BY state, value")
 def state_summary(spark, sf_dir):
     return L.state_summary(L.state_changes(logs(spark, sf_dir)))
 
@@ -252,10 +250,10 @@ def causal_assign(spark, sf_dir):
     return L.caused(L.classified(logs(spark, sf_dir)), anomalies(spark, sf_dir), REACH_US, rules.CAUSES)
 
 
-@query(f"""WITH {EVENTS_SQL}, {ANOMALIES} SELECT bag, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warning,
-CASE WHEN count(*) FILTER (severity = 'CRITICAL') > 0 THEN 'UNHEALTHY' WHEN count(*) FILTER (severity = 'WARNING') > 2 THEN 'DEGRADED' WHEN count(*) FILTER (severity = 'WARNING') > 0 THEN 'MARGINAL' ELSE 'HEALTHY' END AS health FROM an GROUP BY bag""")
+@query(f"""WITH {EVENTS_SQL}, {ANOMALIES}, c AS (SELECT bag, count(an.seq) FILTER (severity = 'CRITICAL') AS critical, count(an.seq) FILTER (severity = 'WARNING') AS warning FROM (SELECT DISTINCT bag FROM ev) LEFT JOIN an USING (bag) GROUP BY bag)
+SELECT bag, critical, warning, CASE WHEN critical > 0 THEN 'UNHEALTHY' WHEN warning > 2 THEN 'DEGRADED' WHEN warning > 0 THEN 'MARGINAL' ELSE 'HEALTHY' END AS health FROM c""")
 def bag_health(spark, sf_dir):
-    return L.health(anomalies(spark, sf_dir))
+    return L.health(anomalies(spark, sf_dir), events(spark, sf_dir).select("bag").distinct())
 
 
 @query(f"""WITH {EVENTS_SQL}, {ANOMALIES}, h AS (SELECT DISTINCT category || '/' || user_id AS category, bag FROM an), i AS (SELECT *, bag - row_number() OVER (PARTITION BY category ORDER BY bag) AS island FROM h),
@@ -282,8 +280,8 @@ def percentile(spark, sf_dir):
     return events(spark, sf_dir).groupBy("topic").agg(p(0.5).alias("p50"), p(0.9).alias("p90"))
 
 
-@query(f"""WITH {LOGS_SQL}, g AS (SELECT node, ts_us - lag(ts_us) OVER (PARTITION BY node ORDER BY ts_us, seq) AS gap FROM lg), p AS (SELECT node, count(*) AS n, round(median(gap / 1000.0) FILTER (gap > 0), 3) AS median_ms, stddev_pop(gap / 1000.0) FILTER (gap > 0) / avg(gap / 1000.0) FILTER (gap > 0) AS cv FROM g GROUP BY node)
-SELECT node, n, median_ms, round(cv, 4) AS cv, CASE WHEN n < 20 THEN 'event_driven' WHEN cv < 0.3 THEN 'periodic' WHEN cv < 1.0 THEN 'semi_periodic' ELSE 'event_driven' END AS kind FROM p""")
+@query(f"""WITH {LOGS_SQL}, g AS (SELECT node, ts_us, ts_us - lag(ts_us) OVER (PARTITION BY node ORDER BY ts_us, seq) AS gap FROM lg), p AS (SELECT node, count(*) AS n, round(median(gap / 1000.0) FILTER (gap > 0), 3) AS median_ms, stddev_pop(gap / 1000.0) FILTER (gap > 0) / avg(gap / 1000.0) FILTER (gap > 0) AS cv, (max(ts_us) - min(ts_us)) / 1e6 AS s FROM g GROUP BY node)
+SELECT node, n, median_ms, coalesce(round(cv, 4), 'infinity'::DOUBLE) AS cv, CASE WHEN s > 0 THEN round(n / s, 4) ELSE 0.0 END AS rate_hz, CASE WHEN n < 20 THEN 'event_driven' WHEN cv < 0.3 THEN 'periodic' WHEN cv < 1.0 THEN 'semi_periodic' ELSE 'event_driven' END AS kind FROM p""")
 def node_profiles(spark, sf_dir):
     return L.node_profiles(logs(spark, sf_dir))
 
@@ -294,7 +292,8 @@ def fingerprint(spark, sf_dir):
 
 
 @query(f"""WITH {PRINTS}, o AS (SELECT w + 1 AS w, node, template, n AS m FROM fp), b AS (SELECT w, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM fp FULL JOIN o USING (w, node, template))
-SELECT w, round(1 - sum(CASE WHEN n > 0 AND m > 0 THEN 1 ELSE 0 END) / count(*), 6) AS distance, round(sum((n - m) * (n - m) / (n + m)), 4) AS divergence FROM b WHERE w > 0 AND w <= (SELECT max(w) FROM fp) GROUP BY w""")
+SELECT v.w, coalesce(round(1 - sum(CASE WHEN n > 0 AND m > 0 THEN 1 ELSE 0 END) / count(b.w), 6), 1.0) AS distance, round(coalesce(sum((n - m) * (n - m) / (n + m)), 0), 4) AS divergence
+FROM (SELECT unnest(range(1, (SELECT max(w) FROM fp) + 1)) AS w) v LEFT JOIN b ON b.w = v.w GROUP BY v.w""")
 def window_deviation(spark, sf_dir):
     return L.window_deviation(prints(spark, sf_dir))
 
@@ -448,12 +447,26 @@ def structural_anomalies(spark, sf_dir):
     return S.structural_anomalies(rows, windows, S.regime_baseline(rows, windows), stand_in_importance())
 
 
-@query(f"""WITH {DAYS}, ed AS (SELECT regime, w, 1 AS new FROM dw d WHERE (SELECT count(*) FROM dw x WHERE x.regime = d.regime AND x.w < d.w) < 2
+@query(f"""WITH {PRINTS}, dw AS (SELECT DISTINCT w // 24 AS regime, w FROM fp), ed AS (SELECT regime, w, 1 AS new FROM dw d WHERE (SELECT count(*) FROM dw x WHERE x.regime = d.regime AND x.w < d.w) < 2
  UNION ALL SELECT regime + 1, w, 0 FROM dw d WHERE (SELECT count(*) FROM dw x WHERE x.regime = d.regime AND x.w > d.w) < 2),
-bg AS (SELECT regime, min(w) AS w FROM dw WHERE regime - 1 IN (SELECT regime FROM dw) GROUP BY regime), hd AS (SELECT regime, node, template, min(new) AS lo, max(new) AS hi FROM ed JOIN dp USING (w) GROUP BY ALL)
-SELECT regime, bg.w AS w, node, template, CASE lo WHEN 1 THEN 'regime_transition_appeared' ELSE 'regime_transition_disappeared' END AS kind, ((substr(node, 3)::INT + 2) * (1 + lo))::DOUBLE AS score FROM hd JOIN bg USING (regime) WHERE lo = hi""")
+bg AS (SELECT regime, min(w) AS w FROM dw WHERE regime - 1 IN (SELECT regime FROM dw) GROUP BY regime), hd AS (SELECT regime, node, template, min(new) AS lo, max(new) AS hi FROM ed JOIN fp USING (w) GROUP BY ALL)
+SELECT regime, bg.w AS w, node, template, CASE lo WHEN 1 THEN 'regime_transition_appeared' ELSE 'regime_transition_disappeared' END AS kind, (4 * (1 + lo))::DOUBLE AS score FROM hd JOIN bg USING (regime) WHERE lo = hi""")
 def regime_transitions(spark, sf_dir):
-    return S.regime_transitions(*daily(spark, sf_dir), stand_in_importance())
+    rows = prints(spark, sf_dir)
+    return S.regime_transitions(rows, rows.select(F.floor(F.col("w") / 24).alias("regime"), "w").distinct(), rules.importance())
+
+
+DEVIATION = SQL["window_deviation"]
+
+
+@query(f"""WITH RECURSIVE dv AS ({DEVIATION}), sr AS (SELECT w, round(distance + divergence, 4) AS x FROM dv), sm AS (SELECT round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std, count(*) AS c FROM sr),
+nu AS (SELECT w, x, mean, mean + CASE WHEN std > 0 THEN std ELSE 1.0 END AS lim, row_number() OVER (ORDER BY w) AS r FROM sr, sm WHERE c >= 3),
+rec AS (SELECT 0::BIGINT AS r, 0::BIGINT AS w, 0.0::DOUBLE AS total, FALSE AS fire UNION ALL SELECT r, w, CASE WHEN v > lim THEN 0.0 ELSE v END, v > lim FROM (SELECT nu.r, nu.w, lim, greatest(0.0, total + x - mean) AS v FROM rec JOIN nu ON nu.r = rec.r + 1)),
+ru AS (SELECT v.w, coalesce(sum(fire::INT) OVER (ORDER BY v.w), 0) AS run FROM (SELECT unnest(range(0, (SELECT max(w) FROM sr) + 1)) AS w) v LEFT JOIN rec ON rec.w = v.w AND rec.r > 0),
+rl AS (SELECT run, min(w) AS a, max(w) AS b, count(*) AS n FROM ru GROUP BY run), rg AS (SELECT *, (sum((run = 0 OR n >= 3)::INT) OVER (ORDER BY run) - 1)::BIGINT AS regime FROM rl)
+SELECT regime, min(a) AS first_w, max(b) AS last_w, sum(n)::BIGINT AS windows FROM rg GROUP BY regime""")
+def log_regimes(spark, sf_dir):
+    return S.log_regimes(L.window_deviation(prints(spark, sf_dir)), sigmas=1.0)
 
 
 def text_lines(spark, sf_dir):
@@ -506,3 +519,6 @@ def packet_verdict(spark, sf_dir):
 @query(f"WITH {VERDICTS} SELECT verdict, count(*) AS n FROM pv GROUP BY verdict")
 def verdict_counts(spark, sf_dir):
     return packet_verdict(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+from telescribe.plans import diagnosis  # noqa: E402, F401  registers its queries here

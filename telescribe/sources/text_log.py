@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telescribe.functions.text import clock_ms
+from telescribe.operators.relational import neighbour
 
 # The shape of a line, and the ranks of levels (others rank as INFO).
 LINE = r"(?s)^\s*\[\s*(\w+)\s*\]\[(\d{1,2}:\d{2}:\d{2}\.\d{3})(?:\s*(AM|PM))?(?:\s+\w+)?\]\[(/[^\]]+)\]:\s*(.*)"
 RANKS = {"DEBUG": 0, "INFO": 1, "WARN": 2, "ERROR": 3, "FATAL": 4}
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, seq, line) of text files: lines in order of seq, from 1 in each file.
+
+    A file is read as one value, as lines of a split file do not know their numbers; larger logs come as tables with a
+    number of their own.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), F.regexp_replace("value", r"\n\z", "").alias("value"))
+    rows = whole.select("source_file", F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    return rows.select("source_file", (F.col("at") + 1).cast("bigint").alias("seq"), F.regexp_replace("line", r"\r+$", "").alias("line"))
+
+
 def parsed(lines: DataFrame, least: str = "DEBUG") -> DataFrame:
     """level, clock_ms, node and raw_message of the lines of that shape from a level on; other lines go. lines: (.., line)."""
     part = lambda i: F.regexp_extract("line", LINE, i)
@@ -22,8 +34,20 @@ def parsed(lines: DataFrame, least: str = "DEBUG") -> DataFrame:
     return out.where(rank >= RANKS[least]).drop("line")
 
 
-def rolled_over(rows: DataFrame, file: str, line: str, drop_ms: int = 3_600_000) -> DataFrame:
-    """Adds timestamp_ms: clock_ms, with a day more from each line on whose clock lies over drop_ms behind the line before."""
-    w = Window.partitionBy(file).orderBy(line)
-    behind = F.coalesce((F.lag("clock_ms").over(w) - F.col("clock_ms") > drop_ms).cast("int"), F.lit(0))
-    return rows.withColumn("_behind", behind).withColumn("timestamp_ms", F.col("clock_ms") + F.sum("_behind").over(w) * 86_400_000).drop("_behind")
+def rolled_over(rows: DataFrame, file: str, line: str, drop_ms: int = 3_600_000, block: int = 1 << 18) -> DataFrame:
+    """Adds timestamp_ms: clock_ms, with a day more from each line on whose clock lies over drop_ms behind the line before.
+
+    Lines are dealt out by file and block of line numbers; what a block needs of those before is one row a block.
+    """
+    keys = [file]
+    own = neighbour(rows.withColumn("_seq", F.col(line)), keys, line, "_seq", {"_before": "clock_ms"}, span=block).drop("_seq")
+    own = own.withColumns({"_behind": F.coalesce((F.col("_before") - F.col("clock_ms") > drop_ms).cast("bigint"), F.lit(0).cast("bigint")), "_block": F.floor(F.col(line) / block)})
+    # days so far: the number of drops, which only grows
+    return days(own, keys, line).withColumn("timestamp_ms", F.col("clock_ms") + F.col("_days") * 86_400_000).drop("_behind", "_before", "_block", "_days")
+
+
+def days(rows: DataFrame, keys: list[str], line: str) -> DataFrame:
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_block").agg(F.sum("_behind").alias("_sum")).withColumn("_past", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    own = F.sum("_behind").over(Window.partitionBy(*keys, "_block").orderBy(line))
+    return rows.join(sums, [*keys, "_block"]).withColumn("_days", own + F.col("_past")).drop("_past")

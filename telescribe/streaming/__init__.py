@@ -1 +1 @@
-
+"""Analytics over streams."""
