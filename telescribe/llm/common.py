@@ -342,6 +342,26 @@ def map_rows(df: DataFrame, fn: Callable[[list[list]], Iterator[tuple]], schema:
     return bounded(df).mapInArrow(run, out)
 
 
+#: Most ids that are sent to every executor, 8 bytes each.
+MOST_SENT = 500_000
+
+
+#: Rows of one key that a join may leave to one task, where no more than MOST_SENT keys have more.
+HUB = 4096
+
+
+def hub_join(rows: DataFrame, ones: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with ones, which hold each key once and, as "rows", no fewer than the rows that have it; total: their sum.
+
+    Rows of the frequent keys stay where they lie, and their ones are sent to every task: at most MOST_SENT, as total
+    rows cannot make more keys so frequent. Only the others are dealt out by key, so no key makes a task large.
+    """
+    most = max(HUB, total // MOST_SENT)
+    hubs = F.broadcast(ones.where(F.col("rows") > most))
+    rest = rows.join(F.broadcast(ones.where(F.col("rows") > most).select(*keys)), keys, "left_anti")
+    return rows.join(hubs, keys).unionByName(rest.join(ones.where(F.col("rows") <= most), keys)).drop("rows")
+
+
 #: Edges of a component round for each partition it is written in, and rounds that no graph needs.
 ROUND_EDGES, MOST_ROUNDS = 100_000, 200
 
@@ -350,29 +370,35 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): every node with the smallest node it reaches.
 
     Alternates a step that points each node's larger neighbours at the smallest one with a step that does so for its
-    smaller neighbours, until all edges point at roots; steps grow with the logarithm of the largest component. Only
-    counts come to the driver; each round is a written table, and the one before it is deleted. Null ends and loops are
+    smaller neighbours, until all edges point at roots; steps grow with the logarithm of the largest component. Nodes
+    with many edges are hubs of hub_join(). Only counts come to the driver; each round is a written table, and the one before it is deleted. Null ends and loops are
     left out. An empty table gives an empty one. Columns: node, component. discard() deletes what the result reads.
     """
     e = written(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
     )
-    # rounds never hold more edges than the first table
-    parts = max(1, -(-e.count() // ROUND_EDGES))
+    parts = None
     for _ in range(MOST_ROUNDS):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        small = large.join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b")))
-        before, e = e, written(small.where("a <> b").distinct().coalesce(parts), "small")
-        discard(before)
         # done once every node has one edge, to a node that has none itself
         ends = e.select(F.col("a").alias("k"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(e.select(F.col("b").alias("k"), F.lit(0).alias("out"), F.lit(1).alias("in")))
-        if not ends.groupBy("k").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or out + in > 1").limit(1).count():
+        ends = ends.groupBy("k").agg(F.sum("out").alias("out"), F.max("in").alias("in"), F.count("*").alias("rows"))
+        now = ends.agg(F.max(F.expr("out > 1 or out + in > 1")).alias("open"), F.max("rows").alias("most"), F.sum("out").alias("edges")).first()
+        if not now["open"]:
             break
+        # rounds never hold more edges than the first table
+        parts = parts or -(-now["edges"] // ROUND_EDGES)
+
+        def met(rows: DataFrame, ones: DataFrame) -> DataFrame:
+            return hub_join(rows, ones, ["a"], 2 * now["edges"]) if now["most"] > HUB else rows.join(ones.drop("rows"), "a")
+
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("rows"))
+        large = met(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows"))
+        small = met(large, low).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.unionByName(low.select("a", F.col("m").alias("b")))
+        before, e = e, written(small.where("a <> b").distinct().coalesce(parts), "small")
+        discard(before)
     else:
         raise RuntimeError(f"components have not settled in {MOST_ROUNDS} rounds")
     out = e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
@@ -382,10 +408,6 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-#: Most ids that are sent to every executor, 8 bytes each.
-MOST_SENT = 500_000
-
-
 def sent(ids: DataFrame) -> DataFrame:
     """ids (with an array column "lines", or one id a row), marked for broadcast if it holds at most MOST_SENT numbers.
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from telescribe.llm import ann, bpe, decontaminate, html_extract, license_scan, line_dedup, near_dedup, queries, substring_dedup, toxicity, url_filter
+from telescribe.llm import ann, bpe, common, decontaminate, html_extract, license_scan, line_dedup, near_dedup, queries, substring_dedup, toxicity, url_filter
 from telescribe.llm.common import components, dense_links, grouped, mixed
 
 SF = "/root/testdata/sf0.001"
@@ -58,7 +58,9 @@ def shingles(text):
 
 
 @pytest.mark.parametrize("small", [True, False])
-def test_near_dedup(spark, small):
+def test_near_dedup(spark, small, monkeypatch):
+    # with the documents, keys of more than two rows are joined apart
+    monkeypatch.setattr(common, "HUB", common.HUB if small else 2)
     df = odd(spark, ODD) if small else documents(spark)
     texts = {r.doc_id: r.text for r in df.collect()}
     want = classes({k: shingles(t) for k, t in texts.items()})
@@ -77,7 +79,9 @@ def test_near_dedup_groups(spark):
 
 
 @pytest.mark.parametrize("small", [True, False])
-def test_line_dedup(spark, small):
+def test_line_dedup(spark, small, monkeypatch):
+    # with the documents, keys of more than two rows are joined apart
+    monkeypatch.setattr(common, "HUB", common.HUB if small else 2)
     df = odd(spark, ODD) if small else documents(spark)
     sets = {(r.doc_id, k): frozenset(words(line)) for r in df.collect() for k, line in enumerate((r.text or "").split("\n"))}
     want = classes(sets)
@@ -207,7 +211,9 @@ def test_grouped_batches(spark):
     assert got == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [2, 4096])
+def test_components(spark, hub, monkeypatch):
+    monkeypatch.setattr(common, "HUB", hub)
     rng = np.random.default_rng(9)
     path = [(i, i + 1) for i in range(700)]
     edges = path + [(1000, 1000 + i) for i in range(1, 90)] + [tuple(map(int, e)) for e in rng.integers(2000, 2400, (300, 2))] + [(5, 5), (None, 3), (701, None)]
@@ -221,6 +227,26 @@ def test_components(spark):
     assert all(got.get(x, x) == c for x, c in top.items())
 
 
+def test_components_of_stars(spark):
+    """Edges that point at roots already, and none at all, need no round."""
+    for edges, want in (([(1, 9), (8, 1), (3, 2)], {(1, 1), (8, 1), (9, 1), (2, 2), (3, 2)}), ([], set())):
+        assert {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+@pytest.mark.parametrize("hub, sent", [(1, 1), (3, 1000), (100, 1000)])
+def test_hub_join(spark, hub, sent, monkeypatch):
+    """Rows of frequent and other keys, null keys and keys without a partner, under any limit."""
+    monkeypatch.setattr(common, "HUB", hub)
+    monkeypatch.setattr(common, "MOST_SENT", sent)
+    keys = [1] * 9 + [2] * 3 + [3, 4, None]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    ones = spark.createDataFrame([(1, "a", 9), (2, "b", 3), (3, "c", 1), (7, "d", 5)], "k long, v string, rows long")
+    got = common.hub_join(rows, ones, ["k"], len(keys))
+    assert got.columns == ["k", "i", "v"]
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, " abc"[k]) for i, k in enumerate(keys) if k in (1, 2, 3))
+    assert common.hub_join(rows.limit(0), ones.limit(0), ["k"], 0).count() == 0
+
+
 def test_awkward_ids_and_columns(spark):
     """Null, repeated and very large ids, and columns that are called like those that operators add."""
     line = "the same line of eleven words stands in each of these"
