@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telescribe.llm.common import SPACED_BYTES, Words, components, confirmed, dense_links, discard, lists_array, map_batches, map_rows, sent, single, written
+from telescribe.llm.common import SPACED_BYTES, Words, components, confirmed, dense_links, discard, hub_join, lists_array, map_batches, map_rows, sent, single, written
 
 @dataclass(frozen=True)
 class Params:
@@ -85,15 +85,18 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
     p = params
     docs = single(df, id_col, text_col)
     seen = written(sketches(docs, p, "doc_id", "text"), "sketches")
-    reps = seen.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = written(seen.join(reps, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), "member")
+    reps = written(seen.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "texts")
+    total = seen.count()
+    own = seen.select("doc_id", F.col("n").alias("n_shingles"), "digest")
+    empty = own.where("digest is null").withColumn("rep", F.col("doc_id")).drop("digest")
+    member = written(hub_join(own, reps, ["digest"], total).drop("digest").unionByName(empty), "member")
     sketch = written(seen.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").drop("digest"), "reps")
-    discard(seen)
+    discard(seen, reps)
     bits = [f"bits{i}" for i in range(4)]
 
     held = sketch.select("doc_id", F.explode("sketch").alias("value"))
-    sizes = held.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
-    per_doc = held.join(sizes, "value").groupBy("doc_id").agg(
+    sizes = held.groupBy("value").agg(F.count("*").alias("size")).where("size > 1").withColumn("rows", F.col("size"))
+    per_doc = hub_join(held, sizes, ["value"], total * p.k).groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("size") <= p.long_list, F.col("value")))).alias("short"),
         F.collect_list(F.when(F.col("size") > p.long_list, F.col("value"))).alias("long"),
     )
