@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telescribe.llm.common import WORD_BYTES, Words, bounded, components, confirmed, dense_links, discard, lists_array, map_batches, map_rows, mixed, sent, single, slices, with_small_ids, written
+from telescribe.llm.common import WORD_BYTES, Words, bounded, components, confirmed, dense_links, discard, hub_join, lists_array, map_batches, map_rows, mixed, sent, single, slices, with_small_ids, written
 
 #: Rows of buckets in which tokens are counted, bits of a bucket's number, and parts that a table of counts is cut in.
 ROWS, BUCKET_BITS, SEGMENTS = 3, 17, 48
@@ -267,9 +267,9 @@ def _line_classes(docs: DataFrame, percent: int, long_list: int) -> DataFrame:
     comp = components(links)
     first = reps.join(comp, reps.id == comp.node, "left").select("one", "two", "n", "copies", "id", F.coalesce("component", "id").alias("first"))
     # of most lines no other is like them
-    first = written(first.where("copies > 1 or first <> id").drop("copies", "id"), "first")
+    first = written(first.where("copies > 1 or first <> id").withColumnRenamed("copies", "rows").drop("id"), "first")
     discard(found, reps, comp)
-    later = seen.select("at", "one", "two", "n").join(first, ["one", "two", "n"]).where("at <> first")
+    later = hub_join(seen.select("at", "one", "two", "n"), first, ["one", "two", "n"], seen.count()).where("at <> first")
     number = lambda c: F.col(c).bitwiseAND(F.lit((1 << LINE_BITS) - 1))
     later = written(later.select(
         F.shiftright("at", LINE_BITS).alias("doc_id"), number("at").alias("line"), F.shiftright("first", LINE_BITS).alias("first_doc"), number("first").alias("first_line")
