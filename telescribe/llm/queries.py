@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telescribe.llm import ann, bpe, decontaminate, html_extract, license_scan, line_dedup, near_dedup, substring_dedup, toxicity, url_filter
+from telescribe.llm import ann, bpe, decontaminate, html_extract, license_scan, line_dedup, near_dedup, resample, substring_dedup, toxicity, url_filter
 from telescribe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -91,6 +96,7 @@ QUERIES: dict[str, Query] = {
         op8_line_dedup,
         op9_benchmark_decontamination,
         op10_bpe,
+        op12_importance_resampling,
     )
 }
 
