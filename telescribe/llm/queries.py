@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telescribe.llm import ann, bpe, decontaminate, html_extract, license_scan, line_dedup, near_dedup, resample, substring_dedup, toxicity, url_filter
+from telescribe.llm import align, ann, bpe, decontaminate, html_extract, license_scan, line_dedup, near_dedup, resample, substring_dedup, toxicity, url_filter
 from telescribe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digests(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
@@ -96,6 +100,7 @@ QUERIES: dict[str, Query] = {
         op8_line_dedup,
         op9_benchmark_decontamination,
         op10_bpe,
+        op11_cross_tokenizer_alignment,
         op12_importance_resampling,
     )
 }
