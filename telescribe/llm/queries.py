@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telescribe.llm import align, ann, bpe, decontaminate, html_extract, license_scan, line_dedup, near_dedup, resample, substring_dedup, toxicity, url_filter
+from telescribe.llm import align, ann, bpe, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, near_dedup, resample, substring_dedup, toxicity, url_filter
 from telescribe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -102,6 +106,7 @@ QUERIES: dict[str, Query] = {
         op10_bpe,
         op11_cross_tokenizer_alignment,
         op12_importance_resampling,
+        op13_jaccard_join,
     )
 }
 
@@ -181,6 +186,16 @@ words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op13_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {PAIRS}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sized AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+linked AS (SELECT a, b FROM common JOIN sized p ON p.doc_id = a JOIN sized q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+least_id AS (SELECT a AS doc_id, min(b) AS component FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, doc_id)::BIGINT AS component_id FROM d LEFT JOIN sized USING (doc_id) LEFT JOIN least_id USING (doc_id)""",
     "op7_nearest_vectors": """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
