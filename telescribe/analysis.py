@@ -11,7 +11,7 @@ from telescribe.operators import incidents as I
 from telescribe.operators import logs as L
 from telescribe.operators import sequences as S
 from telescribe.operators import values as V
-from telescribe.operators.graph import checkpointed
+from telescribe.operators.scratch import checkpointed, discard
 from telescribe.plans import rules
 from telescribe.sources import catalog, messages, recording
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telescribe.operators.graph import checkpointed, components
+from telescribe.operators.graph import components
+from telescribe.operators.scratch import checkpointed, discard
 from telescribe.operators.logs import cooccurrence, similarity_edges
 from telescribe.plans import rules
 
@@ -74,7 +75,9 @@ def causal_chains(anomalies: DataFrame, importance: Column | None = None, least:
     jaccard = F.when(F.col("how") == "transition", 1.0).when(every > 0, F.coalesce("sum", F.lit(0.0)) / every).otherwise(0.0)
     out = own.select("chain", "how", "root", F.round(severity + 1e-9, 2).alias("severity"), "types", "members", "first_ts", "last_ts", F.round(jaccard + 1e-9, 3).alias("jaccard"))
     number = F.row_number().over(Window.orderBy(F.desc("severity"), "first_ts", "root")) - 1  # chains are few: one row each
-    return checkpointed(out.withColumn("chain_id", number))
+    out = checkpointed(out.withColumn("chain_id", number))
+    discard(anomalies, members)
+    return out
 
 
 def isolated(anomalies: DataFrame, links: DataFrame) -> DataFrame:

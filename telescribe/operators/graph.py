@@ -5,17 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that spark.checkpoint.dir names, or one below the warehouse where it is unset on one machine."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoint"
-    spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint()
+from telescribe.operators.scratch import checkpointed, discard
 
 
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -32,6 +22,7 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
         now = checkpointed(down.join(jump, F.col("to") == F.col("k")).select("node", F.col("next").alias("component")))
         old = labels.select(F.col("node").alias("k"), F.col("component").alias("was"))
         changed = now.join(old, F.col("node") == F.col("k")).where("component <> was").limit(1).count()
+        discard(labels)
         labels = now
         if not changed:
             return labels

@@ -74,20 +74,7 @@ def open_logs(spark: SparkSession, path: str, least: str = "INFO") -> LogSource:
 
 def discovered(spark: SparkSession, folder: str) -> DataFrame:
     """(bag, start_us, end_us, n, truncated) of the recordings below a folder, in order of name; unreadable ones are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bag").option("recursiveFileLookup", "true").load(folder)
-    # the file's header says whether its index can be there; only its first bytes are looked at
-    cut = files.select(F.element_at(F.split("path", "/"), -1).alias("bag"), F.substring("content", 1, 4200).alias("head"), "length")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = [recording.is_truncated(h + b"\0" * max(0, n - len(h))) if n < 1 << 24 else recording.is_truncated(h) for h, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_())], names=["bag", "truncated"])
-
-    marks = cut.mapInArrow(run, "bag string, truncated boolean")
-    own = recording.read(spark, folder).groupBy("bag").agg(F.floor(F.min("ts_ns") / 1000).alias("start_us"), F.floor(F.max("ts_ns") / 1000).alias("end_us"), F.count("*").alias("n"))
-    return own.join(marks, "bag").orderBy("bag")
+    return recording.discovered(spark, folder)
 
 
 def validated_rules(content: str) -> list[dict]:

@@ -84,6 +84,85 @@ def test_reader(spark, folder):
     assert {r.bag: r.truncated for r in catalog.discovered(spark, folder).collect()} == {"a.bag": True, "b.bag": True}
 
 
+def indexed_bag(chunks, gap=b""):
+    """A recording with an index, and records of another kind between its chunks; chunks: (compression, data, {connection: messages})."""
+    out = bytearray(b"#ROSBAG V2.0\n")
+    at = len(out)
+    head = lambda pos: record(b" " * 100, op=b"\x03", index_pos=struct.pack("<Q", pos), conn_count=struct.pack("<I", 3), chunk_count=struct.pack("<I", len(chunks)))
+    out += head(0)
+    infos = b""
+    for name, data, counts in chunks:
+        packed = bz2.compress(data) if name == "bz2" else data
+        pos = len(out)
+        out += record(packed, op=b"\x05", compression=name.encode(), size=struct.pack("<I", len(data))) + record(gap, op=b"\x04")
+        infos += record(b"".join(struct.pack("<II", c, n) for c, n in counts.items()), op=b"\x06", ver=struct.pack("<I", 1), chunk_pos=struct.pack("<Q", pos), start_time=struct.pack("<II", 1000, 0), end_time=struct.pack("<II", 1200, 0), count=struct.pack("<I", len(counts)))
+    place = len(out)
+    out[at : at + len(head(0))] = head(place)
+    return bytes(out) + HEAD + infos
+
+
+HEAD = connection(0, "/chassis_cmd_vel", "geometry_msgs/Twist", TWIST) + connection(1, "/rosout", "rosgraph_msgs/Log", LOG) + connection(2, "/odom", "geometry_msgs/Twist", TWIST)
+
+
+def test_ranges(spark, tmp_path):
+    """Files read by index and by steps, in ranges of few bytes, against the same files read whole."""
+    one = HEAD + b"".join(message(0, 1000 + i, twist(i)) for i in range(30)) + message(9, 1000, b"unknown")
+    two = b"".join(message(2, 1100 + i, twist(i)) for i in range(20)) + message(1, 1150, log(8, "nav", "stuck"))
+    three = message(0, 1190, twist(7)) + message(1, 1199, log(4, "/m", "still_flag: 1"))
+    chunks = [("none", one, {0: 30, 9: 1}), ("bz2", two, {2: 20, 1: 1}), ("bz2", three, {0: 1, 1: 1})]
+    whole = indexed_bag(chunks, b"x" * 5000)
+    files = {"whole.bag": whole, "cut.bag": whole[:-40], "short.bag": whole[: len(whole) // 2], "no_index.bag": whole.replace(struct.pack("<Q", whole.index(HEAD, len(whole) // 2)), bytes(8), 1), "empty.bag": b"", "other.bag": b"text\n", "bare.bag": b"#ROSBAG V2.0\n"}
+    (tmp_path / "below").mkdir()
+    for name, content in files.items():
+        (tmp_path / ("below" if name == "cut.bag" else ".") / name).write_bytes(content)
+    want = {tuple(r) for name, content in files.items() for r in recording.messages_of(content, name)}
+    assert len(want) == 3 * 53 + 51
+    for size in (1000, 1 << 26):
+        rows = recording.read(spark, str(tmp_path), range_bytes=size)
+        got = [tuple(r[:-1]) + (bytes(r[-1]),) for r in rows.collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert rows.rdd.getNumPartitions() > (6 if size == 1000 else 0)
+    assert {tuple(r)[:-1] for r in recording.read(spark, str(tmp_path), ["/rosout"]).collect()} == {r[:-1] for r in want if r[2] == "/rosout"}
+    assert recording.read(spark, str(tmp_path), ["/none"]).count() == 0
+    assert {tuple(r)[:-1] for r in recording.read_whole(spark, str(tmp_path), ["/odom"]).collect()} == {r[:-1] for r in want if r[2] == "/odom"}
+    found = {r.bag: (r.n, r.truncated) for r in catalog.discovered(spark, str(tmp_path)).collect()}
+    assert found == {"whole.bag": (53, False), "cut.bag": (53, False), "short.bag": (51, True), "no_index.bag": (53, True)}
+
+
+def test_unasked_chunks_are_not_read(spark, tmp_path):
+    """Of a recording with an index, a chunk without the topics asked for may be broken."""
+    one = HEAD + message(0, 1000, twist(1))
+    good = indexed_bag([("none", one, {0: 1}), ("bz2", message(2, 1100, twist(2)), {2: 1})])
+    (tmp_path / "x.bag").write_bytes(good.replace(b"BZh9", b"none"))
+    assert [r.number for r in recording.read(spark, str(tmp_path), ["/chassis_cmd_vel"]).collect()] == [0]
+    assert recording.read(spark, str(tmp_path), ["/odom"]).count() == 0
+
+
+def test_beyond_two_gigabytes(spark, tmp_path):
+    """A file of 5 GB, most of it a hole, is read in several tasks, by its index and without it."""
+    hole = (2**32 - 1) // 2 * 2 - 4096
+    one, two = HEAD + message(0, 1000, twist(1)), message(2, 1100, twist(2)) + message(0, 1101, twist(3))
+    start = b"#ROSBAG V2.0\n"
+    for name, place_known in (("a.bag", True), ("b.bag", False)):
+        with open(tmp_path / name, "wb") as f:
+            head_at = f.write(start)
+            f.write(record(b" " * 100, op=b"\x03", index_pos=bytes(8), conn_count=struct.pack("<I", 3), chunk_count=struct.pack("<I", 2)))
+            places = []
+            for data in (one, two):
+                places.append(f.tell())
+                f.write(record(data, op=b"\x05", compression=b"none", size=struct.pack("<I", len(data))))
+                f.write(header(op=b"\x04") + struct.pack("<I", hole // 2))
+                f.seek(hole // 2, 1)
+            index = f.tell()
+            f.write(HEAD + b"".join(record(struct.pack("<II", 0, 1) + (struct.pack("<II", 2, 1) if i else b""), op=b"\x06", chunk_pos=struct.pack("<Q", p), start_time=struct.pack("<II", 1000, 0), end_time=struct.pack("<II", 1101, 0)) for i, p in enumerate(places)))
+            f.seek(head_at)
+            f.write(record(b" " * 100, op=b"\x03", index_pos=struct.pack("<Q", index * place_known), conn_count=struct.pack("<I", 3), chunk_count=struct.pack("<I", 2)))
+        assert (tmp_path / name).stat().st_size > 2**32 - 2**20
+    rows = recording.read(spark, str(tmp_path))
+    assert {(r.bag, r.number, r.topic) for r in rows.collect()} == {(b, n, t) for b in ("a.bag", "b.bag") for n, t in enumerate(("/chassis_cmd_vel", "/odom", "/chassis_cmd_vel"))}
+    assert rows.rdd.getNumPartitions() >= 4
+
+
 def test_truncation_at_every_byte():
     whole = bag([("none", connection(0, "/t", "std_msgs/Float32", "float32 data") + message(0, 5, struct.pack("<f", 1)))])
     counts = [len(list(recording.messages_of(whole[:n], "x"))) for n in range(len(whole) + 1)]
