@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +18,43 @@ RANKS = {"DEBUG": 0, "INFO": 1, "WARN": 2, "ERROR": 3, "FATAL": 4}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, seq, line) of text files: lines in order of seq, from 1 in each file.
+    """(source_file, seq, line) of text files: lines in order of seq, from 1 in each file; an empty file has none.
 
-    A file is read as one value, as lines of a split file do not know their numbers; larger logs come as tables with a
-    number of their own.
+    Files are split like any text source's. A first pass counts the lines of each split, whose running sums, a row a
+    split, say how many lines come before it; a second pass numbers the lines from there on, as they are read. Only line
+    feeds end lines, and carriage returns before them go; compressed files are one split.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), F.regexp_replace("value", r"\n\z", "").alias("value"))
-    rows = whole.select("source_file", F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    return rows.select("source_file", (F.col("at") + 1).cast("bigint").alias("seq"), F.regexp_replace("line", r"\r+$", "").alias("line"))
+    place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_from")]
+    rows = spark.read.option("lineSep", "\n").text(path).select(*place, "value")
+    before = Window.partitionBy("_path").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("_path", "_from").agg(F.count("*").alias("_lines")).withColumn("_past", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The number of each line in its split; a task reads the lines of a split one after the other."""
+        split, n = None, 0
+        for batch in batches:
+            own = batch.column(1).to_numpy()
+            # a split begins where the place changes, or at the same place of another file
+            paths = batch.column(0)
+            for at, to in runs(paths, own):
+                now = (paths[at].as_py(), int(own[at]))
+                split, n = now, (n if now == split else 0)
+                part = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.arange(n + 1, n + 1 + to - at))], names=["_path", "_from", "value", "_at"])
+                n += to - at
+
+    numbered = rows.mapInArrow(run, "_path string, _from bigint, value string, _at bigint")
+    out = numbered.join(F.broadcast(splits.select("_path", "_from", "_past")), ["_path", "_from"])
+    return out.select(F.element_at(F.split("_path", "/"), -1).alias("source_file"), (F.col("_past") + F.col("_at")).alias("seq"), F.regexp_replace("value", r"\r+$", "").alias("line"))
+
+
+def runs(paths: pa.Array, places: np.ndarray) -> list[tuple[int, int]]:
+    """(first, past the last) of the runs of rows of one path and place."""
+    if not len(places):
+        return []
+    codes = paths.dictionary_encode().indices.to_numpy()
+    cuts = np.flatnonzero((places[1:] != places[:-1]) | (codes[1:] != codes[:-1])) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)]))
 
 
 def parsed(lines: DataFrame, least: str = "DEBUG") -> DataFrame:

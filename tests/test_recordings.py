@@ -222,6 +222,28 @@ def test_text_logs(spark, tmp_path):
     assert text_log.read(spark, str(tmp_path / "run.log")).count() == 6
 
 
+def test_text_logs_in_splits(spark, tmp_path):
+    """Lines of files split anywhere get the numbers that they have in the whole file."""
+    rng = np.random.default_rng(4)
+    files = {"a.log": [f"line {i} " + "x" * int(rng.integers(0, 60)) for i in range(400)], "b.log": ["", "", "é" * 50, "one\rtwo", "end\r", ""], "c.log": ["only"], "empty.log": []}
+    (tmp_path / "d").mkdir()
+    for name, lines in files.items():
+        (tmp_path / "d" / name).write_bytes(("\n".join(lines) + "\n" * bool(name != "c.log" and lines)).encode())
+    sizes = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "40", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k, None) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        rows = text_log.read(spark, str(tmp_path / "d"))
+        got = {(r.source_file, r.seq): r.line for r in rows.collect()}
+        one = {r.seq: r.line for r in text_log.read(spark, str(tmp_path / "d" / "a.log")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {(name, i + 1): line.rstrip("\r") for name, lines in files.items() for i, line in enumerate(lines)}
+    assert one == dict(enumerate(files["a.log"], 1))
+
+
 def test_log_extraction(spark, tmp_path):
     rng = np.random.default_rng(1)
     lines = []
