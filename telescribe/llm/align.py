@@ -8,16 +8,21 @@ A text is taken apart where a blank follows another character: no token of eithe
 stretch of text has the same tokens, groups and links wherever it stands, and each different one is aligned once in a
 while (a bounded store a process). Where the second vocabulary has a token over such a place, texts stay whole.
 
-Links are counted over the corpus by partial sums. A second pass sums the counts by document. The count table is sent to
-all tasks if it is small; of a larger one only the frequent pairs are, and the others are joined, each of few rows.
+One pass over the texts writes what does not depend on the corpus, and each slice's links as packed numbers into the
+slice's own list of id pairs. The lists are summed up over the corpus, and a second pass over the packed numbers sums the
+counts by document. The count table is sent to all tasks if it is small; of a larger one only the frequent pairs are, and
+the others are joined, each of few rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telescribe.llm import bpe
-from telescribe.llm.common import bounded, discard, slices, written
+from telescribe.llm.bpe import byte_alphabet
+from telescribe.llm.common import bounded, discard, lists_array, slices, written
 
 #: White space, then all up to a blank behind another character; the white space at the end of a text goes to its last stretch.
 STRETCH = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:\s+\Z)?")
+#: White space before a blank: without any, blanks alone part the stretches.
+UNEVEN = re.compile(r"\s ")
 #: Stretches and bytes of their results that a process holds before it forgets them.
-STORED, STORED_BYTES = 200_000, 64 << 20
+STORED, STORED_BYTES = 300_000, 96 << 20
 #: Most id pairs whose counts are sent to every task, 17 bytes each.
 MOST_PAIRS = 2_000_000
 
@@ -78,20 +85,34 @@ def grown(old: np.ndarray, new: np.ndarray, used: int) -> np.ndarray:
 
 
 class Aligner:
-    """Two vocabularies: byte-level BPE from a tokenizers file (A) and a sentencepiece model with byte fallback (B)."""
+    """Two vocabularies: byte-level BPE from a tokenizers file (A) and a sentencepiece model with byte fallback (B).
+
+    Stretches are known by their text without the blank that each begins with.
+    """
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-
-        self.a, self.b = bpe.load(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        top = max(self.a.text) + 1
-        self.bytes_a = [self.a.text.get(i, b"") for i in range(top)]
+        from tokenizers import Tokenizer
+
+        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.a.encode_special_tokens = True
+        self.a.no_truncation()
+        self.a.no_padding()
+        with open(path_a, encoding="utf-8") as f:
+            vocab: dict[str, int] = json.load(f)["model"]["vocab"]
+        as_byte = {c: i for i, c in enumerate(byte_alphabet())}
+        self.bytes_a = [b""] * (max(vocab.values()) + 1)
+        for piece, i in vocab.items():
+            # a special token's piece need not be in the alphabet; it never comes out
+            self.bytes_a[i] = bytes(as_byte[c] for c in piece) if all(c in as_byte for c in piece) else b""
         self.bytes_b = [self._piece(i) for i in range(self.b.vocab_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in own], dtype=np.int64) for own in (self.bytes_a, self.bytes_b))
-        self.top_b = len(self.bytes_b)
+        self.top_a, self.top_b = len(self.bytes_a), len(self.bytes_b)
         self.whole = any(re.search(r"\S ", x.decode("utf-8", "replace")) for x in self.bytes_b)
-        a, b = [b"%d" % i for i in range(top)], [b"%d" % i for i in range(self.top_b)]
+        a, b = [b"%d" % i for i in range(self.top_a)], [b"%d" % i for i in range(self.top_b)]
         self.shown = [x + b"," for x in a] + [x + b"|" for x in a] + [x + b"," for x in b] + [x + b";" for x in b]
+        self.shown_size = np.array([len(x) for x in self.shown], dtype=np.int64)
         self.forget()
 
     def _piece(self, i: int) -> bytes:
@@ -100,65 +121,97 @@ class Aligner:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
+        #: By stretch: tokens of A and of B, groups and links; whether both vocabularies give it back; its groups as text.
         self.stats = np.zeros((0, 4), dtype=np.int64)
         self.good = np.zeros(0, dtype=bool)
         self.groups: list[bytes] = []
-        self.ids: list[tuple[bytes, list[int]]] = []
-        self.keys, self.key_ends = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.n_keys = self.held = 0
+        #: All stretches' tokens and linked pairs, one after the other, and where each stretch's end.
+        self.flat = {c: np.zeros(0, dtype=np.int64) for c in ("a", "b", "pairs")}
+        self.ends = {c: np.zeros(0, dtype=np.int64) for c in self.flat}
+        self.held = 0
 
     @property
     def full(self) -> bool:
         return len(self.place) >= STORED or self.held >= STORED_BYTES
 
-    def places(self, texts: list[str | None]) -> list[np.ndarray]:
-        """For each text the numbers of its stretches; none for null and empty texts."""
-        cut = [[] if not t else ([" " + t] if self.whole else STRETCH.findall(" " + t) or [" " + t]) for t in texts]
-        new = [s for s in dict.fromkeys(s for one in cut for s in one) if s not in self.place]
+    def cut(self, text: str) -> list[str]:
+        if self.whole:
+            return [text]
+        if text[-1].isspace() or UNEVEN.search(" " + text):
+            return [s[1:] for s in STRETCH.findall(" " + text)] or [text]
+        return text.split(" ")
+
+    def places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the texts' stretches, and where each text's begin (and past the last); null and empty ones have none."""
+        cut = [self.cut(t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(cut))
+        new = [s for s in dict.fromkeys(flat) if s not in self.place]
         if new:
-            self._add(new)
-        return [np.fromiter(map(self.place.__getitem__, one), np.int64, len(one)) for one in cut]
-
-    def _add(self, new: list[str]) -> None:
-        known, pieces = self.a.known.__getitem__, self.a.pieces
+            # those that end in white space cannot stand before another blank
+            self._add([s for s in new if s and not s[-1].isspace()], not self.whole)
+            self._add([s for s in new if not s or s[-1].isspace()], False)
+        return np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat)), np.concatenate(([0], np.cumsum([len(x) for x in cut]))).astype(np.int64)
+
+    def _encoded(self, new: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(which are good, tokens of A and of B by stretch, all tokens of A and of B); those that are not good have none."""
+        raw = [b" " + s.encode() for s in new]
+        if joined:
+            # no token reaches from one stretch into the next, so all are encoded as one text
+            text = " ".join(new)
+            a, b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+            whole = b"".join(raw)
+            if b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b)):
+                a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+                ends = np.cumsum([len(x) for x in raw])
+                n_a, n_b = (np.diff(np.searchsorted(np.cumsum(size[ids]), ends, side="right"), prepend=0) for size, ids in ((self.size_a, a), (self.size_b, b)))
+                return np.ones(len(new), dtype=bool), n_a, n_b, a, b
+        lists_a = [self.a.encode(" " + s, add_special_tokens=False).ids for s in new]
+        lists_b = self.b.encode(new)
+        good = np.array([b"".join(map(self.bytes_a.__getitem__, x)) == s == b"".join(map(self.bytes_b.__getitem__, y)) for s, x, y in zip(raw, lists_a, lists_b)], dtype=bool)
+        n_a, n_b = (np.array([len(x) if ok else 0 for x, ok in zip(lists, good)], dtype=np.int64) for lists in (lists_a, lists_b))
+        a, b = (np.array([i for x, ok in zip(lists, good) if ok for i in x], dtype=np.int64) for lists in (lists_a, lists_b))
+        return good, n_a, n_b, a, b
+
+    def _add(self, new: list[str], joined: bool) -> None:
+        if not new:
+            return
         first = len(self.place)
-        ids_a = [b"".join(map(known, pieces.findall(s))) for s in new]
-        ids_b = self.b.encode([s[1:] for s in new], num_threads=1)
-        lists_a = [np.frombuffer(x, dtype="<u4") for x in ids_a]
-        good = np.array([b"".join(map(self.bytes_a.__getitem__, x.tolist())) == s.encode() == b"".join(map(self.bytes_b.__getitem__, y)) for s, x, y in zip(new, lists_a, ids_b)])
-        n_a, n_b = (np.array([len(x) if ok else 0 for x, ok in zip(lists, good)], dtype=np.int64) for lists in (lists_a, ids_b))
-        a = np.concatenate([x for x, ok in zip(lists_a, good) if ok] or [np.empty(0, np.int64)]).astype(np.int64)
-        b = np.array([i for x, ok in zip(ids_b, good) if ok for i in x], dtype=np.int64)
-        cuts, to_a, to_b, link_a, link_b = aligned_tokens(self.size_a[a], self.size_b[b])
-        keys = a[link_a] * self.top_b + b[link_b]
+        good, n_a, n_b, a, b = self._encoded(new, joined)
+        _, to_a, to_b, link_a, link_b = aligned_tokens(self.size_a[a], self.size_b[b])
         # a stretch's links and groups end where its tokens do
-        last_a = np.cumsum(n_a)
+        last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
         key_ends = np.searchsorted(link_a, last_a)
         group_ends = np.searchsorted(to_a, last_a, side="right")
         # the groups as text: each token where the tokens of the groups before it leave off
-        top = len(self.bytes_a)
         group_a, group_b = np.searchsorted(to_a, np.arange(len(a)), side="right"), np.searchsorted(to_b, np.arange(len(b)), side="right")
         place = np.empty(len(a) + len(b), dtype=np.int64)
         ends_a, ends_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
         ends_a[to_a - 1], ends_b[to_b - 1] = True, True
-        place[np.arange(len(a)) + np.concatenate(([0], to_b))[group_a]] = a + top * ends_a
-        place[np.arange(len(b)) + to_a[group_b]] = b + 2 * top + self.top_b * ends_b
-        text = list(map(self.shown.__getitem__, place.tolist()))
-        at = np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
-        groups = [b"".join(text[x:y]) for x, y in zip(at[:-1], at[1:])]
-        stats = np.stack((n_a, n_b, np.diff(np.concatenate(([0], group_ends))), np.diff(np.concatenate(([0], key_ends)))), axis=1)
+        place[np.arange(len(a)) + np.concatenate(([0], to_b))[group_a]] = a + self.top_a * ends_a
+        place[np.arange(len(b)) + to_a[group_b]] = b + 2 * self.top_a + self.top_b * ends_b
+        text = b"".join(map(self.shown.__getitem__, place.tolist()))
+        upto = np.concatenate(([0], np.cumsum(self.shown_size[place])))
+        at = upto[np.concatenate(([0], last_a + last_b))].tolist()
+        self.groups += [text[x:y] for x, y in zip(at[:-1], at[1:])]
+        stats = np.stack((n_a, n_b, np.diff(group_ends, prepend=0), np.diff(key_ends, prepend=0)), axis=1)
         self.stats, self.good = grown(self.stats, stats, first), grown(self.good, good, first)
-        self.key_ends = grown(self.key_ends, key_ends + self.n_keys, first)
-        self.keys = grown(self.keys, keys, self.n_keys)
-        self.n_keys += len(keys)
-        self.groups += groups
-        self.ids += list(zip(ids_a, ids_b))
+        for c, values, ends in (("a", a, last_a), ("b", b, last_b), ("pairs", a[link_a] * self.top_b + b[link_b], key_ends)):
+            used = int(self.ends[c][first - 1]) if first else 0
+            self.flat[c], self.ends[c] = grown(self.flat[c], values, used), grown(self.ends[c], ends + used, first)
+            self.held += 8 * len(values)
         self.place.update(zip(new, range(first, first + len(new))))
-        self.held += sum(map(len, groups)) + sum(map(len, ids_a)) + 40 * len(b) + 8 * len(keys)
+        self.held += len(text) + 150 * len(new)
+
+    def taken(self, c: str, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values (tokens or pairs) of stretches in that order, and how many each has."""
+        ends = self.ends[c][places]
+        n = ends - np.where(places > 0, self.ends[c][places - 1], 0)
+        return self.flat[c][np.arange(n.sum()) + np.repeat(ends - np.cumsum(n), n)], n
 
-    def valid(self, places: np.ndarray) -> bool:
-        """Whether a text has tokens: it is not empty and all its stretches come back from both vocabularies."""
-        return bool(len(places) and self.good[places].all())
+    def valid(self, places: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which texts have tokens: they are not empty, and both vocabularies give all their stretches back."""
+        bad = np.concatenate(([0], np.cumsum(~self.good[places])))
+        return (first[1:] > first[:-1]) & (bad[first[1:]] == bad[first[:-1]])
 
 
 @lru_cache(maxsize=2)
@@ -187,11 +240,10 @@ def aligned(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
             for part in slices(batch, 1):
                 if own.full:
                     own.forget()
+                places, first = own.places(part.column(1).to_pylist())
                 out = []
-                for places in own.places(part.column(1).to_pylist()):
-                    found = [own.ids[i] for i in places.tolist()] if own.valid(places) else []
-                    a = np.frombuffer(b"".join(x for x, _ in found), dtype="<u4").astype(np.int64)
-                    b = np.array([i for _, x in found for i in x], dtype=np.int64)
+                for x, y, ok in zip(first[:-1], first[1:], own.valid(places, first)):
+                    a, b = (own.taken(c, places[x:y] if ok else places[:0])[0] for c in "ab")
                     cuts, to_a, to_b, _, _ = aligned_tokens(own.size_a[a], own.size_b[b])
                     out.append((a, b, cuts + 1, to_a, to_b))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in range(5)]], names=names)
@@ -199,36 +251,67 @@ def aligned(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     return _mapped(df.select(id_col, text_col), f"doc_id {kind}, " + ", ".join(f"{c} array<bigint>" for c in names[1:]), run)
 
 
-def pair_counts(df: DataFrame, path_a: str, path_b: str, text_col: str = "text") -> DataFrame:
-    """(pair, n, best), written: each linked id pair (A id times B's vocabulary plus B id), its links in all texts, and
-    whether no other pair of its B id has more."""
+def packed(df: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
+    """A row a slice of texts, written: ids, stats (four numbers a text), digests, the id pairs linked in the slice and how
+    often, the place in that list of every link (16 bits, or 32 where they do not do), and where each text's links end."""
+    kind = df.schema[id_col].dataType.simpleString()
+    names = ["ids", "stats", "digests", "pairs", "times", "links", "ends"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(path_a, path_b)
-        times = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch, 1):
+                if own.full:
+                    own.forget()
+                places, first = own.places(part.column(1).to_pylist())
+                valid = own.valid(places, first)
+                text = np.repeat(np.arange(part.num_rows), np.diff(first))
+                kept = valid[text]
+                stats = np.stack([np.bincount(text[kept], weights=own.stats[places[kept], k], minlength=part.num_rows) for k in range(4)], axis=1).astype(np.int64)
+                digests = [hashlib.sha256(b"".join(map(own.groups.__getitem__, places[x:y].tolist()))[:-1]).hexdigest() if ok else "" for x, y, ok in zip(first[:-1], first[1:], valid)]
+                # pairs are looked up once for each different stretch
+                used, at = np.unique(places[kept], return_inverse=True)
+                keys, n = own.taken("pairs", used)
+                pairs, code = np.unique(keys, return_inverse=True)
+                size = n[at]
+                start = np.concatenate(([0], np.cumsum(n)[:-1]))[at] if len(n) else at
+                links = code[np.arange(size.sum()) + np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size)] if len(at) else code[:0]
+                times = np.bincount(links, minlength=len(pairs))
+                row = [part.column(0), stats.reshape(-1), digests, pairs, times, None, np.cumsum(stats[:, 3])]
+                arrays = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), row[0])]
+                arrays += [lists_array(np.asarray(x), np.array([len(x)])) for x in row[1:5]]
+                arrays += [pa.array([links.astype("<u2" if len(pairs) <= 1 << 16 else "<u4").tobytes()], pa.binary()), lists_array(row[6], np.array([part.num_rows]))]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    schema = f"ids array<{kind}>, stats array<bigint>, digests array<string>, pairs array<bigint>, times array<bigint>, links binary, ends array<bigint>"
+    return written(_mapped(df.select(id_col, text_col), schema, run), "links")
+
+
+def pair_counts(slices_of: DataFrame, top_b: int) -> DataFrame:
+    """(pair, n, best), written: each linked id pair (A id times B's vocabulary plus B id), its links in all texts, and
+    whether no other pair of its B id has more. slices_of: packed()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
         def summed() -> pa.RecordBatch:
-            n = len(times)
-            keys = own.keys[: own.key_ends[n - 1] if n else 0]
-            pairs, at = np.unique(keys, return_inverse=True)
-            sums = np.bincount(at, weights=np.repeat(times, own.stats[:n, 3]), minlength=len(pairs)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[sums > 0]), pa.array(sums[sums > 0])], names=["pair", "n"])
+            pairs, at = np.unique(np.concatenate([x for x, _ in held] or [np.empty(0, np.int64)]), return_inverse=True)
+            sums = np.zeros(len(pairs), dtype=np.int64)
+            np.add.at(sums, at, np.concatenate([x for _, x in held] or [np.empty(0, np.int64)]))
+            held[:] = [(pairs, sums)]
+            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(sums)], names=["pair", "n"])
 
         for batch in batches:
-            for part in slices(batch, 0):
-                if own.full:
-                    yield summed()
-                    own.forget()
-                    times = np.zeros(0, dtype=np.int64)
-                good = [x for x in own.places(part.column(0).to_pylist()) if own.valid(x)]
-                now = np.bincount(np.concatenate(good or [np.empty(0, np.int64)]), minlength=len(own.place))
-                now[: len(times)] += times
-                times = now
+            held.append((batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()))
+            size += len(held[-1][0])
+            if size > 4_000_000:
+                out, size = summed(), len(held[0][0])
+                if size > 2_000_000:
+                    yield out
+                    held, size = [], 0
         yield summed()
 
-    partial = _mapped(df.select(text_col), "pair bigint, n bigint", run)
-    counts = written(partial.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
-    top_b = load(path_a, path_b).top_b
+    counts = written(_mapped(slices_of.select("pairs", "times"), "pair bigint, n bigint", run).groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     b = F.pmod("pair", F.lit(top_b))
     best = counts.groupBy(b.alias("b")).agg(F.max("n").alias("most"))  # a row a B id
     out = written(counts.withColumn("b", b).join(F.broadcast(best), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "counts")
@@ -236,10 +319,12 @@ def pair_counts(df: DataFrame, path_a: str, path_b: str, text_col: str = "text")
     return out
 
 
-def links(df: DataFrame, path_a: str, path_b: str, text_col: str = "text") -> DataFrame:
+def links(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The corpus's lexicon: a_id, b_id, n (links of the two in all texts), best (no other A id has more with that B id)."""
     top_b = load(path_a, path_b).top_b
-    pairs = pair_counts(df, path_a, path_b, text_col)
+    own = packed(df, path_a, path_b, id_col, text_col)
+    pairs = pair_counts(own, top_b)
+    discard(own)
     return pairs.select(F.floor(F.col("pair") / top_b).cast("bigint").alias("a_id"), F.pmod("pair", F.lit(top_b)).alias("b_id"), "n", "best")
 
 
@@ -252,59 +337,42 @@ def digests(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     columns are not read. The result does not depend on most_pairs.
     """
     spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
-    counts = pair_counts(df, path_a, path_b, text_col)
+    own = packed(df, path_a, path_b, id_col, text_col)
+    counts = pair_counts(own, load(path_a, path_b).top_b)
     size = counts.agg(F.count("*").alias("pairs"), F.sum("n").alias("links")).first()
     # pairs of more than links / most_pairs links are fewer than most_pairs; the others have so few rows each
     floor = 0 if size["pairs"] <= most_pairs else size["links"] // most_pairs
     table = counts.where(F.col("n") > floor).toArrow().sort_by("pair")
     shared = spark.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("pair", "n", "best")))
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "seldom"]
+    kinds = pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = load(path_a, path_b)
-        pairs, n, best = shared.value
-        sums = np.zeros((0, 2), dtype=np.int64)
-        known = np.zeros(0, dtype=bool)
-
-        def found(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(pairs, keys), max(0, len(pairs) - 1))
-            there = pairs[at] == keys if len(pairs) else np.zeros(len(keys), dtype=bool)
-            return at, there
-
+        known, n, best = shared.value
         for batch in batches:
-            for part in slices(batch, 1):
-                if own.full:
-                    own.forget()
-                    sums, known = sums[:0], known[:0]
-                every = own.places(part.column(1).to_pylist())
-                old, now = len(sums), len(own.place)
-                if now > old:
-                    begin = int(own.key_ends[old - 1]) if old else 0
-                    ends = own.key_ends[old:now] - begin
-                    at, there = found(own.keys[begin : begin + int(ends[-1])])
-                    each = np.zeros((len(at) + 1, 3), dtype=np.int64)
-                    if len(pairs):
-                        each[1:] = np.stack((best[at] & there, np.where(there, n[at], 0), ~there), axis=1)
-                    else:
-                        each[1:, 2] = 1
-                    upto = np.cumsum(each, axis=0)
-                    added = upto[ends] - upto[np.concatenate(([0], ends[:-1]))]
-                    sums, known = np.concatenate((sums, added[:, :2])), np.concatenate((known, added[:, 2] == 0))
-                rows, digest, seldom = np.zeros((len(every), 6), dtype=np.int64), [""] * len(every), [[]] * len(every)
-                for i, places in enumerate(every):
-                    if own.valid(places):
-                        rows[i, :4], rows[i, 4:] = own.stats[places].sum(axis=0), sums[places].sum(axis=0)
-                        digest[i] = hashlib.sha256(b"".join(map(own.groups.__getitem__, places.tolist()))[:-1]).hexdigest()
-                        rest = places[~known[places]]
-                        if len(rest):
-                            keys = np.concatenate([own.keys[own.key_ends[k - 1] if k else 0 : own.key_ends[k]] for k in rest.tolist()])
-                            keys, times = np.unique(keys[~found(keys)[1]], return_counts=True)
-                            seldom[i] = [{"pair": k, "times": t} for k, t in zip(keys.tolist(), times.tolist())]
-                kinds = pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(rows[:, k]) for k in range(6)], pa.array(digest), pa.array(seldom, kinds)], names=names)
+            for i in range(batch.num_rows):
+                ids, stats, digest, pairs, packed_links, ends = (batch.column(k)[i] for k in range(6))
+                pairs, ends = pairs.values.to_numpy(), ends.values.to_numpy()
+                stats = stats.values.to_numpy().reshape(-1, 4)
+                there = np.zeros(len(pairs), dtype=bool)
+                values = np.zeros((len(pairs), 2), dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+                    there = known[at] == pairs
+                    values = np.stack((best[at] & there, np.where(there, n[at], 0)), axis=1)
+                links = np.frombuffer(packed_links.as_buffer(), dtype="<u2" if len(pairs) <= 1 << 16 else "<u4")
+                upto = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(values[links], axis=0)))
+                sums = np.diff(upto[ends], axis=0, prepend=np.zeros((1, 2), np.int64))
+                seldom = [[]] * len(ends)
+                if not there.all():
+                    for k, (x, y) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                        rest, times = np.unique(links[x:y][~there[links[x:y]]], return_counts=True)
+                        seldom[k] = [{"pair": p, "times": t} for p, t in zip(pairs[rest].tolist(), times.tolist())]
+                columns = [ids.values, *[pa.array(np.ascontiguousarray(stats[:, k])) for k in range(4)], *[pa.array(np.ascontiguousarray(sums[:, k])) for k in range(2)], digest.values, pa.array(seldom, kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in names[1:7]) + ", groups_sha256 string, seldom array<struct<pair:bigint,times:bigint>>"
-    out = _mapped(df.select(id_col, text_col), schema, run)
+    out = _mapped(own.select("ids", "stats", "digests", "pairs", "links", "ends"), schema, run)
     if not floor:
         return out.drop("seldom")
     out = written(out.withColumn("row", F.monotonically_increasing_id()), "aligned")
