@@ -31,7 +31,7 @@ def main() -> None:
         reports.write_csv(incidents.incident_rows(found["incidents"]), f"{args.out}/incidents_csv")
     else:
         signals = messages.signals(recording.read(spark, args.path))
-        reports.write_json((diagnose.profile if args.what == "profile" else diagnose.validation)(signals), f"{args.out}/{args.what}")
+        reports.write_json((diagnose.profile if args.what == "profile" else diagnose.validation)(diagnose.Statistics(signals)), f"{args.out}/{args.what}")
     spark.stop()
 
 

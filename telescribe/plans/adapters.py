@@ -45,6 +45,7 @@ FEEDS = (
     ("/view", "/odom", "position_x", "value"),
     ("/purchase", "/localization/current_pose", "position_x", "CASE WHEN bag % 5 = 2 THEN 1.5 ELSE value * 3 END"),
     ("/purchase", "/localization/current_pose", "position_y", "CASE WHEN bag % 5 = 2 THEN 2.5 ELSE value END"),
+    ("/purchase", "/front_end_pose", "position_x", "CASE WHEN (ts_us % 86400000000 >= 43200000000) = (bag % 2 = 0) THEN 4.0 ELSE value END"),
     ("/purchase", "/raw_scan", "num_valid_points", "CASE WHEN value > 90 THEN 10.0 * value ELSE 4.0 * value END"),
     ("/signup", "/device/health_status", "imu_board", "CASE WHEN value < 50 THEN 0.0 ELSE 1.0 END"),
     ("/signup", "/device/health_status", "spare_flag", "0.0"),

@@ -16,7 +16,8 @@ from telescribe.plans.adapters import EVENTS_SQL, LOGS_SQL, SIGNALS_SQL, START_U
 from telescribe.plans.registry import ANOMALIES, CLASSED, QUERIES, REACH_US, SEVERITY, SQL, VERDICTS, WINDOW_US, anomalies, packet_verdict, prints, query
 from telescribe.sinks import layouts
 
-BIN_US, MARGIN_US = 3_600_000_000, 10_000_000
+#: Rates of the stand-in are messages an hour.
+BIN_US, MARGIN_US, UNIT_US = 3_600_000_000, 10_000_000, 3_600_000_000
 names = lambda xs: ", ".join(f"'{x}'" for x in xs)
 KEYS, LIDARS, IRS = names(rules.KEY_TOPICS), names(rules.LIDAR_TOPICS), names(rules.IR_TOPICS)
 ZEROS = "(" + " OR ".join(f"topic = '{t}' AND field IN ({names(fs)})" for t, fs in rules.EXPECTED_ZERO.items()) + ")"
@@ -26,8 +27,8 @@ ix AS (SELECT sg.*, s, greatest(ceil((ts_us - s) / {WINDOW_US}) - 1, 0)::BIGINT
 ws AS (SELECT bag, topic, field, w, min(s) + w * {WINDOW_US} AS at_us, {STATS} FROM ix GROUP BY bag, topic, field, w),
 ms AS (SELECT DISTINCT bag, topic, seq, ts_us FROM sg),
 tf AS (SELECT bag, topic, min(ts_us) AS t0, greatest(1, ceil((max(ts_us) - min(ts_us)) / {BIN_US}))::BIGINT AS bins FROM ms GROUP BY bag, topic),
-bc AS (SELECT bag, topic, least((ts_us - t0) // {BIN_US}, bins - 1) AS bin, round(count(*) / {BIN_US / 1e6}, 6) AS hz FROM ms JOIN tf USING (bag, topic) GROUP BY bag, topic, bins, bin),
-hz AS (SELECT bag, topic, any_value(t0) AS t0, any_value(bins) AS bins, round(sum(hz) / any_value(bins), 6) AS mean_hz, round(sqrt(greatest(sum(hz * hz) / any_value(bins) - (sum(hz) / any_value(bins)) ** 2, 0)), 5) AS std_hz FROM bc JOIN tf USING (bag, topic) GROUP BY bag, topic),
+bc AS (SELECT bag, topic, least((ts_us - t0) // {BIN_US}, bins - 1) AS bin, round(count(*) / {BIN_US / UNIT_US} + 1e-9, 2) AS hz FROM ms JOIN tf USING (bag, topic) GROUP BY bag, topic, bins, bin),
+hz AS (SELECT bag, topic, any_value(t0) AS t0, any_value(bins) AS bins, round(sum(hz) / any_value(bins) + 1e-9, 2) AS mean_hz, round(sqrt(greatest(sum(hz * hz) / any_value(bins) - (sum(hz) / any_value(bins)) ** 2, 0)) + 1e-9, 2) AS std_hz FROM bc JOIN tf USING (bag, topic) GROUP BY bag, topic),
 dr AS (SELECT x.bag, x.topic, t0 + x.bin * {BIN_US} AS at_us, coalesce(bc.hz, 0.0) AS hz, mean_hz FROM (SELECT bag, topic, t0, mean_hz, unnest(range(bins)) AS bin FROM hz WHERE mean_hz > 0) x LEFT JOIN bc ON bc.bag = x.bag AND bc.topic = x.topic AND bc.bin = x.bin WHERE coalesce(bc.hz, 0.0) < 0.3 * mean_hz)"""
 
 
@@ -73,13 +74,17 @@ RULES = {
         rule("WARNING", "PROTECTOR_TRIGGERED", "(SELECT bag, count(*) AS every, count(*) FILTER (k::VARCHAR LIKE '%1%') AS hits FROM (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY ts_us, seq) AS r FROM ev WHERE topic = '/click') WHERE r <= 50 GROUP BY bag) x WHERE hits > 0", "hits", "every", "'/protector'", "NULL"),
     ),
 }
-PARTS = {
-    "frozen_fields": lambda s, st, w, b, t: D.frozen(st), "freeze_rules": lambda s, st, w, b, t: D.freezes(w), "freq_dropout": lambda s, st, w, b, t: D.rates(s, b, BIN_US, MARGIN_US)[:1],
-    "unstable_freq": lambda s, st, w, b, t: D.rates(s, b, BIN_US, MARGIN_US)[1:], "cmd_odom_mismatch": lambda s, st, w, b, t: D.motion(st, w), "imu_rules": lambda s, st, w, b, t: D.imu(st),
-    "localization_rules": lambda s, st, w, b, t: D.localization(st), "hw_fault": lambda s, st, w, b, t: D.hardware(st, w), "point_drop": lambda s, st, w, b, t: D.lidar(st, w, b, WINDOW_US), "equipment_rules": lambda s, st, w, b, t: D.equipment(st, t),
+KINDS = {
+    "frozen_fields": ("ZERO_FIELD", "FROZEN_SENSOR"), "freeze_rules": ("FREEZE_ONSET", "SENSOR_RESUME"), "freq_dropout": ("FREQUENCY_DROPOUT", "LIDAR_FREQ_DROPOUT"), "unstable_freq": ("UNSTABLE_FREQUENCY",),
+    "cmd_odom_mismatch": ("CMD_ODOM_MISMATCH", "UNEXPECTED_MOTION", "STALL_DETECTED"), "imu_rules": ("IMU_FROZEN", "IMU_HIGH_VARIANCE"), "localization_rules": ("LOCALIZATION_STUCK", "ODOM_LOC_DIVERGENCE"),
+    "hw_fault": ("HW_FAULT", "HW_FAULT_ONSET", "HW_FAULT_RECOVERED", "ODOM_HW_ERROR", "IMU_HW_FIELD_ZERO", "IMU_HW_FROZEN"), "point_drop": ("LIDAR_POINT_DROP", "LIDAR_DEGRADATION"), "equipment_rules": ("SCRUBBER_NO_WATER", "IR_SENSOR_DEAD", "PROTECTOR_TRIGGERED"),
 }
 
 
+def statistics(spark, sf_dir):
+    return D.Statistics(signals(spark, sf_dir), WINDOW_US, BIN_US, MARGIN_US, UNIT_US)
+
+
 def protector(spark, sf_dir):
     """Stand-in for a protector's text messages."""
     return events(spark, sf_dir).where("topic = '/click'").select("bag", F.lit("/protector").alias("topic"), "ts_us", "seq", F.col("k").cast("string").alias("text"))
@@ -87,13 +92,7 @@ def protector(spark, sf_dir):
 
 def part(name: str):
     def run(spark, sf_dir):
-        rows = signals(spark, sf_dir)
-        bags = D.bounds(rows)
-        parts = PARTS[name](rows, D.field_stats(rows), D.window_stats(rows, bags, WINDOW_US), bags, protector(spark, sf_dir))
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out
+        return D.findings(statistics(spark, sf_dir), protector(spark, sf_dir), KINDS[name])
 
     run.__name__ = name
     return run
@@ -107,7 +106,7 @@ EVERY_RULE = " UNION ALL ".join(x for parts in RULES.values() for x in parts)
 
 @query(f"WITH {SIGNED}, every AS ({EVERY_RULE}) SELECT category, severity, count(*) AS n, count(DISTINCT bag) AS bags, count(ts_us) AS timed FROM every GROUP BY ALL")
 def anomaly_rules(spark, sf_dir):
-    rows = D.anomalies(signals(spark, sf_dir), protector(spark, sf_dir), WINDOW_US, BIN_US, MARGIN_US)
+    rows = D.findings(statistics(spark, sf_dir), protector(spark, sf_dir))
     return rows.groupBy("category", "severity").agg(F.count("*").alias("n"), F.countDistinct("bag").alias("bags"), F.count("ts_us").alias("timed"))
 
 
@@ -123,21 +122,20 @@ su AS (SELECT bs.bag, coalesce((SELECT sum(n) FROM ty WHERE ty.bag = bs.bag AND
  coalesce((SELECT string_agg(category || ':' || n, ', ' ORDER BY category || ':' || n) FROM ty WHERE ty.bag = bs.bag), '') AS types FROM bs LEFT JOIN lo ON lo.bag = bs.bag)
 SELECT *, CASE WHEN critical > 0 OR logs > 20 THEN 'PROBLEMATIC' WHEN warnings > 3 OR logs > 5 THEN 'DEGRADED' WHEN warnings > 0 OR logs > 0 THEN 'MARGINAL' ELSE 'HEALTHY' END AS health FROM su""")
 def profiler_summary(spark, sf_dir):
-    rows = signals(spark, sf_dir)
-    return D.profiler_summary(D.profile(rows, WINDOW_US, BIN_US, MARGIN_US), D.bounds(rows), events(spark, sf_dir).where("topic = '/error' and value > 95"))
+    st = statistics(spark, sf_dir)
+    return D.profiler_summary(D.profile(st), st.bags, events(spark, sf_dir).where("topic = '/error' and value > 95"))
 
 
 @query(f"""WITH {SIGNED} SELECT bag, 'frozen_sensor' AS type, topic, field, NULL::BIGINT AS ts_us, mean AS value FROM fs WHERE std < 1e-6 AND n > 10
  UNION ALL SELECT bag, 'frozen_window', topic, field, at_us, mean FROM ws WHERE std < 1e-6 AND n > 5 AND field NOT IN ({names(rules.WINDOW_MAY_FREEZE)}) UNION ALL SELECT bag, 'frequency_dropout', topic, NULL, at_us, hz FROM dr""")
 def validation(spark, sf_dir):
-    return D.validation(signals(spark, sf_dir), WINDOW_US, BIN_US)
+    return D.validation(statistics(spark, sf_dir))
 
 
 @query(f"""WITH {SIGNED} SELECT bag, 'FROZEN' AS kind, topic, field, NULL::BIGINT AS ts_us, mean AS value FROM fs WHERE std < 1e-6 AND n > 10
  UNION ALL SELECT bag, 'FREQUENCY DROP', topic, NULL, at_us, hz FROM dr UNION ALL SELECT bag, 'UNSTABLE FREQUENCY', topic, NULL, NULL, std_hz FROM hz WHERE std_hz > 0.3 * mean_hz""")
 def agent_evidence(spark, sf_dir):
-    rows = signals(spark, sf_dir)
-    return D.evidence(rows, D.bounds(rows), BIN_US)
+    return D.evidence(statistics(spark, sf_dir))
 
 
 # incidents: the stand-in anomalies, some without a time, as fields of a robot
@@ -280,7 +278,7 @@ def persistent_reports(spark, sf_dir):
 # chains: the stand-in anomalies of nodes that subsystems know, in windows of 6 hours
 NODES = ("/dl_infer", "/depthcam_fusion", "/chassis")
 WINDOWED = f"(ts_us - {START_US}) // {WINDOW_US}"
-NOTED = f"""{EVENTS_SQL}, no AS (SELECT seq, {WINDOWED} AS w, CASE topic WHEN '/signup' THEN {START_US} + {WINDOWED} * {WINDOW_US} ELSE ts_us END AS ts, CASE user_id % 3 {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NODES))} END AS node, topic AS template,
+NOTED = f"""{EVENTS_SQL}, no AS (SELECT seq, {WINDOWED} AS w, CASE topic WHEN '/signup' THEN {START_US} + {WINDOWED} * {WINDOW_US} ELSE ts_us END AS ts, CASE user_id % 3 {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NODES))} END AS node, CASE WHEN user_id % 50 = 7 THEN '/rare' ELSE topic END AS template,
  CASE topic WHEN '/signup' THEN 'regime_transition_appeared' ELSE 'rate_anomaly' END AS kind FROM ev WHERE value > 95)"""
 CHAINED = f"""{NOTED}, ty AS (SELECT *, node || chr(31) || template || chr(31) || kind AS type FROM no), ao AS (SELECT seq, 'at ' || ts AS chain, 'transition' AS how FROM ty WHERE kind LIKE 'regime%' AND ts IN (SELECT ts FROM ty WHERE kind LIKE 'regime%' GROUP BY ts HAVING count(*) >= 2)),
 re AS (SELECT * FROM ty WHERE seq NOT IN (SELECT seq FROM ao)), ac AS (SELECT DISTINCT w, type, node FROM re), sz AS (SELECT type, any_value(node) AS node, count(*) AS s FROM ac GROUP BY type),
@@ -301,7 +299,7 @@ def noted(spark, sf_dir):
     w = F.floor((F.col("ts_us") - START_US) / WINDOW_US).cast("bigint")
     node = text.chosen([(F.col("user_id") % 3 == i, F.lit(n)) for i, n in enumerate(NODES)])
     sign = F.col("topic") == "/signup"
-    return events(spark, sf_dir).where("value > 95").select("seq", w.alias("w"), F.when(sign, START_US + w * WINDOW_US).otherwise(F.col("ts_us")).alias("ts"), node.alias("node"), F.col("topic").alias("template"), F.when(sign, "regime_transition_appeared").otherwise("rate_anomaly").alias("kind"), F.lit(1.0).alias("score"))
+    return events(spark, sf_dir).where("value > 95").select("seq", w.alias("w"), F.when(sign, START_US + w * WINDOW_US).otherwise(F.col("ts_us")).alias("ts"), node.alias("node"), F.when(F.col("user_id") % 50 == 7, "/rare").otherwise(F.col("topic")).alias("template"), F.when(sign, "regime_transition_appeared").otherwise("rate_anomaly").alias("kind"), F.lit(1.0).alias("score"))
 
 
 @query(f"WITH RECURSIVE {CHAINED} SELECT replace(type, chr(31), ' ') AS node, replace(component, chr(31), ' ') AS component FROM cp")

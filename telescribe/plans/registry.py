@@ -14,7 +14,7 @@ from telescribe.operators import relational as R
 from telescribe.operators import sequences as S
 from telescribe.operators import telemetry as T
 from telescribe.plans import rules
-from telescribe.plans.adapters import EVENTS_SQL, LOGS_SQL, START_US, events, logs
+from telescribe.plans.adapters import EVENTS_SQL, LOGS_SQL, SIGNALS_SQL, START_US, events, logs, signals
 from telescribe.sources import text_log
 
 QUERIES: dict = {}
@@ -74,9 +74,9 @@ def prints(spark, sf_dir):
     return L.fingerprints(rows.join(F.broadcast(ends)), WINDOW_US, F.col("start_us"), F.col("end_us"))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT bag, topic, count(*) AS n, round((max(max(ts_us)) OVER (PARTITION BY bag) - min(min(ts_us)) OVER (PARTITION BY bag)) / 1e6, 2) AS duration_s, round(count(*) / ((max(max(ts_us)) OVER (PARTITION BY bag) - min(min(ts_us)) OVER (PARTITION BY bag)) / 1e6), 4) AS hz, min(min(ts_us)) OVER (PARTITION BY bag) AS start_us, max(max(ts_us)) OVER (PARTITION BY bag) AS end_us, (sum(count(*)) OVER (PARTITION BY bag))::BIGINT AS total, count(*) OVER (PARTITION BY bag) AS topics FROM ev GROUP BY bag, topic")
+@query(f"WITH {EVENTS_SQL} SELECT bag, topic, count(*) AS n, round((max(max(ts_us)) OVER (PARTITION BY bag) - min(min(ts_us)) OVER (PARTITION BY bag)) / 1e6, 2) AS duration_s, round(count(*) / ((max(max(ts_us)) OVER (PARTITION BY bag) - min(min(ts_us)) OVER (PARTITION BY bag)) / 3.6e9) + 1e-9, 2) AS hz, min(min(ts_us)) OVER (PARTITION BY bag) AS start_us, max(max(ts_us)) OVER (PARTITION BY bag) AS end_us, (sum(count(*)) OVER (PARTITION BY bag))::BIGINT AS total, count(*) OVER (PARTITION BY bag) AS topics FROM ev GROUP BY bag, topic")
 def bag_metadata(spark, sf_dir):
-    return T.bag_metadata(events(spark, sf_dir))
+    return T.bag_metadata(events(spark, sf_dir), unit_us=3_600_000_000)
 
 
 @query(f"WITH {EVENTS_SQL} SELECT bag, topic, {MOMENTS} FROM ev GROUP BY ALL")
@@ -90,10 +90,27 @@ def windowed_stats(spark, sf_dir):
 
 
 @query(f"""WITH {EVENTS_SQL}, e AS (SELECT bag, topic, ts_us, min(ts_us) OVER (PARTITION BY bag, topic) AS t0, max(ts_us) OVER (PARTITION BY bag, topic) AS t1 FROM ev),
-b AS (SELECT *, greatest(1, ceil((t1 - t0) / 3600000000))::BIGINT AS bins FROM e), c AS (SELECT bag, topic, bins, round(count(*) / 3600.0, 6) AS hz, least((ts_us - t0) // 3600000000, bins - 1) AS bin FROM b GROUP BY bag, topic, bins, bin)
-SELECT bag, topic, bins, count(*) AS full_bins, round(sum(hz) / bins, 6) AS mean_hz, round(sqrt(greatest(sum(hz * hz) / bins - (sum(hz) / bins) ** 2, 0)), 5) AS std_hz, max(hz) AS max_hz, CASE WHEN count(*) < bins THEN 0.0 ELSE min(hz) END AS min_hz FROM c GROUP BY bag, topic, bins""")
+b AS (SELECT *, greatest(1, ceil((t1 - t0) / 3600000000))::BIGINT AS bins FROM e), c AS (SELECT bag, topic, bins, count(*) AS n, round(count(*)::DOUBLE, 2) AS hz, least((ts_us - t0) // 3600000000, bins - 1) AS bin FROM b GROUP BY bag, topic, bins, bin)
+SELECT bag, topic, bins, count(*) AS full_bins, sum(n)::BIGINT AS messages, round(sum(hz) / bins + 1e-9, 2) AS mean_hz, round(sqrt(greatest(sum(hz * hz) / bins - (sum(hz) / bins) ** 2, 0)) + 1e-9, 2) AS std_hz, max(hz) AS max_hz, CASE WHEN count(*) < bins THEN 0.0 ELSE min(hz) END AS min_hz FROM c GROUP BY bag, topic, bins""")
 def topic_frequency(spark, sf_dir):
-    return T.topic_frequency(events(spark, sf_dir), 3_600_000_000)
+    return T.topic_frequency(events(spark, sf_dir), 3_600_000_000, unit_us=3_600_000_000)
+
+
+STRETCH = (START_US + 36 * 3_600_000_000, START_US + 100 * 3_600_000_000)
+STRETCHES = f"""{EVENTS_SQL}, {SIGNALS_SQL}, st AS (SELECT * FROM sg WHERE ts_us BETWEEN {STRETCH[0]} AND {STRETCH[1]}), ix AS (SELECT *, greatest(ceil((ts_us - {STRETCH[0]}) / {WINDOW_US}) - 1, 0)::BIGINT AS w FROM st),
+ea AS (SELECT bag, topic, unnest(range(0, greatest(ceil(({STRETCH[1]} - {STRETCH[0]}) / {WINDOW_US}) - 1, 0)::BIGINT + 1)) AS w FROM (SELECT DISTINCT bag, topic FROM sg))"""
+
+
+@query(f"""WITH {STRETCHES} SELECT ea.bag, ea.topic, ea.w, {STRETCH[0]} + ea.w * {WINDOW_US} AS start_us, least({STRETCH[0]} + (ea.w + 1) * {WINDOW_US}, {STRETCH[1]}) AS end_us, coalesce(messages, 0) AS messages, field, n, mean, std, low, high FROM ea
+LEFT JOIN (SELECT bag, topic, w, count(DISTINCT (seq, ts_us)) AS messages FROM ix GROUP BY ALL) m USING (bag, topic, w) LEFT JOIN (SELECT bag, topic, w, field, {MOMENTS} FROM ix GROUP BY ALL) f USING (bag, topic, w)""")
+def field_windows(spark, sf_dir):
+    return T.field_statistics(signals(spark, sf_dir), WINDOW_US, *STRETCH)
+
+
+@query(f"""WITH {EVENTS_SQL}, {SIGNALS_SQL}, bg AS (SELECT bag, min(ts_us) AS start_us, max(ts_us) AS end_us FROM sg GROUP BY bag) SELECT bag, topic, 0::BIGINT AS w, start_us, end_us, messages, field, n, mean, std, low, high FROM bg
+JOIN (SELECT bag, topic, count(DISTINCT (seq, ts_us)) AS messages FROM sg GROUP BY ALL) m USING (bag) JOIN (SELECT bag, topic, field, {MOMENTS} FROM sg GROUP BY ALL) f USING (bag, topic)""")
+def field_totals(spark, sf_dir):
+    return T.field_statistics(signals(spark, sf_dir))
 
 
 USER_DAYS = f"{EVENTS_SQL}, ud AS (SELECT user_id, topic, bag, {MOMENTS} FROM ev GROUP BY ALL)"
@@ -113,7 +130,7 @@ FLAGS = f"{EVENTS_SQL}, fl AS (SELECT bag * 4 + (ts_us - {START_US}) % 864000000
 
 
 @query(f"""WITH {FLAGS}, p AS (SELECT *, lag(mean) OVER (PARTITION BY topic ORDER BY w) AS p_mean FROM fl),
-k AS (SELECT topic, w, CASE WHEN p_mean >= 0.5 AND mean < 0.5 THEN 'HW_FAULT_ONSET' WHEN p_mean < 0.5 AND mean >= 0.5 THEN 'HW_FAULT_RECOVERED' END AS category FROM p) SELECT * FROM k WHERE category IS NOT NULL""")
+k AS (SELECT topic, w, CASE WHEN p_mean > 0.5 AND mean < 0.5 THEN 'HW_FAULT_ONSET' WHEN p_mean < 0.5 AND mean > 0.5 THEN 'HW_FAULT_RECOVERED' END AS category FROM p) SELECT * FROM k WHERE category IS NOT NULL""")
 def hw_transitions(spark, sf_dir):
     w = F.floor((F.col("ts_us") - START_US) / WINDOW_US).cast("bigint")
     flags = events(spark, sf_dir).where("topic = '/signup'").groupBy(w.alias("w"), "topic").agg(F.avg(F.when(F.col("value") < 50, 0.0).otherwise(1.0)).alias("mean"))
