@@ -278,7 +278,7 @@ def persistent_reports(spark, sf_dir):
 # chains: the stand-in anomalies of nodes that subsystems know, in windows of 6 hours
 NODES = ("/dl_infer", "/depthcam_fusion", "/chassis")
 WINDOWED = f"(ts_us - {START_US}) // {WINDOW_US}"
-NOTED = f"""{EVENTS_SQL}, no AS (SELECT seq, {WINDOWED} AS w, CASE topic WHEN '/signup' THEN {START_US} + {WINDOWED} * {WINDOW_US} ELSE ts_us END AS ts, CASE user_id % 3 {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NODES))} END AS node, CASE WHEN user_id % 50 = 7 THEN '/rare' ELSE topic END AS template,
+NOTED = f"""{EVENTS_SQL}, no AS (SELECT seq, {WINDOWED} AS w, CASE topic WHEN '/signup' THEN {START_US} + {WINDOWED} * {WINDOW_US} ELSE ts_us END AS ts, CASE user_id % 3 {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NODES))} END AS node, CASE WHEN user_id % 50 = 7 THEN '/rare/' || seq ELSE topic END AS template,
  CASE topic WHEN '/signup' THEN 'regime_transition_appeared' ELSE 'rate_anomaly' END AS kind FROM ev WHERE value > 95)"""
 CHAINED = f"""{NOTED}, ty AS (SELECT *, node || chr(31) || template || chr(31) || kind AS type FROM no), ao AS (SELECT seq, 'at ' || ts AS chain, 'transition' AS how FROM ty WHERE kind LIKE 'regime%' AND ts IN (SELECT ts FROM ty WHERE kind LIKE 'regime%' GROUP BY ts HAVING count(*) >= 2)),
 re AS (SELECT * FROM ty WHERE seq NOT IN (SELECT seq FROM ao)), ac AS (SELECT DISTINCT w, type, node FROM re), sz AS (SELECT type, any_value(node) AS node, count(*) AS s FROM ac GROUP BY type),
@@ -299,7 +299,7 @@ def noted(spark, sf_dir):
     w = F.floor((F.col("ts_us") - START_US) / WINDOW_US).cast("bigint")
     node = text.chosen([(F.col("user_id") % 3 == i, F.lit(n)) for i, n in enumerate(NODES)])
     sign = F.col("topic") == "/signup"
-    return events(spark, sf_dir).where("value > 95").select("seq", w.alias("w"), F.when(sign, START_US + w * WINDOW_US).otherwise(F.col("ts_us")).alias("ts"), node.alias("node"), F.when(F.col("user_id") % 50 == 7, "/rare").otherwise(F.col("topic")).alias("template"), F.when(sign, "regime_transition_appeared").otherwise("rate_anomaly").alias("kind"), F.lit(1.0).alias("score"))
+    return events(spark, sf_dir).where("value > 95").select("seq", w.alias("w"), F.when(sign, START_US + w * WINDOW_US).otherwise(F.col("ts_us")).alias("ts"), node.alias("node"), F.when(F.col("user_id") % 50 == 7, F.concat(F.lit("/rare/"), F.col("seq").cast("string"))).otherwise(F.col("topic")).alias("template"), F.when(sign, "regime_transition_appeared").otherwise("rate_anomaly").alias("kind"), F.lit(1.0).alias("score"))
 
 
 @query(f"WITH RECURSIVE {CHAINED} SELECT replace(type, chr(31), ' ') AS node, replace(component, chr(31), ' ') AS component FROM cp")
