@@ -294,19 +294,25 @@ def join_regions(items: DataFrame, sets_of: SetsOf, widest: float, p: Params) ->
     def sized(rows: DataFrame) -> DataFrame:
         homes = F.count_if("home")
         work = homes * (F.count("*") * 2 - homes)
-        return rows.groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"), work.alias("work"), F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").drop("low", "high")
+        own = F.sum(F.when(F.col("home"), F.col("n")).otherwise(0))
+        out = rows.groupBy("region").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"), homes.alias("homes"), own.alias("own"), work.alias("work"), F.min("of").alias("low"), F.max("of").alias("high"))
+        return out.where("low < high and homes > 0").drop("low", "high")
 
     def compared(rows: DataFrame) -> DataFrame:
         own = rows.join(sets, "id").select(*names, "s")
         return written(grouped(own, ["region"], lambda c: compare(c | {"apart": False}, r), pair), "compared")
 
     def in_blocks(rows: DataFrame) -> DataFrame:
-        """rows: with size and hashes. Each pair of blocks of a region meets in one task."""
-        blocks = F.greatest(F.ceil(F.col("size") * 2 / p.region), F.ceil(F.col("hashes") * 2 / p.hashes), F.lit(1)).cast("int")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("blocks", blocks)
-        one = F.transform(F.sequence(F.col("block"), F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
-        two = F.when(F.col("block") > 0, F.transform(F.sequence(F.lit(0), F.col("block") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"))))
-        spread = rows.select(*names, "block", F.explode(F.concat(one, F.coalesce(two, F.array().cast("array<struct<i:int,j:int>>")))).alias("x"))
+        """rows: with sized(). Each block of members at home meets each block of the region in one task."""
+        parts = lambda n, hashes: F.greatest(F.ceil(n * 2 / p.region), F.ceil(hashes * 2 / p.hashes), F.lit(1)).cast("int")
+        rows = rows.withColumns({"inner": parts(F.col("homes"), F.col("own")), "outer": parts(F.col("size") - F.col("homes"), F.col("hashes") - F.col("own"))})
+        lot = F.xxhash64("id")
+        rows = rows.withColumn("block", F.when(F.col("home"), F.pmod(lot, F.col("inner"))).otherwise(F.col("inner") + F.pmod(lot, F.col("outer"))).cast("int"))
+        none = F.array().cast("array<struct<i:int,j:int>>")
+        one = F.when(F.col("home"), F.transform(F.sequence(F.col("block"), F.col("inner") + F.col("outer") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))).otherwise(none)
+        before = F.least(F.col("block"), F.col("inner")) - 1
+        two = F.when(before >= 0, F.transform(F.sequence(F.lit(0), before), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))).otherwise(none)
+        spread = rows.select(*names, "block", F.explode(F.concat(one, two)).alias("x"))
         own = spread.select(*names, "block", "x.i", "x.j").join(sets, "id").select(*names, "block", "i", "j", "s")
         return written(grouped(own, ["region", "i", "j"], lambda c: compare(c | {"apart": c["i"][0] != c["j"][0]}, r), pair), "blocks")
 
@@ -407,10 +413,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
     prefix = prefixes(texts, widest, p)
     listed = prefix.select("id", "n", "radius", "often", F.posexplode("prefix").alias("place", "token"))
     seldom, often = listed.where("place < often").drop("often"), listed.where("place >= often").drop("often")
-    long = written(often.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > p.long_list).select("token"), "long")
+    # the shingles of one passage have lists that begin alike; all that do are one region
+    long = written(often.groupBy("token").agg(F.count("*").alias("size"), F.min("id").alias("region")).where(F.col("size") > p.long_list).select("token", "region"), "long")
     if long.limit(1).count():
         long_rows = sent(long)
-        seldom = seldom.unionByName(often.join(long_rows, "token", "left_anti"))
+        seldom = seldom.unionByName(often.join(long_rows.drop("region"), "token", "left_anti"))
     else:
         long_rows, seldom = None, seldom.unionByName(often)
     pairs = written(met(seldom, p), "pairs")
@@ -422,13 +429,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", param
 
     if long_rows is not None:
         comp = components(linked(near))
-        rows = often.join(long_rows, "token").join(comp, F.col("id") == F.col("node"), "left")
-        rows = written(rows.select(F.col("token").alias("region"), "id", "n", "radius", F.coalesce("component", "id").alias("of"), F.lit(True).alias("home")), "regions")
-        # of lists with the same members one is enough
-        mark = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"mark{i}") for i in range(2)]
-        whole = rows.groupBy("region").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("size"), *mark).where("low < high")
-        once = whole.groupBy("size", "mark0", "mark1").agg(F.min("region").alias("region")).select("region")
-        more = join_regions(rows.join(sent(once), "region"), sets_of, widest, p)
+        # of two near members the smaller has its first common shingle early: only such are at home
+        near_enough = F.lit(p.percent / 100 - widest) - F.col("radius")
+        early = (F.col("n") - F.col("place")) * (1 + near_enough) >= 2 * F.col("n") * near_enough - EPS
+        rows = often.join(long_rows, "token").groupBy("region", "id").agg(F.max("n").alias("n"), F.max("radius").alias("radius"), F.bool_or(early).alias("home"))
+        rows = rows.join(comp, F.col("id") == F.col("node"), "left").select("region", "id", "n", "radius", F.coalesce("component", "id").alias("of"), "home")
+        rows = written(rows, "regions")
+        some = rows.groupBy("region").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.bool_or("home").alias("any")).where("low < high and any").select("region")
+        more = join_regions(rows.join(sent(some), "region"), sets_of, widest, p)
         discard(comp, rows)
         near = near.unionByName(more)
     discard(long, prefix)
