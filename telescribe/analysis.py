@@ -39,30 +39,38 @@ def diagnose(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def missions(bags: DataFrame, gap_us: int = MISSION_GAP_US) -> DataFrame:
     """(bag, mission): recordings in order of start; see logs.missions()."""
-    ends = L.missions(bags, gap_us).select("mission", F.col("start_us").alias("_from"), F.col("end_us").alias("_to"))
-    return bags.join(F.broadcast(ends), (F.col("start_us") >= F.col("_from")) & (F.col("start_us") <= F.col("_to"))).groupBy("bag").agg(F.max("mission").alias("mission"))
+    return L.numbered_missions(bags, gap_us).select("bag", "mission")
 
 
 def extract(source: catalog.LogSource, sigmas: float = 3.0, validated: list[dict] = ()) -> dict[str, DataFrame]:
-    """Of a source's log records: profiles, windows, regimes, anomalies, chains, members and isolated anomalies."""
+    """Of a source's log records: profiles, windows, regimes, anomalies, chains, members and isolated anomalies.
+
+    Every file is analysed by itself, with its own width of windows, regimes and chains; source_file tells them apart.
+    """
+    k = ["source_file"]
     rows = checkpointed(source.records().withColumn("ts_us", (F.col("timestamp_ms") * 1000).cast("bigint")))
-    profiles = L.node_profiles(rows, ("periodic", "quasi_periodic", "event_driven"))
-    # one number decides the width of all windows
-    width_ms = L.auto_window_ms(profiles).first()[0]
-    width = int(width_ms * 1000)
-    ends = rows.agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
-    prints = checkpointed(L.fingerprints(rows.join(F.broadcast(ends)), width, F.col("start_us"), F.col("end_us"), in_order=True))
-    ratios = L.normalised(prints, profiles, width_ms, ("periodic", "quasi_periodic"))
-    regimes = checkpointed(S.log_regimes(L.window_deviation(ratios, "ratio"), sigmas))
-    windows = regimes.select("regime", F.explode(F.sequence("first_w", "last_w")).alias("w"))
-    start = F.broadcast(ends.select("start_us"))
-    baseline = S.regime_baseline(prints, windows)
+    profiles = checkpointed(L.node_profiles(rows, ("periodic", "quasi_periodic", "event_driven"), keys=k))
+    ends = rows.groupBy(*k).agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
+    widths = L.auto_window_ms(profiles, keys=k)
+    # a row a file
+    ends = checkpointed(ends.join(widths, k).withColumn("width_us", (F.col("width_ms") * 1000).cast("bigint")))
+    prints = checkpointed(L.fingerprints(rows.join(F.broadcast(ends), k), F.col("width_us"), F.col("start_us"), F.col("end_us"), in_order=True, keys=k))
+    ratios = L.normalised(prints, profiles.join(F.broadcast(ends.select(*k, "width_ms")), k), F.col("width_ms"), ("periodic", "quasi_periodic"), keys=k)
+    regimes = checkpointed(S.log_regimes(L.window_deviation(ratios, "ratio", keys=k), k, sigmas))
+    windows = checkpointed(regimes.select(*k, "regime", F.explode(F.sequence("first_w", "last_w")).alias("w")))
+    baseline = S.regime_baseline(prints, windows, k)
     weight = rules.importance()
-    structural = S.structural_anomalies(prints, windows, baseline, weight).unionByName(S.regime_transitions(prints, windows, weight), allowMissingColumns=True)
-    structural = structural.join(start).select("node", "template", "kind", "w", (F.col("start_us") + F.col("w") * width).alias("ts"), "score")
-    placed = rows.join(start).withColumn("w", F.floor((F.col("ts_us") - F.col("start_us")) / width)).join(F.broadcast(windows), "w", "left")
-    valued = V.value_anomalies(placed).join(start).select("node", "template", "kind", F.floor((F.col("ts_us") - F.col("start_us")) / width).alias("w"), F.col("ts_us").alias("ts"), "score")
-    found = checkpointed(structural.unionByName(valued).withColumn("seq", F.xxhash64("node", "template", "kind", "w", "ts", "score").bitwiseAND(F.lit((1 << 62) - 1))))
-    links = checkpointed(C.chained(found))
+    structural = S.structural_anomalies(prints, windows, baseline, weight, keys=k).unionByName(S.regime_transitions(prints, windows, weight, keys=k), allowMissingColumns=True)
+    start = F.broadcast(ends.select(*k, "start_us", "width_us"))
+    window = F.floor((F.col("ts_us") - F.col("start_us")) / F.col("width_us"))
+    structural = structural.join(start, k).select(*k, "node", "template", "kind", "w", (F.col("start_us") + F.col("w") * F.col("width_us")).alias("ts"), "score")
+    # a value behind the last window lies in that one's regime
+    last = regimes.groupBy(*k).agg(F.max("last_w").alias("last_w"))
+    placed = rows.join(start, k).join(F.broadcast(last), k, "left").withColumn("w", F.least(window, "last_w")).join(windows, [*k, "w"], "left")
+    valued = V.value_anomalies(placed, "source_file").join(start, k).select(*k, "node", "template", "kind", window.alias("w"), F.col("ts_us").alias("ts"), "score")
+    found = checkpointed(structural.unionByName(valued).withColumn("seq", F.xxhash64(*k, "node", "template", "kind", "w", "ts", "score").bitwiseAND(F.lit((1 << 62) - 1))))
+    links = checkpointed(C.chained(found, keys=k))
     members = found.join(links, "seq")
-    return {"profiles": profiles, "windows": prints, "regimes": regimes, "anomalies": found, "chains": C.boosted(C.causal_chains(found), members.select("chain", "node"), list(validated)), "members": members, "isolated": C.isolated(found, links)}
+    chains = checkpointed(C.boosted(C.causal_chains(found, keys=k), members.select("chain", "node"), list(validated)))
+    discard(rows, windows)
+    return {"profiles": profiles, "windows": prints, "regimes": regimes, "anomalies": found, "chains": chains, "members": members, "isolated": C.isolated(found, links)}

@@ -5,6 +5,8 @@ Anomalies: (seq, w, ts, node, template, kind, score). A type is node, template a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ TRANSITIONS = ("regime_transition_appeared", "regime_transition_disappeared")
 MARK = "\x1f"
 
 
-def type_of() -> Column:
-    return F.concat_ws(MARK, "node", "template", "kind")
+def type_of(keys: Sequence[str] = ()) -> Column:
+    return F.concat_ws(MARK, "node", "template", "kind", *keys)
 
 
 def subsystem(kind: Column) -> Column:
@@ -32,13 +34,16 @@ def roots(members: DataFrame, importance: Column) -> DataFrame:
     return members.groupBy("chain").agg(F.max_by("seq", F.struct(importance.alias("i"), (-F.col("ts")).alias("t"), (-F.col("seq")).alias("s"))).alias("root"))
 
 
-def chained(anomalies: DataFrame, importance: Column | None = None, least: float = 0.5, kin: float = 0.3) -> DataFrame:
-    """(seq, chain, how): the anomalies that belong to a chain. how: transition (two or more at one time) or together."""
+def chained(anomalies: DataFrame, importance: Column | None = None, least: float = 0.5, kin: float = 0.3, keys: Sequence[str] = ()) -> DataFrame:
+    """(seq, chain, how): the anomalies that belong to a chain. how: transition (two or more at one time) or together.
+
+    keys: columns that keep sources apart.
+    """
     moves = anomalies.where(F.col("kind").isin(*TRANSITIONS))
-    many = moves.groupBy("ts").agg(F.count("*").alias("_n")).where("_n >= 2").select("ts")
-    at_once = moves.join(many, "ts", "left_semi").select("seq", F.concat(F.lit("at "), F.col("ts").cast("string")).alias("chain"), F.lit("transition").alias("how"))
-    rest = anomalies.join(at_once.select("seq"), "seq", "left_anti").withColumn("type", type_of())
-    edges = checkpointed(similarity_edges(rest.select("w", "type"), least, kin, subsystem).select(F.col("type_a").alias("a"), F.col("type_b").alias("b")))
+    many = moves.groupBy(*keys, "ts").agg(F.count("*").alias("_n")).where("_n >= 2").select(*keys, "ts")
+    at_once = moves.join(many, [*keys, "ts"], "left_semi").select("seq", F.concat_ws(MARK, F.concat(F.lit("at "), F.col("ts").cast("string")), *keys).alias("chain"), F.lit("transition").alias("how"))
+    rest = anomalies.join(at_once.select("seq"), "seq", "left_anti").withColumn("type", type_of(keys))
+    edges = checkpointed(similarity_edges(rest.select(*keys, "w", "type"), least, kin, subsystem, keys).select(F.col("type_a").alias("a"), F.col("type_b").alias("b")))
     comp = components(rest.select(F.col("type").alias("node")), edges)
     # types that no other goes with are no chain
     comp = comp.join(comp.groupBy("component").agg(F.count("*").alias("_n")).where("_n >= 2").select("component"), "component", "left_semi")
@@ -46,25 +51,26 @@ def chained(anomalies: DataFrame, importance: Column | None = None, least: float
     return at_once.unionByName(together)
 
 
-def causal_chains(anomalies: DataFrame, importance: Column | None = None, least: float = 0.5, kin: float = 0.3) -> DataFrame:
+def causal_chains(anomalies: DataFrame, importance: Column | None = None, least: float = 0.5, kin: float = 0.3, keys: Sequence[str] = ()) -> DataFrame:
     """(chain_id, how, root, severity, types, members, first_ts, last_ts, jaccard), the most severe first, from 0.
 
     Severity of what occurs together: the root's importance, times types, times log2 of 1 + windows; of a change of regime:
     importance times members times 2. jaccard: the mean over all pairs of the chain's types; 1 for a change of regime.
+    keys: columns that keep sources apart; they come first, and each source's chains have numbers of their own.
     """
     importance = rules.importance() if importance is None else importance
     anomalies = checkpointed(anomalies)
-    members = checkpointed(anomalies.join(chained(anomalies, importance, least, kin), "seq").withColumn("type", type_of()))
+    members = checkpointed(anomalies.join(chained(anomalies, importance, least, kin, keys), "seq").withColumn("type", type_of(keys)))
     root = roots(members, importance)
     weight = members.select(F.col("seq").alias("root"), importance.alias("weight"))
-    own = members.groupBy("chain", "how").agg(F.countDistinct("type").alias("types"), F.count("*").alias("members"), F.countDistinct("w").alias("windows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    own = members.groupBy(*keys, "chain", "how").agg(F.countDistinct("type").alias("types"), F.count("*").alias("members"), F.countDistinct("w").alias("windows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     own = own.join(root, "chain").join(weight, "root")
     severity = F.when(F.col("how") == "transition", F.col("weight") * F.col("members") * 2.0).otherwise(F.col("weight") * F.col("types") * F.log2(F.lit(1.0) + F.col("windows")))
     # similarity of all pairs of a chain's types: of those that never meet it is 0
     kinds = members.where("how = 'together'").select("chain", "type").distinct()
-    rest = anomalies.withColumn("type", type_of()).join(members.where("how = 'transition'").select("seq"), "seq", "left_anti")
-    sizes = rest.select("w", "type").distinct().groupBy("type").agg(F.count("*").alias("s"))
-    pairs = cooccurrence(rest.select("w", "type"))
+    rest = anomalies.withColumn("type", type_of(keys)).join(members.where("how = 'transition'").select("seq"), "seq", "left_anti")
+    sizes = rest.select(*keys, "w", "type").distinct().groupBy("type").agg(F.count("*").alias("s"))
+    pairs = cooccurrence(rest, keys)
     pairs = pairs.join(kinds.select(F.col("type").alias("type_a"), "chain"), "type_a").join(kinds.select(F.col("type").alias("type_b"), F.col("chain").alias("c")), "type_b").where("chain = c")
     pairs = pairs.join(sizes.select(F.col("type").alias("type_a"), F.col("s").alias("s_a")), "type_a").join(sizes.select(F.col("type").alias("type_b"), F.col("s").alias("s_b")), "type_b")
     union = F.col("s_a") + F.col("s_b") - F.col("n")
@@ -73,8 +79,8 @@ def causal_chains(anomalies: DataFrame, importance: Column | None = None, least:
     own = own.join(alike, "chain", "left")
     every = F.col("types") * (F.col("types") - 1) / 2 - F.coalesce("out", F.lit(0))
     jaccard = F.when(F.col("how") == "transition", 1.0).when(every > 0, F.coalesce("sum", F.lit(0.0)) / every).otherwise(0.0)
-    out = own.select("chain", "how", "root", F.round(severity + 1e-9, 2).alias("severity"), "types", "members", "first_ts", "last_ts", F.round(jaccard + 1e-9, 3).alias("jaccard"))
-    number = F.row_number().over(Window.orderBy(F.desc("severity"), "first_ts", "root")) - 1  # chains are few: one row each
+    out = own.select(*keys, "chain", "how", "root", F.round(severity + 1e-9, 2).alias("severity"), "types", "members", "first_ts", "last_ts", F.round(jaccard + 1e-9, 3).alias("jaccard"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("severity"), "first_ts", "root")) - 1  # chains are few: one row each
     out = checkpointed(out.withColumn("chain_id", number))
     discard(anomalies, members)
     return out

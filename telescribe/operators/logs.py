@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,23 +124,23 @@ def caused(logs: DataFrame, anomalies: DataFrame, reach_us: int, causes) -> Data
     return met.withColumn("_r", first).where("_r = 1").select("anomaly_seq", "category", "log_seq", "log_event", (F.col("anomaly_us") - F.col("log_us")).alias("delta_us"))
 
 
-def node_profiles(logs: DataFrame, kinds: tuple[str, str, str] = ("periodic", "semi_periodic", "event_driven")) -> DataFrame:
+def node_profiles(logs: DataFrame, kinds: tuple[str, str, str] = ("periodic", "semi_periodic", "event_driven"), keys: Sequence[str] = ()) -> DataFrame:
     """Messages, rate, median interval, its variation (infinite without an interval), and the kind of publisher it makes a node."""
-    rows = neighbour(logs, ["node"], "ts_us", "seq", {"_before": "ts_us"})
+    rows = neighbour(logs, [*keys, "node"], "ts_us", "seq", {"_before": "ts_us"})
     gap = F.col("ts_us") - F.col("_before")
     g = F.when(gap > 0, gap / 1000.0)
-    p = rows.groupBy("node").agg(F.count("*").alias("n"), F.round(F.median(g), 3).alias("median_ms"), (F.stddev_pop(g) / F.avg(g)).alias("cv"), ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("s"))
+    p = rows.groupBy(*keys, "node").agg(F.count("*").alias("n"), F.round(F.median(g), 3).alias("median_ms"), (F.stddev_pop(g) / F.avg(g)).alias("cv"), ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("s"))
     kind = F.when(F.col("n") < 20, kinds[2]).when(F.col("cv") < 0.3, kinds[0]).when(F.col("cv") < 1.0, kinds[1]).otherwise(kinds[2])
     rate = F.when(F.col("s") > 0, F.round(F.col("n") / F.col("s"), 4)).otherwise(0.0)
-    return p.select("node", "n", "median_ms", F.coalesce(F.round("cv", 4), F.lit(float("inf"))).alias("cv"), rate.alias("rate_hz"), kind.alias("kind"))
+    return p.select(*keys, "node", "n", "median_ms", F.coalesce(F.round("cv", 4), F.lit(float("inf"))).alias("cv"), rate.alias("rate_hz"), kind.alias("kind"))
 
 
-def auto_window_ms(profiles: DataFrame, least: float = 1000.0) -> DataFrame:
+def auto_window_ms(profiles: DataFrame, least: float = 1000.0, keys: Sequence[str] = ()) -> DataFrame:
     """width_ms: the longest median interval of a periodic node, or least."""
-    return profiles.agg(F.greatest(F.coalesce(F.max(F.when((F.col("kind") == "periodic") & (F.col("median_ms") > 0), F.col("median_ms"))), F.lit(least)), F.lit(least)).alias("width_ms"))
+    return profiles.groupBy(*keys).agg(F.greatest(F.coalesce(F.max(F.when((F.col("kind") == "periodic") & (F.col("median_ms") > 0), F.col("median_ms"))), F.lit(least)), F.lit(least)).alias("width_ms"))
 
 
-def fingerprints(logs: DataFrame, width_us: int, start: Column, end: Column | None = None, in_order: bool = False) -> DataFrame:
+def fingerprints(logs: DataFrame, width_us: int | Column, start: Column, end: Column | None = None, in_order: bool = False, keys: Sequence[str] = ()) -> DataFrame:
     """Templates a node logs in windows that hold their left edge, but for those that are different each time.
 
     end: the last record's time; windows begin before it, so a record at the edge where one would begin then is left out.
@@ -148,56 +148,63 @@ def fingerprints(logs: DataFrame, width_us: int, start: Column, end: Column | No
     """
     rows = settled(logs, template=template(F.col("raw_message"))).where(~F.coalesce(unstable(F.col("template")), F.lit(False)))
     w = F.floor((F.col("ts_us") - start) / width_us).cast("bigint")
-    rows = running_max(rows, [], "seq", w, "w") if in_order else rows.withColumn("w", w)
+    rows = running_max(rows, [*keys], "seq", w, "w") if in_order else rows.withColumn("w", w)
     rows = rows if end is None else rows.where(F.col("w") < F.ceil((end - start) / width_us))
-    return rows.groupBy("w", "node", "template").agg(F.count("*").alias("n"))
+    return rows.groupBy(*keys, "w", "node", "template").agg(F.count("*").alias("n"))
 
 
-def normalised(prints: DataFrame, profiles: DataFrame, width_ms: float, regular: tuple[str, ...] = ("periodic", "semi_periodic")) -> DataFrame:
+def normalised(prints: DataFrame, profiles: DataFrame, width_ms: float | Column, regular: tuple[str, ...] = ("periodic", "semi_periodic"), keys: Sequence[str] = ()) -> DataFrame:
     """Adds ratio: a count over the one that the node's interval and the template's share of it lead to expect; 1 for others."""
-    share = prints.groupBy("node", "template").agg(F.sum("n").alias("_of"))
-    own = share.join(profiles.select("node", F.col("n").alias("_every"), "median_ms", "kind"), "node")
-    due = own.where(F.col("kind").isin(*regular) & (F.col("median_ms") > 0)).select("node", "template", (width_ms / F.col("median_ms") * F.col("_of") / F.col("_every")).alias("_due"))
-    return prints.join(due, ["node", "template"], "left").withColumn("ratio", F.round(F.coalesce(F.col("n") / F.col("_due"), F.lit(1.0)), 6)).drop("_due")
+    share = prints.groupBy(*keys, "node", "template").agg(F.sum("n").alias("_of"))
+    width = width_ms if isinstance(width_ms, Column) else F.lit(float(width_ms))
+    own = share.join(profiles.select(*keys, "node", F.col("n").alias("_every"), "median_ms", "kind", width.alias("_width")), [*keys, "node"])
+    due = own.where(F.col("kind").isin(*regular) & (F.col("median_ms") > 0)).select(*keys, "node", "template", (F.col("_width") / F.col("median_ms") * F.col("_of") / F.col("_every")).alias("_due"))
+    return prints.join(due, [*keys, "node", "template"], "left").withColumn("ratio", F.round(F.coalesce(F.col("n") / F.col("_due"), F.lit(1.0)), 6)).drop("_due")
 
 
-def window_deviation(prints: DataFrame, count: str = "n") -> DataFrame:
+def window_deviation(prints: DataFrame, count: str = "n", keys: Sequence[str] = ()) -> DataFrame:
     """Jaccard distance and count divergence of each window to the one before, from window 1 to the last; two empty ones differ by 1."""
-    own = prints.select("w", "node", "template", F.col(count).alias("n"))
-    old = own.select((F.col("w") + 1).alias("w"), "node", "template", F.col("n").alias("m"))
-    both = own.join(old, ["w", "node", "template"], "full")
+    own = prints.select(*keys, "w", "node", "template", F.col(count).alias("n"))
+    old = own.select(*keys, (F.col("w") + 1).alias("w"), "node", "template", F.col("n").alias("m"))
+    both = own.join(old, [*keys, "w", "node", "template"], "full")
     n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
-    out = both.groupBy("w").agg(F.sum(((n > 0) & (m > 0)).cast("int")).alias("common"), F.count("*").alias("every"), F.sum((n - m) * (n - m) / (n + m)).alias("divergence"))
-    every = prints.agg(F.max("w").alias("last")).where("last > 0").select(F.explode(F.sequence(F.lit(1).cast("bigint"), "last")).alias("w"))
+    out = both.groupBy(*keys, "w").agg(F.sum(((n > 0) & (m > 0)).cast("int")).alias("common"), F.count("*").alias("every"), F.sum((n - m) * (n - m) / (n + m)).alias("divergence"))
+    every = prints.groupBy(*keys).agg(F.max("w").alias("last")).where("last > 0").select(*keys, F.explode(F.sequence(F.lit(1).cast("bigint"), "last")).alias("w"))
     distance = F.coalesce(F.round(1 - F.col("common") / F.col("every"), 6), F.lit(1.0))
-    return every.join(out, "w", "left").select("w", distance.alias("distance"), F.round(F.coalesce("divergence", F.lit(0.0)), 4).alias("divergence"))
+    return every.join(out, [*keys, "w"], "left").select(*keys, "w", distance.alias("distance"), F.round(F.coalesce("divergence", F.lit(0.0)), 4).alias("divergence"))
 
 
-def cooccurrence(active: DataFrame) -> DataFrame:
+def cooccurrence(active: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Pairs of types seen within one window of a window that is active itself, and in how many windows. active: (w, type)."""
-    active = active.distinct()
-    seen = active.select(F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)).alias("w"), "type").join(active.select("w").distinct(), "w", "left_semi").distinct()
-    a, b = seen.select("w", F.col("type").alias("type_a")), seen.select("w", F.col("type").alias("type_b"))
-    return a.join(b, "w").where("type_a < type_b").groupBy("type_a", "type_b").agg(F.count("*").alias("n"))
+    active = active.select(*keys, "w", "type").distinct()
+    seen = active.select(*keys, F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)).alias("w"), "type").join(active.select(*keys, "w").distinct(), [*keys, "w"], "left_semi").distinct()
+    a, b = seen.select(*keys, "w", F.col("type").alias("type_a")), seen.select(*keys, "w", F.col("type").alias("type_b"))
+    return a.join(b, [*keys, "w"]).where("type_a < type_b").groupBy("type_a", "type_b").agg(F.count("*").alias("n"))
 
 
-def similarity_edges(active: DataFrame, least: float = 0.5, kin: float | None = None, group: Callable[[Column], Column] | None = None) -> DataFrame:
+def similarity_edges(active: DataFrame, least: float = 0.5, kin: float | None = None, group: Callable[[Column], Column] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Pairs of types whose windows overlap enough; pairs without a positive union are skipped.
 
-    Pairs of one group (of a type's column, null for none) need only kin.
+    Pairs of one group (of a type's column, null for none) need only kin. keys: of windows; types are told apart by
+    their names alone.
     """
     sizes = active.distinct().groupBy("type").agg(F.count("*").alias("s"))
-    pairs = cooccurrence(active).join(sizes.select(F.col("type").alias("type_a"), F.col("s").alias("s_a")), "type_a").join(sizes.select(F.col("type").alias("type_b"), F.col("s").alias("s_b")), "type_b")
+    pairs = cooccurrence(active, keys).join(sizes.select(F.col("type").alias("type_a"), F.col("s").alias("s_a")), "type_a").join(sizes.select(F.col("type").alias("type_b"), F.col("s").alias("s_b")), "type_b")
     union = F.col("s_a") + F.col("s_b") - F.col("n")
     limit = F.lit(least) if group is None else F.when(group(F.col("type_a")) == group(F.col("type_b")), F.lit(kin)).otherwise(F.lit(least))
     return pairs.where(union > 0).select("type_a", "type_b", F.round(F.col("n") / union, 6).alias("jaccard")).where(F.col("jaccard") >= limit)
 
 
-def missions(bags: DataFrame, gap_us: int) -> DataFrame:
-    """Recordings in order of start; one that starts more than the gap after the end of the one before opens a mission."""
+def numbered_missions(bags: DataFrame, gap_us: int) -> DataFrame:
+    """bags with mission: recordings in order of start; one that starts more than the gap after the end of the one before opens a mission."""
     w = Window.orderBy("start_us", "bag")  # recordings are few: one row each
     new = F.coalesce((F.col("start_us") - F.lag("end_us").over(w) > gap_us).cast("int"), F.lit(0))
-    return bags.withColumn("new", new).withColumn("mission", F.sum("new").over(w)).groupBy("mission").agg(F.count("*").alias("bags"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+    return bags.withColumn("_new", new).withColumn("mission", F.sum("_new").over(w)).drop("_new")
+
+
+def missions(bags: DataFrame, gap_us: int) -> DataFrame:
+    """The missions of numbered_missions(), their recordings and ends."""
+    return numbered_missions(bags, gap_us).groupBy("mission").agg(F.count("*").alias("bags"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
 
 
 def longest_runs(hits: DataFrame, least: int = 3) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Weight of a new value, values before a position is classified, most values of a discrete one, run that
 #: makes a counter, deviations that are an anomaly, and values that an average needs to judge (of counters, one more).
@@ -87,30 +88,32 @@ class Position:
         return hit
 
 
-def value_anomalies(rows: DataFrame) -> DataFrame:
+def value_anomalies(rows: DataFrame, source: str | None = None) -> DataFrame:
     """(seq, ts_us, node, template, regime, position, kind, score, expected, got) of values that depart from those before.
 
-    rows: (seq, ts_us, node, template, regime, values array<double>); rows without values are left out.
+    rows: (seq, ts_us, node, template, regime, values array<double>); rows without values are left out. source: a column
+    of text that keeps sources apart; it then comes first in the result.
     """
-    own = rows.where("size(values) > 0").select("node", "template", "regime", "ts_us", "seq", "values")
-    keys = ["node", "template", "regime"]
-    names = ["seq", "ts_us", "node", "template", "regime", "position", "kind", "score", "expected", "got"]
+    own = rows.where("size(values) > 0").select((F.lit("") if source is None else F.col(source)).alias("source"), "node", "template", "regime", "ts_us", "seq", "values")
+    keys = ["source", "node", "template", "regime"]
+    names = ["source", "seq", "ts_us", "node", "template", "regime", "position", "kind", "score", "expected", "got"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, updates, positions = None, 0, {}
         for batch in batches:
             out = []
-            for node, template, regime, ts, seq, values in zip(*[c.to_pylist() for c in batch.columns]):
-                if (node, template, regime) != key:
-                    key, updates, positions = (node, template, regime), 0, {}
+            for source, node, template, regime, ts, seq, values in zip(*[c.to_pylist() for c in batch.columns]):
+                if (source, node, template, regime) != key:
+                    key, updates, positions = (source, node, template, regime), 0, {}
                 updates += 1
                 for i, x in enumerate(values):
                     if x is None:
                         continue
                     hit = positions.setdefault(i, Position()).add(x, updates)
                     if hit:
-                        out.append((seq, ts, node, template, regime, i, hit[0], round(hit[1], 6), round(hit[2], 6), round(hit[3], 6)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64()))], names=names)
+                        out.append((source, seq, ts, node, template, regime, i, hit[0], round(hit[1], 6), round(hit[2], 6), round(hit[3], 6)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64()))], names=names)
 
-    schema = "seq bigint, ts_us bigint, node string, template string, regime bigint, position int, kind string, score double, expected double, got double"
-    return own.withColumn("regime", own.regime.cast("bigint")).repartition(*keys).sortWithinPartitions(*keys, "ts_us", "seq").mapInArrow(run, schema)
+    schema = "source string, seq bigint, ts_us bigint, node string, template string, regime bigint, position int, kind string, score double, expected double, got double"
+    out = own.withColumn("regime", own.regime.cast("bigint")).repartition(*keys).sortWithinPartitions(*keys, "ts_us", "seq").mapInArrow(run, schema)
+    return out.drop("source") if source is None else out.withColumnRenamed("source", source)

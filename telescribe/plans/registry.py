@@ -473,17 +473,28 @@ def regime_transitions(spark, sf_dir):
     return S.regime_transitions(rows, rows.select(F.floor(F.col("w") / 24).alias("regime"), "w").distinct(), rules.importance())
 
 
-DEVIATION = SQL["window_deviation"]
+#: The same windows source by source; a topic stands in for a source.
+BY_SOURCE = PRINTS.replace("fp AS (SELECT ", "fp AS (SELECT topic, ")
 
 
-@query(f"""WITH RECURSIVE dv AS ({DEVIATION}), sr AS (SELECT w, round(distance + divergence, 4) AS x FROM dv), sm AS (SELECT round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std, count(*) AS c FROM sr),
-nu AS (SELECT w, x, mean, mean + CASE WHEN std > 0 THEN std ELSE 1.0 END AS lim, row_number() OVER (ORDER BY w) AS r FROM sr, sm WHERE c >= 3),
-rec AS (SELECT 0::BIGINT AS r, 0::BIGINT AS w, 0.0::DOUBLE AS total, FALSE AS fire UNION ALL SELECT r, w, CASE WHEN v > lim THEN 0.0 ELSE v END, v > lim FROM (SELECT nu.r, nu.w, lim, greatest(0.0, total + x - mean) AS v FROM rec JOIN nu ON nu.r = rec.r + 1)),
-ru AS (SELECT v.w, coalesce(sum(fire::INT) OVER (ORDER BY v.w), 0) AS run FROM (SELECT unnest(range(0, (SELECT max(w) FROM sr) + 1)) AS w) v LEFT JOIN rec ON rec.w = v.w AND rec.r > 0),
-rl AS (SELECT run, min(w) AS a, max(w) AS b, count(*) AS n FROM ru GROUP BY run), rg AS (SELECT *, (sum((run = 0 OR n >= 3)::INT) OVER (ORDER BY run) - 1)::BIGINT AS regime FROM rl)
-SELECT regime, min(a) AS first_w, max(b) AS last_w, sum(n)::BIGINT AS windows FROM rg GROUP BY regime""")
+def source_prints(spark, sf_dir):
+    rows = logs(spark, sf_dir)
+    ends = rows.agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
+    return L.fingerprints(rows.join(F.broadcast(ends)), WINDOW_US, F.col("start_us"), F.col("end_us"), keys=["topic"])
+
+
+@query(f"""WITH RECURSIVE {BY_SOURCE}, o AS (SELECT topic, w + 1 AS w, node, template, n AS m FROM fp), b AS (SELECT topic, w, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM fp FULL JOIN o USING (topic, w, node, template)),
+dv AS (SELECT v.topic, v.w, coalesce(round(1 - sum(CASE WHEN n > 0 AND m > 0 THEN 1 ELSE 0 END) / count(b.w), 6), 1.0) AS distance, round(coalesce(sum((n - m) * (n - m) / (n + m)), 0), 4) AS divergence
+ FROM (SELECT topic, unnest(range(1, max(w) + 1)) AS w FROM fp GROUP BY topic) v LEFT JOIN b ON b.topic = v.topic AND b.w = v.w GROUP BY v.topic, v.w),
+sr AS (SELECT topic, w, round(distance + divergence, 4) AS x FROM dv), sm AS (SELECT topic, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std FROM sr GROUP BY topic HAVING count(*) >= 3),
+nu AS (SELECT topic, w, x, mean, mean + CASE WHEN std > 0 THEN std ELSE 1.0 END AS lim, row_number() OVER (PARTITION BY topic ORDER BY w) AS r FROM sr JOIN sm USING (topic)),
+rec AS (SELECT topic, 0::BIGINT AS r, 0::BIGINT AS w, 0.0::DOUBLE AS total, FALSE AS fire FROM sm
+ UNION ALL SELECT topic, r, w, CASE WHEN v > lim THEN 0.0 ELSE v END, v > lim FROM (SELECT nu.topic, nu.r, nu.w, lim, greatest(0.0, total + x - mean) AS v FROM rec JOIN nu ON nu.topic = rec.topic AND nu.r = rec.r + 1)),
+ru AS (SELECT v.topic, v.w, coalesce(sum(fire::INT) OVER (PARTITION BY v.topic ORDER BY v.w), 0) AS run FROM (SELECT topic, unnest(range(0, max(w) + 1)) AS w FROM sr GROUP BY topic) v LEFT JOIN rec ON rec.topic = v.topic AND rec.w = v.w AND rec.r > 0),
+rl AS (SELECT topic, run, min(w) AS a, max(w) AS b, count(*) AS n FROM ru GROUP BY ALL), rg AS (SELECT *, (sum((run = 0 OR n >= 3)::INT) OVER (PARTITION BY topic ORDER BY run) - 1)::BIGINT AS regime FROM rl)
+SELECT topic, regime, min(a) AS first_w, max(b) AS last_w, sum(n)::BIGINT AS windows FROM rg GROUP BY topic, regime""")
 def log_regimes(spark, sf_dir):
-    return S.log_regimes(L.window_deviation(prints(spark, sf_dir)), sigmas=1.0)
+    return S.log_regimes(L.window_deviation(source_prints(spark, sf_dir), keys=["topic"]), ["topic"], sigmas=1.0)
 
 
 def text_lines(spark, sf_dir):

@@ -266,6 +266,34 @@ def test_log_extraction(spark, tmp_path):
     assert reports.prompt(report).count("CHAIN [5.0]") >= 5 and "+20 more anomaly types" in reports.prompt(report)
 
 
+def test_files_are_extracted_each_by_itself(spark, tmp_path):
+    """A folder's result is that of its files, one by one: clocks, windows, regimes, values and chains do not mix."""
+    rng = np.random.default_rng(2)
+    (tmp_path / "all").mkdir()
+    for name, hour, every in (("a.log", 23, 1), ("b.log", 5, 2)):
+        lines = []
+        for s in range(0, 200 * every, every):
+            at = hour * 3600 + 3500 + s
+            clock = f"{at // 3600 % 24}:{at // 60 % 60:02d}:{at % 60:02d}"
+            lines.append(f"[INFO][{clock}.000][/chassis]: speed {rng.normal(5, 0.1):.3f}")
+            if s > 100 * every:
+                lines.append(f"[WARN][{clock}.200][/dl_infer]: lost frame {s % 3}")
+                lines.append(f"[WARN][{clock}.300][/depthcam_fusion]: fusion late")
+        lines.append(f"[INFO][{clock}.900][/chassis]: speed 99.0")
+        for place in (tmp_path / name, tmp_path / "all" / name):
+            place.write_text("\n".join(lines) + "\n")
+    tables = ("profiles", "windows", "regimes", "anomalies", "chains", "isolated")
+    rows = lambda found, t: {tuple(r) for r in found[t].select(sorted(found[t].columns)).collect()}
+    whole = analysis.extract(catalog.open_logs(spark, str(tmp_path / "all")), sigmas=1.0)
+    each = [analysis.extract(catalog.open_logs(spark, str(tmp_path / name)), sigmas=1.0) for name in ("a.log", "b.log")]
+    for t in tables:
+        assert rows(whole, t) == rows(each[0], t) | rows(each[1], t), t
+    assert {r.source_file for r in whole["regimes"].collect()} == {"a.log", "b.log"}
+    assert {(r.source_file, r.kind) for r in whole["anomalies"].collect()} >= {("a.log", "value_deviation"), ("b.log", "value_deviation")}
+    # values behind the last window have its regime, not one of their own
+    assert each[0]["anomalies"].where("kind = 'value_deviation' and score > 20").count() == 1
+
+
 def test_values_against_a_plain_tracker(spark):
     """The first 20 values classify a position; then states, counters and deviations are told."""
     steady = [5.0 + 0.01 * math.sin(i) for i in range(80)] + [9.0]
