@@ -63,11 +63,16 @@ def deduplicated(logs: DataFrame) -> DataFrame:
     )
 
 
-def state_changes(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Rows at which a state (key.field) takes another value than before; keys: columns that keep states apart."""
+def state_values(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, seq, ts_us, state, new_value) of the rows that tell a state's (key.field) value."""
     named = {e: f"{k}.{f}" for _, e, k, f, _ in reversed(rules.PATTERNS) if k}
     state = F.try_element_at(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]), F.col("log_event"))
-    rows = classified(logs).select(*keys, "seq", "ts_us", state.alias("state"), F.col("matched").alias("new_value")).where("state is not null and new_value <> ''")
+    return classified(logs).select(*keys, "seq", "ts_us", state.alias("state"), F.col("matched").alias("new_value")).where("state is not null and new_value <> ''")
+
+
+def state_changes(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows at which a state (key.field) takes another value than before; keys: columns that keep states apart."""
+    rows = state_values(logs, keys)
     seen = neighbour(rows, [*keys, "state"], "ts_us", "seq", {"old_value": "new_value"})
     return seen.withColumn("old_value", F.coalesce("old_value", F.lit("<unknown>"))).where("old_value <> new_value")
 

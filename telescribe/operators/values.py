@@ -87,6 +87,18 @@ class Position:
         self.ewma.add(x)
         return hit
 
+    def kept(self) -> list:
+        """All that is remembered, for JSON."""
+        e = self.ewma
+        return [[e.alpha, e.mean, e.var, e.count], self.kind, self.before, self.up, self.down, sorted(self.seen), self.state]
+
+    @classmethod
+    def restored(cls, held: list) -> Position:
+        out = cls()
+        (out.ewma.alpha, out.ewma.mean, out.ewma.var, out.ewma.count), out.kind, out.before, out.up, out.down, seen, out.state = held
+        out.seen = set(seen)
+        return out
+
 
 def value_anomalies(rows: DataFrame, source: str | None = None) -> DataFrame:
     """(seq, ts_us, node, template, regime, position, kind, score, expected, got) of values that depart from those before.
