@@ -1,7 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's word n-grams, scanned over every text.
 
 The set is sorted arrays of hashes, built from slices of the benchmark whose size is checked before they are sent. Hits are
-verified word by word. A benchmark of several slices is scanned slice after slice, each sent only for its own pass.
+verified word by word. A benchmark of several slices is scanned slice after slice, each sent only for its own pass; an item
+larger than a slice is cut in pieces that share all but one word of a window.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telescribe.llm.common import WORD, WORD_BYTES, Words, bounded, discard, filtered, lower_ascii, slices as text_slices, written
+from telescribe.llm.common import WORD, WORD_BYTES, Words, bounded, discard, filtered, lower_ascii, map_rows, slices as text_slices, written
 
 #: Words in a window, and the most benchmark text (bytes) that one broadcast slice holds; its arrays take a few times that.
 WINDOW, SLICE_BYTES = 10, 8 << 20
-#: Windows of the benchmark whose words are kept as one string once a hit has asked for them.
+#: Windows whose items are kept once a hit has asked for them.
 KEPT_KEYS = 100_000
 #: A-Z to a-z, other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -31,7 +32,7 @@ class Windows:
         self.items = [item for item, _ in items]
         words = Words(pa.array([text for _, text in items] or [""], pa.string()), WORD_BYTES)
         self.data, self.start, self.end = words.data.tobytes().translate(LOWER), words.start, words.end
-        self.keys: dict[tuple[int, int], bytes] = {}
+        self.owners: dict[tuple[int, bytes], list[str]] = {}
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         count = np.diff(words.first)
         for n in np.unique(np.minimum(count, window)).tolist():
@@ -39,15 +40,36 @@ class Windows:
                 whole, inside = words.windows(n)
                 own = count >= window if n == window else count == n
                 at = np.flatnonzero(inside & own[words.text])
-                at = at[np.argsort(whole[at], kind="stable")]
+                at = at[np.lexsort((at, words.text[at], whole[at]))]
+                at = at[self._first(whole[at], words.text[at], at, n)]
                 self.by_size[n] = (whole[at], at, words.text[at])
 
+    def _first(self, whole: np.ndarray, item: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Which windows are the first of their words in their item; those of one hash are compared word by word."""
+        keep = np.ones(len(at), dtype=bool)
+        again = np.flatnonzero((whole[1:] == whole[:-1]) & (item[1:] == item[:-1])) + 1
+        seen: set[bytes] = set()
+        last = -2
+        for i in again.tolist():
+            if i != last + 1:
+                seen = {self.key(int(at[i - 1]), n)}
+            key, last = self.key(int(at[i]), n), i
+            keep[i] = key not in seen
+            seen.add(key)
+        return keep
+
     def key(self, at: int, n: int) -> bytes:
-        out = self.keys.get((at, n))
+        return b" ".join(self.data[a:b] for a, b in zip(self.start[at : at + n].tolist(), self.end[at : at + n].tolist()))
+
+    def items_of(self, low: int, n: int, key: bytes) -> list[str]:
+        """The items that hold a window, whose hash stands from a place on."""
+        out = self.owners.get((n, key))
         if out is None:
-            if len(self.keys) >= KEPT_KEYS:
-                self.keys.clear()
-            out = self.keys[at, n] = b" ".join(self.data[a:b] for a, b in zip(self.start[at : at + n].tolist(), self.end[at : at + n].tolist()))
+            if len(self.owners) >= KEPT_KEYS:
+                self.owners.clear()
+            known, at, item = self.by_size[n]
+            high = int(np.searchsorted(known, known[low], side="right"))
+            out = self.owners[n, key] = sorted({self.items[item[i]] for i in range(low, high) if self.key(int(at[i]), n) == key})
         return out
 
     def scan(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
@@ -58,18 +80,18 @@ class Windows:
         for n, (known, at, item) in self.by_size.items():
             whole, inside = words.windows(n)
             low = np.minimum(np.searchsorted(known, whole), len(known) - 1)
+            told: set[tuple[int, bytes]] = set()
             for p in np.flatnonzero(inside & (known[low] == whole)).tolist():
                 data = data or words.data.tobytes().translate(LOWER)
                 key = b" ".join(data[a:b] for a, b in zip(words.start[p : p + n].tolist(), words.end[p : p + n].tolist()))
-                owners, i = set(), int(low[p])
-                while i < len(known) and known[i] == whole[p]:
-                    if self.key(int(at[i]), n) == key:
-                        owners.add(self.items[item[i]])
-                    i += 1
+                owners, text = self.items_of(int(low[p]), n, key), int(words.text[p])
                 if owners:
                     hit[p] += 1
                     hit[p + n] -= 1
-                    found.setdefault(int(words.text[p]), set()).update(owners)
+                    # a window that a text repeats tells of its items once
+                    if (text, key) not in told:
+                        told.add((text, key))
+                        found.setdefault(text, set()).update(owners)
         covered = np.cumsum(hit[:-1]) > 0
         ranges, items = [[]] * len(texts), [[]] * len(texts)
         for text, owners in found.items():
@@ -78,11 +100,34 @@ class Windows:
         return np.diff(words.first), ranges, items
 
 
-def slices(benchmark: DataFrame, item_col: str, text_col: str, slice_bytes: int = SLICE_BYTES) -> Iterator[list[tuple[str, str]]]:
+def pieces(text: str, most_bytes: int, window: int) -> Iterator[str]:
+    """A text in pieces of about most_bytes that together hold all its windows, each of window words at least."""
+    spots = [m.span() for m in WORD.finditer(lower_ascii(text))]
+    if len(spots) <= window:
+        # few words, so all between them may go
+        yield " ".join(text[a:b] for a, b in spots)
+        return
+    begin = 0
+    while begin + window <= len(spots):
+        end, size = begin, 0
+        while end < len(spots) and (size < most_bytes or end < begin + window):
+            size += 1 + len(text[spots[end][0] : spots[end][1]].encode())
+            end += 1
+        yield " ".join(text[a:b] for a, b in spots[begin:end])
+        if end == len(spots):
+            return
+        begin = end - window + 1
+
+
+def slices(benchmark: DataFrame, item_col: str, text_col: str, slice_bytes: int = SLICE_BYTES, window: int = WINDOW) -> Iterator[list[tuple[str, str]]]:
     """The benchmark's rows in slices of about slice_bytes; rows without an id or a text take no part."""
     rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")
     ).distinct()
+    large = F.octet_length("text") > slice_bytes
+    if rows.where(large).limit(1).count():
+        cut = map_rows(rows.where(large), lambda cols: ((item, part) for item, text in zip(*cols) for part in pieces(text, slice_bytes, window)), "item string, text string", chunk=1)
+        rows = written(rows.where(~large).unionByName(cut), "pieces")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // slice_bytes) or 1
     for k in range(n):
@@ -115,7 +160,7 @@ def scan(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col:
     """
     names = [c for c in df.columns if c not in ("n_words", "hit_ranges", "hit_items")]
     df = df.select(*[F.col(f"`{c}`") for c in names])
-    parts = slices(benchmark, item_col, bench_col, slice_bytes)
+    parts = slices(benchmark, item_col, bench_col, slice_bytes, window)
     first = next(parts)
     second = next(parts, None)
     if second is None:
@@ -150,7 +195,7 @@ def remove_spans(text: str, ranges: list[int]) -> str:
 
 def clean_documents(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_col: str = "text", window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows of df in which no window of the benchmark occurs; all columns as they were, whatever their names."""
-    parts = slices(benchmark, item_col, bench_col, slice_bytes)
+    parts = slices(benchmark, item_col, bench_col, slice_bytes, window)
     items = next(parts)
     if (second := next(parts, None)) is None:
         shared = df.sparkSession.sparkContext.broadcast(Windows(items, window))

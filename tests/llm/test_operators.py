@@ -296,6 +296,32 @@ def test_decontamination(spark):
     assert decontaminate.clean_documents(odd(spark, ODD), bench).columns == ["doc_id", "text", "n", "component", "_text"]
 
 
+def test_decontamination_of_repeated_words():
+    """Windows that an item or a text repeats are looked at once: time grows with the words, not with their square."""
+    import time
+
+    import pyarrow as pa
+
+    item = " ".join(["go"] * 20_000 + [f"w{i}" for i in range(30)] + ["go"] * 20_000)
+    began = time.process_time()
+    windows = decontaminate.Windows([("a", item), ("b", "go " * 12), ("c", "stop " * 9)])
+    n, ranges, items = windows.scan(pa.array(["go " * 20_000, "x " + "GO " * 9, "stop " * 30, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 go"]))
+    assert time.process_time() - began < 5
+    assert ranges == [[0, 20_000], [], [0, 30], [0, 11]] and items == [["a", "b"], [], ["c"], ["a"]]
+
+
+def test_decontamination_in_pieces(spark):
+    """An item larger than a slice hits what it hits whole."""
+    rng = np.random.default_rng(9)
+    item = " ".join(f"w{i}" for i in rng.integers(0, 50, 400)) + " last. Words, here"
+    texts = [item[a : a + 120] for a in range(0, len(item), 37)] + ["w1 w2", "nothing"]
+    bench = spark.createDataFrame([("a", item), ("b", "w1 w2"), ("c", "w3 " * 40)], "item_id string, text string")
+    rows = lambda size: [(r.n_words, r.hit_ranges, r.hit_items) for r in decontaminate.scan(odd(spark, texts), bench, slice_bytes=size).orderBy("doc_id").collect()]
+    whole = rows(1 << 20)
+    assert rows(100) == whole and sum(bool(x[2]) for x in whole) > 10
+    assert [len(p.split()) >= 10 for p in decontaminate.pieces(item, 100, 10)].count(True) > 10
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
