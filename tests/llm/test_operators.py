@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+from collections import Counter
 from pathlib import Path
 from urllib.parse import urldefrag, urljoin
 
@@ -482,11 +483,53 @@ def test_nearest_vectors(spark):
 def test_toxicity_held_out(spark):
     got = {r.doc_id: r for r in queries.op2_toxicity(spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
-    seen = [(got[r.doc_id].predicted, r.toxic) for r in labels if not got[r.doc_id].held_out]
-    assert sum(p == y for p, y in seen) / len(seen) > 0.95
+    for held_out, least in ((True, 0.95), (False, 0.95)):
+        seen = [(got[r.doc_id].predicted, r.toxic, got[r.doc_id].score) for r in labels if got[r.doc_id].held_out == held_out and r.toxic is not None]
+        assert len(seen) > 50 and sum(p == y for p, y, _ in seen) / len(seen) > least
+        # toxic documents are scored higher
+        high, low = ([x for _, y, x in seen if y == k] for k in (1, 0))
+        assert sum(a > b for a in high for b in low) / (len(high) * len(low)) > 0.85
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_neighbours_are_those_of_a_full_scan(spark):
+    """Blocks and 32-bit sums lose nothing: neighbours and cosines are those of all examples, ties and repeats included."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect() + spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(500).collect()
+    texts = [r.text or "" for r in rows]
+    counted = [(i % 3 == 0, *zip(*sorted(Counter(words(t)).items()))) if words(t) else (0, [], []) for i, t in enumerate(texts)]
+    index = toxicity.Index([(int(y), list(w), list(n)) for y, w, n in counted] + [(1, ["same", "words"], [1, 1])] * 40, k=9)
+    queries_ = [*texts[::7], "same words", "same", "SAME same words unknownword", None, "", "unknownword", "the of and " * 2000]
+    empty = 0
+    for t, (value, ids, cos) in zip(queries_, index.scores(queries_)):
+        v = index.vector(words(t))
+        if v is None:
+            assert (ids, cos) == ([], []) and value == index.score("")[0]
+            empty += 1
+            continue
+        own = dict(zip(v[0].tolist(), v[1].tolist()))
+        every = sorted(((-round(sum(own.get(f, 0.0) * w for f, w in zip(fs.tolist(), ws.tolist())), 12), j) for j, (fs, ws) in enumerate(index.rows)))
+        want = [(j, -c) for c, j in every if c < 0][:9]
+        assert ids == [j for j, _ in want] and np.allclose(cos, [c for _, c in want], atol=1e-11)
+    assert empty == 3
+    # few documents are without a neighbour
+    assert sum(not ids for _, ids, _ in index.scores(texts)) <= sum(not words(t) for t in texts)
+
+
+def test_toxicity_odd_rows(spark):
+    """Null and empty texts, ties, repeated rows and ids, null ids, other labels and clashing columns."""
+    bad = "you idiot moron trash talk"
+    texts = [None, "", "a fine day in spring", bad, "a fine day in spring", bad + " again", "some other words here", "a fine morning"] * 8
+    docs = spark.createDataFrame([(i if i % 11 else None, t, 0.5) for i, t in enumerate(texts)] + [(3, bad, 0.1), (3, bad, 0.1)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, int(i % 8 in (3, 5))) for i in range(64)] + [(None, 1), (2, 7), (3, None), (999, 1)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, index)
+    assert got.columns == ["doc_id", "score", "predicted", "neighbours", "cosines"] and got.count() == len(texts) + 2
+    rows = got.where("doc_id is not null").collect()
+    assert {r.predicted for r in rows if r.doc_id % 8 in (3, 5)} == {1} and {r.predicted for r in rows if r.doc_id % 8 not in (3, 5)} == {0}
+    kept = toxicity.clean(docs, index)
+    assert kept.columns == docs.columns and {r.text for r in kept.collect()} == {t for t in texts if t is None or "idiot" not in t}
+
+
 def test_empty_tables(spark):
     none = odd(spark, ["x"]).where("doc_id < 0")
     bench = spark.createDataFrame([], "item_id long, text string")
