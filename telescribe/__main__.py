@@ -1,8 +1,9 @@
-"""python -m telescribe diagnose FOLDER OUT | profile FOLDER OUT | validate FOLDER OUT | logs PATH OUT [--least LEVEL]"""
+"""python -m telescribe diagnose FOLDER OUT | profile FOLDER OUT | validate FOLDER OUT | crossval FOLDER OUT [--sample N] [--no-sensors] | logs PATH OUT [--least LEVEL]"""
 
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import SparkSession
 
@@ -14,16 +15,24 @@ from telescribe.sources import catalog, messages, recording
 
 def main() -> None:
     parser = argparse.ArgumentParser(prog="telescribe", description=__doc__)
-    parser.add_argument("what", choices=("diagnose", "profile", "validate", "logs"))
+    parser.add_argument("what", choices=("diagnose", "profile", "validate", "crossval", "logs"))
     parser.add_argument("path")
     parser.add_argument("out")
     parser.add_argument("--least", default="INFO")
+    parser.add_argument("--sample", type=int, default=1)
+    parser.add_argument("--no-sensors", action="store_true")
     args = parser.parse_args()
     spark = SparkSession.builder.appName("telescribe").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.what == "logs":
         found = analysis.extract(catalog.open_logs(spark, args.path, args.least))
         for name in ("profiles", "regimes", "anomalies", "chains", "isolated"):
             reports.write_json(found[name], f"{args.out}/{name}")
+    elif args.what == "crossval":
+        checked = analysis.validate(spark, args.path, max(1, args.sample), not args.no_sensors)
+        report = reports.validation_report(checked.packets, checked.routes, checked.states)
+        reports.write_json(checked.packets, f"{args.out}/evidence_packets")
+        reports.write_text(spark, json.dumps(report, indent=2, default=str), f"{args.out}/report")
+        reports.write_text(spark, reports.validation_text(report, checked.packets), f"{args.out}/summary")
     elif args.what == "diagnose":
         found = analysis.diagnose(spark, args.path)
         for name in ("bags", "anomalies", "incidents", "health", "summary"):

@@ -10,6 +10,7 @@ from telescribe.operators import diagnose as D
 from telescribe.operators import incidents as I
 from telescribe.operators import logs as L
 from telescribe.operators import sequences as S
+from telescribe.operators import validate as X
 from telescribe.operators import values as V
 from telescribe.operators.scratch import checkpointed, discard
 from telescribe.plans import rules
@@ -37,6 +38,15 @@ def diagnose(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
+def validate(spark: SparkSession, folder: str, sample: int = 1, sensors: bool = True) -> X.Validation:
+    """The log texts of the recordings below a folder held against their sensors; see validate.cross_validated()."""
+    rows = checkpointed(recording.read(spark, folder))
+    signals = checkpointed(messages.signals(rows))
+    found = X.cross_validated(signals, messages.logs(rows), sample=sample, sensors=sensors)
+    discard(rows, signals)
+    return found
+
+
 def missions(bags: DataFrame, gap_us: int = MISSION_GAP_US) -> DataFrame:
     """(bag, mission): recordings in order of start; see logs.missions()."""
     return L.numbered_missions(bags, gap_us).select("bag", "mission")

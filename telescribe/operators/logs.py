@@ -47,6 +47,12 @@ def event_summary(logs: DataFrame, nodes: int = 10) -> DataFrame:
     return ranked.where((F.col("what") != "node") | (F.col("r") <= nodes)).drop("r")
 
 
+def matched_share(logs: DataFrame) -> DataFrame:
+    """(total_events, matched_pct): all rows, and how many in a hundred a pattern matches; 100 of none. logs: classified()."""
+    unmatched = F.count_if(F.col("log_event") == "UNMATCHED")
+    return logs.agg(F.count("*").alias("total_events"), F.round(100 * (1 - unmatched / F.greatest(F.count("*"), F.lit(1))), 1).alias("matched_pct"))
+
+
 def routed(logs: DataFrame) -> DataFrame:
     """route: keep (errors), noise, dedup, signal or passthrough, in this order; dedup_key of the third."""
     m = F.col("raw_message")
@@ -240,16 +246,16 @@ def health(anomalies: DataFrame, bags: DataFrame, incidents: DataFrame | None =
     return out.withColumn("health", verdict(F.coalesce("_c", "critical"), F.coalesce("_w", "warning"), many)).drop("_c", "_w")
 
 
-def nearest_windows(probes: DataFrame, windows: DataFrame, width_us: int) -> DataFrame:
+def nearest_windows(probes: DataFrame, windows: DataFrame, width_us: int, keys: Sequence[str] = ()) -> DataFrame:
     """To each probe (seq, ts_us) the window of each topic whose middle lies nearest, the earliest of equals.
 
     Middles two widths away or further do not count. windows: (topic, start_us, end_us, ..). Times are doubled, so that
     middles are whole numbers.
     """
-    p = probes.select("seq", (2 * F.col("ts_us")).alias("twice"))
-    met = near(p, windows.withColumn("middle", F.col("start_us") + F.col("end_us")), 4 * width_us, "twice", "middle")
+    p = probes.select(*keys, "seq", (2 * F.col("ts_us")).alias("twice"))
+    met = near(p, windows.withColumn("middle", F.col("start_us") + F.col("end_us")), 4 * width_us, "twice", "middle", [*keys])
     met = met.withColumn("far", F.abs(F.col("twice") - F.col("middle"))).where(F.col("far") < 4 * width_us)
-    first = F.row_number().over(Window.partitionBy("seq", "topic").orderBy("far", "start_us"))
+    first = F.row_number().over(Window.partitionBy(*keys, "seq", "topic").orderBy("far", "start_us"))
     return met.withColumn("_r", first).where("_r = 1").withColumn("distance_us", F.col("far") / 2).drop("_r", "far", "twice", "middle")
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telescribe.operators.scratch import checkpointed
+
 
 #: Added before rounding, so that exact halves round alike whatever the order of summing.
 TIE = 1e-9
@@ -87,3 +91,18 @@ def moments(value: Column) -> list[Column]:
     """Count, mean, sample deviation (0 for one row), minimum and maximum; NaN and infinities are left out."""
     v = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
     return [F.count(v).alias("n"), F.round(F.avg(v) + TIE, 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 6).alias("std"), F.min(v).alias("low"), F.max(v).alias("high")]
+
+
+def numbered(df: DataFrame, by: Sequence[str | Column], name: str) -> DataFrame:
+    """Adds the place of each row, from 0, in the order of by; equal rows stand in any order.
+
+    Rows are dealt out by ranges and sorted within each; a range needs of those before it their number of rows, one number
+    a range, so that no task sees all rows.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in by]
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_part")
+    past = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counts = placed.groupBy(part).agg(F.count("*").alias("_n")).withColumn("_past", F.coalesce(F.sum("_n").over(past), F.lit(0)))
+    out = placed.withColumn("_part", part).join(F.broadcast(counts.select("_part", "_past")), "_part")
+    return out.withColumn(name, F.col("_past") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_past", "_at")

@@ -9,6 +9,8 @@ from telescribe.operators import diagnose as D
 from telescribe.operators import incidents as I
 from telescribe.operators import logs as L
 from telescribe.operators import packets as P
+from telescribe.operators import relational as R
+from telescribe.operators import validate as X
 from telescribe.operators import values as V
 from telescribe.functions import text
 from telescribe.plans import rules
@@ -383,6 +385,49 @@ def layout_select(spark, sf_dir):
     return layouts.selected(evidence(spark, sf_dir))
 
 
+@query(f"WITH {DENOISED} SELECT seq, 'EP-' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INTEGER, '0') AS packet_id FROM (SELECT seq, row_number() OVER (ORDER BY ts_us, seq) AS n FROM pa)")
+def packet_ids(spark, sf_dir):
+    rows = R.numbered(P.denoised(L.classified(logs(spark, sf_dir))).select("ts_us", "seq"), ["ts_us", "seq"], "n")
+    return rows.select("seq", F.format_string("EP-%04d", F.col("n") + 1).alias("packet_id"))
+
+
+@query(f"WITH {DENOISED} SELECT seq, ts_us FROM (SELECT seq, ts_us, row_number() OVER (ORDER BY ts_us, seq) AS r FROM pa WHERE wants_sensors) WHERE (r - 1) % 5 = 0")
+def sampled_packets(spark, sf_dir):
+    return P.every_nth(P.classified(P.denoised(L.classified(logs(spark, sf_dir)))), 5).select("seq", "ts_us")
+
+
+# claims of log texts and the fields that they look at, rule by rule; windows of a recording's topics, empty ones included
+SNAP_TOPICS = names(rules.SNAPSHOT_TOPICS)
+ONE = lambda t, f, c: f"max({c}) FILTER (topic = '{t}' AND field = '{f}')"
+AXES = ", ".join(f"{ONE(t, a, 'n')} AS {p}{i}_n, {ONE(t, a, 'std')} AS {p}{i}_s" for p, t in (("p", "/unbiased_imu_PRY"), ("d", "/device/imu_data")) for i, a in enumerate(rules.IMU_AXES))
+AXIS = lambda p: "CASE " + " ".join(f"WHEN {p}{i}_n >= 2 THEN CASE WHEN {p}{i}_s < 1e-4 THEN 'CONFIRMED' ELSE 'CONTRADICTED' END" for i in range(len(rules.IMU_AXES))) + " ELSE 'NO_SENSOR_DATA' END"
+STOPPED = "CASE WHEN lx_n IS NULL THEN 'NO_SENSOR_DATA' WHEN abs(lx_m) < 0.01 AND abs(coalesce(az_m, 0)) < 0.01 THEN 'CONFIRMED' ELSE 'CONTRADICTED' END"
+CLAIMED = {
+    "(make.*plan.*fail|DijkstraSearch.*fail|MakePlan.*fail)": ("path_planning_failed_check_velocity", STOPPED),
+    r"still_flag[:\s=]*1": ("still_flag_check_odom", "CASE WHEN lx_n IS NULL OR lx_n < 2 THEN 'NO_SENSOR_DATA' WHEN lx_s < 1e-4 THEN 'CONFIRMED' ELSE 'CONTRADICTED' END"),
+    r"still_flag[:\s=]*0": ("still_flag_moving_check_odom", "CASE WHEN lx_n IS NULL OR lx_n < 2 THEN 'NO_SENSOR_DATA' WHEN lx_s > 1e-4 OR abs(lx_m) > 0.01 THEN 'CONFIRMED' ELSE 'CONTRADICTED' END"),
+    r"(is_localized:\s*0|locali[sz]ation.*lost|Tf tranform failed)": ("localization_lost_check_pose", "CASE WHEN px_n IS NULL OR px_n < 2 THEN 'NO_SENSOR_DATA' WHEN px_s < 1e-4 AND coalesce(py_s, 0) < 1e-4 THEN 'CONFIRMED' ELSE 'CONTRADICTED' END"),
+    "imu.*calibrat": ("imu_calibrating_check_imu", f"CASE WHEN imu1 THEN {AXIS('p')} WHEN imu2 THEN {AXIS('d')} ELSE 'NO_SENSOR_DATA' END"),
+    r"not move time:\s*([\d.]+)": ("not_moving_check_velocity", STOPPED),
+    "cmd not safe": ("cmd_not_safe_check_cmd_vel", "CASE WHEN CASE WHEN cmd1 THEN c1_m WHEN cmd2 THEN c2_m END IS NULL THEN 'NO_SENSOR_DATA' WHEN abs(CASE WHEN cmd1 THEN c1_m ELSE c2_m END) < 0.01 THEN 'CONFIRMED' ELSE 'CONTRADICTED' END"),
+}
+
+
+@query(f"""WITH {LOGS_SQL}, {SIGNALS_SQL}, bs AS (SELECT bag, min(ts_us) AS s, max(ts_us) AS e FROM sg WHERE topic IN ({SNAP_TOPICS}) GROUP BY bag),
+wn AS (SELECT bag, topic, w, s + w * {WINDOW_US} AS a, least(s + (w + 1) * {WINDOW_US}, e) AS b FROM (SELECT bag, topic, s, e, unnest(range(0, greatest(ceil((e - s) / {WINDOW_US}) - 1, 0)::BIGINT + 1)) AS w FROM (SELECT DISTINCT bag, topic FROM sg WHERE topic IN ({SNAP_TOPICS})) JOIN bs USING (bag))),
+fs AS (SELECT bag, topic, greatest(ceil((ts_us - s) / {WINDOW_US}) - 1, 0)::BIGINT AS w, field, {STATS} FROM sg JOIN bs USING (bag) GROUP BY ALL),
+nw AS (SELECT seq, bag, topic, w FROM (SELECT lg.seq, wn.bag, wn.topic, wn.w, row_number() OVER (PARTITION BY lg.seq, wn.topic ORDER BY abs(2 * lg.ts_us - a - b), a) AS r FROM lg JOIN wn USING (bag) WHERE abs(2 * lg.ts_us - a - b) < {4 * WINDOW_US}) WHERE r = 1),
+one AS (SELECT seq, {ONE('/odom', 'twist_linear_x', 'n')} AS lx_n, {ONE('/odom', 'twist_linear_x', 'mean')} AS lx_m, {ONE('/odom', 'twist_linear_x', 'std')} AS lx_s, {ONE('/odom', 'twist_angular_z', 'mean')} AS az_m,
+ {ONE('/localization/current_pose', 'position_x', 'n')} AS px_n, {ONE('/localization/current_pose', 'position_x', 'std')} AS px_s, {ONE('/localization/current_pose', 'position_y', 'std')} AS py_s, {AXES},
+ bool_or(topic = '/unbiased_imu_PRY') AS imu1, bool_or(topic = '/device/imu_data') AS imu2, bool_or(topic = '/chassis_cmd_vel') AS cmd1, bool_or(topic = '/cmd_vel') AS cmd2, {ONE('/chassis_cmd_vel', 'linear_x', 'mean')} AS c1_m, {ONE('/cmd_vel', 'linear_x', 'mean')} AS c2_m
+ FROM nw JOIN fs USING (bag, topic, w) GROUP BY seq)
+""" + " UNION ALL ".join(f"SELECT seq, '{name}' AS rule, {verdict} AS verdict FROM lg LEFT JOIN one USING (seq) WHERE regexp_matches(raw_message, '(?i){pattern}')" for pattern, (name, verdict) in CLAIMED.items()))
+def cross_validation(spark, sf_dir):
+    rows = logs(spark, sf_dir).select("bag", "seq", "ts_us", "raw_message")
+    snaps = X.snapshots(rows, X.windows(signals(spark, sf_dir), WINDOW_US), WINDOW_US)
+    return X.checked(rows, snaps).select("seq", F.explode("checks").alias("c")).select("seq", "c.rule", "c.verdict")
+
+
 FIRST = "(SELECT min(ts_us) FROM ev WHERE topic = '/error' AND value > 90)"
 SLICE_US = 7_200_000_000
 

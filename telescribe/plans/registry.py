@@ -172,6 +172,11 @@ NAME_SQL = case([(p, n) for (p, *_), n in zip(rules.PATTERNS, rules.PATTERN_NAME
 WHOLE_SQL = case([(p, 0) for p, *_ in rules.PATTERNS], None, lambda p, g: f"regexp_extract(raw_message, '(?i){p}', 0)")
 
 
+@query(f"WITH {CLASSED} SELECT count(*) AS total_events, round(100 * (1 - count(*) FILTER (log_event = 'UNMATCHED') / greatest(count(*), 1)), 1) AS matched_pct FROM cl")
+def matched_share(spark, sf_dir):
+    return L.matched_share(L.classified(logs(spark, sf_dir)))
+
+
 @query(f"WITH {CLASSED} SELECT seq, raw_message, log_event, matched, {NAME_SQL} AS pattern, {WHOLE_SQL} AS matched_text FROM cl")
 def log_classify(spark, sf_dir):
     return L.classified(logs(spark, sf_dir)).select("seq", "raw_message", "log_event", "matched", "pattern", "matched_text")

@@ -8,7 +8,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telescribe.plans import rules
@@ -29,6 +29,11 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small text as a folder of one file, in any store that Spark can write."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
 def timeline_rows(anomalies: DataFrame, logs: DataFrame, bags: DataFrame) -> DataFrame:
     """(timestamp_us, bag, type, severity, category, description, details): anomalies, at their recording's start without a time, and logs."""
     a = anomalies.join(bags.select("bag", "start_us"), "bag").select(F.coalesce("ts_us", "start_us").alias("timestamp_us"), "bag", F.lit("anomaly").alias("type"), "severity", "category", "description", F.to_json(F.struct("topic", "field")).alias("details"))
@@ -39,8 +44,57 @@ def timeline_rows(anomalies: DataFrame, logs: DataFrame, bags: DataFrame) -> Dat
 
 
 def clock(ms: float) -> str:
-    s = ms / 1000
-    return f"{int(s // 3600):02d}:{int(s % 3600 // 60):02d}:{s % 60:06.3f}"
+    """Hours, minutes and seconds, rounded to the millisecond first, so that no field runs over."""
+    whole = round(ms)
+    return f"{whole // 3_600_000:02d}:{whole // 60_000 % 60:02d}:{whole // 1000 % 60:02d}.{whole % 1000:03d}"
+
+
+#: The report's version, how many findings of a kind its text shows, and its headings.
+VALIDATOR_VERSION = "1.0"
+SHOWN = (("CONTRADICTIONS", 10), ("CRITICAL EVENTS", 15), ("HIGH-FREQUENCY CONFIRMED", 10))
+
+
+def validation_report(packets: DataFrame, routes: DataFrame, states: DataFrame) -> dict:
+    """Counts of a cross-validation, what its denoising dropped, and the states' timeline; all bounded by kinds, not by rows.
+
+    The packets themselves are a table of their own.
+    """
+    by_route = {r["route"]: r["n"] for r in routes.collect()}
+    verdicts = {r["verdict"]: r["count"] for r in packets.groupBy("verdict").count().orderBy("verdict").collect()}
+    total, pct = sum(by_route.values()), lambda n: round(100.0 * n / total, 1) if total else 0.0
+    noise, deduped = by_route.get("noise", 0), by_route.get("dedup", 0)
+    timeline: dict[str, dict] = {}
+    for r in states.orderBy("state", "value").collect():
+        one = timeline.setdefault(r["state"], {"total_transitions": r["transitions"], "current_value": r["current"], "values": []})
+        one["values"].append({"value": r["value"], "count": r["n"], "total_duration_sec": round(r["total_us"] / 1e6, 2)})
+    return {
+        "cross_validator_version": VALIDATOR_VERSION,
+        "stats": {"total_bags": packets.select("bag").distinct().count(), "raw_log_events": total, "denoised_events": sum(verdicts.values()), "evidence_packets": sum(verdicts.values()), "verdicts": verdicts},
+        "denoise_stats": {"total_input": total, "noise_filtered": noise, "signal_kept": by_route.get("keep", 0) + by_route.get("signal", 0), "deduped": deduped, "passthrough": by_route.get("passthrough", 0), "noise_reduction_pct": pct(noise), "dedup_reduction_pct": pct(deduped)},
+        "state_timeline_summary": timeline,
+    }
+
+
+def validation_text(report: dict, packets: DataFrame) -> str:
+    """The cross-validation in a few paragraphs: counts, states, and the first findings of each kind in order of time."""
+    stats = report["stats"]
+    parts = [
+        f"Cross-Validation Report: {stats['total_bags']} bags, {stats['raw_log_events']} raw logs -> {stats['denoised_events']} denoised -> {stats['evidence_packets']} evidence packets",
+        "Verdicts: " + ", ".join(f"{k}={v}" for k, v in sorted(stats["verdicts"].items())),
+    ]
+    if report["state_timeline_summary"]:
+        parts.append("\n".join(["State Timeline:", *[f"  {k}: {v['total_transitions']} transitions, current={v['current_value']}" for k, v in report["state_timeline_summary"].items()]]))
+    against = F.col("verdict") == "CONTRADICTED"
+    chosen = (against, (F.col("severity") == "CRITICAL"), (F.col("dedup_count") > 10) & (F.col("verdict") == "CONFIRMED"))
+    for (title, most), condition in zip(SHOWN, chosen):
+        rows = packets.where(condition)
+        n = rows.count()
+        # of the critical ones those among the first that no contradiction has told of already
+        first = rows.orderBy("ts_us", "packet_id").limit(most).where(~against | F.lit(title == SHOWN[0][0]))
+        lines = [f"  [{r['packet_id']}] {r['summary']}" for r in first.orderBy("ts_us", "packet_id").select("packet_id", "summary").collect()]
+        if n:
+            parts.append("\n\n".join([f"=== {title} ({n}) ===", *lines]) if len(lines) > 1 else "\n".join([f"=== {title} ({n}) ===", *lines]))
+    return "\n\n".join(parts)
 
 
 def fitted(lines: list[str], room: int) -> str:
