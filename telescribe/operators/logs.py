@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telescribe.functions.text import any_match, chosen, first_match, settled, template, unstable
-from telescribe.operators.relational import near, neighbour, running_max, sessions
+from telescribe.operators.relational import SPAN_US, near, neighbour, running_max, sessions
+from telescribe.operators.scratch import checkpointed
 from telescribe.plans import rules
 
 
@@ -78,7 +79,8 @@ def state_values(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def state_changes(logs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Rows at which a state (key.field) takes another value than before; keys: columns that keep states apart."""
-    rows = state_values(logs, keys)
+    # texts are matched once
+    rows = checkpointed(state_values(logs, keys))
     seen = neighbour(rows, [*keys, "state"], "ts_us", "seq", {"old_value": "new_value"})
     return seen.withColumn("old_value", F.coalesce("old_value", F.lit("<unknown>"))).where("old_value <> new_value")
 
@@ -120,9 +122,17 @@ def state_summary(changes: DataFrame) -> DataFrame:
 
 
 def incident_bins(anomalies: DataFrame, gap_us: int) -> DataFrame:
-    """Anomalies of a category that follow each other within the gap are one incident."""
-    s = sessions(anomalies, ["category"], "ts_us", gap_us)
-    return s.groupBy("category", "session").agg(F.count("*").alias("n"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
+    """Anomalies of a category that follow each other within the gap are one incident.
+
+    Anomalies are joined within each span of time first; what is left, a row an incident of a span, is joined between spans.
+    """
+    turn = Window.partitionBy("category", "_span").orderBy("ts_us")
+    rows = anomalies.select("category", "ts_us", F.floor(F.col("ts_us") / SPAN_US).alias("_span"))
+    rows = rows.withColumn("_new", F.coalesce((F.col("ts_us") - F.lag("ts_us").over(turn) > gap_us).cast("int"), F.lit(0))).withColumn("_local", F.sum("_new").over(turn))
+    pieces = rows.groupBy("category", "_span", "_local").agg(F.count("*").alias("n"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
+    pieces = checkpointed(pieces.select("category", "n", "start_us", "end_us"))
+    s = sessions(pieces, ["category"], "start_us", gap_us, seq="end_us", end="end_us")
+    return s.groupBy("category", "session").agg(F.sum("n").alias("n"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
 
 
 def caused(logs: DataFrame, anomalies: DataFrame, reach_us: int, causes) -> DataFrame:

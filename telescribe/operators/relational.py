@@ -38,11 +38,11 @@ def neighbour(df: DataFrame, keys: list[str], on: str, seq: str, names: dict[str
 def asof(probes: DataFrame, changes: DataFrame, keys: list[str], value: str, on: str = "ts_us", span: int = SPAN_US) -> DataFrame:
     """Backward inclusive as-of join: to each probe the last non-null value of its keys at or before its time.
 
-    A change at the probe's very time counts. changes: (keys, on, seq, value). Work is dealt out by keys and span; the last
-    value of each span, one row, is carried into those behind it.
+    A change at the probe's very time counts. changes: (keys, on, seq, value), worked out once. Work is dealt out by keys
+    and span; the last value of each span, one row, is carried into those behind it.
     """
     name = f"{value}_asof"
-    c = changes.select(*keys, on, F.lit(0).alias("_kind"), "seq", F.col(value).alias(name))
+    c = checkpointed(changes.select(*keys, on, "seq", value)).select(*keys, on, F.lit(0).alias("_kind"), "seq", F.col(value).alias(name))
     rows = probes.withColumn("_kind", F.lit(1)).unionByName(c, allowMissingColumns=True).withColumn("_span", F.floor(F.col(on) / span))
     # probes have no value of their own, so they leave a span's last one alone
     ends = rows.groupBy(*keys, "_span").agg(F.max_by(F.when(F.col(name).isNotNull(), F.col(name)), F.when(F.col(name).isNotNull(), F.struct(on, "seq"))).alias("_end"))
@@ -63,14 +63,17 @@ def near(left: DataFrame, right: DataFrame, reach: int, l_on: str, r_on: str, ke
 def sessions(df: DataFrame, keys: list[str], on: str, gap: int, seq: str = "seq", end: str | None = None, span: int = SPAN_US) -> DataFrame:
     """Adds session: a new one begins where a row lies more than gap after the (end of the) row before it.
 
-    Sessions are counted in spans, and the counts of the spans before are added.
+    Each span counts its own breaks; of a span the others need one row, its first time, last end and breaks.
     """
-    rows = neighbour(df, keys, on, seq, {"_end": end or on}, span=span)
-    rows = rows.withColumns({"_new": F.coalesce((F.col(on) - F.col("_end") > gap).cast("int"), F.lit(0)), "_span": F.floor(F.col(on) / span)})
-    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*keys, "_span").agg(F.sum("_new").alias("_news")).withColumn("_before", F.coalesce(F.sum("_news").over(before), F.lit(0))).drop("_news")
-    own = F.sum("_new").over(Window.partitionBy(*keys, "_span").orderBy(on, seq))
-    return rows.join(counts, [*keys, "_span"]).withColumn("session", F.col("_before") + own).select(*[F.col(f"`{c}`") for c in df.columns], "session")
+    turn = Window.partitionBy(*keys, "_span").orderBy(on, seq)
+    rows = df.withColumns({"_span": F.floor(F.col(on) / span), "_end": F.col(end or on)})
+    rows = rows.withColumn("_new", F.coalesce((F.col(on) - F.lag("_end").over(turn) > gap).cast("int"), F.lit(0))).withColumn("_local", F.sum("_new").over(turn))
+    order = Window.partitionBy(*keys).orderBy("_span")
+    edges = rows.groupBy(*keys, "_span").agg(F.min(on).alias("_first"), F.max_by("_end", F.struct(on, seq)).alias("_last"), F.sum("_new").alias("_breaks"))
+    edges = edges.withColumn("_opens", F.coalesce((F.col("_first") - F.lag("_last").over(order) > gap).cast("int"), F.lit(0)))
+    before = F.sum(F.col("_opens") + F.col("_breaks")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_breaks")
+    edges = edges.withColumn("_before", before).select(*keys, "_span", "_before")
+    return rows.join(edges, [*keys, "_span"]).withColumn("session", F.col("_before") + F.col("_local")).select(*[F.col(f"`{c}`") for c in df.columns], "session")
 
 
 def running_max(df: DataFrame, keys: list[str], seq: str, value: Column, name: str, block: int = 1 << 20) -> DataFrame:
