@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telescribe.operators import chains as C
@@ -14,6 +14,7 @@ from telescribe.operators import validate as X
 from telescribe.operators import values as V
 from telescribe.operators.scratch import checkpointed, discard
 from telescribe.plans import rules
+from telescribe.sinks import reports
 from telescribe.sources import catalog, messages, recording
 
 #: A pause that parts missions.
@@ -83,4 +84,23 @@ def extract(source: catalog.LogSource, sigmas: float = 3.0, validated: list[dict
     members = found.join(links, "seq")
     chains = checkpointed(C.boosted(C.causal_chains(found, keys=k), members.select("chain", "node"), list(validated)))
     discard(rows, windows)
-    return {"profiles": profiles, "windows": prints, "regimes": regimes, "anomalies": found, "chains": chains, "members": members, "isolated": C.isolated(found, links)}
+    return {"profiles": profiles, "windows": prints, "regimes": regimes, "anomalies": found, "chains": chains, "members": members, "isolated": C.isolated(found, links), "ends": ends}
+
+
+def summary(found: dict[str, DataFrame], source_file: str, metadata: dict | None = None) -> dict:
+    """What extract() found in one file as a report of bounded size, for reports.prompt() and reports.as_json()."""
+    of = {name: df.where(F.col("source_file") == source_file) for name, df in found.items()}
+    ends = of["ends"].first()
+    ms = lambda w: (ends["start_us"] + w * ends["width_us"]) / 1000.0
+    often = of["windows"].groupBy("node", "template").agg(F.sum("n").alias("n"))
+    first = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "template"))  # a row a template
+    often = often.withColumn("_r", first).where(F.col("_r") <= reports.MOST_TEMPLATES).groupBy("node").agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", "template")))).alias("templates"))
+    nodes = of["profiles"].select("node", "kind", "rate_hz", "cv").join(often, "node", "left").withColumn("templates", F.coalesce("templates", F.array().cast(often.schema["templates"].dataType)))
+    regimes = of["regimes"].select("regime", "windows", ms(F.col("first_w")).alias("start_ms"), ms(F.col("last_w") + 1).alias("end_ms"))
+    root = of["anomalies"].select(F.col("seq").alias("root"), "node", "kind", "template")
+    chains = of["chains"].join(root, "root").select("chain_id", "severity", "node", "kind", "template", (F.col("first_ts") / 1000).alias("first_ms"), (F.col("last_ts") / 1000).alias("last_ms"), "jaccard", "members")
+    rest = of["members"].join(of["chains"].select("chain", "chain_id", "root"), "chain").where("seq <> root")
+    types = rest.groupBy("chain_id", "node", "kind", "template").agg(F.count("*").alias("n"))
+    alone = of["isolated"].select("seq", "score", "node", "kind", "template", (F.col("ts") / 1000).alias("ms"))
+    meta = {"source_file": source_file, "duration_ms": (ends["end_us"] - ends["start_us"]) / 1000.0} | (metadata or {})
+    return reports.bounded_report(meta, nodes, regimes, chains, types, alone, of["anomalies"].count())

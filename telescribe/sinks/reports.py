@@ -186,3 +186,17 @@ def page(title: str, counts: dict, tabs: dict[str, list[dict]]) -> str:
     body = "".join(f"<h2>{esc(name)} ({len(items)})</h2>{timeline_svg(items)}{''.join(map(card, items))}" for name, items in tabs.items())
     numbers = "".join(f'<div class="card">{esc(k)}<br><b>{esc(v)}</b></div>' for k, v in counts.items())
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{esc(title)}</title><style>{STYLE}</style></head><body><h1>{esc(title)}</h1><div class="cards">{numbers}</div><p>{boxes}<input id="text" oninput="pick()" placeholder="filter"></p>{body}<script>{SCRIPT}</script></body></html>'
+
+
+#: Most incidents that a page shows of a severity.
+MOST_CARDS = 200
+
+
+def incident_page(title: str, incidents: DataFrame, missions: DataFrame) -> str:
+    """A page of missions' counts and incidents by severity, the first of each; the suppressed ones have a tab of their own."""
+    counts = missions.agg(F.count("*").alias("Missions"), F.sum("bags").alias("Recordings"), F.sum("incidents").alias("Incidents"), F.sum("anomalies").alias("Anomalies"), F.sum("suppressed").alias("Suppressed")).first().asDict()
+    item = [F.col("severity"), F.concat_ws(" ", "incident_id", "title").alias("title"), F.concat_ws(" ", "bag", "root_cause").alias("text"), "start_us"]
+    tabs = {}
+    for name, condition in (*((s.title(), (F.col("severity") == s) & ~F.col("suppressed")) for s in LANES), ("Suppressed", F.col("suppressed"))):
+        tabs[name] = [r.asDict() for r in incidents.where(condition).orderBy(F.asc_nulls_last("start_us"), "bag", "incident_id").select(*item).limit(MOST_CARDS).collect()]
+    return page(title, {k: v or 0 for k, v in counts.items()}, tabs)

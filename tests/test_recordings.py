@@ -4,11 +4,13 @@ import bz2
 import json
 import math
 import struct
+import sys
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from telescribe import __main__ as cli
 from telescribe import analysis
 from telescribe.operators import diagnose, values
 from telescribe.sinks import layouts, reports
@@ -294,6 +296,32 @@ def test_files_are_extracted_each_by_itself(spark, tmp_path):
     assert each[0]["anomalies"].where("kind = 'value_deviation' and score > 20").count() == 1
 
 
+def test_command_lines(spark, folder, tmp_path, monkeypatch):
+    """The commands write their tables, reports, prompts, annotated logs, pages and layouts."""
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    text_of = lambda place: "\n".join(p.read_text() for p in sorted(place.glob("part-*")))
+    rng = np.random.default_rng(1)
+    (tmp_path / "in").mkdir()
+    for name in ("one.log", "two.log"):
+        lines = [f"[INFO][1:{s // 60:02d}:{s % 60:02d}.000][/chassis]: speed {99.0 if s == 200 else rng.normal(5, 0.1):.3f}" for s in range(240)]
+        lines += [f"[WARN][1:{s // 60:02d}:{s % 60:02d}.200][/dl_infer]: lost frame" for s in range(120, 240)]
+        (tmp_path / "in" / name).write_text("\n".join(lines) + "\n")
+    monkeypatch.setattr(sys, "argv", ["telescribe", "logs", str(tmp_path / "in"), str(tmp_path / "logs"), "--tokens", "500"])
+    cli.main()
+    for name in ("one.log", "two.log"):
+        report = json.loads(text_of(tmp_path / "logs" / "report" / name))
+        assert report["metadata"]["source_file"] == name and report["metadata"]["total_lines"] == 360 and {n["node"] for n in report["nodes"]} == {"/chassis", "/dl_infer"}
+        assert report["total_anomalies"] > 0 and report["regimes"][0]["end_ms"] > report["regimes"][0]["start_ms"]
+        prompt = text_of(tmp_path / "logs" / "prompt" / name)
+        assert prompt.startswith("=== ROBOT DIAGNOSTIC SUMMARY ===") and len(prompt) <= 2000 and f"Source: {name}" in prompt
+    assert "value_deviation" in text_of(tmp_path / "logs" / "annotated")
+    monkeypatch.setattr(sys, "argv", ["telescribe", "diagnose", folder, str(tmp_path / "found")])
+    cli.main()
+    page = text_of(tmp_path / "found" / "page")
+    assert page.startswith("<!DOCTYPE html>") and "INC-001" in page and "Recordings<br><b>2</b>" in page
+    assert all("configById" in json.loads(text_of(p)) for p in (tmp_path / "found" / "layouts").iterdir()) and list((tmp_path / "found" / "layouts").iterdir())
+
+
 def test_values_against_a_plain_tracker(spark):
     """The first 20 values classify a position; then states, counters and deviations are told."""
     steady = [5.0 + 0.01 * math.sin(i) for i in range(80)] + [9.0]
