@@ -38,7 +38,7 @@ STRETCH = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:\s+\Z)?")
 #: White space before a blank: without any, blanks alone part the stretches.
 UNEVEN = re.compile(r"\s ")
 #: Stretches and bytes of their results that a process holds before it forgets them.
-STORED, STORED_BYTES = 300_000, 96 << 20
+STORED, STORED_BYTES = 100_000, 32 << 20
 #: Most id pairs whose counts are sent to every task, 17 bytes each.
 MOST_PAIRS = 2_000_000
 
