@@ -489,7 +489,7 @@ def source_prints(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {BY_SOURCE}, o AS (SELECT topic, w + 1 AS w, node, template, n AS m FROM fp), b AS (SELECT topic, w, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM fp FULL JOIN o USING (topic, w, node, template)),
-dv AS (SELECT v.topic, v.w, coalesce(round(1 - sum(CASE WHEN n > 0 AND m > 0 THEN 1 ELSE 0 END) / count(b.w), 6), 1.0) AS distance, round(coalesce(sum((n - m) * (n - m) / (n + m)), 0), 4) AS divergence
+dv AS (SELECT v.topic, v.w, coalesce(round(1 - sum(CASE WHEN n > 0 AND m > 0 THEN 1 ELSE 0 END) / nullif(count(b.w), 0), 6), 1.0) AS distance, round(coalesce(sum((n - m) * (n - m) / (n + m)), 0), 4) AS divergence
  FROM (SELECT topic, unnest(range(1, max(w) + 1)) AS w FROM fp GROUP BY topic) v LEFT JOIN b ON b.topic = v.topic AND b.w = v.w GROUP BY v.topic, v.w),
 sr AS (SELECT topic, w, round(distance + divergence, 4) AS x FROM dv), sm AS (SELECT topic, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std FROM sr GROUP BY topic HAVING count(*) >= 3),
 nu AS (SELECT topic, w, x, mean, mean + CASE WHEN std > 0 THEN std ELSE 1.0 END AS lim, row_number() OVER (PARTITION BY topic ORDER BY w) AS r FROM sr JOIN sm USING (topic)),
