@@ -32,17 +32,20 @@ def byte_alphabet() -> list[str]:
 
 
 class PieceIds(dict):
-    """Little-endian ids of each piece met so far; forgets all when it holds too many."""
+    """Little-endian ids of the pieces met of late; when it holds too many, those not met since the last time are forgotten."""
 
     def __init__(self, encode, limit: int):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.before = encode, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = np.asarray(self.encode(piece), dtype="<u4").tobytes()
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = np.asarray(self.encode(piece), dtype="<u4").tobytes()
         if len(piece) <= 64:
+            if len(self) >= self.limit:
+                self.before = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
@@ -50,7 +53,7 @@ class PieceIds(dict):
 class Bpe:
     """A byte-level BPE vocabulary read from a tokenizers file (model, merges and added tokens)."""
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -62,8 +65,8 @@ class Bpe:
         self.made = {}
         for r, (a, b) in enumerate(merges):
             self.made.setdefault(vocab[a + b], (r, vocab[a], vocab[b]))
-        self.tails = {t: self._spine(t, 2) for t in vocab.values()}
-        self.heads = {t: self._spine(t, 1) for t in vocab.values()}
+        self.tails: dict[int, list[tuple[int, int]]] = {}
+        self.heads: dict[int, list[tuple[int, int]]] = {}
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.text = {t: bytes(as_byte[c] for c in s) for s, t in vocab.items() if s not in self.special}
         self.text |= {t: s.encode() for s, t in self.special.items()}
@@ -93,7 +96,11 @@ class Bpe:
         Merges run by rank, and for equal ranks from the left, so the border's merge comes before the right side's next
         one at the same rank but after the left side's.
         """
-        a, b = self.tails[left], self.heads[right]
+        a, b = self.tails.get(left), self.heads.get(right)
+        if a is None:
+            a = self.tails[left] = self._spine(left, 2)
+        if b is None:
+            b = self.heads[right] = self._spine(right, 1)
         i = j = 0
         while True:
             (x, x_up), (y, y_up) = a[i], b[j]
@@ -118,7 +125,7 @@ class Bpe:
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= 2_000_000:
+            if len(self.pairs) >= 500_000:
                 self.pairs.clear()
             known = self.pairs[key] = self._crossing(left, right) == NEVER
         return known
