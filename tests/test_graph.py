@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from telescribe.operators import graph
+from telescribe.operators import graph, logs
 
 
 def plain(nodes, edges):
@@ -37,3 +37,20 @@ def test_without_edges(spark):
     nodes = spark.createDataFrame([("a",), ("b",)], "node string")
     assert {tuple(r) for r in graph.components(nodes, spark.createDataFrame([], "a string, b string")).collect()} == {("a", "a"), ("b", "b")}
     assert graph.components(nodes.limit(0), spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+@pytest.mark.parametrize("group", [None, lambda kind: kind.substr(1, 1)])
+def test_edges_of_pairs_without_union(spark, group):
+    """Types of two adjacent windows, one each: both meet twice, so that the union is 0; the pair is skipped, not divided by."""
+    active = spark.createDataFrame([(1, "a1"), (2, "b1"), (5, "a2"), (5, "b2"), (9, "b2")], "w long, type string")
+    for _ in range(2):
+        got = logs.similarity_edges(active, 0.3, 0.2, group)
+        assert [tuple(r) for r in got.collect()] == [("a2", "b2", 0.5)]
+        active = active.repartition(3)
+
+
+def test_components_of_larger_tables(spark):
+    """components gives as many rows as types on a table where some pairs of types have no union; it failed there by a division."""
+    from telescribe.plans import registry
+
+    assert registry.QUERIES["components"](spark, "/root/testdata/sf0.1").count() > 12
