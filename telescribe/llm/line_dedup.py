@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ ROWS, BUCKET_BITS, SEGMENTS = 3, 17, 48
 LONG_LIST, LINE_BITS = 2000, 24
 #: Words of a bucket from which its tokens are dealt out, and the parts they go to.
 OFTEN, PARTS = 1_000_000, 31
+#: Rounds that the inverted lists are made in, each of its own tokens; the shuffle of one round is on disk at a time.
+ROUNDS = 4
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
@@ -140,8 +143,8 @@ def lines_table(docs: DataFrame, percent: int) -> DataFrame:
     return written(map_batches(docs.select("doc_id", "text"), rows, "at bigint, n int, one bigint, two bigint, low bigint, high bigint, often int, prefix array<int>", 1), "lines")
 
 
-def candidates(unique: DataFrame, percent: int, long_list: int) -> DataFrame:
-    """(kind, a, b, n) from the inverted lists of prefix tokens, in one shuffle.
+def candidates(unique: DataFrame, percent: int, long_list: int, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """(kind, a, b, n) from the inverted lists of prefix tokens, in one shuffle; those of every rounds-th token, from turn on.
 
     kind 0: a and b are a pair that the length, positional and bitmap filters let pass. A list whose passing pairs
     outnumber its lines (copies of one line, or more lines than a task holds at once) gives pairs with one line only, the
@@ -149,8 +152,10 @@ def candidates(unique: DataFrame, percent: int, long_list: int) -> DataFrame:
     that the corpus holds very often are dealt out over many tasks, each part a list of its own, and always give rows of
     kind 1.
     """
-    names = ["list", "id", "n", "place", "low", "high"]
+    # size and place are one number, too: bytes of rows are what the shuffle costs
+    names = ["list", "id", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("place").cast("bigint")).alias("spot"), "low", "high"]
     lists = unique.select("id", "n", "low", "high", "often", F.posexplode("prefix").alias("place", "value"))
+    lists = lists if rounds == 1 else lists.where(F.pmod("value", F.lit(rounds)) == turn)
     part = F.when(F.col("place") >= F.col("often"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int") + 1).otherwise(F.lit(0))
     # one number holds the token, its part and the size, so that rows sort by it alone
     key = F.shiftleft(F.col("value").cast("bigint"), 25) + F.shiftleft(part.cast("bigint"), 20) + F.least("n", F.lit((1 << 20) - 1))
@@ -175,7 +180,8 @@ def candidates(unique: DataFrame, percent: int, long_list: int) -> DataFrame:
             yield from emit(held, cut)
 
     def emit(cols: list[np.ndarray], cut: int | None) -> Iterator[pa.RecordBatch]:
-        key, ids, n, place, low, high = cols
+        key, ids, spot, low, high = cols
+        n, place = spot >> 32, spot & 0xFFFFFFFF
         key, value, part = key >> 20, key >> 25, (key >> 20) & 31
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(begin, len(key)))
@@ -183,7 +189,6 @@ def candidates(unique: DataFrame, percent: int, long_list: int) -> DataFrame:
         end = np.repeat(begin + size, size)
         big = (size > long_list) | (np.zeros(len(begin), dtype=bool) if cut is None else key[begin] == cut)
         low, high = low.view(np.uint64), high.view(np.uint64)
-        n, place = n.astype(np.int64), place.astype(np.int64)
 
         def passing(at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Pairs of rows, the first's size no larger, that may be similar."""
@@ -243,7 +248,8 @@ def _line_classes(docs: DataFrame, percent: int, long_list: int) -> DataFrame:
     seen = lines_table(docs, percent)
     reps = written(seen.groupBy("one", "two", "n").agg(F.min("at").alias("id"), F.count("*").alias("copies")), "reps")
     unique = written(seen.join(reps.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("at").alias("id"), "n", "low", "high", "often", "prefix"), "unique")
-    found = written(candidates(unique, percent, long_list), "candidates")
+    made = [written(candidates(unique, percent, long_list, turn, ROUNDS), "candidates") for turn in range(ROUNDS)]
+    found = reduce(DataFrame.unionByName, made)
     discard(unique)
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -268,7 +274,7 @@ def _line_classes(docs: DataFrame, percent: int, long_list: int) -> DataFrame:
     first = reps.join(comp, reps.id == comp.node, "left").select("one", "two", "n", "copies", "id", F.coalesce("component", "id").alias("first"))
     # of most lines no other is like them
     first = written(first.where("copies > 1 or first <> id").withColumnRenamed("copies", "rows").drop("id"), "first")
-    discard(found, reps, comp)
+    discard(*made, reps, comp)
     later = hub_join(seen.select("at", "one", "two", "n"), first, ["one", "two", "n"], seen.count()).where("at <> first")
     number = lambda c: F.col(c).bitwiseAND(F.lit((1 << LINE_BITS) - 1))
     later = written(later.select(
