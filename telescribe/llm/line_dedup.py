@@ -24,6 +24,8 @@ from telescribe.llm.common import WORD_BYTES, Words, bounded, components, confir
 ROWS, BUCKET_BITS, SEGMENTS = 3, 17, 48
 #: Lists with more lines count as long; bits of a line's number.
 LONG_LIST, LINE_BITS = 2000, 24
+#: The largest size of a line that the inverted lists tell apart.
+MOST_SIZE = (1 << 20) - 1
 #: Words of a bucket from which its tokens are dealt out, and the parts they go to.
 OFTEN, PARTS = 1_000_000, 31
 #: Rounds that the inverted lists are made in, each of its own tokens; the shuffle of one round is on disk at a time.
@@ -36,7 +38,9 @@ def line_words(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     words = Words(texts, WORD_BYTES)
     feeds = np.flatnonzero(words.data == 10)
     first = np.arange(len(texts) + 1) + np.searchsorted(feeds, words.offsets)
-    return words, np.searchsorted(feeds, words.start) + words.text, first
+    before = np.searchsorted(words.start, feeds)
+    line = np.repeat(np.arange(len(feeds) + 1), np.diff(before, prepend=0, append=len(words.start)))
+    return words, line + words.text, first
 
 
 def buckets_of(hashes: np.ndarray) -> list[np.ndarray]:
@@ -56,8 +60,9 @@ def bucket_counts(df: DataFrame, text_col: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for part in slices(batch, 0):
-                counts += np.bincount(np.concatenate(buckets_of(Words(part.column(0), WORD_BYTES).hashes)), minlength=size)
+            # the table is long, so it is gone over once a batch
+            hashes = [Words(part.column(0), WORD_BYTES).hashes for part in slices(batch, 0)]
+            counts += np.bincount(np.concatenate(buckets_of(np.concatenate([np.empty(0, np.uint64), *hashes]))), minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, SEGMENTS)], pa.binary())], names=["segment", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,12 +89,14 @@ def ordered_sets(tokens: np.ndarray, lines: np.ndarray, code: np.ndarray) -> tup
     """
     if not len(tokens):
         return tokens, np.empty(0, np.int64)
-    order = np.empty(0, np.int64)
+    order = None
     if lines[-1] < 1 << 20:
         key = (lines.astype(np.uint64) << np.uint64(44)) | (code.astype(np.uint64) << np.uint64(28)) | (tokens >> np.uint64(36))
         order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-    if not len(order) or (tokens[order][1:] != tokens[order][:-1])[same].any():
+        key, found = key[order], tokens[order]
+        if ((key[1:] == key[:-1]) & (found[1:] != found[:-1])).any():
+            order = None
+    if order is None:
         order = np.lexsort((tokens, code, lines))
     tokens, lines = tokens[order], lines[order]
     first = np.ones(len(tokens), dtype=bool)
@@ -114,7 +121,10 @@ def signature(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def lines_table(docs: DataFrame, percent: int) -> DataFrame:
-    """(at, n, one, two, low, high, often, prefix) of every line with tokens; often: place of the first token the corpus holds often."""
+    """(at, n, one, two, low, high, often, prefix) of every line with tokens; often: place of the first token the corpus holds often.
+
+    Each text has a row of n = 0 besides, at its first line, with its number of lines as "one" and no prefix.
+    """
     codes = docs.sparkSession.sparkContext.broadcast(code_of(bucket_counts(docs, "text")))
     often_from = code_of(np.array([OFTEN]))[0]
 
@@ -124,11 +134,12 @@ def lines_table(docs: DataFrame, percent: int) -> DataFrame:
     def rows(batch):
         words, lines, first = line_words(batch.column(1))
         tokens, starts = ordered_sets(words.hashes, lines, code(words.hashes))
-        there = np.unique(lines)
+        there = lines[np.flatnonzero(np.diff(lines, prepend=-1))]
         text = np.searchsorted(first, there, side="right") - 1
         if len(first) > 1 and np.diff(first).max() > 1 << LINE_BITS:
             raise ValueError(f"a text of more than {1 << LINE_BITS} lines")
-        at = (batch.column(0).to_numpy()[text] << LINE_BITS) + there - first[text]
+        ids = batch.column(0).to_numpy() << LINE_BITS
+        at = ids[text] + there - first[text]
         n = np.diff(np.append(starts, len(tokens)))
         k = prefix_size(n, percent)
         empty = np.empty(0, np.uint64)
@@ -138,7 +149,10 @@ def lines_table(docs: DataFrame, percent: int) -> DataFrame:
         short = tokens[ahead].astype(np.uint32).view(np.int32)
         seldom = code(tokens[ahead]) < often_from
         often = np.add.reduceat(seldom.astype(np.int32), np.concatenate(([0], np.cumsum(k)[:-1]))) if len(k) else k.astype(np.int32)
-        return {"at": at, "n": n, "often": often, "prefix": lists_array(short, k)} | {c: x.view(np.int64) for c, x in (("one", one), ("two", two), ("low", low), ("high", high))}
+        none = np.zeros(len(ids), np.int64)
+        marks = {c: np.concatenate((x.view(np.int64), np.diff(first) if c == "one" else none)) for c, x in (("one", one), ("two", two), ("low", low), ("high", high))}
+        at, n, k, often = (np.concatenate((x, y)) for x, y in ((at, ids), (n, none), (k, none), (often, none)))
+        return {"at": at, "n": n, "often": often, "prefix": lists_array(short, k)} | marks
 
     return written(map_batches(docs.select("doc_id", "text"), rows, "at bigint, n int, one bigint, two bigint, low bigint, high bigint, often int, prefix array<int>", 1), "lines")
 
@@ -152,14 +166,15 @@ def candidates(unique: DataFrame, percent: int, long_list: int, turn: int = 0, r
     that the corpus holds very often are dealt out over many tasks, each part a list of its own, and always give rows of
     kind 1.
     """
-    # size and place are one number, too: bytes of rows are what the shuffle costs
-    names = ["list", "id", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("place").cast("bigint")).alias("spot"), "low", "high"]
+    # bytes of rows are what the shuffle costs
+    names = ["list", "id", "low", "high"]
     lists = unique.select("id", "n", "low", "high", "often", F.posexplode("prefix").alias("place", "value"))
     lists = lists if rounds == 1 else lists.where(F.pmod("value", F.lit(rounds)) == turn)
     part = F.when(F.col("place") >= F.col("often"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int") + 1).otherwise(F.lit(0))
-    # one number holds the token, its part and the size, so that rows sort by it alone
-    key = F.shiftleft(F.col("value").cast("bigint"), 25) + F.shiftleft(part.cast("bigint"), 20) + F.least("n", F.lit((1 << 20) - 1))
-    lists = bounded(lists).withColumn("list", key).select(*names).repartition(F.shiftright("list", 20)).sortWithinPartitions("list")
+    # one number holds the token, its part, the size and the place, so that rows sort by it alone; a size or place beyond
+    # its bits is held as the largest, which lets more pairs pass
+    key = F.shiftleft(F.col("value").cast("bigint"), 32) + F.shiftleft(part.cast("bigint"), 27) + F.shiftleft(F.least("n", F.lit(MOST_SIZE)).cast("bigint"), 7) + F.least("place", F.lit(127))
+    lists = bounded(lists).withColumn("list", key).select(*names).repartition(F.shiftright("list", 27)).sortWithinPartitions("list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -168,7 +183,7 @@ def candidates(unique: DataFrame, percent: int, long_list: int, turn: int = 0, r
             now = [c.to_numpy() for c in batch.columns]
             if held:
                 now = [np.concatenate((x, y)) for x, y in zip(held, now)]
-            key = now[0] >> 20
+            key = now[0] >> 27
             last = len(key) - int(np.argmax(key[::-1] != key[-1])) if len(key) and (key != key[-1]).any() else 0
             # a list that has grown too long is let go in pieces; those after the first are long however few their lines
             last = len(key) if len(key) - last > long_list else last
@@ -180,9 +195,9 @@ def candidates(unique: DataFrame, percent: int, long_list: int, turn: int = 0, r
             yield from emit(held, cut)
 
     def emit(cols: list[np.ndarray], cut: int | None) -> Iterator[pa.RecordBatch]:
-        key, ids, spot, low, high = cols
-        n, place = spot >> 32, spot & 0xFFFFFFFF
-        key, value, part = key >> 20, key >> 25, (key >> 20) & 31
+        key, ids, low, high = cols
+        n, place = (key >> 7) & MOST_SIZE, key & 127
+        key, value, part = key >> 27, key >> 32, (key >> 27) & 31
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(begin, len(key)))
         group = np.repeat(np.arange(len(begin)), size)
@@ -207,7 +222,7 @@ def candidates(unique: DataFrame, percent: int, long_list: int, turn: int = 0, r
             step += 1
             at = at[at + step < end[at]]
             # rows of a list are in order of size (but for sizes that the key cannot tell), so that no later one fits either
-            at = at[(n[at] * 100 >= n[at + step] * percent) | (n[at + step] >= (1 << 20) - 1)]
+            at = at[(n[at] * 100 >= n[at + step] * percent) | (n[at + step] >= MOST_SIZE)]
             x, y = passing(at, at + step)
             found.append((x, y))
             pairs += np.bincount(group[x], minlength=len(begin))
@@ -235,19 +250,37 @@ def candidates(unique: DataFrame, percent: int, long_list: int, turn: int = 0, r
     return lists.mapInArrow(run, "kind int, a bigint, b bigint, n int")
 
 
-def line_classes(docs: DataFrame, percent: int = 80, long_list: int = LONG_LIST) -> DataFrame:
+def line_sets(ids: list[int], lines: list[str]) -> Iterator[tuple[int, bytes]]:
+    """The sorted distinct tokens of each line, as bytes."""
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "line"])
+    for part in slices(batch, 1):
+        words = Words(part.column(1), WORD_BYTES)
+        order = np.lexsort((words.hashes, words.text))
+        tokens, line = words.hashes[order], words.text[order]
+        new = np.ones(len(tokens), dtype=bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
+        whole, ends = tokens[new].tobytes(), 8 * np.searchsorted(line[new], np.arange(part.num_rows), side="right")
+        for id, a, b in zip(part.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+            yield id, whole[a:b]
+
+
+def line_classes(docs: DataFrame, percent: int = 80, long_list: int = LONG_LIST, sizes: bool = False) -> DataFrame:
     """Lines that a similar line comes before: (doc_id, line, first_doc, first_line), the first line of the component.
 
-    docs: (doc_id bigint, text), neither null, ids unique. Ids beyond 2**39 are numbered first, in their order.
+    docs: (doc_id bigint, text), ids unique and not null; null texts have no lines. Ids beyond 2**39 are numbered first,
+    in their order. sizes: each text has a row besides: its id, null, its id, its number of lines.
     """
-    return with_small_ids(docs, lambda small: _line_classes(small, percent, long_list), ("doc_id", "first_doc"))
+    return with_small_ids(docs, lambda small: _line_classes(small.where("text is not null"), percent, long_list, sizes), ("doc_id", "first_doc"))
 
 
-def _line_classes(docs: DataFrame, percent: int, long_list: int) -> DataFrame:
+def _line_classes(docs: DataFrame, percent: int, long_list: int, sizes: bool) -> DataFrame:
     # at = doc_id * 2**24 + line orders all lines
-    seen = lines_table(docs, percent)
+    table = lines_table(docs, percent)
+    seen, counted = table.where("n > 0"), table.where("n = 0")
     reps = written(seen.groupBy("one", "two", "n").agg(F.min("at").alias("id"), F.count("*").alias("copies")), "reps")
-    unique = written(seen.join(reps.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("at").alias("id"), "n", "low", "high", "often", "prefix"), "unique")
+    # numbers alone are held, so that rows with their prefixes need no sort
+    ids = reps.select(F.col("id").alias("at")).hint("shuffle_hash")
+    unique = written(seen.join(ids, "at", "left_semi").select(F.col("at").alias("id"), "n", "low", "high", "often", "prefix"), "unique")
     made = [written(candidates(unique, percent, long_list, turn, ROUNDS), "candidates") for turn in range(ROUNDS)]
     found = reduce(DataFrame.unionByName, made)
     discard(unique)
@@ -256,11 +289,12 @@ def _line_classes(docs: DataFrame, percent: int, long_list: int) -> DataFrame:
         need = ids.groupBy(F.shiftright("id", LINE_BITS).alias("doc_id")).agg(F.collect_list(F.col("id").bitwiseAND(F.lit((1 << LINE_BITS) - 1))).alias("lines"))
 
         def sets(cols):
+            ids, lines = [], []
             for key, text, wanted in zip(*cols):
-                lines = text.split("\n")
-                words = Words(pa.array([lines[k] for k in wanted]), WORD_BYTES)
-                for i, k in enumerate(wanted):
-                    yield (key << LINE_BITS) + k, np.unique(words.hashes[words.first[i] : words.first[i + 1]]).tobytes()
+                own = text.split("\n")
+                ids += [(key << LINE_BITS) + k for k in wanted]
+                lines += [own[k] for k in wanted]
+            return line_sets(ids, lines)
 
         return map_rows(docs.join(sent(need), "doc_id").select("doc_id", "text", "lines"), sets, "id bigint, s binary", chunk=64)
 
@@ -277,10 +311,12 @@ def _line_classes(docs: DataFrame, percent: int, long_list: int) -> DataFrame:
     discard(*made, reps, comp)
     later = hub_join(seen.select("at", "one", "two", "n"), first, ["one", "two", "n"], seen.count()).where("at <> first")
     number = lambda c: F.col(c).bitwiseAND(F.lit((1 << LINE_BITS) - 1))
-    later = written(later.select(
-        F.shiftright("at", LINE_BITS).alias("doc_id"), number("at").alias("line"), F.shiftright("first", LINE_BITS).alias("first_doc"), number("first").alias("first_line")
-    ), "later")
-    discard(seen, first)
+    doc = lambda c: F.shiftright(c, LINE_BITS)
+    later = later.select(doc("at").alias("doc_id"), number("at").alias("line"), doc("first").alias("first_doc"), number("first").alias("first_line"))
+    if sizes:
+        later = later.unionByName(counted.select(doc("at").alias("doc_id"), F.lit(None).cast("bigint").alias("line"), doc("at").alias("first_doc"), F.col("one").alias("first_line")))
+    later = written(later, "later")
+    discard(table, first)
     return later
 
 
@@ -294,13 +330,14 @@ def later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     gives an empty one. A text of more than 2**24 lines is an error. Other columns are not read.
     """
     docs = single(df, id_col, text_col)
-    lists = line_classes(docs.where("text is not null"), percent).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list("line")).alias("removed"), F.min("first_doc").alias("first_doc"), F.array_sort(F.collect_set("first_doc")).alias("first_docs")
+    one = F.col("line").isNotNull()
+    lists = line_classes(docs, percent, sizes=True).groupBy("doc_id").agg(
+        F.max(F.when(~one, F.col("first_line"))).alias("n_lines"), F.array_sort(F.collect_list("line")).alias("removed"),
+        F.min(F.when(one, F.col("first_doc"))).alias("first_doc"), F.array_sort(F.collect_set(F.when(one, F.col("first_doc")))).alias("first_docs"),
     )
-    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint").alias("n_lines"))
     none = F.array().cast("array<bigint>")
-    return sizes.join(lists, "doc_id", "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("removed", none).alias("removed"),
+    return docs.select("doc_id").join(lists, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("removed", none).alias("removed"),
         F.least("doc_id", F.coalesce("first_doc", "doc_id")).alias("class_id"), F.coalesce("first_docs", none).alias("first_docs"),
     )
 
@@ -312,7 +349,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     them alike; the others stay as they are.
     """
     docs = single(df, id_col, text_col)
-    gone = line_classes(docs.where("text is not null"), percent).groupBy("doc_id").agg(F.collect_list("line").alias("gone"))
+    gone = line_classes(docs, percent).groupBy("doc_id").agg(F.collect_list("line").alias("gone"))
     # the row's own columns are kept apart in one, so that none clashes
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"))
     text, same = F.col(f"row.`{text_col}`"), F.lit(True)
