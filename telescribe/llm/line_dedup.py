@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telescribe.llm.common import WORD_BYTES, Words, bounded, components, confirmed, dense_links, discard, hub_join, lists_array, map_batches, map_rows, mixed, sent, single, slices, with_small_ids, written
+from telescribe.llm.common import WORD_BYTES, Words, bounded, components, confirmed, dense_links, discard, hub_join, joined, lists_array, map_batches, map_rows, mixed, sent, single, slices, with_small_ids, written
 
 #: Rows of buckets in which tokens are counted, bits of a bucket's number, and parts that a table of counts is cut in.
 ROWS, BUCKET_BITS, SEGMENTS = 3, 17, 48
@@ -302,14 +302,14 @@ def _line_classes(docs: DataFrame, percent: int, long_list: int, sizes: bool) ->
     links = confirmed(hopes, sets_of, percent)
     discard(hopes)
     dense = found.where("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("id"), "n")
-    if dense.limit(1).count():
-        links = links.unionByName(dense_links(dense, links, sets_of, percent))
     comp = components(links)
+    if dense.limit(1).count():
+        comp = joined(comp, links, dense_links(dense, links, sets_of, percent, comp=comp))
     first = reps.join(comp, reps.id == comp.node, "left").select("one", "two", "n", "copies", "id", F.coalesce("component", "id").alias("first"))
     # of most lines no other is like them
     first = written(first.where("copies > 1 or first <> id").withColumnRenamed("copies", "rows").drop("id"), "first")
     discard(*made, reps, comp)
-    later = hub_join(seen.select("at", "one", "two", "n"), first, ["one", "two", "n"], seen.count()).where("at <> first")
+    later = hub_join(seen.select("at", "one", "two", "n"), first, ["one", "two", "n"], table.count()).where("at <> first")
     number = lambda c: F.col(c).bitwiseAND(F.lit((1 << LINE_BITS) - 1))
     doc = lambda c: F.shiftright(c, LINE_BITS)
     later = later.select(doc("at").alias("doc_id"), number("at").alias("line"), doc("first").alias("first_doc"), number("first").alias("first_line"))

@@ -40,3 +40,17 @@ def test_long_lines_and_numbers_of_lines(spark):
     near = words[:1350] + [f"v{k}" for k in range(150)]
     got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.later_lines(spark.createDataFrame([(0, texts[0]), (1, "\n" + " ".join(near[::-1]))], "doc_id long, text string")).collect()}
     assert 1350 / 1650 > 0.8 and got == {0: (2, []), 1: (2, [1])}
+
+
+def test_components_joined(spark, monkeypatch):
+    """More links join components as if all links were taken at once, by either way."""
+    rng = random.Random(4)
+    links = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(25)], "a long, b long")
+    more = spark.createDataFrame([(rng.randrange(90), rng.randrange(90)) for _ in range(12)], "a long, b long").where("a <> b")
+    want = {r.node: r.component for r in common.components(links.unionByName(more)).collect()}
+    for most in (common.MOST_SENT, 2):
+        monkeypatch.setattr(common, "MOST_SENT", most)
+        got = [tuple(r) for r in common.joined(common.components(links), links, more).collect()]
+        assert len(got) == len(want) and dict(got) == want
+    none = common.joined(common.components(links), links, links.limit(0)).collect()
+    assert {tuple(r) for r in none} == {tuple(r) for r in common.components(links).collect()}
