@@ -26,6 +26,8 @@ ROWS, BUCKET_BITS, SEGMENTS = 3, 17, 48
 LONG_LIST, LINE_BITS = 2000, 24
 #: The largest size of a line that the inverted lists tell apart.
 MOST_SIZE = (1 << 20) - 1
+#: Rows of inverted lists that are looked at together.
+AT_ONCE = 50_000
 #: Words of a bucket from which its tokens are dealt out, and the parts they go to.
 OFTEN, PARTS = 1_000_000, 31
 #: Rounds that the inverted lists are made in, each of its own tokens; the shuffle of one round is on disk at a time.
@@ -43,9 +45,9 @@ def line_words(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     return words, line + words.text, first
 
 
-def buckets_of(hashes: np.ndarray) -> list[np.ndarray]:
-    """The place of each hash in each row of buckets, in one table of all rows."""
-    return [((hashes >> np.uint64(BUCKET_BITS * r)) & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64) + (r << BUCKET_BITS) for r in range(ROWS)]
+def buckets_of(hashes: np.ndarray, apart: bool = False) -> list[np.ndarray]:
+    """The place of each hash in each row of buckets, in one table of all rows; apart: in the row's own."""
+    return [((hashes >> np.uint64(BUCKET_BITS * r)) & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64) + (0 if apart else r << BUCKET_BITS) for r in range(ROWS)]
 
 
 def code_of(counts: np.ndarray) -> np.ndarray:
@@ -62,7 +64,8 @@ def bucket_counts(df: DataFrame, text_col: str) -> np.ndarray:
         for batch in batches:
             # the table is long, so it is gone over once a batch
             hashes = [Words(part.column(0), WORD_BYTES).hashes for part in slices(batch, 0)]
-            counts += np.bincount(np.concatenate(buckets_of(np.concatenate([np.empty(0, np.uint64), *hashes]))), minlength=size)
+            for row, found in zip(counts.reshape(ROWS, -1), buckets_of(np.concatenate([np.empty(0, np.uint64), *hashes]), apart=True)):
+                row += np.bincount(found, minlength=len(row))
         yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, SEGMENTS)], pa.binary())], names=["segment", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +157,7 @@ def lines_table(docs: DataFrame, percent: int) -> DataFrame:
         at, n, k, often = (np.concatenate((x, y)) for x, y in ((at, ids), (n, none), (k, none), (often, none)))
         return {"at": at, "n": n, "often": often, "prefix": lists_array(short, k)} | marks
 
-    return written(map_batches(docs.select("doc_id", "text"), rows, "at bigint, n int, one bigint, two bigint, low bigint, high bigint, often int, prefix array<int>", 1), "lines")
+    return written(map_batches(docs.select("doc_id", "text"), rows, "at bigint, n int, one bigint, two bigint, low bigint, high bigint, often int, prefix array<int>", 1), "lines", varied=True)
 
 
 def candidates(unique: DataFrame, percent: int, long_list: int, turn: int = 0, rounds: int = 1) -> DataFrame:
@@ -176,8 +179,9 @@ def candidates(unique: DataFrame, percent: int, long_list: int, turn: int = 0, r
     key = F.shiftleft(F.col("value").cast("bigint"), 32) + F.shiftleft(part.cast("bigint"), 27) + F.shiftleft(F.least("n", F.lit(MOST_SIZE)).cast("bigint"), 7) + F.least("place", F.lit(127))
     lists = bounded(lists).withColumn("list", key).select(*names).repartition(F.shiftright("list", 27)).sortWithinPartitions("list")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], int | None]]:
+        """Rows of whole lists, or of a list grown too long, and the list let go last."""
+        held: list[np.ndarray] = []
         cut = None
         for batch in batches:
             now = [c.to_numpy() for c in batch.columns]
@@ -189,14 +193,29 @@ def candidates(unique: DataFrame, percent: int, long_list: int, turn: int = 0, r
             last = len(key) if len(key) - last > long_list else last
             held = [x[last:] for x in now]
             if last:
-                yield from emit([x[:last] for x in now], cut)
+                yield [x[:last] for x in now], cut
                 cut = key[-1] if last == len(key) else cut
         if held and len(held[0]):
-            yield from emit(held, cut)
+            yield held, cut
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[list[np.ndarray]] = []
+        begun, rows = None, 0
+        for cols, cut in pieces(batches):
+            # pieces of one list stay apart, each with a head of its own
+            if some and (rows >= AT_ONCE or cut is not None and cols[0][0] >> 27 == cut):
+                yield from emit([np.concatenate(x) for x in zip(*some)], begun)
+                some, rows = [], 0
+            begun = begun if some else cut
+            some.append(cols)
+            rows += len(cols[0])
+        if some:
+            yield from emit([np.concatenate(x) for x in zip(*some)], begun)
 
     def emit(cols: list[np.ndarray], cut: int | None) -> Iterator[pa.RecordBatch]:
         key, ids, low, high = cols
-        n, place = (key >> 7) & MOST_SIZE, key & 127
+        # 32 bits hold sizes times percents
+        n, place = ((key >> 7) & MOST_SIZE).astype(np.int32), (key & 127).astype(np.int32)
         key, value, part = key >> 27, key >> 32, (key >> 27) & 31
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(begin, len(key)))
@@ -211,13 +230,13 @@ def candidates(unique: DataFrame, percent: int, long_list: int, turn: int = 0, r
             at, to = at[fits], to[fits]
             good = np.minimum(n[at] - place[at], n[to] - place[to]) * (100 + percent) >= (n[at] + n[to]) * percent
             at, to = at[good], to[good]
-            differ = np.bitwise_count(low[at] ^ low[to]).astype(np.int64) + np.bitwise_count(high[at] ^ high[to])
+            differ = np.bitwise_count(low[at] ^ low[to]).astype(np.int32) + np.bitwise_count(high[at] ^ high[to])
             good = differ * (100 + percent) <= (n[at] + n[to]) * (100 - percent)
             return at[good], to[good]
 
         found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         at = np.flatnonzero(~np.repeat(big, size))
-        step, pairs, degree = 0, np.zeros(len(begin), dtype=np.int64), np.zeros(len(key), dtype=np.int64)
+        step, pairs = 0, np.zeros(len(begin), dtype=np.int64)
         while len(at):
             step += 1
             at = at[at + step < end[at]]
@@ -225,13 +244,14 @@ def candidates(unique: DataFrame, percent: int, long_list: int, turn: int = 0, r
             at = at[(n[at] * 100 >= n[at + step] * percent) | (n[at + step] >= MOST_SIZE)]
             x, y = passing(at, at + step)
             found.append((x, y))
-            pairs += np.bincount(group[x], minlength=len(begin))
-            degree += np.bincount(x, minlength=len(key)) + np.bincount(y, minlength=len(key))
             if not step % 8:
-                # enough to choose a head by
+                # enough to choose a head by; counts are as long as the batch, so they are not made at every step
+                pairs += np.bincount(group[np.concatenate([x for x, _ in found[-8:]])], minlength=len(begin))
                 at = at[pairs[group[at]] <= 16 * size[group[at]]]
-        dense = big | (pairs > 4 * size)
         x, y = (np.concatenate(z) for z in zip(*found))
+        pairs = np.bincount(group[x], minlength=len(begin))
+        degree = np.bincount(x, minlength=len(key)) + np.bincount(y, minlength=len(key))
+        dense = big | (pairs > 4 * size)
         wanted = ~dense[group[x]]
         x, y = x[wanted], y[wanted]
         best = np.flatnonzero(degree == np.maximum.reduceat(degree, begin)[group]) if len(key) else begin
@@ -255,8 +275,15 @@ def line_sets(ids: list[int], lines: list[str]) -> Iterator[tuple[int, bytes]]:
     batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "line"])
     for part in slices(batch, 1):
         words = Words(part.column(1), WORD_BYTES)
-        order = np.lexsort((words.hashes, words.text))
-        tokens, line = words.hashes[order], words.text[order]
+        # one number of the line and part of the hash sorts most slices, as in ordered_sets()
+        bits = np.uint64(part.num_rows.bit_length())
+        key = (words.text.astype(np.uint64) << (np.uint64(64) - bits)) | (words.hashes >> bits)
+        order = np.argsort(key)
+        key, tokens = key[order], words.hashes[order]
+        if ((key[1:] == key[:-1]) & (tokens[1:] != tokens[:-1])).any():
+            order = np.lexsort((words.hashes, words.text))
+            tokens = words.hashes[order]
+        line = words.text[order]
         new = np.ones(len(tokens), dtype=bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
         whole, ends = tokens[new].tobytes(), 8 * np.searchsorted(line[new], np.arange(part.num_rows), side="right")
@@ -277,10 +304,10 @@ def _line_classes(docs: DataFrame, percent: int, long_list: int, sizes: bool) ->
     # at = doc_id * 2**24 + line orders all lines
     table = lines_table(docs, percent)
     seen, counted = table.where("n > 0"), table.where("n = 0")
-    reps = written(seen.groupBy("one", "two", "n").agg(F.min("at").alias("id"), F.count("*").alias("copies")), "reps")
+    reps = written(seen.groupBy("one", "two", "n").agg(F.min("at").alias("id"), F.count("*").alias("copies")), "reps", varied=True)
     # numbers alone are held, so that rows with their prefixes need no sort
     ids = reps.select(F.col("id").alias("at")).hint("shuffle_hash")
-    unique = written(seen.join(ids, "at", "left_semi").select(F.col("at").alias("id"), "n", "low", "high", "often", "prefix"), "unique")
+    unique = written(seen.join(ids, "at", "left_semi").select(F.col("at").alias("id"), "n", "low", "high", "often", "prefix"), "unique", varied=True)
     made = [written(candidates(unique, percent, long_list, turn, ROUNDS), "candidates") for turn in range(ROUNDS)]
     found = reduce(DataFrame.unionByName, made)
     discard(unique)
@@ -305,11 +332,12 @@ def _line_classes(docs: DataFrame, percent: int, long_list: int, sizes: bool) ->
     comp = components(links)
     if dense.limit(1).count():
         comp = joined(comp, links, dense_links(dense, links, sets_of, percent, comp=comp))
-    first = reps.join(comp, reps.id == comp.node, "left").select("one", "two", "n", "copies", "id", F.coalesce("component", "id").alias("first"))
+    # components are far fewer than lines: their nodes are held, and so are the classes that have a first line elsewhere
+    first = reps.join(comp.hint("shuffle_hash"), reps.id == comp.node, "left").select("one", "two", "n", "copies", "id", F.coalesce("component", "id").alias("first"))
     # of most lines no other is like them
     first = written(first.where("copies > 1 or first <> id").withColumnRenamed("copies", "rows").drop("id"), "first")
     discard(*made, reps, comp)
-    later = hub_join(seen.select("at", "one", "two", "n"), first, ["one", "two", "n"], table.count()).where("at <> first")
+    later = hub_join(seen.select("at", "one", "two", "n"), first.hint("shuffle_hash"), ["one", "two", "n"], table.count()).where("at <> first")
     number = lambda c: F.col(c).bitwiseAND(F.lit((1 << LINE_BITS) - 1))
     doc = lambda c: F.shiftright(c, LINE_BITS)
     later = later.select(doc("at").alias("doc_id"), number("at").alias("line"), doc("first").alias("first_doc"), number("first").alias("first_line"))
@@ -332,8 +360,8 @@ def later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     docs = single(df, id_col, text_col)
     one = F.col("line").isNotNull()
     lists = line_classes(docs, percent, sizes=True).groupBy("doc_id").agg(
-        F.max(F.when(~one, F.col("first_line"))).alias("n_lines"), F.array_sort(F.collect_list("line")).alias("removed"),
-        F.min(F.when(one, F.col("first_doc"))).alias("first_doc"), F.array_sort(F.collect_set(F.when(one, F.col("first_doc")))).alias("first_docs"),
+        F.max(F.when(~one, F.col("first_line"))).alias("n_lines"), F.sort_array(F.collect_list("line")).alias("removed"),
+        F.min(F.when(one, F.col("first_doc"))).alias("first_doc"), F.sort_array(F.collect_set(F.when(one, F.col("first_doc")))).alias("first_docs"),
     )
     none = F.array().cast("array<bigint>")
     return docs.select("doc_id").join(lists, "doc_id", "left").select(
