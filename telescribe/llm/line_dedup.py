@@ -5,16 +5,19 @@
 2. A second pass turns every line into its distinct tokens in that order, a digest of the set, and the prefix that any
    line similar enough must share a token of.
 3. Lines of one digest are one class; the classes' prefixes form inverted lists, filtered by length and position.
+   Where a token's list is long, lines similar enough that meet at it first must share a second token of a prefix one
+   longer, so such lists are made of pairs of tokens.
 4. Candidate pairs are confirmed on the full token sets, and components of the links are cleared of all but the first line.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +33,12 @@ MOST_SIZE = (1 << 20) - 1
 AT_ONCE = 50_000
 #: Words of a bucket from which its tokens are dealt out, and the parts they go to.
 OFTEN, PARTS = 1_000_000, 31
-#: Rounds that the inverted lists are made in, each of its own tokens; the shuffle of one round is on disk at a time.
+#: Rounds that the inverted lists are made in, each of its own tokens; the shuffle of one round is on disk at a time. Lists
+#: of pairs of tokens take twice as many.
 ROUNDS = 4
+#: Buckets in which rows of the inverted lists are counted, the share above the mean that makes a bucket's lists long, and
+#: the most tokens of lines that long lists are made of pairs for.
+LIST_BUCKETS, ABOVE_MEAN, MOST_PAIRED = 3 << 18, 4, 128
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
@@ -55,18 +62,16 @@ def code_of(counts: np.ndarray) -> np.ndarray:
     return (counts.astype(np.float32).view(np.uint32) >> np.uint32(16)).astype(np.uint16)
 
 
-def bucket_counts(df: DataFrame, text_col: str) -> np.ndarray:
-    """How many words of the corpus fall in each bucket: a small table a task, cut in segments that are added up apart."""
-    size = ROWS << BUCKET_BITS
+def summed(df: DataFrame, count: Callable[[pa.RecordBatch], list[np.ndarray]], rows: int, size: int) -> np.ndarray:
+    """The sum of what count gives for batches of df, rows arrays of places below size: a small table a task, cut in segments that are added up apart."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, dtype=np.int64)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((rows, size), dtype=np.int64)
         for batch in batches:
             # the table is long, so it is gone over once a batch
-            hashes = [Words(part.column(0), WORD_BYTES).hashes for part in slices(batch, 0)]
-            for row, found in zip(counts.reshape(ROWS, -1), buckets_of(np.concatenate([np.empty(0, np.uint64), *hashes]), apart=True)):
-                row += np.bincount(found, minlength=len(row))
-        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, SEGMENTS)], pa.binary())], names=["segment", "counts"])
+            for row, found in zip(counts, count(batch)):
+                row += np.bincount(found, minlength=size)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([x.tobytes() for x in np.split(counts.reshape(-1), SEGMENTS)], pa.binary())], names=["segment", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -77,13 +82,45 @@ def bucket_counts(df: DataFrame, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["segment", "counts"])
 
     schema = "segment int, counts binary"
-    rows = bounded(df).select(text_col).mapInArrow(count, schema).repartition("segment").mapInArrow(add, schema).collect()
-    counts = np.zeros((SEGMENTS, size // SEGMENTS), dtype=np.int64)
-    for r in rows:
+    found = bounded(df).mapInArrow(each, schema).repartition("segment").mapInArrow(add, schema).collect()
+    counts = np.zeros((SEGMENTS, rows * size // SEGMENTS), dtype=np.int64)
+    for r in found:
         counts[r.segment] = np.frombuffer(r.counts, dtype=np.int64)
     return counts.reshape(-1)
 
 
+def bucket_counts(df: DataFrame, text_col: str) -> np.ndarray:
+    """How many words of the corpus fall in each bucket."""
+
+    def count(batch: pa.RecordBatch) -> list[np.ndarray]:
+        hashes = [Words(part.column(0), WORD_BYTES).hashes for part in slices(batch, 0)]
+        return buckets_of(np.concatenate([np.empty(0, np.uint64), *hashes]), apart=True)
+
+    return summed(df.select(text_col), count, ROWS, 1 << BUCKET_BITS)
+
+
+def list_bucket(values: np.ndarray) -> np.ndarray:
+    return values.view(np.uint32) % np.uint32(LIST_BUCKETS)
+
+
+def long_buckets(unique: DataFrame, percent: int, long_list: int) -> np.ndarray:
+    """Which buckets of prefix tokens hold long lists: more than long_list rows, and well above the mean of all buckets.
+
+    Lists give the same pairs whichever way they are made, so it is no loss if a bucket's lists are long only together.
+    """
+
+    def count(batch: pa.RecordBatch) -> list[np.ndarray]:
+        n, prefix = batch.columns
+        size = prefix.value_lengths().to_numpy()
+        # the last token is one more than the prefix that lists are made of, unless that is the whole line
+        own = np.ones(int(size.sum()), dtype=bool)
+        own[(np.cumsum(size) - 1)[size > prefix_size(n.cast(pa.int64()).to_numpy(), percent)]] = False
+        return [list_bucket(prefix.flatten().to_numpy()[own]).astype(np.int64)]
+
+    counts = summed(unique.select("n", "prefix"), count, 1, LIST_BUCKETS)
+    return counts > max(long_list, ABOVE_MEAN * counts.mean())
+
+
 def ordered_sets(tokens: np.ndarray, lines: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens of each line, those of small codes first, and the start of each line that has any.
 
@@ -126,6 +163,7 @@ def signature(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 def lines_table(docs: DataFrame, percent: int) -> DataFrame:
     """(at, n, one, two, low, high, often, prefix) of every line with tokens; often: place of the first token the corpus holds often.
 
+    A prefix holds one token more than prefix_size() says, where the line has one.
     Each text has a row of n = 0 besides, at its first line, with its number of lines as "one" and no prefix.
     """
     codes = docs.sparkSession.sparkContext.broadcast(code_of(bucket_counts(docs, "text")))
@@ -144,7 +182,7 @@ def lines_table(docs: DataFrame, percent: int) -> DataFrame:
         ids = batch.column(0).to_numpy() << LINE_BITS
         at = ids[text] + there - first[text]
         n = np.diff(np.append(starts, len(tokens)))
-        k = prefix_size(n, percent)
+        k = np.minimum(prefix_size(n, percent) + 1, n)
         empty = np.empty(0, np.uint64)
         one, two = (np.add.reduceat(mixed(tokens ^ np.uint64(x)), starts) if len(starts) else empty for x in SEEDS)
         low, high = signature(tokens, starts) if len(starts) else (empty, empty)
@@ -160,24 +198,72 @@ def lines_table(docs: DataFrame, percent: int) -> DataFrame:
     return written(map_batches(docs.select("doc_id", "text"), rows, "at bigint, n int, one bigint, two bigint, low bigint, high bigint, often int, prefix array<int>", 1), "lines", varied=True)
 
 
-def candidates(unique: DataFrame, percent: int, long_list: int, turn: int = 0, rounds: int = 1) -> DataFrame:
+def pair_rows(place: np.ndarray, line: np.ndarray, values: np.ndarray, size: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the lists of pairs of tokens: the place in values of the first token, and a number of the pair.
+
+    size: values of each line; hot: values whose lists are made of pairs, with each later value of the line.
+    """
+    first = np.flatnonzero(hot)
+    later = size[line[first]] - 1 - place[first]
+    at = np.repeat(first, later)
+    second = at + 1 + np.arange(len(at)) - np.repeat(np.cumsum(later) - later, later)
+    both = (values[at].view(np.uint32).astype(np.uint64) << np.uint64(32)) | values[second].view(np.uint32)
+    return at, (mixed(both) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def list_rows(unique: DataFrame, percent: int, turn: int, rounds: int, long: Broadcast) -> DataFrame:
+    """(list, id, low, high): rows of the inverted lists where some are made of pairs of tokens; list: see candidates().
+
+    Sets with two tokens in common or more, the first of them in a long list, meet in the list of their first two. Sets
+    of one token, those of more than MOST_PAIRED and what may be similar to those stay in the lists of single tokens.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # rows of pairs are many times those of lines
+            for at in range(0, batch.num_rows, 2048):
+                ids, n, low, high, often, prefix = batch.slice(at, 2048).columns
+                values, size = prefix.flatten().to_numpy(), prefix.value_lengths().to_numpy()
+                ids, n, low, high, often = (x.to_numpy() for x in (ids, n.cast(pa.int64()), low, high, often))
+                k = prefix_size(n, percent)
+                line = np.repeat(np.arange(len(n)), size)
+                place = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
+                own = place < k[line]
+                hot = own & long.value[list_bucket(values)]
+                # what a line's least partner would share is n - k + 1
+                alone = np.flatnonzero(own & (~hot | ((n == k) | (n * 100 > MOST_PAIRED * percent))[line]))
+                paired, both = pair_rows(place, line, values, size, hot & (n <= MOST_PAIRED)[line])
+                at, value = np.concatenate((alone, paired)), np.concatenate((values[alone], both))
+                mine = value % rounds == turn
+                at, value = at[mine], value[mine].astype(np.int64)
+                x, place = line[at], place[at]
+                part = np.where(place >= often[x], mixed(ids[x].view(np.uint64)) % np.uint64(PARTS) + np.uint64(1), np.uint64(0)).astype(np.int64)
+                key = (value << 32) + (part << 27) + (np.minimum(n[x], MOST_SIZE) << 7) + np.minimum(place, 127)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[x]), pa.array(low[x]), pa.array(high[x])], names=["list", "id", "low", "high"])
+
+    return bounded(unique).select("id", "n", "low", "high", "often", "prefix").mapInArrow(rows, "list bigint, id bigint, low bigint, high bigint")
+
+
+def candidates(unique: DataFrame, percent: int, long_list: int, turn: int = 0, rounds: int = 1, long: Broadcast | None = None) -> DataFrame:
     """(kind, a, b, n) from the inverted lists of prefix tokens, in one shuffle; those of every rounds-th token, from turn on.
 
     kind 0: a and b are a pair that the length, positional and bitmap filters let pass. A list whose passing pairs
     outnumber its lines (copies of one line, or more lines than a task holds at once) gives pairs with one line only, the
     one that passes with most others, and a row of kind 1 for each member: a the token, b the line, n its size. Tokens
     that the corpus holds very often are dealt out over many tasks, each part a list of its own, and always give rows of
-    kind 1.
+    kind 1. long: long_buckets(), whose lists are made of pairs of tokens; see list_rows().
     """
-    # bytes of rows are what the shuffle costs
-    names = ["list", "id", "low", "high"]
-    lists = unique.select("id", "n", "low", "high", "often", F.posexplode("prefix").alias("place", "value"))
-    lists = lists if rounds == 1 else lists.where(F.pmod("value", F.lit(rounds)) == turn)
-    part = F.when(F.col("place") >= F.col("often"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int") + 1).otherwise(F.lit(0))
     # one number holds the token, its part, the size and the place, so that rows sort by it alone; a size or place beyond
-    # its bits is held as the largest, which lets more pairs pass
-    key = F.shiftleft(F.col("value").cast("bigint"), 32) + F.shiftleft(part.cast("bigint"), 27) + F.shiftleft(F.least("n", F.lit(MOST_SIZE)).cast("bigint"), 7) + F.least("place", F.lit(127))
-    lists = bounded(lists).withColumn("list", key).select(*names).repartition(F.shiftright("list", 27)).sortWithinPartitions("list")
+    # its bits is held as the largest, which lets more pairs pass. Bytes of rows are what the shuffle costs
+    if long is not None:
+        lists = list_rows(unique, percent, turn, rounds, long)
+    else:
+        lists = unique.select("id", "n", "low", "high", "often", F.posexplode("prefix").alias("place", "value")).where(F.col("place") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100"))
+        lists = lists if rounds == 1 else lists.where(F.pmod("value", F.lit(rounds)) == turn)
+        part = F.when(F.col("place") >= F.col("often"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int") + 1).otherwise(F.lit(0))
+        key = F.shiftleft(F.col("value").cast("bigint"), 32) + F.shiftleft(part.cast("bigint"), 27) + F.shiftleft(F.least("n", F.lit(MOST_SIZE)).cast("bigint"), 7) + F.least("place", F.lit(127))
+        lists = lists.select(key.alias("list"), "id", "low", "high")
+    lists = bounded(lists).repartition(F.shiftright("list", 27)).sortWithinPartitions("list")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], int | None]]:
         """Rows of whole lists, or of a list grown too long, and the list let go last."""
@@ -308,7 +394,9 @@ def _line_classes(docs: DataFrame, percent: int, long_list: int, sizes: bool) ->
     # numbers alone are held, so that rows with their prefixes need no sort
     ids = reps.select(F.col("id").alias("at")).hint("shuffle_hash")
     unique = written(seen.join(ids, "at", "left_semi").select(F.col("at").alias("id"), "n", "low", "high", "often", "prefix"), "unique", varied=True)
-    made = [written(candidates(unique, percent, long_list, turn, ROUNDS), "candidates") for turn in range(ROUNDS)]
+    long = long_buckets(unique, percent, long_list)
+    long, rounds = (docs.sparkSession.sparkContext.broadcast(long), 2 * ROUNDS) if long.any() else (None, ROUNDS)
+    made = [written(candidates(unique, percent, long_list, turn, rounds, long), "candidates") for turn in range(rounds)]
     found = reduce(DataFrame.unionByName, made)
     discard(unique)
 
